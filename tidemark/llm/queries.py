@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .ctw import lm_scores
 from .exact_dedup import exact_dedup
 from .media import media_features, sniff_media, text_as_media
+from .packing import pack
 from .url_filter import url_filter
 
 #: host, path, verdict
@@ -36,7 +37,15 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(sniff_media(text_as_media(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op7_url_filter, op8_media_columns)}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_exact_dedup, op7_url_filter, op8_media_columns, op10_lm_scoring)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
