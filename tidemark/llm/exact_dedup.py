@@ -33,13 +33,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     docs = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("bytes"))
     head = F.substring("bytes", 1, first_digit)
     shared = stage.write(docs.groupBy(head.alias("digit")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit").withColumn("gid", F.monotonically_increasing_id()), "shared")
-    split = docs.join(shared, head == shared.digit, "left")
-    lone = split.filter("gid is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("bytes", 256).alias("text_sha256"))
-    live = stage.write(
-        split.filter("gid is not null").select(F.monotonically_increasing_id().alias("rid"), "id", "gid", F.sha2("bytes", 256).alias("sha"), F.substring("bytes", first_digit + 1, 2**31 - 1).alias("rest"), (F.length("bytes") < first_digit).alias("ended")),
-        "live0",
-        "zstd",
+    # one pass over the texts; a merge join, so that a small list of shared digits doesn't change how the work grows
+    split = docs.join(shared.hint("merge"), head == shared.digit, "left").select(
+        F.monotonically_increasing_id().alias("rid"), "id", "gid", F.sha2("bytes", 256).alias("sha"), F.when(F.col("gid").isNotNull(), F.substring("bytes", first_digit + 1, 2**31 - 1)).alias("rest"), (F.length("bytes") < first_digit).alias("ended")
     )
+    split = stage.write(split, "split", "zstd")
+    lone = split.filter("gid is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    live = split.filter("gid is not null")
     done, size, k = [lone], first_digit, 0
     while not live.isEmpty():
         k, size = k + 1, size * growth
@@ -47,12 +47,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         cut = live.select("rid", "id", "gid", "sha", F.substring("rest", 1, size).alias("digit"), F.substring("rest", size + 1, 2**31 - 1).alias("tail"), ended.alias("ended"))
         groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("keep")).withColumn("next", F.monotonically_increasing_id())
         groups = stage.write(groups, f"groups{k}", "zstd")
-        joined = stage.write(cut.join(groups, ["gid", "digit"]).select("rid", "id", F.col("next").alias("gid"), "sha", "n", "keep", "ended", F.col("tail").alias("rest")), f"live{k}", "zstd")
+        joined = stage.write(cut.join(groups.hint("merge"), ["gid", "digit"]).select("rid", "id", F.col("next").alias("gid"), "sha", "n", "keep", "ended", F.col("tail").alias("rest")), f"live{k}", "zstd")
         stage.drop(f"groups{k}")
-        stage.drop(f"live{k - 1}")
         over = F.col("ended") | (F.col("n") == 1)
         settled = joined.filter(over).select("id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("keep.rid") == F.col("rid")).alias("kept"), F.col("sha").alias("text_sha256"))
         done.append(stage.write(settled, f"done{k}"))
+        if k > 1:
+            stage.drop(f"live{k - 1}")
         live = joined.filter(~over).select("rid", "id", "gid", "sha", "rest", "ended")
     out = done[0]
     for part in done[1:]:
