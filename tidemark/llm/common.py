@@ -168,3 +168,85 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def summed_chunks(partial: DataFrame, dtype: str, total: bool) -> dict[int, bytes]:
+    """Adds up (or ORs) rows (chunk, data) of equally long vectors, chunk by chunk, in two levels of tasks.
+
+    What comes back is as long as the vector all tasks share, whatever the number of tasks.
+    """
+
+    def fold_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
+                x = np.frombuffer(data, dtype)
+                if chunk not in held:
+                    held[chunk] = x.copy()
+                elif total:
+                    held[chunk] += x
+                else:
+                    held[chunk] |= x
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "data"])
+
+    schema = "chunk int, data binary"
+    from pyspark.sql import functions as F
+
+    spread = partial.repartition("chunk", F.floor(F.rand(17) * 8)).mapInArrow(fold_chunks, schema)
+    return {r.chunk: bytes(r.data) for r in spread.repartition("chunk").mapInArrow(fold_chunks, schema).collect()}
+
+
+def vector_rows(x: np.ndarray, chunk: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The parts of a vector that aren't zero, as rows (chunk, data)."""
+    parts = [(i // chunk, x[i : i + chunk]) for i in range(0, len(x), chunk)]
+    parts = [(i, p.tobytes()) for i, p in parts if p.any()]
+    if parts:
+        ids, data = zip(*parts, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
+
+
+def joined_chunks(chunks: dict[int, bytes], size: int, dtype: str, chunk: int = 1 << 14) -> np.ndarray:
+    out = np.zeros(size, dtype)
+    for i, data in chunks.items():
+        x = np.frombuffer(data, dtype)
+        out[i * chunk : i * chunk + len(x)] = x
+    return out
+
+
+class KeyFilter:
+    """Blocked Bloom filter of 64-bit keys: one 64-byte block a key, eight bits in it. False hits only."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words.reshape(-1, 8)
+
+    @staticmethod
+    def bits(keys: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys ^ np.uint64(0x5851F42D4C957F2D))
+        return (h % np.uint64(n_blocks)).astype(np.int64), mix(h)
+
+    def __contains__(self, _):
+        raise TypeError("use hits()")
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        block, g = self.bits(keys, len(self.words))
+        out = np.ones(len(keys), bool)
+        for i in range(8):
+            out &= (self.words[block, i] >> ((g >> np.uint64(6 * i)) & np.uint64(63))) & np.uint64(1) != 0
+        return out
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, n: int, bits_per_key: int = 16, most_bytes: int = 32 << 20) -> KeyFilter:
+        """Of a bigint column with about n keys. The filter never takes more than most_bytes: a fuller one only lets more through."""
+        n_blocks = max(1, min(most_bytes // 64, n * bits_per_key // 512 + 1))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros((n_blocks, 8), np.uint64)
+            for b in batches:
+                block, g = cls.bits(b.column(0).to_numpy().view(np.uint64), n_blocks)
+                for i in range(8):
+                    np.bitwise_or.at(words[:, i], block, np.uint64(1) << ((g >> np.uint64(6 * i)) & np.uint64(63)))
+            yield from vector_rows(words.ravel())
+
+        parts = summed_chunks(df.select(key).mapInArrow(run, "chunk int, data binary"), "uint64", total=False)
+        return cls(joined_chunks(parts, n_blocks * 8, "uint64"))

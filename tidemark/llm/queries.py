@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import lm_scores
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .media import media_features, sniff_media, text_as_media
 from .packing import pack
 from .url_filter import url_filter
@@ -41,11 +42,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_exact_dedup, op7_url_filter, op8_media_columns, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_ngram_jaccard_join, op6_exact_dedup, op7_url_filter, op8_media_columns, op10_lm_scoring)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -66,4 +71,17 @@ SQL = {
                coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
         FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
         GROUP BY p.page_id, p.host, p.path""",
+    "op4_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, list_filter(regexp_split_to_array({_FOLD}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws] ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i:i+4]) END) AS g FROM w),
+        h AS MATERIALIZED (SELECT doc_id, hash(g) AS g FROM s),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
