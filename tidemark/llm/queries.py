@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ctw import lm_scores
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
+from .language import identify_languages
 from .media import media_features, sniff_media, text_as_media
 from .packing import pack
 from .url_filter import url_filter
@@ -46,11 +47,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_ngram_jaccard_join, op6_exact_dedup, op7_url_filter, op8_media_columns, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_ngram_jaccard_join, op6_exact_dedup, op7_url_filter, op8_media_columns, op9_language_id, op10_lm_scoring)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
