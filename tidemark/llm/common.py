@@ -23,6 +23,10 @@ _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes that are neither a-z nor part of a longer UTF-8 sequence.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[97:123] = NO_LETTER[128:] = False
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _GRAM = 0xD6E8FEB86659FD93 | 1
@@ -130,11 +134,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False) -> Words:
-    """Splits documents into lower-cased words and hashes each."""
+def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False, gaps: np.ndarray = _SPACE) -> Words:
+    """Splits documents into lower-cased words and hashes each. gaps: which bytes part words."""
     n = len(data)
     low = data if folded else fold(data)
-    solid = ~_SPACE[low]
+    solid = ~gaps[low]
     begins, ends = solid.copy(), solid.copy()
     if n:
         begins[1:] &= ~solid[:-1]

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ctw import lm_scores
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .language import identify_languages
 from .media import media_features, sniff_media, text_as_media
+from .mixing import mixing_rates
 from .packing import pack
+from .quality import quality_scores
 from .url_filter import url_filter
 
 #: host, path, verdict
@@ -39,6 +42,31 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(sniff_media(text_as_media(table(spark, sf_dir, "documents"))))
 
 
+#: Shares of the mixture's words.
+LANGUAGE_TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings as grades: 0 toxic, 1 poor, 2 good."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rated documents with their language as the domain."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), graded(table(spark, sf_dir, "labels")), n_grades=3, accept=2)
+    return scored.drop("text")
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), language_labels(spark, sf_dir), LANGUAGE_TARGETS)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -55,7 +83,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_ngram_jaccard_join, op6_exact_dedup, op7_url_filter, op8_media_columns, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op4_ngram_jaccard_join, op5_mixing_sources, op6_exact_dedup, op7_url_filter, op8_media_columns, op9_language_id, op10_lm_scoring)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
