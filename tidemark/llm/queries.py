@@ -13,6 +13,7 @@ from .media import media_features, sniff_media, text_as_media
 from .mixing import mixing_rates
 from .packing import pack
 from .quality import quality_scores
+from .suffix import repeated_passages
 from .url_filter import url_filter
 
 #: host, path, verdict
@@ -58,6 +59,10 @@ def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), graded(table(spark, sf_dir, "labels")), n_grades=3, accept=2)
     return scored.drop("text")
@@ -83,7 +88,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op4_ngram_jaccard_join, op5_mixing_sources, op6_exact_dedup, op7_url_filter, op8_media_columns, op9_language_id, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_best_fit_packing, op4_ngram_jaccard_join, op5_mixing_sources, op6_exact_dedup, op7_url_filter, op8_media_columns, op9_language_id, op10_lm_scoring)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
