@@ -46,13 +46,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
         parts_h.append(gram_hashes(h, len(h), seed=len(h)))
         parts_o.append(np.array([d]))
     h, o = np.concatenate(parts_h), np.concatenate(parts_o)
-    order = np.argsort(h)
-    order = order[np.argsort(o[order], kind="stable")]
-    h, o = h[order], o[order]
+    if len(parts_h) > 1:
+        order = np.argsort(o, kind="stable")
+        h, o = h[order], o[order]
+    sort_each(h, np.searchsorted(o, np.arange(n_docs + 1)))
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    h, o = h[keep], o[keep]
-    return h, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n_docs))])
+    return h[keep], np.concatenate([[0], np.cumsum(np.bincount(o[keep], minlength=n_docs))])
+
+
+def sort_each(x: np.ndarray, offsets: np.ndarray) -> None:
+    """Sorts each document's part of x in place."""
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        x[lo:hi].sort()
 
 
 def set_ids(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,12 +118,11 @@ class _Join:
                 grams, at = shingle_sets(data, offsets, n)
                 sizes = np.diff(at)
                 keys = ordered_keys(grams, order.value)
+                sort_each(keys, at)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                by = np.argsort(keys)
-                by = by[np.argsort(owner[by], kind="stable")]
                 place = np.arange(len(keys)) - at[:-1][owner]
                 first = place < (sizes - -(-s * sizes // 100) + 1)[owner]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(sizes)))]).astype(np.int32)), signed(keys[by][first]))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(sizes)))]).astype(np.int32)), signed(keys[first]))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), signed(set_ids(grams, at)), lists], ["id", "size", "cls", "keys"])
 
         return self.stage.write(self.docs.mapInArrow(run, f"id {self.kind}, size bigint, cls bigint, keys array<bigint>"), "sets")
@@ -125,36 +130,38 @@ class _Join:
     def shared_keys(self, sets: DataFrame) -> DataFrame:
         """(key, cls, size, place, lost, ends): keys that the first fragments of two classes have; the classes' figures."""
         reps = sets.filter("size > 0").groupBy("cls").agg(F.first(F.struct("size", "keys")).alias("x")).select("cls", "x.size", "x.keys")
-        reps = self.stage.write(reps, "classes")
+        reps = self.stage.write(reps.withColumns({"n_keys": F.size("keys"), "ends": F.element_at("keys", -1)}), "classes")
+        self.stage.drop("sets")
         rows = reps.select("cls", F.posexplode("keys").alias("place", "key"))
         twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key")
         held = self.stage.write(rows.join(twice.hint("merge"), "key"), "held")
         found = held.groupBy("cls").agg(F.count(F.lit(1)).alias("found"))
-        facts = reps.join(found.hint("merge"), "cls").select("cls", "size", (F.size("keys") - F.col("found")).alias("lost"), F.element_at("keys", -1).alias("ends"))
-        return self.stage.write(held.join(facts.hint("merge"), "cls"), "shared")
+        facts = reps.select("cls", "size", "n_keys", "ends").join(found.hint("merge"), "cls").select("cls", "size", (F.col("n_keys") - F.col("found")).alias("lost"), "ends")
+        shared = self.stage.write(held.join(facts.hint("merge"), "cls"), "shared")
+        self.stage.drop("classes")
+        return shared
 
     def possible(self, a: str, b: str) -> Column:
         x, y = F.col(a), F.col(b)
         t = _overlap_needed(x["size"], y["size"], self.s)
-        lost = F.when(x["ends"] <= y["ends"], x["lost"] + t <= x["size"]).otherwise(y["lost"] + t <= y["size"])
-        lost = lost | ((x["ends"] == y["ends"]) & (y["lost"] + t <= y["size"]))
+        mine, other = x["lost"] + t <= x["size"], y["lost"] + t <= y["size"]
+        lost = F.when(x["ends"] < y["ends"], mine).when(x["ends"] > y["ends"], other).otherwise(mine & other)
         return (x["cls"] != y["cls"]) & (x["place"] + t <= x["size"]) & (y["place"] + t <= y["size"]) & lost
 
     def pairs(self, joined: DataFrame) -> DataFrame:
         sides = F.array_sort(F.array(F.struct("x.cls", "x.size"), F.struct("y.cls", "y.size")))
         return joined.filter(self.possible("x", "y")).select(sides.alias("p")).distinct().select(F.col("p")[0]["cls"].alias("a"), F.col("p")[1]["cls"].alias("b"), F.col("p")[0]["size"].alias("na"), F.col("p")[1]["size"].alias("nb"))
 
-    def links(self, pairs: DataFrame, name: str, fragments: int = 8) -> DataFrame:
-        """The pairs whose overlap, counted fragment by fragment, reaches the threshold.
+    def sets_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(cls, keys in order) of the classes in pairs.
 
-        Only classes in a pair give their fragments, once per task; a key filter of bounded size tells which they are.
+        Each task gives a class once; a key filter of bounded size tells which classes are wanted.
         """
-        pairs = self.stage.write(pairs, f"pairs-{name}")
         wanted = self.stage.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"wanted-{name}")
         chosen = self.spark.sparkContext.broadcast(KeyFilter.of(wanted, "cls", wanted.count()))
         n, order = self.n, self.order
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             given = np.zeros(0, np.uint64)
             for _, data, offsets in slices(batches, "text"):
                 grams, at = shingle_sets(data, offsets, n)
@@ -164,32 +171,74 @@ class _Join:
                 if not len(new):
                     continue
                 given = np.union1d(given, ids[new])
-                sizes = np.diff(at)[new]
-                grams = np.concatenate([grams[at[d] : at[d + 1]] for d in new])
-                keys = ordered_keys(grams, order.value)
-                part = np.where(keys >> np.uint64(58) > 0, fragments - 1, (keys >> np.uint64(32)) % np.uint64(fragments - 1)).astype(np.int64)
-                slot = np.repeat(np.arange(len(new)), sizes) * fragments + part
-                by = np.argsort(slot, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=len(new) * fragments))]).astype(np.int32)
-                parts = np.tile(np.arange(fragments, dtype=np.int32), len(new))
-                yield pa.RecordBatch.from_arrays([signed(np.repeat(ids[new], fragments)), pa.array(parts), pa.ListArray.from_arrays(pa.array(ends), signed(grams[by]))], ["cls", "part", "grams"])
-
-        segments = self.docs.select("text").mapInArrow(cut, "cls bigint, part int, grams array<bigint>").filter(F.size("grams") > 0)
-        segments = self.stage.write(segments.dropDuplicates(["cls", "part"]), f"segments-{name}")
-        left = pairs.join(segments.withColumnsRenamed({"cls": "a", "grams": "ga"}).hint("merge"), "a")
-        overlap = left.join(segments.withColumnsRenamed({"cls": "b", "grams": "gb"}).hint("merge"), ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
+                keys = ordered_keys(np.concatenate([grams[at[d] : at[d + 1]] for d in new]), order.value)
+                ends = np.concatenate([[0], np.cumsum(np.diff(at)[new])])
+                sort_each(keys, ends)
+                yield pa.RecordBatch.from_arrays([signed(ids[new]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(keys))], ["cls", "keys"])
+
+        return self.stage.write(self.docs.select("text").mapInArrow(give, "cls bigint, keys array<bigint>").groupBy("cls").agg(F.first("keys").alias("keys")), f"sets-{name}")
+
+    def links(self, pairs: DataFrame, sets: DataFrame, name: str, fragments: int = 8) -> DataFrame:
+        """The pairs whose overlap, counted fragment by fragment and summed, reaches the threshold.
+
+        A fragment is a stretch of the global order: a seventh of the n-grams not known as frequent, or the frequent ones.
+        """
+
+        wanted = self.stage.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"compared-{name}")
+        chosen = self.spark.sparkContext.broadcast(KeyFilter.of(wanted, "cls", wanted.count()))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(chosen.value.hits(b.column("cls").to_numpy().view(np.uint64))))
+                lists = b.column("keys")
+                at = lists.offsets.to_numpy().astype(np.int64)
+                keys = lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
+                step = (1 << 58) // (fragments - 1) + 1
+                slot = np.repeat(np.arange(len(lists)), np.diff(at)) * fragments + np.minimum(keys // np.uint64(step), fragments - 1).astype(np.int64)
+                counts = np.bincount(slot, minlength=len(lists) * fragments)
+                some = np.flatnonzero(counts)
+                ends = np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("cls").take(pa.array(some // fragments)), pa.array((some % fragments).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), signed(keys))], ["cls", "part", "keys"])
+
+        segments = sets.mapInArrow(cut, "cls bigint, part int, keys array<bigint>")
+        left = pairs.join(segments.withColumnsRenamed({"cls": "a", "keys": "ka"}).hint("merge"), "a")
+        overlap = left.join(segments.withColumnsRenamed({"cls": "b", "keys": "kb"}).hint("merge"), ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("o"))
         total = overlap.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
         found = self.stage.write(total.filter(F.col("o") * 100 >= self.s * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), f"links-{name}")
-        self.stage.drop(f"segments-{name}")
+        self.stage.drop(f"sets-{name}")
         return found
 
+    def still_possible(self, pairs: DataFrame, sets: DataFrame, share: float = 0.6) -> DataFrame:
+        """Drops pairs that longer first fragments rule out: what no other of these sets holds is lost to the overlap."""
+        head = F.slice("keys", 1, F.ceil(F.size("keys") * share).cast("int"))
+        heads = sets.select("cls", F.size("keys").alias("size"), head.alias("keys"))
+        common = self.stage.write(heads.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "common")
+        held = self.spark.sparkContext.broadcast(KeyFilter.of(common, "key", common.count()))
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column("keys")
+                at = lists.offsets.to_numpy().astype(np.int64)
+                keys = lists.values.to_numpy()[at[0] : at[-1]]
+                at -= at[0]
+                alone = np.concatenate([[0], np.cumsum(~held.value.hits(keys.view(np.uint64)))])
+                yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(alone[at[1:]] - alone[at[:-1]]), pa.array(keys[at[1:] - 1])], ["cls", "lost", "ends"])
+
+        facts = self.stage.write(heads.select("cls", "keys").mapInArrow(weigh, "cls bigint, lost bigint, ends bigint"), "facts")
+        both = pairs.join(facts.select(F.col("cls").alias("a"), F.col("lost").alias("la"), F.col("ends").alias("ea")).hint("merge"), "a").join(facts.select(F.col("cls").alias("b"), F.col("lost").alias("lb"), F.col("ends").alias("eb")).hint("merge"), "b")
+        t = _overlap_needed(F.col("na"), F.col("nb"), self.s)
+        a, b = F.col("la") + t <= F.col("na"), F.col("lb") + t <= F.col("nb")
+        return self.stage.write(both.filter(F.when(F.col("ea") < F.col("eb"), a).when(F.col("ea") > F.col("eb"), b).otherwise(a & b)).select("a", "b", "na", "nb"), "pairs-left")
+
     def result(self) -> DataFrame:
-        sets = self.first_fragments()
-        shared = self.shared_keys(sets)
+        fragments = self.first_fragments()
+        sets = self.stage.write(fragments.select("id", "size", "cls"), "ids")
+        shared = self.shared_keys(fragments)
         row = F.struct("cls", "size", "place", "lost", "ends")
         # every class against the hub of each of its keys: the one with the fewest rarer keys
         hubs = self.stage.write(shared.groupBy("key").agg(F.min(F.struct("place", "cls", "size", "lost", "ends")).alias("y")), "hubs")
-        first = self.links(self.pairs(shared.select("key", row.alias("x")).join(hubs.hint("merge"), "key")), "hub")
+        pairs = self.stage.write(self.pairs(shared.select("key", row.alias("x")).join(hubs.hint("merge"), "key")), "pairs-hub")
+        first = self.links(pairs, self.sets_of(pairs, "hub"), "hub")
         roots = self.stage.write(components(first, self.stage, "first"), "first-roots")
         # what is still in another component than its hub, against all that share the key
         marked = shared.join(roots.hint("merge"), shared.cls == roots.node, "left").select("key", row.alias("x"), F.coalesce("root", "cls").alias("root"))
@@ -199,7 +248,9 @@ class _Join:
         inside = self.stage.write(marked.join(mixed.hint("merge"), "key"), "open")
         apart = inside.filter("root <> hub_root").select("key", "x", "root")
         rest = apart.join(inside.select("key", F.col("x").alias("y"), F.col("root").alias("other")).hint("merge"), "key").filter("root <> other")
-        second = self.links(self.pairs(rest), "rest")
+        pairs = self.stage.write(self.pairs(rest), "pairs-rest")
+        grams = self.sets_of(pairs, "rest")
+        second = self.links(self.still_possible(pairs, grams), grams, "rest")
         roots = self.stage.write(components(first.unionByName(second), self.stage, "all"), "roots")
 
         classes = sets.filter("size > 0").groupBy("cls").agg(F.min("id").alias("leader"))
