@@ -34,9 +34,9 @@ def day_number(day: str) -> Column:
 
 
 def before(key: str | Sequence[str], day: str) -> Window:
-    """All rows of earlier days."""
+    """All rows of earlier days. Undated rows sort last, so dated ones never see them."""
     keys = [key] if isinstance(key, str) else list(key)
-    return Window.partitionBy(*keys).orderBy(day_number(day)).rangeBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy(day_number(day).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, -1)
 
 
 def snapshots(obs: DataFrame, specs: Sequence[Spec], key: str = "entity_id", day: str = "event_day") -> DataFrame:
@@ -57,7 +57,7 @@ def _calendar(obs: DataFrame, specs: Sequence[Spec], key: str, day: str, months:
     days = obs.select(key, day).distinct().select(key, F.col(day).alias("_of"), F.add_months(day, -months).alias("_at"))
     totals = obs.groupBy(key, day).agg(*[(F.sum if s.agg == "sum" else F.count)(s.value).alias(n) for n, s in running.items()])
     marks = totals.select(key, F.col(day).alias("_at"), *running, F.lit(None).cast("date").alias("_of")).unionByName(days.select(key, "_at", *[F.lit(None).alias(n) for n in running], "_of"))
-    frame = Window.partitionBy(key).orderBy(day_number("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    frame = Window.partitionBy(key).orderBy(day_number("_at").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, -1)
     old = marks.withColumns({n: F.coalesce(F.sum(n).over(frame), F.lit(0)) for n in running}).filter("_of is not null").select(key, F.col("_of").alias(day), *[F.col(n).alias(f"_old_{n}") for n in running])
     now = obs.withColumns({n: s.over(before(key, day)) for n, s in running.items()})
     joined = now.join(old, [key, day], "left").withColumns({n: F.col(n) - F.col(f"_old_{n}") for n in running})

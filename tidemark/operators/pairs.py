@@ -42,7 +42,7 @@ def swapped(pairs: DataFrame, texts: Sequence[str] = ()) -> DataFrame:
         elif c.endswith("_b") and f"{c[:-2]}_a" in pairs.columns:
             out.append(F.col(f"{c[:-2]}_a").alias(c))
         elif c.endswith("_diff"):
-            out.append((-F.col(c)).alias(c))
+            out.append((F.lit(0) - F.col(c)).alias(c))  # never -0.0
         elif c == "label":
             out.append((1 - F.col(c)).alias(c))
         elif c in texts:

@@ -91,7 +91,7 @@ def pit_pairs(spark: SparkSession, d: str) -> DataFrame:
     return doubles(career_pairs(spark, d))
 
 
-_SWAP = ", ".join(f"{f}_b AS {f}_a, {f}_a AS {f}_b, -{f}_diff AS {f}_diff" for f in PAIR_FEATURES)
+_SWAP = ", ".join(f"{f}_b AS {f}_a, {f}_a AS {f}_b, 0 - {f}_diff AS {f}_diff" for f in PAIR_FEATURES)
 
 
 @query(with_obs(f"{_PAIRS} SELECT *, 'a_minus_b' AS row_direction FROM pairs UNION ALL SELECT contest_id, event_day, grp, entity_b, entity_a, CAST(1 - label AS INTEGER), {_SWAP}, 'b_minus_a' FROM pairs"))
