@@ -74,11 +74,12 @@ def _rate(posterior: Column, steps: list[np.ndarray], floor: float) -> Column:
     return F.aggregate(table, start, lambda r, s: F.greatest(r - dot(s), F.lit(float(floor)))) if steps else start
 
 
-def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", floor: float = 0.0, sample: int = 4000, rounds: int = 12, close: float = 1e-3) -> DataFrame:
+def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", floor: float = 0.0, sample: int = 4000, rounds: int = 30, close: float = 1e-3) -> DataFrame:
     """One row per document: id, n_tokens, posterior (in the order of the sorted domains), rate.
 
     targets are the domains' weights; they are normalised. With floor 0 the mixture has as many tokens as the corpus;
-    with a floor (each rate is at least that), as many as the domain with the largest demand needs to have no rate below it.
+    with a floor (each rate is at least that), as many as the domain with the largest demand needs to have no rate below it;
+    then members of several domains can make the exact targets unreachable, and the rates are the nearest in least squares.
     labelled has id_col and domain_col. A null or empty text has no tokens: its rate stays at its start, and matters to no sum.
     Null and repeated ids are treated like any other row. The steps stop when the residual is within `close` of the total,
     or after `rounds`. The residual is scaled by the inverse root of the domains' Gram matrix, which makes 1 the right step length.
