@@ -1,6 +1,6 @@
 import pytest
 from oracle import assert_same
-from tidemark.plans import more_queries  # noqa: F401
+from tidemark.plans import aggregate_queries, more_queries  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 
