@@ -64,3 +64,30 @@ def overlay(*sources: DataFrame, key: str, order: str, fields: list[str]) -> Dat
         out = out.join(p, key, "full_outer")
     pick: list[Column] = [F.coalesce(*[F.col(f"{f}_{i}") for i in reversed(range(len(sources)))]).alias(f) for f in fields]
     return out.select(key, *pick)
+
+
+def resolve_tokens(requests: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
+    """requests with `canonical` and `how`: an equal key; else the only name whose words hold all of the request's; else the one
+    name with the greatest share of common words, of which it needs all but one and two at least. Otherwise null and unresolved.
+
+    Only names that share a word are compared.
+    """
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    q = requests.select(F.col(name).alias("_q"), name_key(F.col(name)).alias("_qk")).distinct()
+    c = catalog.select(F.col(name).alias("_c"), name_key(F.col(name)).alias("_ck")).distinct()
+    pairs = q.withColumn("_w", F.explode(words(F.col("_qk")))).join(c.withColumn("_w", F.explode(words(F.col("_ck")))), "_w").drop("_w").distinct()
+    common = F.size(F.array_intersect(words(F.col("_qk")), words(F.col("_ck"))))
+    n = F.size(words(F.col("_qk")))
+    facts = pairs.withColumns({"_all": common == n, "_equal": F.col("_qk") == F.col("_ck"), "_j": token_jaccard(F.col("_qk"), F.col("_ck")), "_ok": common >= F.greatest(F.lit(2), n - 1)})
+    best = facts.groupBy("_q").agg(
+        F.count_if("_equal").alias("n_equal"),
+        F.max(F.when(F.col("_equal"), F.col("_c"))).alias("equal"),
+        F.count_if("_all").alias("n_all"),
+        F.max(F.when(F.col("_all"), F.col("_c"))).alias("holds"),
+        F.max(F.when(F.col("_ok"), F.struct("_j", "_c"))).alias("top"),
+        F.sort_array(F.collect_list(F.when(F.col("_ok"), F.col("_j"))), asc=False).alias("js"),
+    )
+    only_top = F.col("top").isNotNull() & ((F.size("js") == 1) | (F.try_element_at("js", F.lit(1)) > F.try_element_at("js", F.lit(2))))
+    how = F.when(F.col("n_equal") == 1, "equal").when((F.col("n_equal") == 0) & (F.col("n_all") == 1), "holds").when((F.col("n_equal") == 0) & only_top, "overlap").otherwise("unresolved")
+    found = best.select("_q", how.alias("how"), F.when(how == "equal", F.col("equal")).when(how == "holds", F.col("holds")).when(how == "overlap", F.col("top._c")).alias("canonical"))
+    return requests.join(found, requests[name] == found["_q"], "left").select(*[requests[x] for x in requests.columns], "canonical", F.coalesce("how", F.lit("unresolved")).alias("how"))
