@@ -73,3 +73,16 @@ def rating_path(snapshots: DataFrame) -> DataFrame:
     """Each entity's points (day, rating, opponent_rating) in order, as one array."""
     points = F.array_sort(F.collect_list(F.struct("event_day", "contest_id", "rating", "opponent_rating")))
     return side_ratings(snapshots).groupBy("entity_id").agg(points.alias("points"))
+
+
+def final_ratings(obs: DataFrame, by_group: bool = True, k: float = 32.0, start: float = 1500.0) -> DataFrame:
+    """(grp, entity_id, rating, updates) after all decisive contests; grp is '' for the overall rating.
+
+    Each side's rating before its last decisive contest, and that contest's gain: the fold itself runs once.
+    """
+    seen = rating_snapshots(obs, by_group, k, start, frozen=False).join(decisive_pairs(obs).filter("score_a is not null").select("contest_id", "score_a"), "contest_id")
+    gain = F.lit(k) * (F.col("score_a") - 1 / (1 + F.pow(F.lit(10.0), (F.col("rating_b") - F.col("rating_a")) / 400)))
+    side = lambda x, sign: F.struct(F.col(f"entity_{x}").alias("entity_id"), (F.col(f"rating_{x}") + sign * gain).alias("rating"), (F.col(f"updates_{x}") + 1).alias("updates"))
+    rows = seen.select("event_day", "contest_id", (F.col("grp") if by_group else F.lit("")).alias("grp"), F.explode(F.array(side("a", 1), side("b", -1))).alias("s")).select("event_day", "contest_id", "grp", "s.*")
+    last = rows.groupBy("grp", "entity_id").agg(F.max_by(F.struct("rating", "updates"), F.struct("event_day", "contest_id")).alias("l"))
+    return last.select("grp", "entity_id", "l.rating", "l.updates")

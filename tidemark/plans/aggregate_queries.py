@@ -77,3 +77,29 @@ def parity_batch_query(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def metric_table(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.metric_table(career_pairs(spark, d), [(f, "count", [f]) for f in PAIR_FEATURES])
+
+
+def _fold_sql(group: str) -> str:
+    body = with_obs(f"""m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_day, contest_id) AS step, {group} AS g, entity_id AS a, opponent_id AS b, CAST(won AS DOUBLE) AS s FROM obs WHERE entity_id < opponent_id AND won IS NOT NULL),
+    r(g, e, rating, updates, step) USING KEY (g, e) AS (
+        SELECT '', CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+        UNION
+        (SELECT m.g, CASE WHEN side = 0 THEN m.a ELSE m.b END,
+            CASE WHEN side = 0 THEN coalesce(x.rating, 1500.0) + gain ELSE coalesce(y.rating, 1500.0) - gain END,
+            CASE WHEN side = 0 THEN coalesce(x.updates, 0) ELSE coalesce(y.updates, 0) END + 1, m.step
+         FROM (SELECT max(step) AS step FROM r) c JOIN m ON m.step = c.step + 1
+         LEFT JOIN recurring.r x ON x.g = m.g AND x.e = m.a LEFT JOIN recurring.r y ON y.g = m.g AND y.e = m.b,
+         LATERAL (SELECT 32.0 * (m.s - 1 / (1 + pow(10.0, (coalesce(y.rating, 1500.0) - coalesce(x.rating, 1500.0)) / 400))) AS gain) q,
+         (VALUES (0), (1)) v(side)))
+    SELECT g AS grp, e AS entity_id, round(rating, 6) AS rating, updates FROM r WHERE e >= 0""")
+    return body.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_fold_sql("grp"))
+def rating_final_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return ratings.final_ratings(observations(spark, d)).withColumn("rating", r6("rating"))
+
+
+@query(_fold_sql("''"))
+def rating_final(spark: SparkSession, d: str) -> DataFrame:
+    return ratings.final_ratings(observations(spark, d), by_group=False).withColumn("rating", r6("rating"))
