@@ -159,15 +159,20 @@ def public_bpe() -> Callable[[list[str]], list[np.ndarray]]:
 _ENCODERS: dict[Callable, Callable] = {}
 
 
+def encoder_of(factory: Callable) -> Callable:
+    """One encoder in each worker process."""
+    if factory not in _ENCODERS:
+        _ENCODERS[factory] = factory()
+    return _ENCODERS[factory]
+
+
 def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, encoder: Callable) -> DataFrame:
     """Pieces of at most `capacity` tokens, each with its rank among the equally long pieces of its task."""
     kind = dict(df.dtypes)[id_col]
     names = ["id", "piece", "start", "length", "ids_crc32", "task", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if encoder not in _ENCODERS:
-            _ENCODERS[encoder] = encoder()
-        encode = _ENCODERS[encoder]
+        encode = encoder_of(encoder)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[tuple] = []
