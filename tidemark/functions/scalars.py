@@ -258,3 +258,22 @@ def token_jaccard(a: Column, b: Column) -> Column:
     """Share of common words of two keys."""
     x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+def inferred_markers(a: Column, b: Column, day: Column, today: Column, known: Column) -> Column:
+    """struct(a, b, reason): markers of both sides, where one W and one blank of a past, new contest make the blank an L."""
+    ok = (day <= today) & ~F.coalesce(known, F.lit(False))
+    left, right = (a == "W") & (b == "") & ok, (b == "W") & (a == "") & ok
+    return F.struct(F.when(right, "L").otherwise(a).alias("a"), F.when(left, "L").otherwise(b).alias("b"), F.when(left | right, "blank_beside_win").alias("reason"))
+
+
+def planned_periods(*texts: Column, seconds: Column | None = None) -> Column:
+    """Planned number of periods: from the first text that names it ('5 Rnd', '3 rounds'); else 5 if more than 900 seconds were used; else 3."""
+    named = F.coalesce(*[F.regexp_extract(t, r"(?i)(\d+)\s*(?:rnd|round)", 1).try_cast("int") for t in texts])
+    long = F.when(seconds > 900, 5) if seconds is not None else F.lit(None).cast("int")
+    return F.coalesce(named, long, F.lit(3))
+
+
+def last_period(seconds: Column, period_seconds: int = 300) -> Column:
+    """Period in which a contest ended, from its whole length."""
+    return F.when(seconds > 0, F.ceil(seconds / period_seconds).cast("int"))

@@ -145,3 +145,11 @@ def parity(batch: DataFrame, live: DataFrame, keys: Sequence[str], features: Seq
     bad = (F.col("x").isNull() != F.col("y").isNull()) | (F.abs(F.col("x") - F.col("y")) > tolerance)
     out = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad, F.lit(False))).alias("mismatches"))
     return out.withColumn("status", F.when(F.col("mismatches") == 0, "PASS").when(F.col("mismatches") < F.col("n"), "PARTIAL").otherwise("FAIL"))
+
+
+def collapse(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row for each key: numbers are averaged, other values are those of the first row in the stated order."""
+    numbers = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")}
+    rest = [c for c in df.columns if c not in keys]
+    first = lambda c: F.min_by(c, F.struct(*order)).alias(c)
+    return df.groupBy(*keys).agg(*[F.avg(c).alias(c) if c in numbers else first(c) for c in rest]).select(*df.columns)

@@ -89,3 +89,32 @@ def ledger_scores(forecasts: DataFrame, outcomes: DataFrame, key: str = "forecas
     last = outcomes.groupBy(key).agg(F.max_by("outcome", "seq").alias("outcome"))
     joined = forecasts.join(last, key, "left")
     return joined.agg(F.count(F.lit(1)).alias("forecasts"), F.count("outcome").alias("scored"), F.avg((F.col("probability") - F.col("outcome")) ** 2).alias("brier"))
+
+
+def hash_folds(df: DataFrame, folds: int, key: str = "contest_id", seed: int = 0) -> DataFrame:
+    """df with `fold` by a hash of the key, so that all rows of a contest share one; the order of time is not kept."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def split_overlap(train: DataFrame, test: DataFrame, key: str = "contest_id") -> DataFrame:
+    """Keys that stand in both parts; a sound split has none."""
+    return train.select(key).intersect(test.select(key))
+
+
+def register_protocol(df: DataFrame, boundaries: dict[str, str], name: str, day: str = "event_day", contest: str = "contest_id") -> DataFrame:
+    """(protocol, part, contests, rows, first_day, last_day, digest): parts of a frozen evaluation; a part runs up to its boundary day, the last has none.
+
+    The digest is over the part's contests and days, so a later run can tell whether its input is the one that was registered.
+    """
+    part = None
+    for label, until in boundaries.items():
+        condition = F.col(day) < F.lit(until).cast("date") if until else F.lit(True)
+        part = F.when(condition, label) if part is None else part.when(condition, label)
+    rows = df.filter(F.col(day).isNotNull()).withColumn("part", part).filter("part is not null")
+    return rows.groupBy("part").agg(
+        F.count_distinct(contest).alias("contests"),
+        F.count(F.lit(1)).alias("rows"),
+        F.min(day).alias("first_day"),
+        F.max(day).alias("last_day"),
+        F.sha2(F.sum(F.xxhash64(contest, day).cast("decimal(38,0)")).cast("string"), 256).alias("digest"),
+    ).withColumn("protocol", F.lit(name))

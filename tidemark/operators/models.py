@@ -136,3 +136,16 @@ def safe_features(df: DataFrame, suffix: str = "_diff") -> list[str]:
 
     found = [c for c, t in df.dtypes if c.endswith(suffix) and t in ("int", "bigint", "double", "float")]
     return [c for c in found if c not in leaking_features(found)]
+
+
+class FeatureRegistry:
+    """Fixed lists of features by version."""
+
+    def __init__(self, versions: dict[str, Sequence[str]]):
+        self.versions = {k: list(v) for k, v in versions.items()}
+
+    def select(self, df: DataFrame, version: str, keys: Sequence[str] = ()) -> DataFrame:
+        """The keys and the version's features; missing ones raise with their names."""
+        if lacking := [c for c in self.versions[version] if c not in df.columns]:
+            raise ValueError(f"{version} needs {', '.join(lacking)}")
+        return df.select(*keys, *self.versions[version])

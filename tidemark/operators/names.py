@@ -91,3 +91,14 @@ def resolve_tokens(requests: DataFrame, catalog: DataFrame, name: str = "name")
     how = F.when(F.col("n_equal") == 1, "equal").when((F.col("n_equal") == 0) & (F.col("n_all") == 1), "holds").when((F.col("n_equal") == 0) & only_top, "overlap").otherwise("unresolved")
     found = best.select("_q", how.alias("how"), F.when(how == "equal", F.col("equal")).when(how == "holds", F.col("holds")).when(how == "overlap", F.col("top._c")).alias("canonical"))
     return requests.join(found, requests[name] == found["_q"], "left").select(*[requests[x] for x in requests.columns], "canonical", F.coalesce("how", F.lit("unresolved")).alias("how"))
+
+
+def fill_absent(snapshot: DataFrame, fallback: DataFrame, key: str, wanted: list[str], aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """snapshot with the wanted columns that it doesn't have at all, from the fallback; a null in a column it has is a statement and stays.
+
+    A wanted name that the fallback lacks too is taken from the first of its aliases there, else it is null.
+    """
+    lacking = [c for c in wanted if c not in snapshot.columns]
+    source = {c: next((a for a in [c, *(aliases or {}).get(c, [])] if a in fallback.columns), None) for c in lacking}
+    found = fallback.select(key, *[F.col(s).alias(c) if s else F.lit(None).cast("string").alias(c) for c, s in source.items()]).dropDuplicates([key])
+    return snapshot.join(found, key, "left")

@@ -88,3 +88,16 @@ def top_differences(pairs: DataFrame, n: int = 12, key: str = "contest_id") -> D
     some = F.filter(items, lambda x: x["diff"].isNotNull())
     ranked = F.array_sort(some, lambda x, y: F.when(x["size"] > y["size"], -1).when(x["size"] < y["size"], 1).when(x["feature"] < y["feature"], -1).when(x["feature"] > y["feature"], 1).otherwise(0))
     return pairs.select(key, F.posexplode(F.slice(ranked, 1, n)).alias("at", "x")).select(key, "x.feature", "x.diff", (F.col("at") + 1).cast("bigint").alias("place"))
+
+
+def prefixed(df: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
+    """df with every column but the keys renamed to <side>_<column>."""
+    return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{side}_{c}") for c in df.columns])
+
+
+def attach_sides(pairs_df: DataFrame, snapshots: DataFrame, on: Sequence[str] = ("contest_id",), entity: str = "entity_id") -> DataFrame:
+    """Pairs with both sides' snapshots as a_<column> and b_<column>, by two left joins on the keys and the side's entity."""
+    out = pairs_df
+    for side in ("a", "b"):
+        out = out.join(prefixed(snapshots, side, [*on, entity]).withColumnRenamed(entity, f"entity_{side}"), [*on, f"entity_{side}"], "left")
+    return out
