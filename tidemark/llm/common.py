@@ -148,10 +148,14 @@ def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False, gaps: np.
         edges = offsets[offsets > 0] - 1
         ends[edges] = solid[edges]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-    h = mix((total[end] - total[start]) * powers(_BASE_INV, n + 1)[start])
-    return Words(start, end, h, np.searchsorted(start, offsets))
+    return Words(start, end, span_hashes(low, start, end), np.searchsorted(start, offsets))
+
+
+def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
+    total = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(low)), out=total[1:])
+    return mix((total[end] - total[start]) * powers(_BASE_INV, len(low) + 1)[start])
 
 
 def gram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

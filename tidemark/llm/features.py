@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_LETTER, fold, mix, slices, words
+from .common import NO_LETTER, fold, mix, slices, span_hashes, words
 
 BITS = 18
+#: So many first bytes of longer runs of letters are features too: stems that take many endings.
+STEMS = (4, 5)
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -25,7 +27,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 def hashed_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers below 2 ** BITS of each document, end to end, and the offsets; each number once a document.
 
-    Features are the document's distinct lower-cased words and runs of letters, and its shape in steps: the shares of repeated words, of
+    Features are the document's distinct lower-cased words, runs of letters and their stems, and its shape in steps: the shares of repeated words, of
     repeated neighbours, of capitals, of bytes that are no letters, of line ends, the mean word length and the length.
     """
     n_docs = len(offsets) - 1
@@ -36,6 +38,10 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     key = _distinct((owner << BITS) | numbers)
     distinct = np.bincount(key >> BITS, minlength=n_docs)
     key = np.concatenate([key, (runs.doc() << BITS) | (mix(runs.hash) >> np.uint64(64 - BITS)).astype(np.int64)])
+    stems = [np.flatnonzero(runs.end - runs.start > n) for n in STEMS]
+    h = span_hashes(low, np.concatenate([runs.start[i] for i in stems]), np.concatenate([runs.start[i] + n for i, n in zip(stems, STEMS, strict=True)]))
+    stem_owner = runs.doc()[np.concatenate(stems)]
+    key = np.concatenate([key, (stem_owner << BITS) | (mix(h + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64)])
     n_words = np.maximum(w.count, 1)
 
     def per_doc(flags: np.ndarray) -> np.ndarray:
@@ -86,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     if len(found) == 0:
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0)
     at = lists.offsets.to_numpy().astype(np.int64)
-    return lists.values.to_numpy().astype(np.int64)[at[0] : at[-1]], at - at[0], np.array(found.column("label").to_pylist())
+    return lists.values.to_numpy()[at[0] : at[-1]], at - at[0], np.array(found.column("label").to_pylist())
 
 
 def sums(weights: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -26,10 +26,11 @@ def fit_softmax(x: np.ndarray, at: np.ndarray, label: np.ndarray, n_classes: int
     n = len(label)
     if n == 0:
         return weights
-    owner = np.repeat(np.arange(n), np.diff(at))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
     often = np.bincount(x, minlength=1 << BITS)[x] >= min_docs
     used, xi = np.unique(x[often], return_inverse=True)
-    owner = owner[often]
+    owner, xi = owner[often], xi.astype(np.int32)
+    del often
     hot = np.eye(n_classes)[label]
 
     def gradient(p: np.ndarray) -> np.ndarray:

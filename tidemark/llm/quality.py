@@ -32,7 +32,7 @@ class OrdinalModel:
         return _sigmoid(sums(self.weights, x, at)[:, None] - self.thresholds)
 
     @staticmethod
-    def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 120, rate: float = 0.05, shrink: float = 5e-4, min_docs: int = 4) -> OrdinalModel:
+    def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, n_grades: int, rounds: int = 120, rate: float = 0.05, shrink: float = 2e-3, min_docs: int = 8) -> OrdinalModel:
         """Maximum likelihood with an L2 penalty; features of fewer than min_docs documents have no weight. Without rows, or with one grade only, all grades are equally likely or nearly certain."""
         dims, n = 1 << BITS, len(grade)
         if n == 0:
@@ -40,10 +40,11 @@ class OrdinalModel:
         below = np.array([(np.sum(grade < k) + 0.5) / (n + 1) for k in range(1, n_grades)])
         first = np.log(below / (1 - below))
         gaps = np.log(np.maximum(np.diff(first), 1e-2))
-        owner = np.repeat(np.arange(n), np.diff(at))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
         often = np.bincount(x, minlength=dims)[x] >= min_docs
         used, xi = np.unique(x[often], return_inverse=True)
-        owner, k = owner[often], n_grades - 1
+        owner, xi, k = owner[often], xi.astype(np.int32), n_grades - 1
+        del often
 
         def cuts(p: np.ndarray) -> np.ndarray:
             return p[0] + np.concatenate([[0], np.cumsum(np.exp(p[1:k]))])
@@ -70,7 +71,7 @@ class OrdinalModel:
         return OrdinalModel(weights, cuts(p))
 
 
-def quality_scores(df: DataFrame, ratings: DataFrame, n_grades: int, accept: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", least: float = 0.5, sample: int = 12000) -> DataFrame:
+def quality_scores(df: DataFrame, ratings: DataFrame, n_grades: int, accept: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", least: float = 0.5, sample: int = 8000) -> DataFrame:
     """All rows and columns of df with expected_grade, tail_probability (of reaching grade `accept`) and kept (it is `least` at least).
 
     ratings has id_col and grade_col (whole numbers from 0 to n_grades - 1). The model is fitted on about `sample` rated
