@@ -202,3 +202,28 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert tables.publish(df, str(tmp_path), "t").count() == 3
     with pytest.raises(FileExistsError):
         tables.publish(df, str(tmp_path), "t")
+
+
+def months_back(day, n):
+    y, m = divmod(day.year * 12 + day.month - 1 - n, 12)
+    for d in (day.day, 30, 29, 28):
+        try:
+            return dt.date(y, m + 1, d)
+        except ValueError:
+            pass
+
+
+def test_calendar_windows(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), dt.date(2019, 1, 1) + dt.timedelta(days=rng.randrange(900)), i) for i in range(300)] + [(1, None, 300)]
+    df = spark.createDataFrame(rows, "entity_id int, event_day date, contest_id int")
+    for r in history.snapshots(df, [history.Spec("n", "count", F.lit(1), 3)]).collect():
+        low = r.event_day and months_back(r.event_day, 3)
+        assert r.n == (sum(e == r.entity_id and d is not None and low <= d < r.event_day for e, d, _ in rows) if r.event_day else None)
+
+
+@pytest.mark.parametrize(("operator", "most"), [(history.streaks, 1), (history.previous_group, 1), (history.group_experience, 2), (lambda o: history.snapshots(o, history.career_specs()), 1)])
+def test_windows_share_shuffles(spark, operator, most, capsys):
+    obs, _ = make_obs(spark, n=5)
+    operator(obs).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") <= most

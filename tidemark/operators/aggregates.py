@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blankish, finite_non_negative
-from .history import before
+from .history import before, last_before
 
 #: name, numerator, denominator, factor
 METRICS = (("accuracy", "successes", "attempts", 1.0), ("successes_per_minute", "successes", "seconds", 60.0), ("attempts_per_15", "attempts", "seconds", 900.0))
@@ -85,11 +85,10 @@ def method_mix(obs: DataFrame, key: str = "entity_id", day: str = "event_day") -
 
 def after_loss(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
     """obs with after_loss and after_finish_loss: what the last contest of an earlier day was; null without one."""
-    finish = F.upper("method").contains("KO") | F.upper("method").contains("SUB")
-    last = obs.groupBy(key, day).agg(F.max_by(F.struct(F.coalesce(F.col("won") == 0, F.lit(False)).alias("lost"), F.coalesce(finish, F.lit(False)).alias("finish")), tie).alias("_l"))
-    last = last.withColumn("_l", F.lag("_l").over(Window.partitionBy(key).orderBy(day)))
-    flags = last.select(key, day, F.col("_l.lost").cast("int").alias("after_loss"), (F.col("_l.lost") & F.col("_l.finish")).cast("int").alias("after_finish_loss"))
-    return obs.join(flags, [key, day], "left")
+    finish = F.coalesce(F.upper("method").contains("KO") | F.upper("method").contains("SUB"), F.lit(False))
+    last = last_before(F.struct(F.coalesce(F.col("won") == 0, F.lit(False)).alias("lost"), finish.alias("finish")), F.lit(True), key, day, tie)
+    out = obs.withColumn("_l", last)
+    return out.withColumns({"after_loss": F.col("_l.lost").cast("int"), "after_finish_loss": (F.col("_l.lost") & F.col("_l.finish")).cast("int")}).drop("_l")
 
 
 def outcome_counts(obs: DataFrame) -> DataFrame:

@@ -50,18 +50,14 @@ def snapshots(obs: DataFrame, specs: Sequence[Spec], key: str = "entity_id", day
 
 
 def _calendar(obs: DataFrame, specs: Sequence[Spec], key: str, day: str, months: int) -> DataFrame:
-    """Trailing months: sums up to the day less sums up to the month's start, from one running window and a lookup row."""
-    running = {s.name: s for s in specs}
+    """Trailing calendar months, the day itself left out: the frame up to and with the day, less the day's own rows. Both share the entity's shuffle."""
     if any(s.agg not in ("sum", "count") for s in specs):
         raise ValueError("calendar windows take sums and counts")
-    days = obs.select(key, day).distinct().select(key, F.col(day).alias("_of"), F.add_months(day, -months).alias("_at"))
-    totals = obs.groupBy(key, day).agg(*[(F.sum if s.agg == "sum" else F.count)(s.value).alias(n) for n, s in running.items()])
-    marks = totals.select(key, F.col(day).alias("_at"), *running, F.lit(None).cast("date").alias("_of")).unionByName(days.select(key, "_at", *[F.lit(None).alias(n) for n in running], "_of"))
-    frame = Window.partitionBy(key).orderBy(day_number("_at").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, -1)
-    old = marks.withColumns({n: F.coalesce(F.sum(n).over(frame), F.lit(0)) for n in running}).filter("_of is not null").select(key, F.col("_of").alias(day), *[F.col(n).alias(f"_old_{n}") for n in running])
-    now = obs.withColumns({n: s.over(before(key, day)) for n, s in running.items()})
-    joined = now.join(old, [key, day], "left").withColumns({n: F.col(n) - F.col(f"_old_{n}") for n in running})
-    return joined.drop(*[f"_old_{n}" for n in running])
+    held = obs.withColumns({f"_v_{s.name}": s.value for s in specs})
+    frame = f"(PARTITION BY `{key}` ORDER BY `{day}` ASC NULLS LAST RANGE BETWEEN INTERVAL '{months}' MONTH PRECEDING AND CURRENT ROW)"
+    part = lambda s, over: F.coalesce(F.expr(f"{s.agg}(`_v_{s.name}`) OVER {over}"), F.lit(0))
+    one = lambda s: F.when(F.col(day).isNotNull(), part(s, frame) - part(s, f"(PARTITION BY `{key}`, `{day}`)"))
+    return held.withColumns({s.name: one(s) for s in specs}).drop(*[f"_v_{s.name}" for s in specs])
 
 
 def as_of(obs: DataFrame, specs: Sequence[Spec], cutoff: Column, key: str = "entity_id", day: str = "event_day") -> DataFrame:
@@ -129,24 +125,30 @@ def pooled(rows: Column, num: str, den: str) -> Column:
     return F.when(d > 0, add(num) / d)
 
 
+def last_before(value: Column, when: Column, key: str, day: str, tie: str) -> Column:
+    """value of the last row of an earlier day where `when` is true; days first, then the tie-breaker, decide which is last."""
+    return F.max_by(value, F.when(when & F.col(day).isNotNull(), F.struct(day, tie))).over(before(key, day))
+
+
 def streaks(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
     """obs with win_streak and loss_streak before the day. Draws end both; contests without a result leave both as they are.
 
-    Runs are islands between resets; each row reads the run that stood at the end of the last earlier day.
+    Runs are islands between resets; each row reads the run that stood at the end of the last earlier day. All windows
+    share one shuffle by entity. Undated rows get null.
     """
-    by = Window.partitionBy(key).orderBy(day, tie)
-    up_to = by.rowsBetween(Window.unboundedPreceding, 0)
-    counted = obs.filter(f"{day} is not null and result <> 'no_contest'").select(key, day, tie, "won", "result")
-    out = counted
+    up_to = Window.partitionBy(key).orderBy(F.col(day).asc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    counts = F.col("result") != "no_contest"
+    out = obs
     for name, hit in (("win", 1), ("loss", 0)):
-        out = out.withColumn("_g", F.sum(F.when(F.col("won") == hit, 0).otherwise(1)).over(up_to))
-        run = Window.partitionBy(key, "_g").orderBy(day, tie).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_{name}", F.sum(F.when(F.col("won") == hit, 1).otherwise(0)).over(run))
-    ends = out.groupBy(key, day).agg(F.max_by(F.struct("_win", "_loss"), tie).alias("_run"))
-    every = obs.filter(f"{day} is not null").select(key, day).distinct().join(ends, [key, day], "left")
-    known = every.withColumn("_last", F.last("_run", ignorenulls=True).over(Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)))
-    known = known.select(key, day, F.coalesce("_last._win", F.lit(0)).cast("bigint").alias("win_streak"), F.coalesce("_last._loss", F.lit(0)).cast("bigint").alias("loss_streak"))
-    return obs.join(known, [key, day], "left")
+        same = F.coalesce(F.col("won") == hit, F.lit(False))
+        out = out.withColumn(f"_g_{name}", F.sum(F.when(counts & ~same, 1).otherwise(0)).over(up_to))
+        run = Window.partitionBy(key, f"_g_{name}").orderBy(F.col(day).asc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(f"_{name}", F.sum(F.when(counts & same, 1).otherwise(0)).over(run))
+    known = last_before(F.struct("_win", "_loss"), counts, key, day, tie)
+    out = out.withColumn("_last", known)
+    dated = F.col(day).isNotNull()
+    named = {f"{n}_streak": F.when(dated, F.coalesce(F.col("_last")[f"_{n}"], F.lit(0)).cast("bigint")) for n in ("win", "loss")}
+    return out.withColumns(named).drop("_g_win", "_win", "_g_loss", "_loss", "_last")
 
 
 def row_shift(obs: DataFrame, columns: Sequence[str], key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
@@ -155,22 +157,20 @@ def row_shift(obs: DataFrame, columns: Sequence[str], key: str = "entity_id", da
     return obs.withColumns({f"prior_{c}": F.coalesce(F.sum(c).over(frame), F.lit(0.0)) for c in columns})
 
 
-def group_experience(obs: DataFrame, key: str = "entity_id", day: str = "event_day") -> DataFrame:
-    """Earlier contests in the row's group, and in how many groups the entity was seen before."""
-    firsts = obs.groupBy(key, "grp").agg(F.min(day).alias("_first"))
-    gained = firsts.groupBy(key, F.col("_first").alias(day)).agg(F.count(F.lit(1)).alias("_new"))
-    out = obs.withColumn("in_group_contests", F.count(F.lit(1)).over(before([key, "grp"], day))).withColumn("in_group_wins", F.coalesce(F.sum(F.when(F.col("won") == 1, 1).otherwise(0)).over(before([key, "grp"], day)), F.lit(0)))
-    days = obs.select(key, day).distinct().join(gained, [key, day], "left")
-    seen = days.select(key, day, F.coalesce(F.sum("_new").over(before(key, day)), F.lit(0)).alias("groups_seen"))
-    return out.join(seen, [key, day], "left")
+def group_experience(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
+    """Earlier contests in the row's group, and in how many groups the entity was seen before: earlier rows that were the first of their group."""
+    first = F.row_number().over(Window.partitionBy(key, "grp").orderBy(F.col(day).asc_nulls_last(), tie)) == 1
+    out = obs.withColumn("_first", first.cast("int"))
+    out = out.withColumn("groups_seen", F.coalesce(F.sum("_first").over(before(key, day)), F.lit(0))).drop("_first")
+    group = before([key, "grp"], day)
+    return out.withColumn("in_group_contests", F.count(F.lit(1)).over(group)).withColumn("in_group_wins", F.coalesce(F.sum(F.when(F.col("won") == 1, 1).otherwise(0)).over(group), F.lit(0)))
 
 
 def previous_group(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
     """Group of the last earlier contest, and how the row's group compares in alphabetical rank."""
-    last = obs.groupBy(key, day).agg(F.max_by("grp", tie).alias("_g")).withColumn("previous_grp", F.lag("_g").over(Window.partitionBy(key).orderBy(day))).drop("_g")
     now, old = F.col("grp"), F.col("previous_grp")
     movement = F.when(old.isNull(), "debut_or_unknown").when(now == old, "same").when(now > old, "up").otherwise("down")
-    return obs.join(last, [key, day], "left").withColumn("movement", movement)
+    return obs.withColumn("previous_grp", last_before(F.col("grp"), F.lit(True), key, day, tie)).withColumn("movement", movement)
 
 
 def as_of_lookup(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, columns: Sequence[str], strict: bool = True) -> DataFrame:
