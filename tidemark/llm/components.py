@@ -23,10 +23,11 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
             break
         last, k = seen, k + 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written first: with a plain shuffle on both sides of the join, a node with very many links can be split
+        low = stage.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-{k}l")
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stage.write(large, f"{name}-{k}a")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stage.write(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{k}s")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         edges = stage.write(small, f"{name}-{k}b")
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

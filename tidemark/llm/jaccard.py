@@ -133,7 +133,8 @@ class _Join:
         reps = self.stage.write(reps.withColumns({"n_keys": F.size("keys"), "ends": F.element_at("keys", -1)}), "classes")
         self.stage.drop("sets")
         rows = reps.select("cls", F.posexplode("keys").alias("place", "key"))
-        twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key")
+        # written first, as other aggregates below: with plain shuffles on both sides, a join can split a very common key
+        twice = self.stage.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key"), "twice")
         held = self.stage.write(rows.join(twice.hint("merge"), "key"), "held")
         found = held.groupBy("cls").agg(F.count(F.lit(1)).alias("found"))
         facts = reps.select("cls", "size", "n_keys", "ends").join(found.hint("merge"), "cls").select("cls", "size", (F.col("n_keys") - F.col("found")).alias("lost"), "ends")
@@ -256,8 +257,8 @@ class _Join:
         classes = sets.filter("size > 0").groupBy("cls").agg(F.min("id").alias("leader"))
         classes = classes.join(roots, classes.cls == roots.node, "left").select("cls", "leader", F.coalesce("root", "cls").alias("root"))
         classes = self.stage.write(classes, "class-roots")
-        lowest = classes.groupBy("root").agg(F.min("leader").alias("component"))
-        classes = classes.join(lowest, "root").select("cls", "component")
+        lowest = self.stage.write(classes.groupBy("root").agg(F.min("leader").alias("component")), "lowest")
+        classes = self.stage.write(classes.join(lowest, "root").select("cls", "component"), "answers")
         return sets.select("id", "size", "cls").join(classes, "cls", "left").select("id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
