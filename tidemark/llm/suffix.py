@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, Stage, gram_hashes, signed, slices, words
 
 GRAM, WINDOW = 5, 26
+#: Bits for each repeated window in the filter that lets others be left out, and the filter's greatest size.
+COVER_BITS, COVER_BYTES = 48, 64 << 20
 
 
 def minimisers(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = _repeated(suffixes, kind, stage)
     stage.drop("suffixes")
     partner, full = repeated.filter("level = 1"), repeated.filter("level = 2")
-    filters = spark.sparkContext.broadcast((KeyFilter.of(partner, "hash", partner.count()), KeyFilter.of(full, "hash", full.count(), bits_per_key=48)))
+    n_full = full.count()
+    trusted = n_full * COVER_BITS <= COVER_BYTES * 8  # else no window counts as covered: exact too, with more hashes
+    filters = spark.sparkContext.broadcast((KeyFilter.of(partner, "hash", partner.count()), KeyFilter.of(full, "hash", n_full, COVER_BITS, COVER_BYTES)))
     short = least - WINDOW + 1
 
     def hashes(batches: Iterator[pa.RecordBatch], edges=None) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             same = doc[at]
             covered = (before >= 0) & (after < len(anchors))
             i, j = np.maximum(before, 0), np.minimum(after, len(anchors) - 1)
-            covered &= whole[i] & whole[j] & (doc[i] == same) & (doc[j] == same) & (anchors[i] != starts) & (anchors[j] - anchors[i] <= least)
+            covered &= trusted & whole[i] & whole[j] & (doc[i] == same) & (doc[j] == same) & (anchors[i] != starts) & (anchors[j] - anchors[i] <= least)
             if edges is None:  # a kept position where a whole window is repeated is a start itself, whatever minimiser that window has
                 pick = np.union1d(starts[want & ~covered], anchors[whole])
             else:
@@ -186,6 +190,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = stage.write(docs.mapInArrow(lambda batches: hashes(batches, edges), schema), "partners")
     windows = outer.unionByName(inner)
     both = windows.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id <> last_id")
+    both = stage.write(both, "shared")  # so that both sides of the join are shuffled, and a very common window can be split
     hits = windows.join(both.hint("merge"), "hash").select("id", "word", "begin", "end", "first_id").distinct()
     # islands of overlapping or touching windows, document by document
     by = Window.partitionBy("id").orderBy("word", "begin")
