@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, history, ratings
 from .contests import load, observations
-from .queries import _CUTOFF, _STRICT, ID, PAIR_FEATURES, career_pairs, query, r6, with_obs
+from .queries import _CUTOFF, _PAIRS, _STRICT, ID, PAIR_FEATURES, career_pairs, query, r6, with_obs
 
 _OLD = f"old AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_day DESC, contest_id DESC) AS n FROM obs WHERE event_day < DATE '{_CUTOFF}')"
 
@@ -74,7 +74,10 @@ def parity_batch_query(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.parity(batch, history.as_of(obs, history.career_specs(), day), ["entity_id"], ["contests", "wins", "attempts_sum"])
 
 
-@query()
+_METRIC_ROWS = " UNION ALL ".join(f"SELECT contest_id, '{f}' AS metric, 'count' AS unit, {f}_a AS a, {f}_b AS b, {f}_diff AS diff FROM pairs" for f in PAIR_FEATURES)
+
+
+@query(with_obs(f"{_PAIRS} {_METRIC_ROWS}"))
 def metric_table(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.metric_table(career_pairs(spark, d), [(f, "count", [f]) for f in PAIR_FEATURES])
 
