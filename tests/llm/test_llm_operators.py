@@ -552,3 +552,15 @@ def test_lm_scores(spark, empty):
             want.append((str(i), h, len(tokens), sum(c[x] > 0 for x in tokens), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens), 6), round(s, 3)))
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in got) == sorted(want)
     assert ctw.lm_scores(empty).count() == 0
+
+
+def test_lm_scores_have_every_context(spark):
+    """As the query calls it, contexts seen once count, and the result doesn't depend on how many runs go to every task."""
+    rng = random.Random(18)
+    rows = [(i, prose(rng, rng.randrange(1, 30), 200)) for i in range(40)] + [(40, "once Ωnly"), (41, ""), (42, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = dict(zip([i for i, _ in rows], brute_ctw(train, [t or "" for _, t in rows], ctw.DEPTH), strict=True))
+    for few in ({}, {"head_runs": 50, "head_words": 4}, {"head_runs": 0}):
+        got = {r.doc_id: r.score for r in ctw.lm_scores(df, **few).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)

@@ -7,7 +7,9 @@ gives each context a weight for its own estimate against the deeper ones. A cont
 tree: the deepest one seen takes its weight. Every document ends with a zero byte.
 
 Counts cover the whole training corpus: each task counts its runs of DEPTH + 1 bytes, Spark sums them, and the tree
-is built level by level from the sums.
+is built from the sums. Every distinct run of any document is scored once, against the whole tree, in the task that
+builds the part of the tree it belongs to. The scores of the most frequent runs go to every task; those of all others
+meet the documents in a join.
 """
 
 from __future__ import annotations
@@ -113,53 +115,75 @@ def parents(nodes: np.ndarray) -> np.ndarray:
     return ((depth - np.uint64(1)) << np.uint64(56)) | (context << np.uint64(8)) | (nodes & np.uint64(255))
 
 
+def blend(one: np.ndarray, p: np.ndarray, w: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The mixture one level up: NaN stands where no context was seen yet; the deepest one seen takes all the weight."""
+    return np.where(seen, np.where(np.isnan(one), p, w * p + (1 - w) * one), one)
+
+
+#: Rows of nodes have a node, rows of runs a key; ones: the eight mixtures of a run so far, as bytes of doubles.
+PART = "node bigint, n0 bigint, n1 bigint, log_weighted double, key bigint, uses bigint, ones binary"
 NODE = "node bigint, n0 bigint, n1 bigint, weight double, log_weighted double"
 
 
-def _rows(nodes, n0, n1, weight, log_weighted) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([signed(nodes), pa.array(n0), pa.array(n1), pa.array(weight), pa.array(log_weighted)], ["node", "n0", "n1", "weight", "log_weighted"])
+def _node_rows(nodes, n0, n1, log_weighted) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(nodes), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        k = len(nodes[s])
+        yield pa.RecordBatch.from_arrays([signed(nodes[s]), pa.array(n0[s]), pa.array(n1[s]), pa.array(log_weighted[s]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], ["node", "n0", "n1", "log_weighted", "key", "uses", "ones"])
+
+
+def _run_rows(keys, uses, one) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(keys), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        k, width = len(keys[s]), 8 * one.itemsize
+        ones = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((np.arange(k + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(one[s]))])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(3)), pa.nulls(k, pa.float64()), signed(keys[s]), pa.array(uses[s]), ones], ["node", "n0", "n1", "log_weighted", "key", "uses", "ones"])
 
 
-def context_tree(runs: DataFrame, depth: int, stage: Stage) -> DataFrame:
-    """Nodes of the weighted context tree from (key, n) of all runs.
+def run_scores(runs: DataFrame, depth: int, stage: Stage, min_count: int = 1) -> DataFrame:
+    """(key, uses, log10) of each run of (key, n, uses) under the tree that the counts n train; n may be 0.
 
     Contexts with the same last two bytes form whole subtrees from depth 2 down; they meet in one task, sorted, and
-    are done one after another. A subtree is bounded by the alphabet, not by the corpus. Depths 1 and 0 follow by
-    aggregation over at most 256 ** 2 * 255 nodes.
+    are done one after another, with the runs that end there. A subtree is bounded by the alphabet, not by the corpus.
+    Depths 1 and 0 follow by aggregation over at most 256 ** 2 * 255 nodes, and go to every task.
     """
     joint = min(2, depth)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            below = None
+        def whole(keys: np.ndarray, n: np.ndarray, uses: np.ndarray) -> Iterator[pa.RecordBatch]:
+            below, one = None, np.full((len(keys), 8), np.nan)
             for d in range(depth, joint - 1, -1):
                 nodes, bits = node_keys(keys, d)
-                nodes, at = np.unique(nodes.ravel(), return_inverse=True)
+                nodes, at = np.unique(nodes.ravel(), return_inverse=True)  # those of runs without training stay at 0 and add ln 1 above
                 weights = np.repeat(n, 8)
                 n1 = np.bincount(at, weights * bits.ravel().astype(np.int64), len(nodes)).astype(np.int64)
                 n0 = np.bincount(at, weights, len(nodes)).astype(np.int64) - n1
                 if below is not None:
                     below = np.bincount(np.searchsorted(nodes, below[0]), below[1], len(nodes))
                 lw, w = weigh(n0, n1, below)
-                for lo in range(0, len(nodes), 1 << 16):
-                    s = slice(lo, lo + (1 << 16))
-                    yield _rows(nodes[s], n0[s], n1[s], w[s], lw[s])
-                below = (parents(nodes), lw) if d > joint else None
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+                p, at = (n1 + 0.5) / (n0 + n1 + 1), at.reshape(-1, 8)
+                one = blend(one, p[at], w[at], (n0 + n1 >= min_count)[at])
+                if d == joint:
+                    trained = n0 + n1 > 0
+                    yield from _node_rows(nodes[trained], n0[trained], n1[trained], lw[trained])
+                else:
+                    below = (parents(nodes), lw)
+            yield from _run_rows(keys, uses, one)
+
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
-            keys, n = b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()
+            keys, n, uses = b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy(), b.column("uses").to_numpy()
             last = (keys >> np.uint64(8)) & np.uint64((1 << 8 * joint) - 1)
             cut = int(np.searchsorted(last, last[-1])) if len(last) else 0  # the last context may go on in the next batch
-            if held and (len(last) and (held[-1][0][-1] >> np.uint64(8)) & np.uint64((1 << 8 * joint) - 1) != last[0]) and sum(len(k) for k, _ in held) > 1 << 17:
+            if held and (len(last) and (held[-1][0][-1] >> np.uint64(8)) & np.uint64((1 << 8 * joint) - 1) != last[0]) and sum(len(h[0]) for h in held) > 1 << 17:
                 yield from whole(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
-            if cut and sum(len(k) for k, _ in held) + cut > 1 << 17:
-                held.append((keys[:cut], n[:cut]))
+            if cut and sum(len(h[0]) for h in held) + cut > 1 << 17:
+                held.append((keys[:cut], n[:cut], uses[:cut]))
                 yield from whole(*map(np.concatenate, zip(*held, strict=True)))
-                held, keys, n = [], keys[cut:], n[cut:]
+                held, keys, n, uses = [], keys[cut:], n[cut:], uses[cut:]
             if len(keys):
-                held.append((keys, n))
+                held.append((keys, n, uses))
         if held:
             yield from whole(*map(np.concatenate, zip(*held, strict=True)))
 
@@ -167,110 +191,106 @@ def context_tree(runs: DataFrame, depth: int, stage: Stage) -> DataFrame:
         for b in batches:
             n0, n1 = b.column("n0").to_numpy(), b.column("n1").to_numpy()
             lw, w = weigh(n0, n1, b.column("below").to_numpy())
-            yield _rows(b.column("node").to_numpy().view(np.uint64), n0, n1, w, lw)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n0), pa.array(n1), pa.array(w), pa.array(lw)], ["node", "n0", "n1", "weight", "log_weighted"])
 
     last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * joint) - 1))
-    level = stage.write(runs.select("key", "n", last.alias("last")).repartition("last").sortWithinPartitions("last").select("key", "n").mapInArrow(subtrees, NODE), f"level{joint}")
-    out = level
+    parts = stage.write(runs.select("key", "n", "uses", last.alias("last")).repartition("last").sortWithinPartitions("last").select("key", "n", "uses").mapInArrow(subtrees, PART), "parts")
+    level = parts.filter("node is not null").select("node", "n0", "n1", "log_weighted")
+    top = []  # depths above joint: whether seen, estimate and weight by context and bits so far
     for d in range(joint - 1, -1, -1):
         context = F.shiftrightunsigned("node", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
         up = F.lit(d << 56).bitwiseOR(F.shiftleft(context, 8)).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
-        own = level.filter(F.shiftrightunsigned("node", 56) == d + 1)
-        level = stage.write(own.groupBy(up.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_weighted").alias("below")).mapInArrow(close, NODE), f"level{d}")
-        out = out.unionByName(level)
-    return out
+        level = stage.write(level.groupBy(up.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_weighted").alias("below")).mapInArrow(close, NODE), f"level{d}")
+        rows = level.toArrow()  # 256 * 255 nodes at most
+        at = rows.column("node").to_numpy() & ((1 << 8 * d + 8) - 1)
+        n0, n1 = rows.column("n0").to_numpy(), rows.column("n1").to_numpy()
+        seen, p, w = np.zeros(1 << 8 * d + 8, bool), np.zeros(1 << 8 * d + 8), np.zeros(1 << 8 * d + 8)
+        seen[at], p[at], w[at] = n0 + n1 >= min_count, (n1 + 0.5) / (n0 + n1 + 1), rows.column("weight").to_numpy()
+        top.append((d, seen, p, w))
+    frozen = stage.spark.sparkContext.broadcast(top)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("key").to_numpy().view(np.uint64)
+            one = np.frombuffer(b"".join(b.column("ones").to_pylist()), np.float64).reshape(-1, 8)
+            for d, seen, p, w in frozen.value:
+                at = (node_keys(keys, d)[0] & np.uint64((1 << 8 * d + 8) - 1)).astype(np.int64)
+                one = blend(one, p[at], w[at], seen[at])
+            one = np.where(np.isnan(one), 0.5, one)
+            bits = (keys[:, None] >> (np.uint64(7) - np.arange(8, dtype=np.uint64))) & np.uint64(1)
+            value = np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("uses"), pa.array(value)], ["key", "uses", "log10"])
+
+    return stage.write(parts.filter("key is not null").select("key", "uses", "ones").mapInArrow(finish, "key bigint, uses bigint, log10 double"), "run-scores")
 
 
-class Scorer:
-    """log10 probabilities of runs under a frozen tree, held as an open-addressing table of its nodes."""
+class RunTable:
+    """Values of distinct runs, as an open-addressing table."""
 
-    def __init__(self, nodes: np.ndarray, estimate: np.ndarray, weight: np.ndarray, depth: int):
-        self.depth, size = depth, 1 << max(4, int(np.ceil(np.log2(1.34 * len(nodes) + 2))))
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, int(np.ceil(np.log2(1.34 * len(keys) + 2))))
         self.mask = np.uint64(size - 1)
-        self.keys = np.full(size, 2**64 - 1, np.uint64)
-        self.estimate, self.weight = np.zeros(size, np.float32), np.zeros(size, np.float32)
-        left, slot = np.arange(len(nodes)), mix(nodes) & self.mask
+        self.keys, self.values = np.full(size, 2**64 - 1, np.uint64), np.zeros(size)  # depth + 1 < 8 bytes: no run is 2 ** 64 - 1
+        left, slot = np.arange(len(keys)), mix(keys) & self.mask
         while len(left):
             free = self.keys[slot] == 2**64 - 1
-            self.keys[slot[free]] = nodes[left[free]]  # of several that want a slot, the last stays
-            done = self.keys[slot] == nodes[left]
-            self.estimate[slot[done]], self.weight[slot[done]] = estimate[left[done]], weight[left[done]]
+            self.keys[slot[free]] = keys[left[free]]  # of several that want a slot, the last stays
+            done = self.keys[slot] == keys[left]
+            self.values[slot[done]] = values[left[done]]
             left, slot = left[~done], (slot[~done] + np.uint64(1)) & self.mask
-        self.cache_keys, self.cache = np.full(1 << 21, 2**64 - 1, np.uint64), np.zeros(1 << 21)
 
-    def find(self, nodes: np.ndarray) -> np.ndarray:
-        """Slot of each node, -1 where it isn't in the tree."""
-        out = np.full(len(nodes), -1, np.int64)
-        left, slot = np.arange(len(nodes)), mix(nodes) & self.mask
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each run, 0 where it isn't in the table, and whether it is."""
+        out, hit = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        left, slot = np.arange(len(keys)), mix(keys) & self.mask
         while len(left):
             there = self.keys[slot]
-            hit, on = there == nodes[left], there != 2**64 - 1
-            out[left[hit]] = slot[hit]
-            on &= ~hit
+            found, on = there == keys[left], there != 2**64 - 1
+            out[left[found]], hit[left[found]] = self.values[slot[found]], True
+            on &= ~found
             left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
-        return out
-
-    def log10(self, runs: np.ndarray) -> np.ndarray:
-        """Of distinct runs: the mixture from the deepest context seen up to depth 0, over the eight bits."""
-        one, started = np.full((len(runs), 8), 0.5), np.zeros((len(runs), 8), bool)
-        bits = None
-        for d in range(self.depth, -1, -1):
-            nodes, bits = node_keys(runs, d)
-            slot = self.find(nodes.ravel()).reshape(nodes.shape)
-            seen = slot >= 0
-            p, w = self.estimate[slot].astype(np.float64), self.weight[slot].astype(np.float64)
-            w = np.where(started, w, 1.0)
-            one = np.where(seen, w * p + (1 - w) * one, one)
-            started |= seen
-        return np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1)
-
-    def score(self, runs: np.ndarray) -> np.ndarray:
-        slot = (mix(runs) >> np.uint64(43)).astype(np.int64)
-        out, miss = self.cache[slot], self.cache_keys[slot] != runs
-        if miss.any():
-            keys, at = np.unique(runs[miss], return_inverse=True)
-            values = np.concatenate([self.log10(keys[i : i + (1 << 14)]) for i in range(0, len(keys), 1 << 14)])
-            out[miss] = values[at]
-            slot = (mix(keys) >> np.uint64(43)).astype(np.int64)
-            self.cache_keys[slot], self.cache[slot] = keys, values
-            ok = self.cache_keys[slot] == keys
-            self.cache[slot[ok]] = values[ok]
-        return out
-
-
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer_of(name: str, model: tuple, depth: int) -> Scorer:
-    """One scorer in each worker process, kept from task to task with what it has cached."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(*model, depth)
-    return _SCORERS[name]
+        return out, hit
+
+
+_TABLES: dict[str, RunTable] = {}
+
+
+def table_of(name: str, model: tuple) -> RunTable:
+    """One table in each worker process, kept from task to task."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = RunTable(*model)
+    return _TABLES[name]
 
 
 def _counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): word hashes with the end token (0) and runs of bytes (1), counted by task."""
+    """(kind, key, n, uses), counted by task: hashes of words and the end token (kind 0), runs of bytes (1).
+
+    n counts in training documents; uses counts runs in all documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [Tally(), Tally()]
+        tallies = {(0, True): Tally(), (1, True): Tally(), (1, False): Tally(1 << 20)}  # by kind, and whether in training
 
-        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, train: bool, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(keys), 1 << 16):
-                k = keys[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), signed(k), pa.array(n[lo : lo + (1 << 16)].astype(np.int64))], ["kind", "key", "n"])
+                k, c = keys[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), signed(k), pa.array(c if train else 0 * c), pa.array(c)], ["kind", "key", "n", "uses"])
 
         for b, data, offsets in slices(batches, "text", 1 << 21):
             low = fold(data)
             w = words(low, offsets, folded=True)
-            found = (np.concatenate([w.hash, np.full(b.num_rows, END)]), byte_runs(low, offsets, depth)[0])
-            for kind, keys in enumerate(found):
-                for k, n in tallies[kind].add(keys):
-                    yield from rows(kind, k, n)
-        for kind, t in enumerate(tallies):
-            yield from rows(kind, *t.merged())
+            keys, first = byte_runs(low, offsets, depth)
+            train = ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            learned = np.repeat(train, np.diff(np.append(first, len(keys))))
+            found = {(0, True): np.concatenate([w.hash[train[w.doc()]], np.full(int(train.sum()), END)]), (1, True): keys[learned], (1, False): keys[~learned]}
+            for which, keys in found.items():
+                for k, n in tallies[which].add(keys):
+                    yield from rows(*which, k, n)
+        for which, t in tallies.items():
+            yield from rows(*which, *t.merged())
 
-    return docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(run, "kind int, key bigint, n bigint, uses bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
 def _threshold(counts: DataFrame, n: Column, most: int) -> int:
@@ -284,7 +304,7 @@ def _threshold(counts: DataFrame, n: Column, most: int) -> int:
     return 1 << least if least < 63 else 2**62
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = DEPTH, min_count: int = 2, max_nodes: int = 1 << 21, head_words: int = 1 << 18) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = DEPTH, min_count: int = 1, head_words: int = 1 << 18, head_runs: int = 1 << 21) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_length_per_byte.
 
     The models learn from the rows where held_out isn't true (default: crc32(id as text) mod 7 is 2). A null text is
@@ -292,9 +312,9 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     one by one. Without training rows every byte costs eight bits and all words are unknown.
 
     base_score: log10 of the add-one unigram probability of the words and the end token; words are counted by 64-bit
-    hashes. Counts of the most frequent words (head_words at most, by a count threshold) go to every task; those of
-    all others meet the documents in a join. The tree that goes to every task leaves out contexts seen less than
-    min_count times, and less than that power of two which keeps it within max_nodes nodes of 16 bytes.
+    hashes. Counts of the most frequent words and scores of the most frequent runs (head_words and head_runs at most,
+    by a count threshold) go to every task; those of all others meet the documents in a join. The tree has every
+    context seen; a greater min_count leaves out those seen less often.
     """
     spark = df.sparkSession
     stage = Stage(spark, "ctw")
@@ -303,27 +323,28 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
-    counts = stage.write(_counts(docs.filter(~F.col("held_out")), depth), "counts")
-    vocabulary, runs = counts.filter("kind = 0").select("key", "n"), counts.filter("kind = 1").select("key", "n")
+    counts = stage.write(_counts(docs, depth), "counts")
+    vocabulary, runs = counts.filter("kind = 0").select("key", "n"), counts.filter("kind = 1").select("key", "n", "uses")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     head = vocabulary.filter(F.col("n") >= _threshold(vocabulary, F.col("n"), head_words)).toArrow()  # head_words rows at most
     order = np.argsort(hk := head.column("key").to_numpy().view(np.uint64))
     head = hk[order], head.column("n").to_numpy()[order]
 
-    tree = context_tree(runs, depth, stage)
-    n = F.col("n0") + F.col("n1")
-    least = max(min_count, _threshold(tree, n, max_nodes)) if tree.count() > max_nodes else min_count
-    kept = tree.filter(n >= least).select("node", ((F.col("n1") + 0.5) / (n + 1)).cast("float").alias("estimate"), F.col("weight").cast("float"))
-    kept = kept.toArrow()  # max_nodes rows at most
-    frozen = spark.sparkContext.broadcast((kept.column("node").to_numpy().view(np.uint64), kept.column("estimate").to_numpy(), kept.column("weight").to_numpy(), *head))
+    scores = run_scores(runs, depth, stage, min_count)
+    frequent = F.col("uses") >= _threshold(scores, F.col("uses"), head_runs)
+    top = scores.filter(frequent).select("key", "log10").toArrow()  # head_runs rows at most
+    frozen = spark.sparkContext.broadcast((top.column("key").to_numpy().view(np.uint64), top.column("log10").to_numpy(), *head))
     name = stage.root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, (head_keys, head_n) = scorer_of(name, frozen.value[:3], depth), frozen.value[3:]
+        table, (head_keys, head_n) = table_of(name, frozen.value[:2]), frozen.value[2:]
         for b, data, offsets in slices(batches, "text", 1 << 20):
             low = fold(data)
             keys, first = byte_runs(low, offsets, depth)
-            score = np.add.reduceat(scorer.score(keys), first)
+            values, hit = table.find(keys)
+            score = np.add.reduceat(values, first)
+            rare = np.concatenate([[0], np.cumsum(np.add.reduceat((~hit).astype(np.int64), first))]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(rare), signed(keys[~hit]))
             w = words(low, offsets, folded=True)
             owner = np.concatenate([w.doc(), np.arange(b.num_rows)])
             h = np.concatenate([w.hash, np.full(b.num_rows, END)])
@@ -334,13 +355,16 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
             order = np.argsort(owner[~hit], kind="stable")
             rest = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=b.num_rows))]).astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(rest), signed(h[~hit][order]))
-            values = [pa.array((w.count + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array((np.diff(offsets) + 1).astype(np.int64)), tail]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), *values], ["id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail"])
+            values = [pa.array((w.count + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array((np.diff(offsets) + 1).astype(np.int64)), tail, rare]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), *values], ["id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail", "rare"])
 
-    scored = docs.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, tail array<bigint>")
+    scored = docs.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, tail array<bigint>, rare array<bigint>")
     scored = stage.write(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("rid", F.explode("tail").alias("key")).join(vocabulary, "key").groupBy("rid").agg(F.count("n").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_base"))
-    out = scored.drop("tail").join(rest, "rid", "left")
+    # words (kind 0) and runs (1) that no task had at hand
+    open_keys = scored.select("rid", F.lit(0).alias("kind"), F.explode("tail").alias("key")).unionByName(scored.select("rid", F.lit(1).alias("kind"), F.explode("rare").alias("key")))
+    values = vocabulary.select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value")).unionByName(scores.filter(~frequent).select(F.lit(1).alias("kind"), "key", F.col("log10").alias("value")))
+    rest = open_keys.join(values, ["kind", "key"]).groupBy("rid").agg(*[F.sum(F.when(F.col("kind") == k, x)).alias(c) for k, x, c in ((0, F.lit(1), "more"), (0, F.col("value"), "more_base"), (1, F.col("value"), "more_score"))])
+    out = scored.drop("tail", "rare").join(rest, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
