@@ -54,3 +54,27 @@ def test_corrections_replace_by_key(spark, tmp_path):
 def test_deduplication(spark):
     df = spark.createDataFrame([(1, dt.datetime(2020, 1, 1)), (1, dt.datetime(2020, 1, 1))], "event_id int, ts timestamp").withColumn("x", F.lit(1))
     assert twins.distinct_events(df).count() == 1
+
+
+def test_outputs_lie_in_the_shared_folder(spark, tmp_path):
+    data, shared = str(tmp_path / "in"), spark.conf.get("spark.checkpoint.dir")
+    write(spark, data, "a", [(i % 30, 1 + i % 3, i % 24, i % 2, float(i)) for i in range(60)])
+    out = [
+        twins.run_available(twins.distinct_events(twins.stamped(stream(spark, data), delay="100 days")).select("event_id", "user_id"), "shared_dedupe"),
+        twins.run_available(twins.tumbling(twins.stamped(stream(spark, data))), "shared_tumbling", "complete"),
+        twins.run_frozen_history(stream(spark, data), "shared_history"),
+    ]
+    assert [df.count() for df in out] == [30, 3, 60]
+    assert all(df.inputFiles() and all(shared in f for f in df.inputFiles()) for df in out)
+
+
+def test_history_by_batches_keeps_totals_over_restarts(spark, tmp_path):
+    data, path = str(tmp_path / "in"), str(tmp_path / "history")
+    run = lambda: twins.run_available(stream(spark, data), "h", checkpoint=f"{path}/checkpoint", sink=twins.frozen_history_batches(path))
+    write(spark, data, "a", [(1, 1, 5, 7, 2.0), (2, 1, 3, 7, 3.0), (3, 2, 1, 7, 1.0), (8, 1, 1, None, 1.0), (9, 2, 1, None, None)])
+    run()
+    write(spark, data, "b", [(4, 2, 9, 7, 4.0), (5, 1, 9, 7, 9.0), (6, 3, 1, 7, 1.0), (7, 3, 1, 8, 1.0), (10, 3, 1, None, 1.0)])
+    run()
+    got = spark.read.schema(twins.HISTORY).parquet(f"{path}/rows").collect()
+    assert {(r.event_id, r.events_before, r.value_before) for r in got} == {(1, 0, 0.0), (2, 0, 0.0), (3, 2, 5.0), (4, 2, 5.0), (6, 4, 10.0), (7, 0, 0.0), (8, 0, 0.0), (9, 1, 1.0), (10, 2, 1.0)}
+    assert len(got) == 9

@@ -103,7 +103,7 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, event_id, CAST(ts AS DATE) AS day, count(*) OVER w AS events_before, round(coalesce(sum(value) OVER w, 0), 4) AS value_before FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
 def stream_history(spark: SparkSession, d: str) -> DataFrame:
-    out = twins.run_available(twins.day_frozen_history(event_stream(spark, d)), "tidemark_history")
+    out = twins.run_frozen_history(event_stream(spark, d), "tidemark_history")
     return out.withColumn("value_before", F.round("value_before", 4))
 
 

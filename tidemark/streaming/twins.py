@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def stamped(events: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -38,6 +41,7 @@ def day_frozen_history(events: DataFrame, key: str = "user_id", ts: str = "ts")
 
     State of a key: totals up to the last closed day, and the open day's events, in order. A day closes when an event of a later day
     comes. Events of days already closed come too late and are left to the correction path: they give no row here.
+    One key's rows of a micro-batch meet in one task; frozen_history_batches gives the same rows where a key may have very many.
     """
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,13 +64,80 @@ def day_frozen_history(events: DataFrame, key: str = "user_id", ts: str = "ts")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, sink: Callable | None = None) -> DataFrame | None:
-    """Runs a stream over what is there and stops. To a memory table, or through `sink` for each micro-batch."""
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = (writer.foreachBatch(sink) if sink else writer.format("memory").queryName(name)).start()
-    query.awaitTermination()
-    return None if sink else stream.sparkSession.table(name)
+    """Runs a stream over what is there and stops. To a Parquet table in the shared folder, or through `sink` for each micro-batch.
+
+    Rows go from the executors to the table; in complete mode each micro-batch replaces it. The checkpoint lies beside it, unless one is given.
+    """
+    spark = stream.sparkSession
+    root = shared_root(spark, name)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{root}/checkpoint")
+    if sink:
+        writer = writer.foreachBatch(sink)
+    elif mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/table"))
+    else:
+        writer = writer.format("parquet").option("path", f"{root}/table")
+    writer.start().awaitTermination()
+    return None if sink else _table(spark, f"{root}/table", stream.schema)
+
+
+def shared_root(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share. A session without one gets a temporary folder, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A Parquet table; without rows where nothing was written."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+TOTALS = "user_id bigint, n bigint, total double, day date, day_n bigint, day_total double"
+
+
+def frozen_history_batches(path: str, key: str = "user_id", ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that gives the rows of day_frozen_history, without bringing one key's events together.
+
+    Events are summed by key and day first; only these sums meet key by key, and each day's opening totals are joined back to
+    its events. Batch k writes its rows to rows/batch=k and the totals of all keys to totals/vk, so a repeat changes nothing.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        value = F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0))
+        rows = batch.select(F.col(key).alias("user_id"), "event_id", F.col(ts).cast("timestamp").cast("date").alias("day"), value.alias("value")).filter("day is not null")
+        old = _table(spark, f"{path}/totals/v{number - 1}", TOTALS)
+        new = rows.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("day_n"), F.sum("value").alias("day_total")).select("user_id", F.lit(0).alias("n"), F.lit(0.0).alias("total"), "day", "day_n", "day_total")
+        whole = Window.partitionBy("user_id")
+        # the totals known so far lie on the open day; earlier days of this batch come too late
+        days = old.withColumn("open", F.col("day")).unionByName(new.withColumn("open", F.lit(None).cast("date"))).withColumn("open", F.max("open").over(whole)).filter("open is null or day >= open")
+        days = days.groupBy("user_id", "day").agg(*[F.sum(c).alias(c) for c in ("n", "total", "day_n", "day_total")])
+        before, start = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        opening = [(F.sum(base).over(start) + F.coalesce(F.sum(add).over(before), F.lit(0))).alias(base) for base, add in (("n", "day_n"), ("total", "day_total"))]
+        days.select("user_id", *opening, "day", "day_n", "day_total", F.max("day").over(whole).alias("latest")).write.mode("overwrite").parquet(f"{path}/days")
+        days = spark.read.schema(TOTALS + ", latest date").parquet(f"{path}/days")
+        d = days.select(F.col("user_id").alias("k"), F.col("day").alias("opened"), "n", "total")
+        out = rows.join(d.hint("merge"), rows.user_id.eqNullSafe(d.k) & (rows.day == d.opened)).select("user_id", "event_id", "day", F.col("n").alias("events_before"), F.col("total").alias("value_before"))
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        days.filter("day = latest").drop("latest").write.mode("overwrite").parquet(f"{path}/totals/v{number}")
+
+    return step
+
+
+def run_frozen_history(events: DataFrame, name: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Rows of day_frozen_history for all that is there, by micro-batches in the shared folder."""
+    spark = events.sparkSession
+    root = shared_root(spark, name)
+    run_available(events, name, checkpoint=f"{root}/checkpoint", sink=frozen_history_batches(root, key, ts))
+    return _table(spark, f"{root}/rows", HISTORY).drop("batch")
 
 
 def corrections(state_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
