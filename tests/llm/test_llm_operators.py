@@ -220,6 +220,38 @@ def test_repeated_passages(corpus, empty):
     assert repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_keep_each_window_once(spark):
+    """Copies that hold a passage of another document, and chains of overlaps: removal leaves each repeated window somewhere."""
+    rng, least = random.Random(21), 40
+    a, b, c, d = (prose(rng, n, 10**6) for n in (60, 70, 90, 45))
+    docs = {1: f"x {a}", 3: f"{b} {a} {c}", 5: f"{b} {a} {c}", 6: f"{c} {d}", 7: f"{a} {b} y {d}", 2: f"{d} {d} {a}", 9: b, 10: f"{c} {d} {a} {b}"}
+    pool = [prose(rng, 25, 10**6) for _ in range(12)]
+    docs |= {i: " ".join(rng.choice(pool) for _ in range(rng.randrange(2, 9))) for i in range(20, 50)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    split = {i: words(t) for i, t in docs.items()}
+    where = defaultdict(set)
+    for i, w in split.items():
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k : k + least])].add(i)
+    gone, rows = defaultdict(set), repeated_passages(df, least=least).collect()
+    for r in rows:
+        assert len(WORD.findall(docs[r.doc_id].encode()[r.start_byte : r.end_byte].decode())) == r.n_words
+        if r.doc_id != r.first_id:
+            gone[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+    left, want = set(), defaultdict(set)
+    for i, w in split.items():
+        later, first = set(), set()
+        for k in range(len(w) - least + 1):
+            owners, span = where[tuple(w[k : k + least])], set(range(k, k + least))
+            if not span & gone[i]:
+                left.add(tuple(w[k : k + least]))
+            if len(owners) > 1:
+                (first if min(owners) == i else later).update(span)
+        want[i] = later - first
+    assert {i: g for i, g in gone.items() if g} == {i: g for i, g in want.items() if g}
+    assert all(w in left for w, owners in where.items() if len(owners) > 1)
+
+
 # quality
 
 

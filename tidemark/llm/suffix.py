@@ -5,9 +5,8 @@ that equal passages keep the same positions. A passage of `least` words has such
 words, with at least least - WINDOW + 1 words of it to the right (its short context).
 
 The kept suffixes are sorted over all executors and each is compared with its neighbours: it has a partner where its
-short context is a neighbour's, and a repeated passage of full length starts there where the whole context is. Matches are
-then extended to the left and right of the kept positions: every window of `least` words that can hold a match gets a
-hash, and those in two documents are merged into maximal spans.
+short context is a neighbour's. Every window of `least` words at such a position gets a hash. A window in two documents is
+first in the one with the smallest id and later in all others; first and later windows are merged into spans apart.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, Stage, gram_hashes, signed, slices, words
 
 GRAM, WINDOW = 5, 26
-#: Bits for each repeated window in the filter that lets others be left out, and the filter's greatest size.
-COVER_BITS, COVER_BYTES = 48, 64 << 20
 
 
 def minimisers(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +45,7 @@ def minimisers(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def _suffixes(docs: DataFrame, kind: str, least: int) -> DataFrame:
-    """(id, short, full): hashes of the short and the whole context of each kept suffix; full is null at the end of a text."""
+    """(id, short): hash of the short context of each kept suffix."""
     short = least - WINDOW + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,84 +56,73 @@ def _suffixes(docs: DataFrame, kind: str, least: int) -> DataFrame:
             if not len(anchors):
                 continue
             doc = np.searchsorted(w.first, anchors, side="right") - 1
-            s, f = gram_hashes(w.hash, short, seed=1), gram_hashes(w.hash, least, seed=2)
-            inside = anchors + least <= w.first[doc + 1]
-            full = pa.array(f[np.minimum(anchors, len(f) - 1)].view(np.int64), mask=~inside)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), signed(s[anchors]), full], ["id", "short", "full"])
+            s = gram_hashes(w.hash, short, seed=1)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), signed(s[anchors])], ["id", "short"])
 
-    return docs.mapInArrow(run, f"id {kind}, short bigint, full bigint")
+    return docs.mapInArrow(run, f"id {kind}, short bigint")
 
 
 def _repeated(suffixes: DataFrame, kind: str, stage: Stage) -> DataFrame:
-    """(level, hash) of the short (1) and whole (2) contexts that suffixes of two documents have.
+    """(hash) of the short contexts that suffixes of two documents have.
 
     Suffixes are sorted by content over ranges of about equal size, so a very common one spreads over several tasks; each
     is compared with its neighbour. A run of equal contexts that may go on in the next range is settled from the
     first and last runs of all ranges: a few rows for each task.
     """
-    split = suffixes.repartitionByRange(F.col("short"), F.col("full"), F.col("id")).sortWithinPartitions("short", "full", "id")
+    split = suffixes.repartitionByRange(F.col("short"), F.col("id")).sortWithinPartitions("short", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_runs: dict[int, list] = {1: None, 2: None}  # level: [hash, low, high, touches an edge]
+        run: list | None = None  # hash, low, high, touches an edge
 
         def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
             if found:
-                level, h, low, high, edge = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(h, pa.int64()), pa.array(low, ids), pa.array(high, ids), pa.array(edge, pa.bool_())], ["level", "hash", "low", "high", "edge"])
+                h, low, high, edge = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(low, ids), pa.array(high, ids), pa.array(edge, pa.bool_())], ["hash", "low", "high", "edge"])
 
         ids = None
         for b in batches:
             ids = b.schema.field("id").type
-            id_values = b.column("id")
-            order = np.arange(b.num_rows)
-            for level, name in ((1, "short"), (2, "full")):
-                column = b.column(name)
-                valid = np.ones(len(column), bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
-                where = order[valid]
-                if not len(where):
-                    continue
-                h = column.drop_null().to_numpy()
-                # runs of neighbours with the same context; ids ascend within a whole context, not within a short one
-                starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-                values = id_values.take(pa.array(where)).to_numpy(zero_copy_only=False)
-                low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
-                found, run = [], open_runs[level]
-                if run is not None and run[0] == h[0]:
-                    run[1], run[2] = min(run[1], low[0]), max(run[2], high[0])
-                    begin = 1
-                else:
-                    begin = 0
-                    if run is not None and (run[3] or run[1] != run[2]):
-                        found.append((level, *run))
-                if begin < len(starts):
-                    if begin == 1 and (run[3] or run[1] != run[2]):
-                        found.append((level, *run))
-                    inner = np.arange(begin, len(starts) - 1)
-                    inner = inner[(low[inner] != high[inner]) | ((inner == 0) & (run is None))]
-                    found += [(level, int(h[starts[i]]), low[i], high[i], bool(i == 0 and run is None)) for i in inner]
-                    i = len(starts) - 1
-                    open_runs[level] = [int(h[starts[i]]), low[i], high[i], i == 0 and run is None]
-                yield from rows(found)
-        for level, run in open_runs.items():
-            if run is not None:
-                run[3] = True
-                yield from rows([(level, *run)])
-
-    found = stage.write(split.mapInArrow(compare, f"level int, hash bigint, low {kind}, high {kind}, edge boolean"), "runs")
-    return stage.write(found.groupBy("level", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("level", "hash"), "repeated")
+            h = b.column("short").to_numpy()
+            if not len(h):
+                continue
+            # runs of neighbours with the same context
+            starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            values = b.column("id").to_numpy(zero_copy_only=False)
+            low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+            found, begin = [], 0
+            if run is not None and run[0] == h[0]:
+                run[1], run[2] = min(run[1], low[0]), max(run[2], high[0])
+                begin = 1
+            if begin < len(starts):
+                if run is not None and (run[3] or run[1] != run[2]):
+                    found.append(tuple(run))
+                inner = np.arange(begin, len(starts) - 1)
+                inner = inner[(low[inner] != high[inner]) | ((inner == 0) & (run is None))]
+                found += [(int(h[starts[i]]), low[i], high[i], bool(i == 0 and run is None)) for i in inner]
+                i = len(starts) - 1
+                run = [int(h[starts[i]]), low[i], high[i], i == 0 and run is None]
+            yield from rows(found)
+        if run is not None:
+            run[3] = True
+            yield from rows([tuple(run)])
+
+    found = stage.write(split.mapInArrow(compare, f"hash bigint, low {kind}, high {kind}, edge boolean"), "runs")
+    return stage.write(found.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("hash"), "repeated")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
-    """One row per maximal span of a document that consists of windows of `least` words which other documents have too.
-
-    Columns: id, start_byte, end_byte (of the UTF-8 text), start_word, n_words, first_id: the smallest id
-    that has a part of the span. A span whose id is first_id is the occurrence to keep. Words are compared after lower-casing A-Z,
-    by 64-bit hashes. A passage repeated only within one document isn't reported. A null or empty text, and one of
-    fewer than `least` words, has no spans. Ids must be numbers; rows with a null id don't take part; repeated rows count as one document.
-
-    Windows are hashed only next to kept suffixes with a partner. Between two positions where repeated windows start, no
-    hash is needed: they cover what lies between; only those that may be a partner of another document's window follow. Key filters of bounded size carry this to the texts: their false hits
-    cost a few hashes more, or, once in ten million, shorten a span by less than WINDOW words.
+    """One row per span of a document that consists of windows of `least` words which other documents have too.
+
+    Columns: id, start_byte, end_byte (of the UTF-8 text), start_word, n_words, first_id. A window is kept in the document
+    with the smallest id that has it. Spans whose first_id is their id are maximal spans of windows kept here. The
+    others are what is left of maximal spans of windows kept elsewhere, without the words of those kept here; they may be
+    shorter than `least`, and begin or end with the space next to a kept word; first_id is the smallest id that keeps a part
+    of them. Removing them leaves every repeated window whole in the document that keeps it. Words are compared after
+    lower-casing A-Z, by 64-bit hashes. A passage repeated only within one document isn't reported. A null or empty text, and
+    one of fewer than `least` words, has no spans. Ids must be numbers; rows with a null id don't take part; repeated rows
+    count as one document.
+
+    Windows are hashed only at kept suffixes with a partner, by a key filter of bounded size: its false hits cost a few hashes more.
     """
     spark = df.sparkSession
     if least < WINDOW + GRAM:
@@ -147,14 +133,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     suffixes = stage.write(_suffixes(docs, kind, least), "suffixes")
     repeated = _repeated(suffixes, kind, stage)
     stage.drop("suffixes")
-    partner, full = repeated.filter("level = 1"), repeated.filter("level = 2")
-    n_full = full.count()
-    trusted = n_full * COVER_BITS <= COVER_BYTES * 8  # else no window counts as covered: exact too, with more hashes
-    filters = spark.sparkContext.broadcast((KeyFilter.of(partner, "hash", partner.count()), KeyFilter.of(full, "hash", n_full, COVER_BITS, COVER_BYTES)))
+    partner = spark.sparkContext.broadcast(KeyFilter.of(repeated, "hash", repeated.count()))
     short = least - WINDOW + 1
 
-    def hashes(batches: Iterator[pa.RecordBatch], edges=None) -> Iterator[pa.RecordBatch]:
-        has_partner, has_full = filters.value
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(batches, "text", 1 << 21):
             w = words(data, offsets)
             starts, owner = minimisers(w.hash, w.first, least)
@@ -162,22 +144,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 continue
             anchors, at = np.unique(owner, return_inverse=True)
             s, f = gram_hashes(w.hash, short, seed=1), gram_hashes(w.hash, least, seed=2)
-            live = has_partner.hits(s[anchors])
-            doc = np.searchsorted(w.first, anchors, side="right") - 1
-            whole = (anchors + least <= w.first[doc + 1]) & live
-            whole[whole] = has_full.hits(f[anchors[whole]])
-            want = live[at]
-            before = np.searchsorted(anchors, starts, side="right") - 1  # last kept position at or left of the window
-            after = before + 1
-            same = doc[at]
-            covered = (before >= 0) & (after < len(anchors))
-            i, j = np.maximum(before, 0), np.minimum(after, len(anchors) - 1)
-            covered &= trusted & whole[i] & whole[j] & (doc[i] == same) & (doc[j] == same) & (anchors[i] != starts) & (anchors[j] - anchors[i] <= least)
-            if edges is None:  # a kept position where a whole window is repeated is a start itself, whatever minimiser that window has
-                pick = np.union1d(starts[want & ~covered], anchors[whole])
-            else:
-                pick = starts[want & covered]
-                pick = pick[edges.value.hits(f[pick])]
+            pick = starts[partner.value.hits(s[anchors])[at]]
             if not len(pick):
                 continue
             doc = np.searchsorted(w.first, pick, side="right") - 1
@@ -185,15 +152,24 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), signed(f[pick]), pa.array(pick - w.first[doc]), pa.array(begin), pa.array(end)], ["id", "hash", "word", "begin", "end"])
 
     schema = f"id {kind}, hash bigint, word bigint, begin bigint, end bigint"
-    outer = stage.write(docs.mapInArrow(hashes, schema), "windows")
-    edges = spark.sparkContext.broadcast(KeyFilter.of(outer, "hash", outer.count()))
-    inner = stage.write(docs.mapInArrow(lambda batches: hashes(batches, edges), schema), "partners")
-    windows = outer.unionByName(inner)
+    windows = stage.write(docs.mapInArrow(hashes, schema), "windows")
     both = windows.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id <> last_id")
     both = stage.write(both, "shared")  # so that both sides of the join are shuffled, and a very common window can be split
-    hits = windows.join(both.hint("merge"), "hash").select("id", "word", "begin", "end", "first_id").distinct()
-    # islands of overlapping or touching windows, document by document
-    by = Window.partitionBy("id").orderBy("word", "begin")
+    hits = windows.join(both.hint("merge"), "hash").select("id", "word", "begin", "end", "first_id", (F.col("first_id") == F.col("id")).alias("kept"))
+    # islands of overlapping or touching windows, document by document, those kept here and those kept elsewhere apart
+    by = Window.partitionBy("id", "kept").orderBy("word", "begin")
     cut = hits.withColumn("gap", F.when(F.col("word") <= F.lag("word").over(by) + least, 0).otherwise(1)).withColumn("island", F.sum("gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = cut.groupBy("id", "island").agg(F.min("begin").alias("start_byte"), F.max("end").alias("end_byte"), F.min("word").alias("start_word"), (F.max("word") + least - F.min("word")).alias("n_words"), F.min("first_id").alias("first_id"))
-    return stage.write(spans.drop("island"), "spans").withColumnRenamed("id", id_col)
+    islands = cut.groupBy("id", "kept", "island").agg(F.min("begin").alias("start_byte"), F.max("end").alias("end_byte"), F.min("word").alias("start_word"), (F.max("word") + least).alias("end_word"), F.min("first_id").alias("first_id"))
+    islands = stage.write(islands.drop("island"), "islands")
+    stage.drop("windows")
+    # the edges of both kinds in order: what lies in an island of windows kept elsewhere and in none of those kept here
+    ends = F.explode(F.array(F.struct(F.col("start_word").alias("word"), F.col("start_byte").alias("byte"), F.lit(1).alias("step")), F.struct(F.col("end_word").alias("word"), F.col("end_byte").alias("byte"), F.lit(-1).alias("step"))))
+    edges = islands.select("id", "kept", "first_id", ends.alias("e"))
+    opens = F.when(~F.col("kept") & (F.col("e.step") == 1), F.col("first_id"))
+    edges = edges.groupBy("id", F.col("e.word").alias("word")).agg(F.sum(F.when(F.col("kept"), F.col("e.step")).otherwise(0)).alias("here"), F.sum(F.when(F.col("kept"), 0).otherwise(F.col("e.step"))).alias("elsewhere"), F.min("e.byte").alias("low"), F.max("e.byte").alias("high"), F.max(opens).alias("first_id"))
+    on = Window.partitionBy("id").orderBy("word")
+    so_far = on.rowsBetween(Window.unboundedPreceding, 0)
+    parts = edges.select("id", "word", "high", F.sum("here").over(so_far).alias("here"), F.sum("elsewhere").over(so_far).alias("elsewhere"), F.lead("word").over(on).alias("next"), F.lead("low").over(on).alias("next_low"), F.last("first_id", True).over(so_far).alias("first_id"))
+    later = parts.filter("here = 0 and elsewhere > 0").select("id", F.col("high").alias("start_byte"), F.col("next_low").alias("end_byte"), F.col("word").alias("start_word"), (F.col("next") - F.col("word")).alias("n_words"), "first_id")
+    kept = islands.filter("kept").select("id", "start_byte", "end_byte", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_id")
+    return stage.write(kept.unionByName(later), "spans").withColumnRenamed("id", id_col)
