@@ -4,8 +4,8 @@ A fixed public vocabulary gives the pieces. Each language has its own probabilit
 a word is the sum over all ways to cut it into pieces, by the forward algorithm, and the probabilities are fitted by
 expectation maximisation over the same sums. Any single byte is a piece, so every text can be cut.
 
-Words are lower-cased (A-Z) with a blank in front. What is longer than STRETCH bytes is cut by stretches of that length,
-each of which is marginalised on its own.
+Words are lower-cased (A-Z) with a blank in front. The sums go over whole words, however long, with all pieces of the
+vocabulary; they are rescaled on the way, so that no word's probability vanishes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Stage, fold, joined_chunks, mix, powers, slices, summed_chunks, vector_rows, words
 
-LONGEST, STRETCH = 12, 48
+#: Words up to LONG bytes go many at a time; longer ones go one by one. Pieces over SHORT bytes are few and looked up apart.
+LONG, SHORT = 48, 12
 _BASE = 0xB5297A4D3F84D5B5 | 1
 _SCALE = 16.0  # keeps products of probabilities in range: one factor for each byte
 _LETTER = regex.compile(r"\p{L}")
@@ -35,9 +36,7 @@ def public_pieces() -> list[bytes]:
     found = {bytes([b]) for b in range(256)}
     for i in range(m.get_piece_size()):
         if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)):
-            piece = m.id_to_piece(i).replace("▁", " ").encode().lower()
-            if len(piece) <= LONGEST:
-                found.add(piece)
+            found.add(m.id_to_piece(i).replace("▁", " ").encode().lower())
     return sorted(found)
 
 
@@ -62,6 +61,9 @@ class Lattice:
         late = order[~first]
         by = np.argsort(h[late])
         self.late_hash, self.late = h[late][by], late[by]
+        #: Lengths over SHORT, and the hashes of the first SHORT bytes of the pieces that have them.
+        self.long_sizes = sorted({len(p) for p in pieces if len(p) > SHORT})
+        self.long_heads = np.unique(np.array([self._of(p[:SHORT]) for p in pieces if len(p) > SHORT], np.uint64))
 
     @staticmethod
     def _of(p: bytes) -> int:
@@ -83,72 +85,139 @@ class Lattice:
         total = np.zeros((n + 1, k), np.uint64)
         np.cumsum((letters.T.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[:, None], axis=0, out=total[1:])
         back = powers(pow(_BASE, -1, 1 << 64), n)
-        out = []
-        for end in range(1, n + 1):
-            row = []
-            for start in range(max(0, end - LONGEST), end):
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
+        for start in range(n):
+            for end in range(start + 1, min(n, start + SHORT) + 1):
                 ids = self.find((total[end] - total[start]) * back[start])
                 if (ids >= 0).any():
-                    row.append((start, ids))
-            out.append(row)
+                    out[end - 1].append((start, ids))
+            if start + SHORT < n and len(self.long_heads):
+                rows = np.flatnonzero(self._is_head((total[start + SHORT] - total[start]) * back[start]))
+                for size in self.long_sizes if len(rows) else ():
+                    if start + size <= n:
+                        found = self.find((total[start + size, rows] - total[start, rows]) * back[start])
+                        if (found >= 0).any():
+                            ids = np.full(k, -1, np.int64)
+                            ids[rows] = found
+                            out[start + size - 1].append((start, ids))
         return out
 
+    def _is_head(self, h: np.ndarray) -> np.ndarray:
+        return self.long_heads[np.minimum(np.searchsorted(self.long_heads, h), len(self.long_heads) - 1)] == h
 
-def stretches(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, from, to, first?) of the stretches of words."""
-    size = end - start
-    parts = np.maximum(1, -(-size // STRETCH))
-    word = np.repeat(np.arange(len(start)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    lo = start[word] + nth * STRETCH
-    return word, lo, np.minimum(lo + STRETCH, end[word]), nth == 0
-
-
-def _grouped(low: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, letters) by length; a word's first stretch has a blank in front."""
-    size = hi - lo + first
+    def arcs(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces in one word, by end; one look-up for each length, over all starts."""
+        n = len(letters)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
+        back = powers(pow(_BASE, -1, 1 << 64), n)
+        starts, ends, pieces = [], [], []
+        for size in [*range(1, SHORT + 1), *self.long_sizes]:
+            if size > n:
+                break
+            ids = self.find((total[size:] - total[:-size]) * back[: n - size + 1])
+            at = np.flatnonzero(ids >= 0)
+            starts.append(at)
+            ends.append(at + size)
+            pieces.append(ids[at])
+        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
+
+
+def _grouped(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, letters) of the words up to LONG bytes by length, a blank in front; then of each longer word."""
+    size = end - start + 1
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
-        for part in np.array_split(rows, -(-len(rows) // 16384)):
-            at = lo[part][:, None] - first[part][:, None] + np.arange(n)
+        for part in np.array_split(rows, -(-len(rows) // 16384)) if n <= LONG + 1 else rows[:, None]:
+            at = start[part][:, None] - 1 + np.arange(n)
             letters = low[np.clip(at, 0, len(low) - 1)]
-            letters[first[part], 0] = 32
+            letters[:, 0] = 32
             yield part, letters
 
 
+#: Sums are brought back to 1 each time so many bytes are done: few enough that they stay within a double's range.
+_EVERY = 4
+
+
+def _forward(table: list[list[tuple[int, np.ndarray]]], weight: Callable[[np.ndarray], np.ndarray], shape: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations up to each byte (bytes + 1 x shape), each stretch of them divided by exp(its log scale)."""
+    n = len(table)
+    alpha, log_scale = np.zeros((n + 1, *shape)), np.zeros((n + 1, *shape))
+    alpha[0] = 1
+    reach = max((e + 1 - s for e, found in enumerate(table) for s, _ in found), default=1)
+    scale = np.zeros(shape)
+    for e, found in enumerate(table, 1):
+        for s, ids in found:
+            alpha[e] += alpha[s] * weight(ids)
+        log_scale[e] = scale
+        if e % _EVERY == 0 and e < n:
+            lo = max(0, e - reach + 1)
+            top = alpha[lo : e + 1].max(axis=0)
+            top[top == 0] = 1
+            alpha[lo : e + 1] /= top
+            scale = scale + np.log(top)
+            log_scale[lo : e + 1] = scale
+    return alpha, log_scale
+
+
 def log_words(lattice: Lattice, scaled: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Natural log probability of each word in each language: the forward algorithm."""
     out = np.zeros((len(start), scaled.shape[1]))
-    word, lo, hi, first = stretches(low, start, end)
-    for rows, letters in _grouped(low, lo, hi, first):
+    for rows, letters in _grouped(low, start, end):
         n = letters.shape[1]
-        alpha = np.zeros((n + 1, len(rows), scaled.shape[1]))
-        alpha[0] = 1
-        for e, found in enumerate(lattice.ids(letters), 1):
-            for s, ids in found:
-                alpha[e] += alpha[s] * scaled[ids]  # the last row of scaled is zero, for no piece
-        np.add.at(out, word[rows], np.log(alpha[n]) - n * np.log(_SCALE))
+        if n <= LONG + 1:
+            alpha, log_scale = _forward(lattice.ids(letters), lambda ids: scaled[ids], (len(rows), scaled.shape[1]))  # the last row of scaled is zero, for no piece
+            last, scale = alpha[n], log_scale[n]
+        else:
+            last, scale = _long_forward(lattice.arcs(letters[0]), scaled, n)
+        out[rows] = np.log(last) + scale - n * np.log(_SCALE)
     return out
 
 
+def _long_forward(arcs: tuple[np.ndarray, np.ndarray, np.ndarray], scaled: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forward sum of one long word: its last value and log scale. Only the sums that pieces can still reach are held."""
+    start, end, piece = arcs
+    reach = int((end - start).max(initial=1)) + 1
+    ring, scale = np.zeros((reach, scaled.shape[1])), np.zeros(scaled.shape[1])
+    ring[0] = 1
+    first = np.searchsorted(end, np.arange(n + 2)).tolist()
+    starts = (start % reach).tolist()
+    for e in range(1, n + 1):
+        lo, hi = first[e], first[e + 1]
+        ring[e % reach] = (ring[starts[lo:hi]] * scaled[piece[lo:hi]]).sum(axis=0)
+        if e % _EVERY == 0:
+            top = ring.max(axis=0)
+            top[top == 0] = 1
+            ring /= top
+            scale = scale + np.log(top)
+    return ring[n % reach], scale
+
+
 def expected_counts(lattice: Lattice, scaled: np.ndarray, low, start, end, n_times: np.ndarray, lang: np.ndarray, n_langs: int) -> np.ndarray:
     """Expected piece counts by language: forward and backward sums over all segmentations."""
     out = np.zeros((n_langs, lattice.n + 1))
-    word, lo, hi, first = stretches(low, start, end)
-    for rows, letters in _grouped(low, lo, hi, first):
-        n, of = letters.shape[1], lang[word[rows]]
-        table = lattice.ids(letters)
-        alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
-        alpha[0], beta[n] = 1, 1
+    for rows, letters in _grouped(low, start, end):
+        n, of = letters.shape[1], lang[rows]
+        if n <= LONG + 1:
+            table = lattice.ids(letters)
+        else:
+            table = [[] for _ in range(n)]
+            for s, e, i in zip(*lattice.arcs(letters[0]), strict=True):
+                table[e - 1].append((int(s), np.array([i])))
+        alpha, log_alpha = _forward(table, lambda ids, of=of: scaled[ids, of], (len(rows),))
+        # backwards on the reversed word, with the same sums
+        back: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
         for e, found in enumerate(table, 1):
             for s, ids in found:
-                alpha[e] += alpha[s] * scaled[ids, of]
-        for e in range(n, 0, -1):
-            for s, ids in table[e - 1]:
-                beta[s] += beta[e] * scaled[ids, of]
-        share = n_times[word[rows]] / alpha[n]
+                back[n - s - 1].append((n - e, ids))
+        beta, log_beta = _forward(back, lambda ids, of=of: scaled[ids, of], (len(rows),))
+        beta, log_beta = beta[::-1], log_beta[::-1]
+        total = np.log(alpha[n]) + log_alpha[n]
         for e, found in enumerate(table, 1):
             for s, ids in found:
+                share = np.exp(log_alpha[s] + log_beta[e] - total) * n_times[rows]
                 np.add.at(out, (of, ids), alpha[s] * scaled[ids, of] * beta[e] * share)
     return out[:, :-1]
 
@@ -263,7 +332,7 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 np.cumsum(values, axis=0, out=total[1:])
                 log = total[w.first[1:]] - total[w.first[:-1]] + prior
                 best = log.argmax(axis=1)
-                score = 1 / np.exp(np.clip(log - log.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)
+                score = 1 / np.exp(np.clip(log - log.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)  # finite: every byte is a piece in every language
             known = has & bool(langs)
             names = [langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0))], ["id", "held_out", "lang_pred", "score"])
