@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import slices
 
 SAMPLE_RATE = 8000
 
@@ -38,16 +39,56 @@ MAGIC = {
 }
 RIFF_TYPES = {b"WAVE": "audio/wav", b"AVI ": "video/avi", b"WEBP": "image/webp"}
 
+KNOWN = {*MAGIC.values(), *RIFF_TYPES.values()} - {"riff"}
+
+
+#: What stands at the end of objects whose length only their end tells.
+MARKS = (b"PK\x05\x06", b"%%EOF", b"startxref")
+
 
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for magic, kind in MAGIC.items():
         a.add_word(magic.decode("latin-1"), (kind, len(magic)))
+    for mark in MARKS:
+        a.add_word(mark.decode("latin-1"), (mark, len(mark)))
     a.make_automaton()
     return a
 
 
-def _png(d: bytes, at: int) -> tuple[str, int] | None:
+class Places:
+    """Where magic bytes and end marks stand in a payload: found once, so that no validator searches the payload again."""
+
+    def __init__(self, data: bytes, a: ahocorasick.Automaton):
+        self.starts: list[tuple[str, int, int]] = []  # kind, place, length of the magic
+        self.at: dict[bytes, list[int]] = {m: [] for m in (*MARKS, b"%PDF-")}
+        for last, (kind, n) in a.iter(data.decode("latin-1")):
+            if kind in self.at:
+                self.at[kind].append(last - n + 1)
+                continue
+            self.starts.append((kind, last - n + 1, n))
+            if kind == "application/pdf":
+                self.at[b"%PDF-"].append(last - n + 1)
+        #: Archives by their first byte: each end record says how far before it the archive begins; the first record counts.
+        self.archives: dict[int, int] = {}
+        for p in self.at[b"PK\x05\x06"]:
+            if p + 22 <= len(data):
+                size, start, note = struct.unpack_from("<IIH", data, p + 12)
+                first = p - size - start
+                if first >= 0 and data[first + start : first + start + 4] == b"PK\x01\x02" and p + 22 + note <= len(data):
+                    self.archives.setdefault(first, p + 22 + note)
+
+    def next(self, mark: bytes, at: int) -> int | None:
+        """The first place of a mark from `at` on."""
+        i = bisect_left(self.at[mark], at)
+        return self.at[mark][i] if i < len(self.at[mark]) else None
+
+    def last_before(self, mark: bytes, end: int | None) -> int:
+        """The last place of a mark before `end`; there must be one."""
+        return self.at[mark][(bisect_left(self.at[mark], end) if end is not None else len(self.at[mark])) - 1]
+
+
+def _png(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, p)
@@ -61,7 +102,7 @@ def _png(d: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(d: bytes, at: int) -> tuple[str, int] | None:
+def _gif(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 13 > len(d):
         return None
     flags, p = d[at + 10], at + 13
@@ -87,7 +128,7 @@ def _gif(d: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p, frame = at + 2, False
     while p + 4 <= len(d) and d[p] == 0xFF:
         marker, n = d[p + 1], struct.unpack_from(">H", d, p + 2)[0]
@@ -107,7 +148,7 @@ def _jpeg(d: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _bmp(d: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 30 > len(d):
         return None
     size, zero, pixels, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", d, at + 2)
@@ -117,7 +158,7 @@ def _bmp(d: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if size <= len(d) - at and size >= pixels + (rows if struct.unpack_from("<I", d, at + 30)[0] == 0 else 1) else None
 
 
-def _riff(d: bytes, at: int) -> tuple[str, int] | None:
+def _riff(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 12 > len(d):
         return None
     size, form = struct.unpack_from("<I4s", d, at + 4)
@@ -133,7 +174,7 @@ def _riff(d: bytes, at: int) -> tuple[str, int] | None:
     return RIFF_TYPES[form], end - at
 
 
-def _ogg(d: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p, last = at, False
     while d[p : p + 4] == b"OggS" and p + 27 <= len(d) and d[p + 4] == 0:
         table = d[p + 27 : p + 27 + d[p + 26]]
@@ -144,7 +185,7 @@ def _ogg(d: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/ogg", p - at) if last else None
 
 
-def _midi(d: bytes, at: int) -> tuple[str, int] | None:
+def _midi(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 14 > len(d):
         return None
     n, _, tracks, _ = struct.unpack_from(">IHHH", d, at + 4)
@@ -156,16 +197,14 @@ def _midi(d: bytes, at: int) -> tuple[str, int] | None:
     return ("audio/midi", p - at) if n == 6 and tracks and p <= len(d) else None
 
 
-def _pdf(d: bytes, at: int) -> tuple[str, int] | None:
-    end = d.find(b"%%EOF", at)
-    if end < 0 or d.find(b"startxref", at, end) < 0:
+def _pdf(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    end, ref = places.next(b"%%EOF", at), places.next(b"startxref", at)
+    if end is None or ref is None or ref + 9 > end:
         return None
-    while (more := d.find(b"%%EOF", end + 5)) >= 0 and d.find(b"%PDF-", end, more) < 0:
-        end = more
-    return "application/pdf", end + 5 - at
+    return "application/pdf", places.last_before(b"%%EOF", places.next(b"%PDF-", end)) + 5 - at
 
 
-def _gzip(d: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     z, p = zlib.decompressobj(31), at
     try:
         while p < len(d) and not z.eof:
@@ -177,15 +216,9 @@ def _gzip(d: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", p - len(z.unused_data) - at) if z.eof else None
 
 
-def _zip(d: bytes, at: int) -> tuple[str, int] | None:
-    p = at
-    while (p := d.find(b"PK\x05\x06", p)) >= 0:
-        if p + 22 <= len(d):
-            size, start, note = struct.unpack_from("<IIH", d, p + 12)
-            if at + start + size == p and d[at + start : at + start + 4] == b"PK\x01\x02" and p + 22 + note <= len(d):
-                return "application/zip", p + 22 + note - at
-        p += 4
-    return None
+def _zip(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    end = places.archives.get(at)
+    return ("application/zip", end - at) if end is not None else None
 
 
 VALIDATORS = {
@@ -205,14 +238,24 @@ VALIDATORS = {
 def sniff(data: bytes, a: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the valid objects in data, in order. One that starts at 0 may hold others."""
     found, reach = [], 0
-    for last, (kind, n) in a.iter(data.decode("latin-1")):
-        at = last - n + 1
-        if at >= reach and (hit := VALIDATORS[kind](data, at)):
+    places = Places(data, a)
+    for kind, at, n in places.starts:
+        if at >= reach and (hit := VALIDATORS[kind](data, at, places)):
             found.append((hit[0], at, hit[1]))
             reach = at + (n if at == 0 else hit[1])
     return found
 
 
+def judged(data: bytes | None, said: str | None, a: ahocorasick.Automaton) -> tuple[str | None, list[tuple[str, int, int]]]:
+    """The detected type of a payload that is declared as `said`, and the objects to carve out of it."""
+    if data is None:
+        return None, []
+    found = sniff(data, a)
+    if found and found[0][1] == 0:
+        return found[0][0], found[1:]
+    return said if data and said and said not in KNOWN else "application/octet-stream", found
+
+
 def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
     """Adds detected_type, type_corrected and embedded (type, offset, length of what is carved out) to df.
 
@@ -225,7 +268,6 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
     df = df.select(*names)
     fields = [f"`{n}` {t}" for n, t in df.dtypes]
     schema = ", ".join([*fields, "detected_type string, type_corrected boolean, embedded array<struct<type:string,offset:bigint,length:bigint>>"])
-    known = {*MAGIC.values(), *RIFF_TYPES.values()} - {"riff"}
     item = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,16 +275,8 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
         for b in batches:
             kinds, changed, inner = [], [], []
             media, declared = b.column(names.index(media_col)), b.column(names.index(declared_col)).to_pylist()
-            for i in range(b.num_rows):
-                value = media[i].as_py()
-                found = sniff(value, a) if value is not None else []
-                said = declared[i]
-                if value is None:
-                    kind = None
-                elif found and found[0][1] == 0:
-                    kind, found = found[0][0], found[1:]
-                else:
-                    kind = said if value and said and said not in known else "application/octet-stream"
+            for value, said in zip(media, declared, strict=True):
+                kind, found = judged(value.as_py(), said, a)
                 kinds.append(kind)
                 changed.append(kind != said if kind is not None else None)
                 inner.append([{"type": t, "offset": o, "length": n} for t, o, n in found])
@@ -267,47 +301,89 @@ def wav_payload(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
+#: Spark and Arrow hold at most so many bytes in one value.
+MOST_BYTES = (1 << 31) - 1
+
+
+def stored(raw: bytes) -> bytes | None:
+    """A text's UTF-8 bytes, zero-padded to a positive multiple of 64, as WAV samples; None if that is more than a value can hold."""
+    size = max(64, -(-len(raw) // 64) * 64)
+    return wav(raw + bytes(size - len(raw))) if size + 44 <= MOST_BYTES else None
+
+
 def text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media, declared_type): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as WAV samples.
 
-    A null text is empty. A text of 4 GB or more doesn't fit a WAV file and raises struct.error. The declared type is wrong on purpose: the sniffer has to correct it.
+    A null text is empty. A text so long that its samples and header are over 2 GB, the most that a value can have, gets null media.
+    The declared type is wrong on purpose: the sniffer has to correct it. Repeated rows give repeated rows.
     """
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_buffers(b.column("text"))
-            raw, sizes = data.tobytes(), np.diff(offsets)
-            media = [wav(raw[offsets[i] : offsets[i + 1]] + bytes(-int(n) % 64 or 64 * (n == 0))) for i, n in enumerate(sizes)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes.astype(np.int64)), pa.array(media, pa.binary()), pa.array(["image/png"] * b.num_rows)], ["id", "n_bytes", "media", "declared_type"])
+        for b, data, offsets in slices(batches, "text"):
+            raw = data.tobytes()
+            media = [stored(raw[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(media, pa.binary()), pa.array(["image/png"] * b.num_rows)], ["id", "n_bytes", "media", "declared_type"])
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary, declared_type string")
     return out.withColumnRenamed("id", id_col)
 
 
+def described(media: bytes | None) -> tuple:
+    """(payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored samples, read back from the file's chunks."""
+    if media is None:
+        return (None,) * 6
+    payload = wav_payload(media)
+    x = np.frombuffer(payload, np.uint8)
+    hist = np.bincount(x, minlength=256)
+    mean = int(hist @ np.arange(256)) / max(1, len(x))
+    loud = x >= 97
+    feature = f"wav8;rate={SAMPLE_RATE};n={len(x)};mean={mean:.4f};peak={int(x.max(initial=0))};levels={int((hist > 0).sum())};crossings={int(np.count_nonzero(loud[1:] != loud[:-1]))}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
+FEATURES = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+FEATURE_SCHEMA = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+
 def media_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the samples of sniffed WAV media back and describes them; one row per input row."""
+    """Reads the samples of sniffed WAV media back and describes them; one row per input row.
+
+    Null media has null features. Media of another detected type than audio/wav raises: its samples can't be told.
+    """
     kind = dict(df.dtypes)[id_col]
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "detected_type", "type_corrected"]
-    types = [kind, "bigint", "bigint", "string", "bigint", "bigint", "string", "string", "string", "boolean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = {n: b.column(n) for n in b.schema.names}
-            out: list[list] = [[] for _ in range(6)]
-            for i in range(b.num_rows):
-                media = col["media"][i].as_py()
-                if col["detected_type"][i].as_py() != "audio/wav":
-                    raise ValueError("the stored form is no valid WAV")
-                payload = wav_payload(media)
-                x = np.frombuffer(payload, np.uint8)
-                hist = np.bincount(x, minlength=256)
-                total = int(hist @ np.arange(256))
-                feature = f"wav8;rate={SAMPLE_RATE};n={len(x)};mean={total / len(x):.4f};peak={int(x.max())};levels={int((hist > 0).sum())};crossings={int(np.count_nonzero((x[1:] >= 97) != (x[:-1] >= 97)))}"
-                for values, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
-                    values.append(v)
-            cols = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([col["id"], col["n_bytes"], *cols, col["detected_type"], col["type_corrected"]], names)
+            kinds = b.column("detected_type").to_pylist()
+            if any(k not in (None, "audio/wav") for k in kinds):
+                raise ValueError("the stored form is no valid WAV")
+            rows = [described(m.as_py()) for m in b.column("media")]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(FEATURES.values())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *cols, b.column("detected_type"), b.column("type_corrected")], ["id", "n_bytes", *FEATURES, "detected_type", "type_corrected"])
 
     ready = df.select(F.col(id_col).alias("id"), "n_bytes", "media", "detected_type", "type_corrected")
-    return ready.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))).withColumnRenamed("id", id_col)
+    return ready.mapInArrow(run, f"id {kind}, n_bytes bigint, {FEATURE_SCHEMA}, detected_type string, type_corrected boolean").withColumnRenamed("id", id_col)
+
+
+def text_media_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What media_features(sniff_media(text_as_media(df))) gives, in one pass: payloads are stored, sniffed and read back in the task that has the text."""
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton()
+        for b, data, offsets in slices(batches, "text"):
+            rows, kinds = [], []
+            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+                media = stored(data[lo:hi].tobytes())
+                detected = judged(media, "image/png", a)[0]
+                if media is not None and detected != "audio/wav":
+                    raise ValueError("the stored form is no valid WAV")
+                kinds.append(detected)
+                rows.append(described(media))
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(FEATURES.values())]
+            changed = [k != "image/png" if k is not None else None for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets).astype(np.int64)), *cols, pa.array(kinds, pa.string()), pa.array(changed, pa.bool_())], ["id", "n_bytes", *FEATURES, "detected_type", "type_corrected"])
+
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return docs.mapInArrow(run, f"id {kind}, n_bytes bigint, {FEATURE_SCHEMA}, detected_type string, type_corrected boolean").withColumnRenamed("id", id_col)

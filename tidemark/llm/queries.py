@@ -9,7 +9,7 @@ from .ctw import lm_scores
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .language import identify_languages
-from .media import media_features, sniff_media, text_as_media
+from .media import text_media_report
 from .mixing import mixing_rates
 from .packing import pack
 from .quality import quality_scores
@@ -40,7 +40,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(sniff_media(text_as_media(table(spark, sf_dir, "documents"))))
+    return text_media_report(table(spark, sf_dir, "documents"))
 
 
 #: Shares of the mixture's words.
