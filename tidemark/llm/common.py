@@ -6,6 +6,7 @@ A null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -34,11 +36,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A session without one gets a temporary folder, as in tests."""
+    """The folder all executors share. Without one, a session in one process gets a temporary folder, as in tests; a cluster's raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -61,6 +65,12 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, stage: Stage) -> DataFrame:
+    """(doc, row): the rows of df as structs, with a number each. Written, so that a row keeps its number; no name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(0))
+    return stage.write(df.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row")), "rows", "zstd")
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0..n-1 modulo 2**64."""
     have = _POWERS.get(base)
@@ -199,8 +209,6 @@ def summed_chunks(partial: DataFrame, dtype: str, total: bool) -> dict[int, byte
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "data"])
 
     schema = "chunk int, data binary"
-    from pyspark.sql import functions as F
-
     spread = partial.repartition("chunk", F.floor(F.rand(17) * 8)).mapInArrow(fold_chunks, schema)
     return {r.chunk: bytes(r.data) for r in spread.repartition("chunk").mapInArrow(fold_chunks, schema).collect()}
 

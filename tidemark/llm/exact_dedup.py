@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Stage
+from .common import LOWER, UPPER, Stage, numbered
 
 FIRST_DIGIT, GROWTH = 24, 20
 
@@ -63,9 +63,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that exact dedup keeps, with all their columns. Rows with a null id are kept once per text."""
-    marked = df.withColumn("_row", F.monotonically_increasing_id())
     stage = Stage(df.sparkSession, "keep-first")
-    rows = stage.write(marked, "rows", "zstd")
-    wide = rows.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), F.col(text_col).alias("_text"))
-    kept = exact_dedup(wide, "_key", "_text").filter("kept").select(F.col("_key._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*df.columns)
+    rows = numbered(df, stage)
+    keyed = rows.select(F.struct(F.col("doc")[id_col].alias("id"), "row").alias("key"), F.col("doc")[text_col].alias("text"))
+    kept = exact_dedup(keyed, "key", "text").filter("kept").select("key.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

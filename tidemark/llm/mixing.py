@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Stage, slices, words
 from .features import BITS, descend, hashed_features, labelled_sample, sums
@@ -45,10 +46,10 @@ def fit_softmax(x: np.ndarray, at: np.ndarray, label: np.ndarray, n_classes: int
     return weights
 
 
-def domain_posteriors(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, domain_col: str, sample: int) -> DataFrame:
-    """(id, n_tokens, posterior): words of the whole text, and the classifier's probabilities in the order of domains."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(df.dtypes)[id_col]
+def domain_posteriors(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, domain_col: str, sample: int, carry: str | None = None) -> DataFrame:
+    """(id, n_tokens, posterior): words of the whole text, and the classifier's probabilities in the order of domains. carry: a column kept beside them."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(carry).alias("carried")] if carry else []))
+    kept = ["id", *(["carried"] if carry else [])]
     rated = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")).filter(F.col("domain").isin(domains))
     x, at, label = labelled_sample(docs, rated, "domain", sample)
     number = {d: i for i, d in enumerate(domains)}
@@ -62,9 +63,10 @@ def domain_posteriors(df: DataFrame, labelled: DataFrame, domains: list[str], id
             e = np.exp(f - f.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words(data, offsets).count.astype(np.int64)), lists], ["id", "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(words(data, offsets).count.astype(np.int64)), lists], [*kept, "n_tokens", "posterior"])
 
-    return docs.mapInArrow(run, f"id {kind}, n_tokens bigint, posterior array<double>")
+    out = T.StructType([*[docs.schema[c] for c in kept], T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(run, out)
 
 
 def _rate(posterior: Column, steps: list[np.ndarray], floor: float) -> Column:
@@ -75,8 +77,8 @@ def _rate(posterior: Column, steps: list[np.ndarray], floor: float) -> Column:
     return F.aggregate(table, start, lambda r, s: F.greatest(r - dot(s), F.lit(float(floor)))) if steps else start
 
 
-def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", floor: float = 0.0, sample: int = 4000, rounds: int = 30, close: float = 1e-3) -> DataFrame:
-    """One row per document: id, n_tokens, posterior (in the order of the sorted domains), rate.
+def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", floor: float = 0.0, sample: int = 4000, rounds: int = 30, close: float = 1e-3, carry: str | None = None) -> DataFrame:
+    """One row per document: id, n_tokens, posterior (in the order of the sorted domains), rate; and the column `carry` if one is named.
 
     targets are the domains' weights; they are normalised. With floor 0 the mixture has as many tokens as the corpus;
     with a floor (each rate is at least that), as many as the domain with the largest demand needs to have no rate below it;
@@ -88,7 +90,7 @@ def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float],
     stage = Stage(df.sparkSession, "mixing")
     domains = sorted(targets)
     k = len(domains)
-    rows = stage.write(domain_posteriors(df, labelled, domains, id_col, text_col, domain_col, sample), "posteriors")
+    rows = stage.write(domain_posteriors(df, labelled, domains, id_col, text_col, domain_col, sample, carry), "posteriors", "zstd")
     # distances between rates are weighted by tokens, so that a document's length doesn't change its rate
     p, t = F.col("posterior"), F.col("n_tokens").cast("double")
     gram = rows.agg(*[F.sum(t * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
@@ -104,17 +106,36 @@ def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float],
         if np.abs(miss).sum() <= close * total:
             break
         steps.append(inverse @ miss)
-    return rows.withColumn("rate", _rate(p, steps, floor)).withColumnRenamed("id", id_col)
+    return rows.withColumn("rate", _rate(p, steps, floor)).withColumnsRenamed({"id": id_col} | ({"carried": carry} if carry else {}))
+
+
+def _repeated(rate: Column, key: Column) -> Column:
+    """An array with an entry for each copy: the rate's whole part, and one more with the probability of the rest, by a hash of the key."""
+    part = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)
+    return F.array_repeat(F.lit(0), times.cast("int"))
 
 
 def apply_rates(df: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """df with each row repeated as its rate says: the whole part, and once more with the probability of the rest, by a hash of the id.
+    """df with each row repeated as the rate of its id says: the whole part, and once more with the probability of the rest, by a hash of the id.
+
+    Of an id with several rates the mean counts. Rows of df whose id has no rate, or is null, stay once.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+    r = rates.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg("rate").alias("rate"))
+    joined = df.select(F.col(id_col).alias("id"), doc).join(r, "id", "left")
+    copies = F.explode(_repeated(F.coalesce("rate", F.lit(1.0)), F.col("id").cast("string")))
+    return joined.select("doc", copies.alias("copy")).select("doc.*")
+
+
+def mix_documents(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with each row repeated as its own rate says (see mixing_rates for the options): rows keep all their columns.
 
-    Ids must be unique in rates; rows of df whose id has no rate, or is null, stay once.
+    Rates go with rows, not ids, so repeated and null ids and columns of any name are safe, and no join is needed. Rows with the same
+    id and text get the same number of copies.
     """
-    r = rates.select(F.col(id_col).alias("_id"), "rate")
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rate = F.coalesce("rate", F.lit(1.0))
-    times = (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    joined = df.join(r, df[id_col] == r["_id"], "left").withColumn("_times", times)
-    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*[F.col(c) for c in df.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(whole.alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rated = mixing_rates(rows, labelled.withColumnRenamed(id_col, "id"), targets, "id", "text", carry="doc", **options)
+    key = F.concat_ws("\n", F.col("doc")[id_col].cast("string"), F.col("doc")[text_col])
+    return rated.select("doc", F.explode(_repeated(F.col("rate"), key)).alias("copy")).select("doc.*")
