@@ -11,7 +11,9 @@ component needs no test for the components to be exact, so a large group of near
 
 A candidate pair must be able to reach the threshold: with sizes n and m its overlap must be at least t = ceil(s / (1 +
 s) * (n + m)), so the shared key may stand no later than place n - t (m - t) of its document, and of the document whose
-first fragment ends earlier, all keys of that fragment that no other document's has are lost to the overlap.
+first fragment ends earlier, all keys of that fragment that no other document's has are lost to the overlap. Up to where the
+earlier of two first fragments ends, the overlap is known from those fragments alone; with what can follow it must reach t.
+Two documents that share an n-gram by chance fail there, so only near copies have their later fragments fetched and counted.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Stage, gram_hashes, joined_chunks, mix, signed, slices, summed_chunks, vector_rows, words
+from .common import KeyFilter, Stage, gram_hashes, joined_chunks, mix, numbered, signed, slices, summed_chunks, vector_rows, words
 from .components import components
 
 SKETCH_BITS = 20
@@ -87,7 +89,7 @@ def gram_sketch(docs: DataFrame, n: int) -> np.ndarray:
 def order_classes(sketch: np.ndarray) -> np.ndarray:
     """Per counter 0 for n-grams that aren't known to be frequent, else the logarithm of the count."""
     usual = 4 * sketch.mean() + 16
-    return np.where(sketch > usual, np.log2(np.maximum(sketch, 1)).astype(np.uint64), 0).astype(np.uint64)
+    return np.where(sketch > usual, np.minimum(np.log2(np.maximum(sketch, 1)), 31), 0).astype(np.uint64)  # keys are compared as signed numbers
 
 
 def ordered_keys(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -127,8 +129,9 @@ class _Join:
 
         return self.stage.write(self.docs.mapInArrow(run, f"id {self.kind}, size bigint, cls bigint, keys array<bigint>"), "sets")
 
-    def shared_keys(self, sets: DataFrame) -> DataFrame:
-        """(key, cls, size, place, lost, ends): keys that the first fragments of two classes have; the classes' figures."""
+    def shared_keys(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Keys that the first fragments of two classes have: (key, cls, size, place, lost, ends) with the classes' figures, and
+        (cls, size, n_keys, ends, held): such keys by class."""
         reps = sets.filter("size > 0").groupBy("cls").agg(F.first(F.struct("size", "keys")).alias("x")).select("cls", "x.size", "x.keys")
         reps = self.stage.write(reps.withColumns({"n_keys": F.size("keys"), "ends": F.element_at("keys", -1)}), "classes")
         self.stage.drop("sets")
@@ -136,11 +139,23 @@ class _Join:
         # written first, as other aggregates below: with plain shuffles on both sides, a join can split a very common key
         twice = self.stage.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("key"), "twice")
         held = self.stage.write(rows.join(twice.hint("merge"), "key"), "held")
-        found = held.groupBy("cls").agg(F.count(F.lit(1)).alias("found"))
-        facts = reps.select("cls", "size", "n_keys", "ends").join(found.hint("merge"), "cls").select("cls", "size", (F.col("n_keys") - F.col("found")).alias("lost"), "ends")
-        shared = self.stage.write(held.join(facts.hint("merge"), "cls"), "shared")
+        self.stage.drop("twice")
+        found = held.groupBy("cls").agg(F.collect_list("key").alias("held"))  # of one class: no more than its first fragment
+        facts = self.stage.write(reps.select("cls", "size", "n_keys", "ends").join(found.hint("merge"), "cls"), "facts")
         self.stage.drop("classes")
-        return shared
+        shared = held.join(facts.select("cls", "size", (F.col("n_keys") - F.size("held")).alias("lost"), "ends").hint("merge"), "cls")
+        shared = self.stage.write(shared, "shared")
+        self.stage.drop("held")
+        return shared, facts
+
+    def plausible(self, pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+        """Drops pairs that their first fragments rule out: their overlap up to the end of the earlier one, and what can follow it."""
+        side = lambda c: facts.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n_keys", "ends", "held")])
+        both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+        end = F.least("ends_a", "ends_b")
+        after = lambda c: F.col(f"n{c}") - F.when(F.col(f"ends_{c}") == end, F.col(f"n_keys_{c}")).otherwise(F.size(F.filter(f"held_{c}", lambda k: k <= end)))
+        most = F.size(F.array_intersect("held_a", "held_b")) + F.least(after("a"), after("b"))
+        return self.stage.write(both.filter(most >= _overlap_needed(F.col("na"), F.col("nb"), self.s)).select("a", "b", "na", "nb"), f"pairs-{name}")
 
     def possible(self, a: str, b: str) -> Column:
         x, y = F.col(a), F.col(b)
@@ -180,17 +195,13 @@ class _Join:
         return self.stage.write(self.docs.select("text").mapInArrow(give, "cls bigint, keys array<bigint>").groupBy("cls").agg(F.first("keys").alias("keys")), f"sets-{name}")
 
     def links(self, pairs: DataFrame, sets: DataFrame, name: str, fragments: int = 8) -> DataFrame:
-        """The pairs whose overlap, counted fragment by fragment and summed, reaches the threshold.
+        """(a, b, o): the pairs whose overlap o, counted fragment by fragment and summed, reaches the threshold.
 
         A fragment is a stretch of the global order: a seventh of the n-grams not known as frequent, or the frequent ones.
         """
 
-        wanted = self.stage.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"compared-{name}")
-        chosen = self.spark.sparkContext.broadcast(KeyFilter.of(wanted, "cls", wanted.count()))
-
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                b = b.filter(pa.array(chosen.value.hits(b.column("cls").to_numpy().view(np.uint64))))
                 lists = b.column("keys")
                 at = lists.offsets.to_numpy().astype(np.int64)
                 keys = lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
@@ -205,53 +216,55 @@ class _Join:
         left = pairs.join(segments.withColumnsRenamed({"cls": "a", "keys": "ka"}).hint("merge"), "a")
         overlap = left.join(segments.withColumnsRenamed({"cls": "b", "keys": "kb"}).hint("merge"), ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("o"))
         total = overlap.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-        found = self.stage.write(total.filter(F.col("o") * 100 >= self.s * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b"), f"links-{name}")
+        found = self.stage.write(total.filter(F.col("o") * 100 >= self.s * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o"), f"links-{name}")
         self.stage.drop(f"sets-{name}")
         return found
 
-    def still_possible(self, pairs: DataFrame, sets: DataFrame, share: float = 0.6) -> DataFrame:
-        """Drops pairs that longer first fragments rule out: what no other of these sets holds is lost to the overlap."""
-        head = F.slice("keys", 1, F.ceil(F.size("keys") * share).cast("int"))
-        heads = sets.select("cls", F.size("keys").alias("size"), head.alias("keys"))
-        common = self.stage.write(heads.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "common")
-        held = self.spark.sparkContext.broadcast(KeyFilter.of(common, "key", common.count()))
-
-        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lists = b.column("keys")
-                at = lists.offsets.to_numpy().astype(np.int64)
-                keys = lists.values.to_numpy()[at[0] : at[-1]]
-                at -= at[0]
-                alone = np.concatenate([[0], np.cumsum(~held.value.hits(keys.view(np.uint64)))])
-                yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(alone[at[1:]] - alone[at[:-1]]), pa.array(keys[at[1:] - 1])], ["cls", "lost", "ends"])
+    def verified(self, pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, na, nb) that link, as (a, b, o): o is the overlap."""
+        pairs = self.plausible(pairs, facts, name)
+        return self.links(pairs, self.sets_of(pairs, name), name)
 
-        facts = self.stage.write(heads.select("cls", "keys").mapInArrow(weigh, "cls bigint, lost bigint, ends bigint"), "facts")
-        both = pairs.join(facts.select(F.col("cls").alias("a"), F.col("lost").alias("la"), F.col("ends").alias("ea")).hint("merge"), "a").join(facts.select(F.col("cls").alias("b"), F.col("lost").alias("lb"), F.col("ends").alias("eb")).hint("merge"), "b")
-        t = _overlap_needed(F.col("na"), F.col("nb"), self.s)
-        a, b = F.col("la") + t <= F.col("na"), F.col("lb") + t <= F.col("nb")
-        return self.stage.write(both.filter(F.when(F.col("ea") < F.col("eb"), a).when(F.col("ea") > F.col("eb"), b).otherwise(a & b)).select("a", "b", "na", "nb"), "pairs-left")
+    def link_counts(self) -> DataFrame:
+        """One row per document: id, n_shingles, class_id, n_links."""
+        fragments = self.first_fragments()
+        sets = self.stage.write(fragments.select("id", "size", "cls"), "ids")
+        shared, facts = self.shared_keys(fragments)
+        row = F.struct("cls", "size", "place", "lost", "ends")
+        rows = self.stage.write(shared.select("key", row.alias("x")), "rows")
+        both = rows.join(rows.select("key", F.col("x").alias("y")).hint("merge"), "key").filter("x.cls < y.cls")
+        found = self.verified(self.stage.write(self.pairs(both), "met-all"), facts, "all")
+        classes = self.stage.write(sets.filter("size > 0").groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")), "members")
+        ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("other")), F.struct(F.col("b").alias("cls"), F.col("a").alias("other")))).alias("e")).select("e.*")
+        others = ends.join(classes.select(F.col("cls").alias("other"), "members"), "other").groupBy("cls").agg(F.sum("members").alias("others"))
+        answers = self.stage.write(classes.join(others, "cls", "left").select("cls", "class_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "answers")
+        out = sets.join(answers, "cls", "left")
+        return out.select("id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
     def result(self) -> DataFrame:
         fragments = self.first_fragments()
         sets = self.stage.write(fragments.select("id", "size", "cls"), "ids")
-        shared = self.shared_keys(fragments)
+        shared, facts = self.shared_keys(fragments)
         row = F.struct("cls", "size", "place", "lost", "ends")
         # every class against the hub of each of its keys: the one with the fewest rarer keys
         hubs = self.stage.write(shared.groupBy("key").agg(F.min(F.struct("place", "cls", "size", "lost", "ends")).alias("y")), "hubs")
-        pairs = self.stage.write(self.pairs(shared.select("key", row.alias("x")).join(hubs.hint("merge"), "key")), "pairs-hub")
-        first = self.links(pairs, self.sets_of(pairs, "hub"), "hub")
+        pairs = self.stage.write(self.pairs(shared.select("key", row.alias("x")).join(hubs.hint("merge"), "key")), "met-hub")
+        self.stage.drop("hubs")
+        first = self.verified(pairs, facts, "hub")
         roots = self.stage.write(components(first, self.stage, "first"), "first-roots")
         # what is still in another component than its hub, against all that share the key
         marked = shared.join(roots.hint("merge"), shared.cls == roots.node, "left").select("key", row.alias("x"), F.coalesce("root", "cls").alias("root"))
         marked = self.stage.write(marked, "marked")
+        self.stage.drop("shared")
         mixed = marked.groupBy("key").agg(F.min(F.struct("x.place", "x.cls", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", F.col("hub.root").alias("hub_root"))
         mixed = self.stage.write(mixed, "mixed")
         inside = self.stage.write(marked.join(mixed.hint("merge"), "key"), "open")
+        self.stage.drop("marked")
         apart = inside.filter("root <> hub_root").select("key", "x", "root")
         rest = apart.join(inside.select("key", F.col("x").alias("y"), F.col("root").alias("other")).hint("merge"), "key").filter("root <> other")
-        pairs = self.stage.write(self.pairs(rest), "pairs-rest")
-        grams = self.sets_of(pairs, "rest")
-        second = self.links(self.still_possible(pairs, grams), grams, "rest")
+        pairs = self.stage.write(self.pairs(rest), "met-rest")
+        self.stage.drop("open")
+        second = self.verified(pairs, facts, "rest")
         roots = self.stage.write(components(first.unionByName(second), self.stage, "all"), "roots")
 
         classes = sets.filter("size > 0").groupBy("cls").agg(F.min("id").alias("leader"))
@@ -273,8 +286,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _Join(df, id_col, text_col, n, threshold).result().withColumnRenamed("id", id_col)
 
 
+def jaccard_link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
+    """One row per document: id, n_shingles, class_id (the least id with the same set) and n_links: how many other documents it links with.
+
+    Links are those of jaccard_components; equal sets count, texts without words have none. Every pair of different sets that may link is
+    verified, so the work grows with the number of links: quadratic in a group of near copies, where jaccard_components is linear.
+    Nulls and repeated rows are treated as there.
+    """
+    return _Join(df, id_col, text_col, n, threshold).link_counts().withColumnRenamed("id", id_col)
+
+
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of df whose id is the smallest of their component, with all their columns; rows with a null id stay."""
-    found = jaccard_components(df.select(F.col(id_col), F.col(text_col)), id_col, text_col, n, threshold)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    """One row of each component, with all its columns: the one with the least id, nulls last; of rows with that id, one.
+
+    Rows are told apart by number, not by id: where an id occurs twice with different texts, each stays or goes on its own. Rows
+    without words are each a component of their own and stay.
+    """
+    stage = Stage(df.sparkSession, "keep-one")
+    rows = numbered(df, stage)
+    doc_id = F.col("doc")[id_col]
+    keyed = rows.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "row").alias("key"), F.col("doc")[text_col].alias("text"))
+    kept = jaccard_components(keyed, "key", "text", n, threshold).filter(F.col("key") == F.col("component_id")).select("key.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
