@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import Stage
 from tidemark.llm.exact_dedup import keep_first_copies
 from tidemark.llm.jaccard import keep_one_per_component
-from tidemark.llm.mixing import apply_rates, mixing_rates
+from tidemark.llm.mixing import mix_documents
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.queries import LANGUAGE_TARGETS, graded, language_labels, table
@@ -39,8 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents as their rates say."""
-    rates = mixing_rates(docs, language_labels(spark, sf_dir), LANGUAGE_TARGETS, floor=1.0)
-    return apply_rates(docs, rates)
+    return mix_documents(docs, language_labels(spark, sf_dir), LANGUAGE_TARGETS, floor=1.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing to target weights", mix), ("best-fit packing", packed)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("mixing to target weights", mix),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
