@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blankish, finite_non_negative
-from .history import before, last_before
+from .history import before, if_dated, last_before
 
 #: name, numerator, denominator, factor
 METRICS = (("accuracy", "successes", "attempts", 1.0), ("successes_per_minute", "successes", "seconds", 60.0), ("attempts_per_15", "attempts", "seconds", 900.0))
@@ -45,33 +45,39 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def opponent_strength(sides: DataFrame, key: str = "entity_id", day: str = "event_day") -> DataFrame:
-    """Rating sides (with opponent_rating) and the mean, the greatest and the number of earlier opponents' ratings."""
+    """Rating sides (with opponent_rating) and the mean, the greatest and the number of earlier opponents' ratings; null for undated rows."""
     w = before(key, day)
-    return sides.withColumns({"opponents_mean": F.avg("opponent_rating").over(w), "opponents_max": F.max("opponent_rating").over(w), "opponents": F.count("opponent_rating").over(w)})
+    named = {"opponents_mean": F.avg, "opponents_max": F.max, "opponents": F.count}
+    return sides.withColumns({name: if_dated(f("opponent_rating").over(w), day) for name, f in named.items()})
 
 
 def rating_weighted_form(sides: DataFrame, key: str = "entity_id", day: str = "event_day", value: str = "value") -> DataFrame:
-    """sides with weighted_form: the mean of earlier values, weighted by the opponents' ratings."""
+    """sides with weighted_form: the mean of earlier values, weighted by the opponents' ratings; null for undated rows."""
     w = before(key, day)
     ok = F.col(value).isNotNull() & (F.col("opponent_rating") > 0)
     total = F.sum(F.when(ok, F.col("opponent_rating"))).over(w)
-    return sides.withColumn("weighted_form", F.when(total > 0, F.sum(F.when(ok, F.col(value) * F.col("opponent_rating"))).over(w) / total))
+    mean = F.sum(F.when(ok, F.col(value) * F.col("opponent_rating"))).over(w) / total
+    return sides.withColumn("weighted_form", if_dated(F.when(total > 0, mean), day))
 
 
 def rating_trend(sides: DataFrame, n: int = 3, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
-    """sides with trend: the rating less the one n contests before, or as many as there are; 0 at the first."""
-    w = Window.partitionBy(key).orderBy(day, tie)
-    return sides.withColumn("trend", F.col("rating") - F.coalesce(F.lag("rating", n).over(w), F.first("rating").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    """sides with trend: the rating less the one n contests before, or as many as there are; 0 at the first, null for undated rows."""
+    w = Window.partitionBy(key).orderBy(F.col(day).asc_nulls_last(), tie)
+    base = F.coalesce(F.lag("rating", n).over(w), F.first("rating").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return sides.withColumn("trend", if_dated(F.col("rating") - base, day))
 
 
 def method_mix(obs: DataFrame, key: str = "entity_id", day: str = "event_day") -> DataFrame:
-    """obs with the shares of earlier wins by method, and finish_loss_rate. All are null where a decisive earlier contest's method is unknown."""
+    """obs with the shares of earlier wins by method, and finish_loss_rate.
+
+    All are null where a decisive earlier contest's method is unknown, and for undated rows.
+    """
     w = before(key, day)
     total = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(w), F.lit(0))
     won, lost, m = F.col("won") == 1, F.col("won") == 0, F.upper(F.col("method"))
     known = total(F.col("won").isNotNull() & blankish(F.col("method"))) == 0
     wins, losses = total(won), total(lost)
-    share = lambda part, whole: F.when(known & (whole > 0), part / whole)
+    share = lambda part, whole: if_dated(F.when(known & (whole > 0), part / whole), day)
     finish = m.contains("KO") | m.contains("SUB")
     return obs.withColumns(
         {
@@ -87,7 +93,7 @@ def after_loss(obs: DataFrame, key: str = "entity_id", day: str = "event_day", t
     """obs with after_loss and after_finish_loss: what the last contest of an earlier day was; null without one."""
     finish = F.coalesce(F.upper("method").contains("KO") | F.upper("method").contains("SUB"), F.lit(False))
     last = last_before(F.struct(F.coalesce(F.col("won") == 0, F.lit(False)).alias("lost"), finish.alias("finish")), F.lit(True), key, day, tie)
-    out = obs.withColumn("_l", last)
+    out = obs.withColumn("_l", if_dated(last, day))
     return out.withColumns({"after_loss": F.col("_l.lost").cast("int"), "after_finish_loss": (F.col("_l.lost") & F.col("_l.finish")).cast("int")}).drop("_l")
 
 
@@ -115,8 +121,8 @@ def before_after(old: DataFrame, new: DataFrame, key: Sequence[str], day: str, l
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows chosen by a hash of their key: the same rows in every run and on every engine that has the hash."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    """n rows chosen by a hash of their key: the same rows in every run, and on every engine that has MD5."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def metric_table(snapshot: DataFrame, specs: Sequence[tuple[str, str, Sequence[str]]], key: str = "contest_id") -> DataFrame:

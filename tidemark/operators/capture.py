@@ -13,14 +13,16 @@ from ..functions.scalars import canonical_value, fingerprint
 def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(keys, change, column, old_value, new_value): added and removed keys, and each corrected value in canonical text form.
 
-    Keys must be unique in both tables.
+    Keys must be unique in both tables. Values are brought to their text form only where the values as they are differ.
     """
-    side = lambda df, p: df.select(*[F.col(k) for k in keys], *[canonical_value(F.col(c).cast("string")).alias(f"{p}{c}") for c in columns], F.lit(True).alias(f"{p}here"))
+    side = lambda df, p: df.select(*[F.col(k) for k in keys], *[F.col(c).cast("string").alias(f"{p}{c}") for c in columns], F.lit(True).alias(f"{p}here"))
     both = side(old, "_o_").join(side(new, "_n_"), list(keys), "full_outer")
     added, removed = F.col("_o_here").isNull(), F.col("_n_here").isNull()
     item = lambda kind, c, o, n: F.struct(F.lit(kind).alias("change"), F.lit(c).cast("string").alias("column"), o.alias("old_value"), n.alias("new_value"))
     none = F.lit(None).cast("string")
-    fixes = F.filter(F.array(*[F.when(~F.col(f"_o_{c}").eqNullSafe(F.col(f"_n_{c}")), item("corrected", c, F.col(f"_o_{c}"), F.col(f"_n_{c}"))) for c in columns]), lambda x: x.isNotNull())
+    raw = [(c, F.col(f"_o_{c}"), F.col(f"_n_{c}")) for c in columns]
+    differ = [F.when(~o.eqNullSafe(n), F.when(~canonical_value(o).eqNullSafe(canonical_value(n)), item("corrected", c, canonical_value(o), canonical_value(n)))) for c, o, n in raw]
+    fixes = F.filter(F.array(*differ), lambda x: x.isNotNull())
     changes = F.when(added, F.array(item("added", None, none, none))).when(removed, F.array(item("removed", None, none, none))).otherwise(fixes)
     return both.select(*keys, F.explode(changes).alias("c")).select(*keys, "c.change", "c.column", "c.old_value", "c.new_value")
 

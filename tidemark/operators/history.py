@@ -7,12 +7,14 @@ whatever their order, unless the row-shift policy is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clean_text
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -39,11 +41,15 @@ def before(key: str | Sequence[str], day: str) -> Window:
     return Window.partitionBy(*keys).orderBy(day_number(day).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, -1)
 
 
+def if_dated(value: Column, day: str) -> Column:
+    """value, or null where the row has no day."""
+    return F.when(F.col(day).isNotNull(), value)
+
+
 def snapshots(obs: DataFrame, specs: Sequence[Spec], key: str = "entity_id", day: str = "event_day") -> DataFrame:
     """obs with one column for each spec. Undated rows see nothing and are seen by none: they get null."""
     plain = [s for s in specs if s.months is None]
-    dated = F.col(day).isNotNull()
-    out = obs.withColumns({s.name: F.when(dated, s.over(before(key, day))) for s in plain})
+    out = obs.withColumns({s.name: if_dated(s.over(before(key, day)), day) for s in plain})
     for months in sorted({s.months for s in specs if s.months}):
         out = _calendar(out, [s for s in specs if s.months == months], key, day, months)
     return out
@@ -146,31 +152,41 @@ def streaks(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie:
         out = out.withColumn(f"_{name}", F.sum(F.when(counts & same, 1).otherwise(0)).over(run))
     known = last_before(F.struct("_win", "_loss"), counts, key, day, tie)
     out = out.withColumn("_last", known)
-    dated = F.col(day).isNotNull()
-    named = {f"{n}_streak": F.when(dated, F.coalesce(F.col("_last")[f"_{n}"], F.lit(0)).cast("bigint")) for n in ("win", "loss")}
+    named = {f"{n}_streak": if_dated(F.coalesce(F.col("_last")[f"_{n}"], F.lit(0)).cast("bigint"), day) for n in ("win", "loss")}
     return out.withColumns(named).drop("_g_win", "_win", "_g_loss", "_loss", "_last")
 
 
 def row_shift(obs: DataFrame, columns: Sequence[str], key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
-    """Cumulative sums shifted by one row: a second contest of the same day sees the first."""
-    frame = Window.partitionBy(key).orderBy(day, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return obs.withColumns({f"prior_{c}": F.coalesce(F.sum(c).over(frame), F.lit(0.0)) for c in columns})
+    """Cumulative sums shifted by one row: a second contest of the same day sees the first. Undated rows get null and are seen by none."""
+    frame = Window.partitionBy(key).orderBy(F.col(day).asc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, -1)
+    return obs.withColumns({f"prior_{c}": if_dated(F.coalesce(F.sum(c).over(frame), F.lit(0.0)), day) for c in columns})
 
 
 def group_experience(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
-    """Earlier contests in the row's group, and in how many groups the entity was seen before: earlier rows that were the first of their group."""
+    """Earlier contests in the row's group, and in how many groups the entity was seen before: earlier rows that were the first of their group.
+
+    Undated rows get null.
+    """
     first = F.row_number().over(Window.partitionBy(key, "grp").orderBy(F.col(day).asc_nulls_last(), tie)) == 1
     out = obs.withColumn("_first", first.cast("int"))
-    out = out.withColumn("groups_seen", F.coalesce(F.sum("_first").over(before(key, day)), F.lit(0))).drop("_first")
+    out = out.withColumn("groups_seen", if_dated(F.coalesce(F.sum("_first").over(before(key, day)), F.lit(0)), day)).drop("_first")
     group = before([key, "grp"], day)
-    return out.withColumn("in_group_contests", F.count(F.lit(1)).over(group)).withColumn("in_group_wins", F.coalesce(F.sum(F.when(F.col("won") == 1, 1).otherwise(0)).over(group), F.lit(0)))
+    wins = F.coalesce(F.sum(F.when(F.col("won") == 1, 1).otherwise(0)).over(group), F.lit(0))
+    return out.withColumns({"in_group_contests": if_dated(F.count(F.lit(1)).over(group), day), "in_group_wins": if_dated(wins, day)})
+
 
+def previous_group(obs: DataFrame, ranks: Mapping[str, float], key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
+    """previous_grp, the group of the last earlier contest, and movement: how the row's group compares with it by rank.
 
-def previous_group(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
-    """Group of the last earlier contest, and how the row's group compares in alphabetical rank."""
-    now, old = F.col("grp"), F.col("previous_grp")
-    movement = F.when(old.isNull(), "debut_or_unknown").when(now == old, "same").when(now > old, "up").otherwise("down")
-    return obs.withColumn("previous_grp", last_before(F.col("grp"), F.lit(True), key, day, tie)).withColumn("movement", movement)
+    Groups that differ are changed_unknown_direction unless both have a rank. Undated rows get null in both columns.
+    """
+    now, old = clean_text(F.col("grp")), clean_text(F.col("previous_grp"))
+    known = F.create_map(*[x for g, r in ranks.items() for x in (F.lit(g), F.lit(float(r)))]) if ranks else F.create_map().cast("map<string,double>")
+    step = F.try_element_at(known, now) - F.try_element_at(known, old)
+    movement = F.when(F.coalesce(old, F.lit("")) == "", "debut_or_unknown").when(now.eqNullSafe(old) | (step == 0), "same")
+    movement = movement.when(step > 0, "up").when(step < 0, "down").otherwise("changed_unknown_direction")
+    last = if_dated(last_before(F.col("grp"), F.lit(True), key, day, tie), day)
+    return obs.withColumn("previous_grp", last).withColumn("movement", if_dated(movement, day))
 
 
 def as_of_lookup(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, columns: Sequence[str], strict: bool = True) -> DataFrame:

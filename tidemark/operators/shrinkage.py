@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import before
+from .history import before, if_dated
 
 
 def valid_pair(num: Column, den: Column) -> Column:
@@ -16,10 +16,11 @@ def valid_pair(num: Column, den: Column) -> Column:
 def day_totals(obs: DataFrame, num: str, den: str, day: str = "event_day", group: str = "grp") -> tuple[DataFrame, DataFrame]:
     """Sums of all earlier days: (day, g_num, g_den) and (day, group, d_num, d_den).
 
-    Rows are summed by day and group first; the running windows see one row for each day, not each observation.
+    Rows are summed by day and group first; the running windows see one row for each day, not each observation. Undated
+    rows are in no sum.
     """
     ok = valid_pair(F.col(num), F.col(den))
-    daily = obs.groupBy(day, group).agg(F.sum(F.when(ok, F.col(num)).otherwise(0.0)).alias("n"), F.sum(F.when(ok, F.col(den)).otherwise(0.0)).alias("d"))
+    daily = obs.filter(F.col(day).isNotNull()).groupBy(day, group).agg(F.sum(F.when(ok, F.col(num)).otherwise(0.0)).alias("n"), F.sum(F.when(ok, F.col(den)).otherwise(0.0)).alias("d"))
     so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are days
     overall = daily.groupBy(day).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     overall = overall.select(day, F.coalesce(F.sum("n").over(so_far), F.lit(0.0)).alias("g_num"), F.coalesce(F.sum("d").over(so_far), F.lit(0.0)).alias("g_den"))
@@ -43,52 +44,60 @@ def prior_ladder(obs: DataFrame, num: str, den: str, least: float, neutral: floa
 
 
 def prior_sums(obs: DataFrame, num: str, den: str, key: str = "entity_id", day: str = "event_day") -> DataFrame:
-    """obs with own_num and own_den: the entity's valid sums of earlier days."""
-    ok = valid_pair(F.col(num), F.col(den))
-    w = before(key, day)
-    return obs.withColumns({"own_num": F.coalesce(F.sum(F.when(ok, F.col(num))).over(w), F.lit(0.0)), "own_den": F.coalesce(F.sum(F.when(ok, F.col(den))).over(w), F.lit(0.0))})
+    """obs with own_num and own_den: the entity's valid sums of earlier days; null for undated rows."""
+    ok, w = valid_pair(F.col(num), F.col(den)), before(key, day)
+    total = lambda c: if_dated(F.coalesce(F.sum(F.when(ok, F.col(c))).over(w), F.lit(0.0)), day)
+    return obs.withColumns({"own_num": total(num), "own_den": total(den)})
 
 
 def smoothed(num: Column, den: Column, prior: Column, strength: Column) -> Column:
-    """(num + strength * prior) / (den + strength), within [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (num + strength * prior) / (den + strength)))
+    """(num + strength * prior) / (den + strength), within [0, 1]; null unless den >= 0, strength > 0 and num and prior are known."""
+    value = (num + strength * prior) / (den + strength)
+    return F.when((den >= 0) & (strength > 0) & value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+
+def supported_source(den: Column, source: Column) -> Column:
+    """group or global where there is support of one's own; else prior_only."""
+    name = F.lower(F.trim(F.coalesce(source, F.lit(""))))
+    return F.when((F.coalesce(den, F.lit(0.0)) > 0) & name.isin("group", "global"), name).otherwise("prior_only")
 
 
 def support_scaled(den: Column, strength: float) -> Column:
     """Strength that falls with support, between a third of it (10 at least, 20 at most) and itself."""
     low = min(max(10.0, strength / 3), 20.0)
-    return F.greatest(F.lit(min(low, strength)), F.least(F.lit(float(strength)), F.lit(float(strength) ** 2) / (den + strength)))
+    support = F.greatest(F.lit(0.0), F.coalesce(den, F.lit(0.0)))
+    return F.greatest(F.lit(min(low, strength)), F.least(F.lit(float(strength)), F.lit(float(strength) ** 2) / (support + strength)))
 
 
 def mom_strength(sum_x: Column, sum_n: Column, sum_n2: Column, sum_x2n: Column, count: Column, fallback: float) -> Column:
     """Beta-binomial prior strength by the method of moments, from sums over entities; within [5, 500].
 
-    Fewer than 30 entities, or a quantity that isn't defined, give the fallback.
+    Fewer than 30 entities, no attempts, a pooled rate of 0 or 1, or a denominator that isn't above 0 give the fallback.
     """
     p = F.when(sum_n > 0, sum_x / sum_n)
     spread = sum_x2n - sum_n * p * p
-    scale = p * (1 - p)
+    scale = F.when((p > 0) & (p < 1), p * (1 - p))
     rest = sum_n - F.when(sum_n > 0, sum_n2 / sum_n) - (count - 1)
-    rho = F.when((scale > 0) & (rest != 0), (spread / scale - (count - 1)) / rest)
+    rho = F.when(rest > 0, (spread / scale - (count - 1)) / rest)
     strength = F.when(rho <= 0, 500.0).when(rho >= 1, 5.0).otherwise(F.greatest(F.lit(5.0), F.least(F.lit(500.0), (1 - rho) / rho)))
-    return F.when((count < 30) | rho.isNull(), F.lit(float(fallback))).otherwise(strength)
+    return F.when((count < 30) | rho.isNull() | F.isnan(rho), F.lit(float(fallback))).otherwise(strength)
 
 
 def population_moments(obs: DataFrame, num: str, den: str, key: str = "entity_id", day: str = "event_day") -> DataFrame:
     """(day, sum_x, sum_n, sum_n2, sum_x2n, entities): moments over entities' totals before each day.
 
     An entity's new totals replace its old ones. So each day adds the differences to the totals before, summed per day, and
-    a running sum over days gives the moments: no join of days with entities.
+    a running sum over days gives the moments: no join of days with entities. Undated rows are in none of them.
     """
-    ok = valid_pair(F.col(num), F.col(den))
-    daily = obs.filter(ok).groupBy(key, day).agg(F.sum(num).alias("x"), F.sum(den).alias("n"))
+    dated = obs.filter(F.col(day).isNotNull())
+    daily = dated.filter(valid_pair(F.col(num), F.col(den))).groupBy(key, day).agg(F.sum(num).alias("x"), F.sum(den).alias("n"))
     w = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     total = daily.select(key, day, F.sum("x").over(w).alias("x"), F.sum("n").over(w).alias("n"))
     parts = {"sum_x": F.col("x"), "sum_n": F.col("n"), "sum_n2": F.col("n") * F.col("n"), "sum_x2n": F.col("x") * F.col("x") / F.col("n"), "entities": F.lit(1.0)}
     last = Window.partitionBy(key).orderBy(day)
     change = total.select(day, *[(v - F.coalesce(F.lag(v).over(last), F.lit(0.0))).alias(k) for k, v in parts.items()])
     per_day = change.groupBy(day).agg(*[F.sum(k).alias(k) for k in parts])
-    days = obs.select(day).distinct().join(per_day, day, "left")
+    days = dated.select(day).distinct().join(per_day, day, "left")
     so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are days
     return days.select(day, *[F.coalesce(F.sum(k).over(so_far), F.lit(0.0)).alias(k) for k in parts])
 
@@ -108,7 +117,7 @@ def smoothing_family(obs: DataFrame, num: str, den: str, strength: float, least:
             "mom_strength": k,
             "mom_rate": smoothed(n, d, p, k),
             "low_support": F.when(d < least, 1).otherwise(0),
-            "source_label": F.when(d > 0, F.col("prior_source")).otherwise("prior_only"),
+            "source_label": supported_source(d, F.col("prior_source")),
         }
     )
     return out.drop("sum_x", "sum_n", "sum_n2", "sum_x2n", "entities")
