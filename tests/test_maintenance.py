@@ -2,31 +2,44 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.operators.capture import broken_links, chained
 from tidemark.operators.contracts import ContractError
-from tidemark.operators.maintenance import Store, append_ledger, same_rows
+from tidemark.operators.maintenance import Versions, append_ledger, prunable_versions, same_rows, stray_versions, write_json
 
 
-def test_store(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "store"))
+def test_versions(spark, tmp_path):
+    v = Versions(spark, str(tmp_path / "store"))
     a, b = spark.range(3), spark.range(5)
-    assert s.update({"a": a, "b": b}) and not s.update({"a": spark.range(3)})
-    assert s.update({"a": spark.range(4)}) and s.read("a").count() == 4 and s.read("b").count() == 5
+    assert v.publish({"a": a, "b": b}) == ["a", "b"] and v.publish({"a": spark.range(3)}) == []
+    assert v.publish({"a": spark.range(4)}) == ["a"] and v.read("a").count() == 4 and v.read("b").count() == 5
 
     def refuse(tables):
         assert tables["a"].count() == 9 and tables["b"].count() == 5
         raise ContractError("no")
 
     with pytest.raises(ContractError):
-        s.update({"a": spark.range(9)}, [refuse])
-    assert s.read("a").count() == 4 and s.recover() == []
-    s.undo()
-    assert s.read("a").count() == 3
-    spark.range(1).write.parquet(str(tmp_path / "store" / "a" / "v99"))
-    assert s.recover() == ["a/v99"]
-    assert s.update({"a": spark.range(7)}) and s.prune(1) == ["a/v0", "a/v1"] and s.read("a").count() == 7
+        v.publish({"a": spark.range(9)}, [refuse])
+    assert v.read("a").count() == 4
+    assert [tuple(r) for r in stray_versions(v.manifest(), v.found()).collect()] == [("a", 3)]
+    v.undo()
+    assert v.read("a").count() == 3
+    assert v.publish({"c": spark.range(1)}) == ["c"]
+    v.undo()
+    with pytest.raises(KeyError):
+        v.read("c")
+    assert {tuple(r) for r in prunable_versions(v.manifest(), 1).collect()} == {("a", 2), ("c", 4)}
+    assert v.rebuild([("n", lambda s: s.read("a").selectExpr("count(*) as n"))]) == ["n"] and v.read("n").first().n == 3
     calls = []
-    for _ in range(2):
-        assert s.cached("k", lambda: calls.append(1) or spark.range(2)).count() == 2
-    assert calls == [1]
+    for rows in (2, 2, 3):
+        assert v.cached("k", {"x": spark.range(rows)}, lambda n=rows: calls.append(1) or spark.range(n)).count() == rows
+    assert len(calls) == 2
+
+
+def test_json_holds_no_nan(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c")], "x double, y string")
+    with pytest.raises(ContractError):
+        write_json(df, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    write_json(df.filter("y <> 'b'"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
 def test_same_rows_is_about_multisets(spark):

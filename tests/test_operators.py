@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
-from tidemark.operators import capture, contracts, evaluate, history, names, pairs, ratings, shrinkage
+from tidemark.operators import aggregates, capture, contracts, evaluate, history, names, pairs, ratings, shrinkage
 from tidemark.sources import pages, tables
 
 
@@ -26,7 +26,7 @@ def test_parsers(spark):
     got = df.select(S.parse_of_pair(F.col("a")).alias("a"), S.clock_seconds(F.col("b")).alias("b"), S.height_cm(F.col("c")).alias("c"), S.parse_percent(F.col("d")).alias("d"), S.decimal_odds(F.col("e")).alias("e")).collect()
     assert [tuple(r.a) for r in got] == [(3, 7), (9, None), (None, None)]
     assert [r.b for r in got] == [245, None, 3723]
-    assert [r.c for r in got] == [180.34, None, 182.88]
+    assert [r.c for r in got] == [180.34, None, None]  # feet alone are no height
     assert [r.d for r in got] == [0.75, 0.4, None]
     assert [r.e for r in got] == [2.5, 2.5, 50.0]
 
@@ -222,8 +222,80 @@ def test_calendar_windows(spark):
         assert r.n == (sum(e == r.entity_id and d is not None and low <= d < r.event_day for e, d, _ in rows) if r.event_day else None)
 
 
-@pytest.mark.parametrize(("operator", "most"), [(history.streaks, 1), (history.previous_group, 1), (history.group_experience, 2), (lambda o: history.snapshots(o, history.career_specs()), 1)])
+@pytest.mark.parametrize(("operator", "most"), [(history.streaks, 1), (lambda o: history.previous_group(o, {}), 1), (history.group_experience, 2), (lambda o: history.snapshots(o, history.career_specs()), 1)])
 def test_windows_share_shuffles(spark, operator, most, capsys):
     obs, _ = make_obs(spark, n=5)
     operator(obs).explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") <= most
+
+
+def test_undated_rows_see_nothing_and_are_seen_by_none(spark):
+    """Every history operator against brute force over dated rows only; some rows have no day."""
+    obs, rows = make_obs(spark, seed=12, undated=15)
+    dated = [x for x in rows if x[1] is not None]
+    old = lambda e, day: [x for x in dated if x[3] == e and x[1] < day]
+    for r in history.row_shift(obs, ["attempts"]).collect():
+        before = [x for x in dated if x[3] == r.entity_id and r.event_day and (x[1], x[0]) < (r.event_day, r.contest_id)]
+        assert r.prior_attempts == (sum(x[5] for x in before) if r.event_day else None)
+    for r in history.group_experience(obs).collect():
+        mine = old(r.entity_id, r.event_day) if r.event_day else []
+        want = (len([x for x in mine if x[2] == r.grp]), len([x for x in mine if x[2] == r.grp and x[9] == 1]), len({x[2] for x in mine}))
+        assert (r.in_group_contests, r.in_group_wins, r.groups_seen) == (want if r.event_day else (None,) * 3)
+    for r in history.previous_group(obs, {"x": 1, "y": 2}).collect():
+        mine = old(r.entity_id, r.event_day) if r.event_day else []
+        last = max(mine, key=lambda x: (x[1], x[0]))[2] if mine else None
+        move = "debut_or_unknown" if last is None else "same" if last == r.grp else "up" if r.grp > last else "down"
+        assert (r.previous_grp, r.movement) == ((last, move) if r.event_day else (None, None))
+    assert {r.movement for r in history.previous_group(obs, {"x": 1}).collect()} == {None, "debut_or_unknown", "same", "changed_unknown_direction"}
+    for r in history.recent(obs, 3, ["attempts"], "last").collect():
+        mine = sorted((x[1], x[0], x[5]) for x in old(r.entity_id, r.event_day))[-3:] if r.event_day else []
+        assert [(x._d, x._t, x.attempts) for x in r["last"]] == mine
+    for r in history.streaks(obs).collect():
+        assert (r.win_streak is None) == (r.event_day is None)
+    for r in shrinkage.prior_sums(obs, "successes", "attempts").collect():
+        assert r.own_den == (sum(x[5] for x in old(r.entity_id, r.event_day)) if r.event_day else None)
+    for r in shrinkage.prior_ladder(obs, "successes", "attempts", 20, 0.4).filter("event_day is not null").collect():
+        mine = [x for x in dated if x[1] < r.event_day and x[5] > 0]
+        group = [x for x in mine if x[2] == r.grp]
+        rate = lambda xs: sum(x[6] for x in xs) / sum(x[5] for x in xs)
+        want = rate(group) if sum(x[5] for x in group) >= 20 else rate(mine) if mine else 0.4
+        assert abs(r.prior - want) < 1e-9
+    moments = shrinkage.population_moments(obs, "successes", "attempts").collect()
+    assert all(r.event_day is not None for r in moments)
+    assert all(r.sum_n == sum(x[5] for x in dated if x[1] < r.event_day) for r in moments)
+    w = aggregates.method_mix(obs.withColumn("method", F.lit("KO"))).filter("event_day is null").collect()
+    assert w and all(r.knockout_share is None for r in w)
+    assert all(r.after_loss is None for r in aggregates.after_loss(obs.withColumn("method", F.lit("KO"))).filter("event_day is null").collect())
+
+
+def test_prior_strength_falls_back_where_it_is_undefined(spark):
+    def strength(*sums, fallback=50.0):
+        x, n, n2, x2n, count = map(float, sums)
+        return one(spark, shrinkage.mom_strength(*(F.col(c) for c in "abcde"), fallback), a=x, b=n, c=n2, d=x2n, e=count)
+
+    assert strength(50, 100, 9000, 30, 40) == 50.0  # the denominator is below 0
+    assert strength(50, 100, 200, 30, 29) == 50.0 and strength(0, 0, 0, 0, 40) == 50.0 and strength(100, 100, 200, 100, 40) == 50.0
+    p, between = 0.4, 300.0 - 400.0**2 / 1000
+    rho = (between / (p * (1 - p)) - 39) / (1000 - 30000 / 1000 - 39)
+    assert strength(400, 1000, 30000, 300, 40) == pytest.approx(min(500, max(5, (1 - rho) / rho)))
+    assert strength(400, 1000, 30000, 160, 40) == 500.0 and strength(400, 1000, 30000, 900, 40) == 5.0
+    assert one(spark, shrinkage.support_scaled(F.col("d"), 50.0), d=-50.0) == 50.0
+    assert one(spark, shrinkage.smoothed(F.col("n"), F.lit(4.0), F.lit(None).cast("double"), F.lit(5.0)), n=1.0) is None
+
+
+def test_metrics_rank_probabilities_wherever_they_lie(spark):
+    rng = random.Random(2)
+    rows = [(0.5 + rng.randrange(400) * 1e-7, int(rng.random() < 0.5)) for _ in range(1500)] + [(0.0, 1), (1.0, 0)]
+    got = evaluate.metrics(spark.createDataFrame(rows, "probability double, label int")).first()
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    assert got.auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_close_matches_lose_no_name_to_the_bound(spark):
+    import difflib
+
+    rng = random.Random(3)
+    listed = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 12))).strip() or "x" for _ in range(300)})
+    want = sorted(((-r, x) for x in listed if (r := difflib.SequenceMatcher(None, " ".join(x.split()), "bad cab").ratio()) >= 0.5))[:40]
+    got = names.close_matches(spark.createDataFrame([(x,) for x in listed], "name string"), "Bad  cab", 0.5, 40).collect()
+    assert [(r.name, round(r.ratio, 9)) for r in got] == [(x, round(-r, 9)) for r, x in want]

@@ -9,9 +9,9 @@ from tidemark.operators import aggregates, evaluate, models, names, pairs
 def test_markers_and_periods(spark):
     df = spark.createDataFrame([("W", "", dt.date(2020, 1, 1), False), ("", "W", dt.date(2030, 1, 1), False), ("", "W", dt.date(2020, 1, 1), True)], "a string, b string, d date, k boolean")
     got = [tuple(r.m) for r in df.select(S.inferred_markers(F.col("a"), F.col("b"), F.col("d"), F.lit("2025-01-01").cast("date"), F.col("k")).alias("m")).collect()]
-    assert got == [("W", "L", "blank_beside_win"), ("", "W", None), ("", "W", None)]
+    assert got == [("W", "L", "blank_beside_win"), ("", "W", "future_day"), ("", "W", "known_contest")]
     t = spark.createDataFrame([("5 Rnd (5-5)", 100.0), (None, 1000.0), ("x", 301.0)], "t string, s double")
-    assert [tuple(r) for r in t.select(S.planned_periods(F.col("t"), seconds=F.col("s")), S.last_period(F.col("s"))).collect()] == [(5, 1), (5, 4), (3, 2)]
+    assert [tuple(r) for r in t.select(S.planned_periods(F.col("t"), seconds=F.col("s")), S.last_period(F.col("s"))).collect()] == [(5, 1), (5, 4), (None, 2)]
 
 
 def test_sides_are_attached(spark):

@@ -52,13 +52,22 @@ def canonical_value(x: Column) -> Column:
     return F.when(F.nullif(t, F.lit("")).isNull(), None).when(day != "", day).otherwise(F.coalesce(F.when(short == "-0", "0").otherwise(short), t))
 
 
+def _given(x: Column) -> Column:
+    """A cell's cleaned text; null for the marks of an empty cell."""
+    t = clean_text(x)
+    return F.when(~t.isin("", "--", "---"), t)
+
+
 def parse_int(x: Column) -> Column:
-    """First whole number in a text; null for placeholders."""
-    return F.when(~blankish(x), F.regexp_extract(x, r"(-?\d+)", 1).try_cast("bigint"))
+    """First whole number in a text; null for the marks of an empty cell."""
+    return F.regexp_extract(_given(x), r"(-?\d+)", 1).try_cast("bigint")
 
 
 def parse_float(x: Column) -> Column:
-    return F.when(~blankish(x), F.regexp_extract(x, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))
+    """The text as a number, percent signs taken off; else the first number in it."""
+    t = F.regexp_replace(_given(x), "%", "")
+    whole = F.when(F.trim(t).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    return F.coalesce(whole, F.regexp_extract(t, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))
 
 
 def parse_percent(x: Column) -> Column:
@@ -75,9 +84,12 @@ def parse_of_pair(x: Column) -> Column:
 
 
 def clock_seconds(x: Column) -> Column:
-    """mm:ss or hh:mm:ss as seconds; null if malformed."""
-    ok = F.trim(x).rlike(r"^\d+:\d{1,2}(:\d{1,2})?$")
-    return F.when(ok, F.aggregate(F.split(F.trim(x), ":"), F.lit(0).cast("bigint"), lambda a, v: a * 60 + v.try_cast("bigint")))
+    """mm:ss or hh:mm:ss as seconds; a text without a colon is a number of seconds; null if malformed."""
+    t = _given(x)
+    parts = F.split(t, ":")
+    ok = t.rlike(r"^\s*[+-]?\d+\s*(:\s*[+-]?\d+\s*){1,2}$")
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, v: a * 60 + F.trim(v).try_cast("bigint"))
+    return F.when(t.contains(":"), F.when(ok, total)).otherwise(parse_int(t))
 
 
 def elapsed_seconds(period: Column, clock: Column, period_seconds: int = 300) -> Column:
@@ -86,14 +98,14 @@ def elapsed_seconds(period: Column, clock: Column, period_seconds: int = 300) ->
 
 
 def id_from_url(url: Column) -> Column:
-    """Last path segment."""
-    return F.element_at(F.split(F.regexp_replace(url, r"/+$", ""), "/"), -1)
+    """Last path segment of a cleaned URL."""
+    return F.element_at(F.split(F.regexp_replace(clean_text(url), r"/+$", ""), "/"), -1)
 
 
 def url_slug(url: Column) -> Column:
-    """Readable, collision-safe name of a URL: its last segment and 16 digits of its SHA-1."""
-    tail = F.regexp_replace(F.lower(id_from_url(url)), r"[^a-z0-9]+", "-")
-    return F.concat_ws("-", F.trim(tail), F.substring(F.sha1(url.cast("binary")), 1, 16))
+    """Readable, collision-safe file name of a URL: up to 80 of its letters and digits, and 16 digits of its SHA-1."""
+    safe = F.regexp_replace(F.regexp_replace(url, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.concat(F.substring(safe, 1, 80), F.lit("_"), F.substring(F.sha1(url.cast("binary")), 1, 16), F.lit(".html"))
 
 
 def with_scheme(url: Column) -> Column:
@@ -101,13 +113,14 @@ def with_scheme(url: Column) -> Column:
 
 
 def height_cm(x: Column) -> Column:
-    """5' 11" in centimetres, to two places."""
-    feet, inches = F.regexp_extract(x, r"(\d+)\s*'", 1).try_cast("double"), F.regexp_extract(x, r"'\s*(\d+)", 1).try_cast("double")
-    return F.round((feet * 12 + F.coalesce(inches, F.lit(0.0))) * 2.54, 2)
+    """5' 11" in centimetres, to two places; both feet and inches must be there."""
+    part = lambda i: F.regexp_extract(_given(x), r"(\d+)\s*'\s*(\d+)", i).try_cast("double")
+    return F.round((part(1) * 12 + part(2)) * 2.54, 2)
 
 
 def reach_cm(x: Column) -> Column:
-    return F.round(F.regexp_extract(x, r"(\d+(?:\.\d+)?)", 1).try_cast("double") * 2.54, 2)
+    """Inches in centimetres, to two places."""
+    return F.round(parse_float(x) * 2.54, 2)
 
 
 def iso_date(x: Column) -> Column:
@@ -115,8 +128,17 @@ def iso_date(x: Column) -> Column:
     return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd"))
 
 
-def age_years(birth: Column, day: Column) -> Column:
-    return F.datediff(day, birth) / F.lit(365.25)
+def age_years(birth: Column, day: Column, known_age: Column | None = None, known_on: Column | None = None) -> Column:
+    """Age in years of 365.25 days, from the day of birth; else from an age known on some day, plus the time since."""
+    years = lambda since: F.datediff(day, since) / F.lit(365.25)
+    out = years(birth)
+    return out if known_age is None else F.coalesce(out, known_age.cast("double") + years(known_on))
+
+
+def age_columns(age: Column) -> dict[str, Column]:
+    """What models take of an age: its square and three flags (over 35, under 25, 26 to 34); null for an unknown age."""
+    flag = lambda c: F.when(age.isNotNull(), c.cast("int"))
+    return {"age_squared": age * age, "over_35": flag(age > 35), "under_25": flag(age < 25), "prime_26_34": flag((age >= 26) & (age <= 34))}
 
 
 def layoff_bucket(days: Column) -> Column:
@@ -146,10 +168,18 @@ def reverse_pair_text(x: Column) -> Column:
     return F.when(at > 0, F.concat(F.substr(x, at + 4), F.lit("_vs_"), F.substr(x, F.lit(1), at - 1))).otherwise(x)
 
 
+#: Result markers by family.
+MARKERS = {"W": ("W", "WIN", "WINNER"), "L": ("L", "LOSS", "LOSER", "LOSE", "LOST"), "D": ("D", "DRAW"), "NC": ("NC", "N/C", "N C", "NO CONTEST", "NOCONTEST")}
+
+
 def outcome_marker(x: Column) -> Column:
-    """W, L, D or NC of a result marker; '' if it is none of them."""
-    t = F.regexp_replace(F.upper(F.trim(x)), r"[^A-Z]", "")
-    return F.when(t.isin("W", "WIN", "WON"), "W").when(t.isin("L", "LOSS", "LOST"), "L").when(t.isin("D", "DRAW"), "D").when(t.isin("NC", "NOCONTEST"), "NC").otherwise("")
+    """W, L, D or NC of a result marker; '' for a blank one; any other text in capitals as it is."""
+    t = F.upper(clean_text(F.coalesce(x, F.lit(""))))
+    words = F.trim(F.regexp_replace(F.translate(t, "_-", "  "), r"\s+", " "))
+    out = F.when(t.isin("", "--", "---", "NAN", "NONE", "NULL"), "")
+    for family, names in MARKERS.items():
+        out = out.when(words.isin(*names), family)
+    return out.otherwise(t)
 
 
 def outcome_of_pair(a: Column, b: Column) -> Column:
@@ -158,21 +188,40 @@ def outcome_of_pair(a: Column, b: Column) -> Column:
     return F.when(both == "LW", "win_loss").when(both == "DD", "draw").when(both == "NCNC", "no_contest").otherwise("")
 
 
+def contest_result(method: Column, winner: Column) -> Column:
+    """draw or no_contest by the method's text; else win_loss with a winner, else unknown."""
+    t = F.lower(clean_text(F.coalesce(method, F.lit(""))))
+    void = t.contains("no contest") | t.contains("overturned")
+    return F.when(t.contains("draw"), "draw").when(void, "no_contest").when(F.coalesce(winner.cast("string"), F.lit("")) != "", "win_loss").otherwise("unknown")
+
+
 def method_family(x: Column) -> Column:
     """Coarse class of how a contest ended; the order of the tests matters."""
     t = F.upper(F.coalesce(x, F.lit("")))
     return F.when(t.contains("SUB"), "submission").when(t.contains("KO"), "knockout").when(t.contains("DEC"), "decision").otherwise("other")
 
 
+# What methods are told by, in texts reduced to lower-case words.
+DECISION = r"\b(decision|dec|[usm]\s*dec|unanimous|split|majority)\b"
+SUBMISSION = r"\b(submission|sub)\b|armbar|choke|triangle|guillotine|kimura|keylock|kneebar|heel hook|twister|d arce|darce|anaconda|rear naked"
+KNOCKOUT = r"\b(ko|tko)\b|knockout|doctor stoppage|corner stoppage"
+NO_METHOD = r"overturned|no contest|\b(nc|draw)\b"
+
+
+def method_flags(*parts: Column) -> Column:
+    """struct(known, decision, submission, knockout, finish) from several texts. The flags are null for unknown methods, draws and void contests."""
+    joined = F.lower(F.array_join(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), " | "))
+    t = F.trim(F.regexp_replace(joined, r"[^a-z0-9]+", " "))
+    known = (t != "") & ~t.isin("nan", "none", "null")
+    flag = lambda c: F.when(known & ~t.rlike(NO_METHOD), c.cast("int"))
+    sub, ko = t.rlike(SUBMISSION), t.rlike(KNOCKOUT)
+    return F.struct(known.cast("int").alias("known"), flag(t.rlike(DECISION)).alias("decision"), flag(sub).alias("submission"), flag(ko).alias("knockout"), flag(sub | ko).alias("finish"))
+
+
 def method_class(*parts: Column) -> Column:
-    """Method from several texts by whole words; null for draws, void contests and unknown methods."""
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"[^a-z0-9]+", " "), F.lit(" "))
-    return (
-        F.when(t.rlike(r" (draw|no contest|nc|overturned) "), None)
-        .when(t.rlike(r" (sub|submission|choke|armbar) "), "submission")
-        .when(t.rlike(r" (ko|tko|knockout) "), "knockout")
-        .when(t.rlike(r" (dec|decision) "), "decision")
-    )
+    """submission, knockout or decision, the first that the texts say; null for draws, void contests and unknown methods."""
+    m = method_flags(*parts)
+    return F.when(m["submission"] == 1, "submission").when(m["knockout"] == 1, "knockout").when(m["decision"] == 1, "decision")
 
 
 def group_key(x: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -182,6 +231,23 @@ def group_key(x: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.coalesce(named, F.initcap(F.nullif(t, F.lit(""))), F.lit("Unknown"))
 
 
+def group_name(x: Column, suffix: str = "Bout", aliases: dict[str, str] | None = None) -> Column:
+    """Group name of a contest's title: cleaned, without the suffix word in any case, stated spellings replaced."""
+    t = F.regexp_replace(clean_text(F.coalesce(x, F.lit(""))), rf"(?i)\s+{suffix}$", "")
+    for old, new in (aliases or {}).items():
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return t
+
+
+def names_group(x: Column, *tokens: str) -> Column:
+    """True where a group's name holds one of the tokens, in any case; false for a blank name."""
+    t = F.lower(clean_text(F.coalesce(x, F.lit(""))))
+    out = F.lit(False)
+    for token in tokens:
+        out = out | t.contains(token)
+    return out
+
+
 def name_key(x: Column) -> Column:
     """Key for equality of names: lower case, Latin accents off, white space collapsed."""
     plain = F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -242,16 +308,19 @@ def fingerprint(columns: Iterable[str]) -> Column:
 
 
 def display(value: Column, unit: str, signed: bool = False) -> Column:
-    """Text of a value in its unit; N/A for null."""
-    sign = F.when(value > 0, "+").otherwise("") if signed else F.lit("")
+    """Text of a value in its unit; N/A for null, NaN and infinities, and for a blank text."""
+    if unit == "text":
+        return F.coalesce(F.nullif(clean_text(value.cast("string")), F.lit("")), F.lit("N/A"))
+    v = json_safe(value.cast("double"))
+    plus = "+" if signed else ""
     text = {
-        "percent": lambda v: F.concat(sign, F.format_string("%.1f%%", v * 100)),
-        "points": lambda v: F.concat(sign, F.format_string("%.1f pp", v * 100)),
-        "count": lambda v: F.concat(sign, F.format_string("%.0f", v)),
-        "ratio": lambda v: F.concat(sign, F.format_string("%.2f", v)),
-        "flag": lambda v: F.when(v != 0, "yes").otherwise("no"),
-    }.get(unit, lambda v: F.concat(sign, F.format_string("%.3f", v)))(value.cast("double"))
-    return F.coalesce(text, F.lit("N/A"))
+        "flag": F.when(v != 0, "Yes").otherwise("No"),
+        "percent": F.format_string("%+.1f pp", v * 100) if signed else F.format_string("%.1f%%", v * 100),
+        "points": F.format_string("%.1f pp", v * 100),
+        "count": F.format_string(f"%{plus}.0f", v),
+        "ratio": F.format_string(f"%{plus}.3f", v),
+    }.get(unit, F.format_string(f"%{plus}.2f", v))
+    return F.when(v.isNull(), "N/A").otherwise(text)
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -260,20 +329,38 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def inferred_markers(a: Column, b: Column, day: Column, today: Column, known: Column) -> Column:
-    """struct(a, b, reason): markers of both sides, where one W and one blank of a past, new contest make the blank an L."""
-    ok = (day <= today) & ~F.coalesce(known, F.lit(False))
-    left, right = (a == "W") & (b == "") & ok, (b == "W") & (a == "") & ok
-    return F.struct(F.when(right, "L").otherwise(a).alias("a"), F.when(left, "L").otherwise(b).alias("b"), F.when(left | right, "blank_beside_win").alias("reason"))
+def inferred_markers(a: Column, b: Column, day: Column, today: Column, known: Column, named: Column | None = None) -> Column:
+    """struct(a, b, reason): markers of both sides, where one W and one blank of a past, new contest of two named sides make the blank an L."""
+    lone = ((a == "W") & (b == "")) | ((b == "W") & (a == ""))
+    none = lambda c: F.coalesce(c, F.lit(False))
+    blocked = F.when(~none(named), "missing_name") if named is not None else F.when(F.lit(False), "")
+    blocked = blocked.when(day.isNull(), "unknown_day").when(day > today, "future_day").when(none(known), "known_contest")
+    reason = F.when(lone, F.coalesce(blocked, F.lit("blank_beside_win")))
+    reason = reason.when(((a == "W") & (b == "L")) | ((a == "L") & (b == "W")), "complete").when((a == "") & (b == ""), "both_blank")
+    reason = reason.when(a.isin("D", "NC") | b.isin("D", "NC"), "draw_or_void").otherwise("ambiguous")
+    filled = lambda x: F.when((reason == "blank_beside_win") & (x == ""), "L").otherwise(x)
+    return F.struct(filled(a).alias("a"), filled(b).alias("b"), reason.alias("reason"))
+
+
+def periods_in_text(x: Column) -> Column:
+    """3 or 5 where a text names so many periods ('5 Rnd', 'rounds 3', '3'), else null."""
+    t = F.lower(F.trim(x))
+    first = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+    return F.coalesce(first(r"\b([35])\s*(?:rnd|rounds|round)\b"), first(r"\b(?:rnd|rounds|round)\s*([35])\b"), F.when(t.isin("3", "5"), t)).cast("int")
+
+
+def planned_periods(*texts: Column, numbers: Iterable[Column] = (), seconds: Column | None = None) -> Column:
+    """Planned number of periods: the first number column that has one, then the first text that names it, then 5 for more than 900 seconds; else null."""
+    found = [n.try_cast("double").cast("int") for n in numbers] + [periods_in_text(t) for t in texts]
+    found += [F.when(seconds > 900, 5)] if seconds is not None else []
+    return F.coalesce(*found, F.lit(None).cast("int"))
 
 
-def planned_periods(*texts: Column, seconds: Column | None = None) -> Column:
-    """Planned number of periods: from the first text that names it ('5 Rnd', '3 rounds'); else 5 if more than 900 seconds were used; else 3."""
-    named = F.coalesce(*[F.regexp_extract(t, r"(?i)(\d+)\s*(?:rnd|round)", 1).try_cast("int") for t in texts])
-    long = F.when(seconds > 900, 5) if seconds is not None else F.lit(None).cast("int")
-    return F.coalesce(named, long, F.lit(3))
+def last_period(seconds: Column, *known: Column, period_seconds: int = 300) -> Column:
+    """Period in which a contest ended: the first that is known, else from its whole length."""
+    return F.coalesce(*[k.try_cast("double").cast("int") for k in known], F.when(seconds > 0, F.ceil(seconds / period_seconds).cast("int")))
 
 
-def last_period(seconds: Column, period_seconds: int = 300) -> Column:
-    """Period in which a contest ended, from its whole length."""
-    return F.when(seconds > 0, F.ceil(seconds / period_seconds).cast("int"))
+def period_flags(planned: Column, last: Column) -> dict[str, Column]:
+    """planned_five and reached_late (the fourth period or later) as 1 or 0; null where unknown."""
+    return {"planned_five": (planned >= 5).cast("int"), "reached_late": (last >= 4).cast("int")}

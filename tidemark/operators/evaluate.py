@@ -46,7 +46,9 @@ def metrics(df: DataFrame, label: str = "label", probability: str = "probability
         F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"),
     )
     counts = d.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    parts = counts.withColumn("b", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(0.999999), F.col("p"))) * 1024))
+    # ranges that hold about as many distinct probabilities each, wherever these lie
+    cuts = sorted(set(counts.agg(F.percentile_approx("p", [i / 128 for i in range(1, 128)], 2000)).first()[0] or []))
+    parts = counts.withColumn("b", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("p"))) if cuts else F.lit(0))
     below = parts.groupBy("b").agg(F.sum("neg").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("b", "base")
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     auc = parts.withColumn("inside", inside).join(F.broadcast(below), "b").agg((F.sum(F.col("pos") * (F.col("base") + F.col("inside") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
@@ -96,6 +98,27 @@ def hash_folds(df: DataFrame, folds: int, key: str = "contest_id", seed: int = 0
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(folds)).cast("int"))
 
 
+def fold_count(df: DataFrame, label: str = "label", requested: int = 5) -> DataFrame:
+    """One row, `folds`: by the rarer class's rows 5 (or fewer if asked for), 3 or 2; null with fewer than 2 rows of it, or none at all."""
+    least = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+    return least.select(F.when(F.col("least") >= 5, min(requested, 5)).when(F.col("least") >= 3, 3).when(F.col("least") >= 2, 2).alias("folds"))
+
+
+def stratified_folds(df: DataFrame, label: str = "label", key: str = "contest_id", seed: int = 42) -> DataFrame:
+    """Labelled rows with `fold`: shuffled by a hash of the key, every class dealt evenly over fold_count folds; no rows if there can be none.
+
+    Rows are ranked within 4096 ranges of the hash, and ranges are added up, so that no class is one task.
+    """
+    n = fold_count(df, label).first().folds
+    h = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    rows = df.filter(F.col(label).isNotNull() & F.lit(n is not None)).withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) - 1
+    placed = rows.withColumn("_i", inside).join(F.broadcast(sizes.withColumn("_base", before)), (F.col(label) == F.col("_l")) & (F.col("_b") == F.col("_c")))  # 4096 rows a class
+    return placed.withColumn("fold", F.pmod(F.col("_i") + F.col("_base"), F.lit(n or 1)).cast("int")).drop("_h", "_b", "_l", "_c", "_s", "_i", "_base")
+
+
 def split_overlap(train: DataFrame, test: DataFrame, key: str = "contest_id") -> DataFrame:
     """Keys that stand in both parts; a sound split has none."""
     return train.select(key).intersect(test.select(key))

@@ -1,127 +1,168 @@
-"""Staged updates of several tables at once, recovery, cached results, and an append-only ledger.
+"""Versions of tables, change detection, reuse of results, and an append-only ledger.
 
-A store is a folder. Tables are written as new versions; a journal record names the version of every table and is written last, in
-one rename: readers see a whole update or none. What a stopped update has left is not named by any record and is removed.
+Every version of a table is a Parquet folder of its own. A manifest, itself a table, says which step made which version current.
+What changed, what is current, what no step names and what may go are joins, groupings and filters over manifest rows. Atomic
+commits, locks and the deletion of files are left to the table format of the lake.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .capture import chained
-from .contracts import require
+from .contracts import ContractError, require
 
+MANIFEST = "step bigint, name string, version bigint, rows bigint, digest string, note string"
 
-class Files:
-    """The few file operations a store needs, on whatever file system its path is in."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row: rows, and a digest of the table as a multiset: of names and types, the number of rows and two sums of row hashes."""
+    names = sorted(df.columns)
+    shape = str(sorted(df.dtypes))
+    sums = [F.sum(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names]).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(s, F.lit("0")).alias(f"s{i}") for i, s in enumerate(sums)])
+    return one.select("rows", F.sha2(F.concat_ws("|", F.lit(shape), F.col("rows").cast("string"), "s0", "s1"), 256).alias("digest"))
 
-    def at(self, name: str):
-        return self.path(f"{self.root}/{name}")
 
-    def list(self, name: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(name))) if self.fs.exists(self.at(name)) else []
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Equal as multisets of equally named and typed columns."""
+    return content_digest(a).first() == content_digest(b).first()
 
-    def put(self, name: str, text: str) -> None:
-        """Writes to a temporary name and renames; fails if the name is taken."""
-        temp = self.at(f"{name}.tmp")
-        out = self.fs.create(temp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self.fs.exists(self.at(name)) or not self.fs.rename(temp, self.at(name)):
-            self.fs.delete(temp, False)
-            raise FileExistsError(f"{self.root}/{name}")
 
-    def text(self, name: str) -> str:
-        return "\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}").collect())
+def current_versions(manifest: DataFrame) -> DataFrame:
+    """(name, version, rows, digest) that the last step of each table made current; a table that was taken back has a null version."""
+    return manifest.groupBy("name").agg(F.max_by(F.struct("version", "rows", "digest"), "step").alias("m")).select("name", "m.*")
 
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.at(name), True)
 
+def prunable_versions(manifest: DataFrame, keep: int) -> DataFrame:
+    """(name, version) that was current after none of the last `keep` steps."""
+    numbered = manifest.withColumn("last", F.max("step").over(Window.partitionBy()))  # a manifest has a row for each change of a table
+    since = F.col("last") - (keep - 1)
+    before = numbered.filter(F.col("step") <= since).groupBy("name").agg(F.max_by("version", "step").alias("version"))
+    needed = before.unionByName(numbered.filter(F.col("step") > since).select("name", "version"))
+    return manifest.select("name", "version").filter("version is not null").distinct().join(needed, ["name", "version"], "left_anti")
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
 
-    def journal(self) -> list[dict]:
-        """Committed records, oldest first."""
-        return [json.loads(self.files.text(f"_journal/{n}")) for n in self.files.list("_journal") if n.endswith(".json")]
+def stray_versions(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the (name, version) that are found in storage, those that no step names, as a stopped update leaves them."""
+    return found.join(manifest.select("name", "version"), ["name", "version"], "left_anti")
 
-    def current(self) -> dict[str, str]:
-        """Version folder of every table."""
-        done = self.journal()
-        return done[-1]["tables"] if done else {}
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.files.root}/{self.current()[table]}")
+class Versions:
+    """Tables below one folder, read and published through the manifest."""
 
-    def update(self, tables: dict[str, DataFrame], checks: Sequence[Callable[[dict[str, DataFrame]], None]] = (), note: str = "") -> bool:
-        """Writes new versions, checks all tables as they would be, and commits. False, and nothing changed, if no table differs."""
-        old, number = self.current(), len(self.journal())
-        changed = {n: df for n, df in tables.items() if n not in old or not same_rows(self.read(n), df)}
-        if not changed:
-            return False
-        new = dict(old)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def manifest(self) -> DataFrame:
         try:
-            for n, df in changed.items():
-                new[n] = f"{n}/v{number}"
-                df.write.mode("overwrite").parquet(f"{self.files.root}/{new[n]}")
-            staged = {n: self.spark.read.parquet(f"{self.files.root}/{v}") for n, v in new.items()}
-            for check in checks:
-                check(staged)
-        except Exception:
-            for n in changed:
-                self.files.delete(f"{n}/v{number}")
-            raise
-        self.files.put(f"_journal/{number:08d}.json", json.dumps({"tables": new, "changed": sorted(changed), "note": note}, sort_keys=True))
-        return True
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], MANIFEST)
+
+    def path(self, name: str, version: int) -> str:
+        return f"{self.root}/tables/{name}/v{version}"
+
+    def read(self, name: str) -> DataFrame:
+        row = current_versions(self.manifest()).filter(F.col("name") == name).first()
+        if row is None or row.version is None:
+            raise KeyError(name)
+        return self.spark.read.parquet(self.path(name, row.version))
+
+    def publish(self, tables: dict[str, DataFrame], checks: Sequence[Callable[[dict[str, DataFrame]], None]] = (), note: str = "") -> list[str]:
+        """Writes the tables that differ as new versions, checks all tables as they would be, and then makes them current.
+
+        Gives the names that changed. Readers see the whole step or none: a step counts from its manifest rows on, written in one
+        file at the end. A check that raises leaves everything as it was; its folders are stray.
+        """
+        spark, manifest = self.spark, self.manifest()
+        now = {r.name: r for r in current_versions(manifest).filter("version is not null").collect()}  # a row for each table
+        facts = {n: content_digest(df).first() for n, df in tables.items()}
+        changed = [n for n in tables if n not in now or now[n].digest != facts[n].digest]
+        if not changed:
+            return []
+        step = (manifest.agg(F.max("step")).first()[0] or 0) + 1
+        for n in changed:
+            tables[n].write.mode("overwrite").parquet(self.path(n, step))
+        staged = {n: spark.read.parquet(self.path(n, step if n in changed else now[n].version)) for n in {*now, *changed}}
+        for check in checks:
+            check(staged)
+        rows = [(step, n, step, facts[n].rows, facts[n].digest, note) for n in changed]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        return changed
 
     def undo(self) -> None:
-        """Commits the state before the last update anew; nothing is lost."""
-        done = self.journal()
-        if len(done) < 2:
-            raise ValueError("there is nothing to go back to")
-        self.files.put(f"_journal/{len(done):08d}.json", json.dumps({"tables": done[-2]["tables"], "changed": done[-1]["changed"], "note": "undo"}, sort_keys=True))
-
-    def recover(self) -> list[str]:
-        """Removes versions that no record names, as an interrupted update leaves them."""
-        named = {v for r in self.journal() for v in r["tables"].values()}
-        stray = [f"{t}/{v}" for t in self.files.list("") if not t.startswith("_") for v in self.files.list(t) if f"{t}/{v}" not in named]
-        for name in stray:
-            self.files.delete(name)
-        return stray
-
-    def prune(self, keep: int = 10) -> list[str]:
-        """Removes versions that none of the last `keep` records names."""
-        named = {v for r in self.journal()[-keep:] for v in r["tables"].values()}
-        old = [v for v in sorted({v for r in self.journal() for v in r["tables"].values()} - named) if self.files.fs.exists(self.files.at(v))]
-        for name in old:
-            self.files.delete(name)
-        return old
-
-    def cached(self, key: str, compute: Callable[[], DataFrame]) -> DataFrame:
-        """The stored result of this key, computed and stored if it isn't there. A key should name the inputs' versions."""
-        path = f"_cache/{key}"
-        if not self.files.fs.exists(self.files.at(f"{path}/_SUCCESS")):
-            compute().write.mode("overwrite").parquet(f"{self.files.root}/{path}")
-        return self.spark.read.parquet(f"{self.files.root}/{path}")
+        """A new step with the versions from before the last one; nothing is lost."""
+        manifest = self.manifest()
+        last = manifest.agg(F.max("step")).first()[0]
+        if last is None:
+            raise ContractError("there is nothing to go back to")
+        touched = manifest.filter(F.col("step") == last).select("name")
+        old = current_versions(manifest.filter(F.col("step") < last))
+        back = touched.join(old, "name", "left").select(F.lit(last + 1).alias("step"), "name", "version", "rows", "digest", F.lit("undo").alias("note"))
+        self.spark.createDataFrame(back.collect(), MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")  # a row for each table of one step
+
+    def found(self) -> DataFrame:
+        """(name, version) of the folders that are there, from the listing of their files."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.root}/tables").select("path")
+        part = lambda i: F.regexp_extract("path", r"/tables/([^/]+)/v(\d+)/[^/]+$", i)
+        return files.select(part(1).alias("name"), part(2).cast("bigint").alias("version")).distinct()
+
+    def rebuild(self, steps: Sequence[tuple[str, Callable[[Versions], DataFrame]]]) -> list[str]:
+        """Publishes derived tables one after another, each from what is current by then; the first failure stops the rest."""
+        return [n for name, make in steps for n in self.publish({name: make(self)}, note=f"rebuild {name}")]
+
+    def cached(self, kind: str, inputs: dict[str, DataFrame], compute: Callable[[], DataFrame]) -> DataFrame:
+        """The stored result of this kind for inputs of this content; computed and published if there is none."""
+        name = f"cache-{content_key(kind, inputs)}"
+        try:
+            return self.read(name)
+        except KeyError:
+            self.publish({name: compute()}, note=kind)
+            return self.read(name)
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Equal as multisets: count and sum of row hashes, by two hash seeds, of equally named columns."""
-    if sorted(a.dtypes) != sorted(b.dtypes):
-        return False
-    names = sorted(a.columns)
-    digest = lambda df: tuple(df.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(s), *names).cast("decimal(38,0)")) for s in (1, 2)]).first())
-    return digest(a) == digest(b)
+def content_key(kind: str, inputs: dict[str, DataFrame]) -> str:
+    """A key that changes when the kind or the content of any input does: from one digest row for each input."""
+    parts = [kind, *[f"{n}={content_digest(df).first().digest}" for n, df in sorted(inputs.items())]]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+def change_map(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) of two listings (path, sha256): added, removed, changed or same."""
+    both = before.select("path", F.col("sha256").alias("_b")).join(after.select("path", F.col("sha256").alias("_a")), "path", "full_outer")
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_b") != F.col("_a"), "changed").otherwise("same")
+    return both.select("path", change.alias("change"))
+
+
+def result_index(known: DataFrame, files: DataFrame, fields: str) -> DataFrame:
+    """The index of saved results (path, sha256, and the fields of their JSON): entries of unchanged files are kept, the others read anew.
+
+    files: (path, content). Files that are no JSON of these fields, or lack the first of them, have no entry; entries of files that are gone go.
+    """
+    hashed = files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.col("content").cast("string").alias("text"))
+    kept = known.join(hashed.select("path", "sha256"), ["path", "sha256"], "left_semi")
+    fresh = hashed.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti").select("path", "sha256", F.from_json("text", fields).alias("j"))
+    read = fresh.select("path", "sha256", "j.*")
+    first = next(c for c in read.columns if c not in ("path", "sha256"))
+    return kept.unionByName(read.filter(F.col(first).isNotNull()))
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines; a NaN or an infinity anywhere raises before anything is written."""
+    bad = F.lit(False)
+    for c, t in df.dtypes:
+        if t in ("double", "float"):
+            bad = bad | F.coalesce(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(False))
+    require(df.filter(bad), "numbers that JSON lacks")
+    df.write.mode(mode).json(path)
 
 
 def append_ledger(ledger: DataFrame, new: DataFrame, chain: str, order: str, payload: Sequence[str], deadline: Column | None = None) -> DataFrame:

@@ -95,6 +95,31 @@ def fit_calibrated(df: DataFrame, kind: str, numeric: Sequence[str], categorical
     return Model(model.pre, model.stages, (float(line.coefficients[0]), float(line.intercept)))
 
 
+class Formula:
+    """A model that is an expression of the columns: baselines such as one half, or a rating's expectation."""
+
+    def __init__(self, probability: Column):
+        self.probability = probability
+
+    def score(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        return df.withColumn(name, self.probability)
+
+
+def block_losses(scored: DataFrame, models: Sequence[str], label: str = "label", block: str = "block", clip: float = 1e-6) -> DataFrame:
+    """(model, block, loss): mean log loss of each model's probability column in each block of labelled rows."""
+    y = F.col(label).cast("double")
+    p = lambda m: F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col(m)))
+    items = F.array(*[F.struct(F.lit(m).alias("model"), (-(y * F.ln(p(m)) + (1 - y) * F.ln(1 - p(m)))).alias("loss")) for m in models])
+    long = scored.filter(y.isNotNull()).select(block, F.explode(items).alias("i")).select(block, "i.*")
+    return long.groupBy("model", block).agg(F.avg("loss").alias("loss"))
+
+
+def inverse_loss_weights(losses: DataFrame) -> DataFrame:
+    """(model, weight): one over each model's mean loss over its blocks; weights add up to 1."""
+    inverse = losses.groupBy("model").agg((1 / F.avg("loss")).alias("w"))
+    return inverse.crossJoin(F.broadcast(inverse.agg(F.sum("w").alias("total")))).select("model", (F.col("w") / F.col("total")).alias("weight"))  # a row for each model
+
+
 class Ensemble:
     """Weighted mean of models' probabilities."""
 
@@ -111,19 +136,21 @@ class Ensemble:
 
 def fit_ensemble(df: DataFrame, kinds: Sequence[str], numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label", day: str = "event_day", blocks: int = 4) -> Ensemble:
     """Models weighted by one over their mean log loss on later blocks of days, then fitted again on everything."""
-    cut = df.join(F.broadcast(date_blocks(df, blocks, day)), day)
-    losses: dict[str, list[float]] = {k: [] for k in kinds}
+    rows = df.persist()  # fitted on many times; rows that an executor loses are computed again
+    cut = rows.join(F.broadcast(date_blocks(rows, blocks, day)), day)
+    parts = []
     for b in range(2, blocks + 1):
-        train, test = cut.filter(F.col("block") < b), cut.filter((F.col("block") == b) & F.col(label).isNotNull())
+        train, scored = cut.filter(F.col("block") < b), cut.filter((F.col("block") == b) & F.col(label).isNotNull())
         for k in kinds:
-            p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("_p")))
-            y = F.col(label).cast("double")
-            losses[k].append(fit(train, k, numeric, categorical, label).score(test, "_p").agg(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))).first()[0])
-    weights = {k: len(v) / sum(v) for k, v in losses.items()}
-    return Ensemble({k: fit_calibrated(df, k, numeric, categorical, label, day) for k in kinds}, weights)
+            scored = fit(train, k, numeric, categorical, label).score(scored, f"_p_{k}")
+        parts.append(block_losses(scored, [f"_p_{k}" for k in kinds], label))
+    weights = {r.model.removeprefix("_p_"): r.weight for r in inverse_loss_weights(reduce(DataFrame.unionByName, parts)).collect()}  # a row for each kind
+    out = Ensemble({k: fit_calibrated(rows, k, numeric, categorical, label, day) for k in kinds}, weights)
+    rows.unpersist()
+    return out
 
 
-def score_both_ways(model: Model | Ensemble, pairs: DataFrame, name: str = "probability") -> DataFrame:
+def score_both_ways(model: Model | Ensemble | Formula, pairs: DataFrame, name: str = "probability") -> DataFrame:
     """Pairs with the mean of the model's probability for side a and one minus its probability with the sides exchanged."""
     there = model.score(pairs, "_there")
     back = model.score(swapped(pairs), "_back").select("contest_id", "_back")

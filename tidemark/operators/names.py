@@ -27,18 +27,45 @@ def resolve(requests: DataFrame, catalog: DataFrame, name: str = "name", key: st
     return joined.select(*requests.columns, F.when(F.col("_n") == 1, F.col("_id")).alias(key), status.alias("status"))
 
 
+def _rare_first(names: DataFrame, counts: DataFrame, keep: Column) -> DataFrame:
+    """names (_key and others) with `word`: of each name's distinct words the `keep` rarest ones, by how many catalog names have them."""
+    words = names.withColumn("word", F.explode(F.array_distinct(F.split("_key", " "))))
+    ranked = words.join(counts, "word", "left").groupBy(*names.columns).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("_ws"))  # a name's words
+    return ranked.select(*names.columns, F.explode(F.slice("_ws", 1, F.greatest(F.lit(1), keep(F.size("_ws"))))).alias("_w")).select(*names.columns, F.col("_w.word").alias("word"))
+
+
+def _word_counts(catalog: DataFrame, name: str) -> DataFrame:
+    return catalog.select(name_key(F.col(name)).alias("k")).distinct().select(F.explode(F.array_distinct(F.split("k", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_suggestions(requests: DataFrame, catalog: DataFrame, least: float = 0.0, n: int = 3, name: str = "name") -> DataFrame:
-    """(request, name, jaccard): the n catalog names with most words in common. Only names that share a word are compared."""
-    split = lambda df, a: df.select(name_key(F.col(name)).alias(a), F.col(name).alias(f"{a}_name")).distinct().withColumn("word", F.explode(F.array_distinct(F.split(a, " "))))
-    pairs = split(requests, "q").join(split(catalog, "c"), "word").select("q", "c", "q_name", "c_name").distinct()
+    """(request, name, jaccard): the n catalog names with most words in common, where more than `least` of all words are.
+
+    Names are compared that share one of their rarest words: with k words, k - least * k + 1 of them cannot all be missed. So a common
+    word meets few names unless least is 0.
+    """
+    counts = _word_counts(catalog, name)
+    keep = lambda k: k - F.ceil(k * F.lit(least)).cast("int") + 1
+    side = lambda df, a: _rare_first(df.select(name_key(F.col(name)).alias("_key"), F.col(name).alias(f"{a}_name")).distinct(), counts, keep).withColumnRenamed("_key", a)
+    pairs = side(requests, "q").join(side(catalog, "c"), "word").select("q", "c", "q_name", "c_name").distinct()
     scored = pairs.withColumn("jaccard", token_jaccard(F.col("q"), F.col("c"))).filter(F.col("jaccard") > least)
     w = Window.partitionBy("q_name").orderBy(F.desc("jaccard"), "c_name")
     return scored.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).select(F.col("q_name").alias("request"), F.col("c_name").alias(name), "jaccard")
 
 
 def close_matches(catalog: DataFrame, request: str, cutoff: float = 0.6, n: int = 3, name: str = "name") -> DataFrame:
-    """The n names most similar to one request, over the whole catalog, by similarity and then name."""
-    scored = catalog.select(name).distinct().withColumn("ratio", close_ratio(name_key(F.col(name)), name_key(F.lit(request))))
+    """The n names most similar to one request, over the whole catalog, by similarity and then name.
+
+    Twice the letters in common (each as often as both have it) over all letters bounds the similarity, so only names that can reach the
+    cutoff go to the Python function.
+    """
+    plain = catalog.sparkSession.range(1).select(name_key(F.lit(request))).first()[0]
+    key = name_key(F.col(name))
+    common = F.lit(0)
+    for letter in sorted(set(plain)):
+        common = common + F.least(F.lit(plain.count(letter)), F.length(key) - F.length(F.replace(key, F.lit(letter), F.lit(""))))
+    possible = catalog.select(name).distinct().filter(2 * common >= F.lit(cutoff) * (F.length(key) + len(plain)) - 1e-9)
+    scored = possible.withColumn("ratio", close_ratio(key, F.lit(plain)))
     return scored.filter(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), name).limit(n)
 
 
@@ -70,12 +97,12 @@ def resolve_tokens(requests: DataFrame, catalog: DataFrame, name: str = "name")
     """requests with `canonical` and `how`: an equal key; else the only name whose words hold all of the request's; else the one
     name with the greatest share of common words, of which it needs all but one and two at least. Otherwise null and unresolved.
 
-    Only names that share a word are compared.
+    A name with all but one of the request's words has one of its two rarest ones: only such names are compared.
     """
     words = lambda c: F.array_distinct(F.split(c, " "))
-    q = requests.select(F.col(name).alias("_q"), name_key(F.col(name)).alias("_qk")).distinct()
+    q = _rare_first(requests.select(F.col(name).alias("_q"), name_key(F.col(name)).alias("_key")).distinct(), _word_counts(catalog, name), lambda k: F.lit(2))
     c = catalog.select(F.col(name).alias("_c"), name_key(F.col(name)).alias("_ck")).distinct()
-    pairs = q.withColumn("_w", F.explode(words(F.col("_qk")))).join(c.withColumn("_w", F.explode(words(F.col("_ck")))), "_w").drop("_w").distinct()
+    pairs = q.withColumnRenamed("_key", "_qk").join(c.withColumn("word", F.explode(words(F.col("_ck")))), "word").drop("word").distinct()
     common = F.size(F.array_intersect(words(F.col("_qk")), words(F.col("_ck"))))
     n = F.size(words(F.col("_qk")))
     facts = pairs.withColumns({"_all": common == n, "_equal": F.col("_qk") == F.col("_ck"), "_j": token_jaccard(F.col("_qk"), F.col("_ck")), "_ok": common >= F.greatest(F.lit(2), n - 1)})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SNAPSHOT = "contest_id bigint, event_day date, grp string, entity_a bigint, entity_b bigint, rating_a double, rating_b double, updates_a bigint, updates_b bigint"
@@ -69,10 +69,11 @@ def side_ratings(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("contest_id", "event_day", "grp", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select("contest_id", "event_day", "grp", "s.*")
 
 
-def rating_path(snapshots: DataFrame) -> DataFrame:
-    """Each entity's points (day, rating, opponent_rating) in order, as one array."""
-    points = F.array_sort(F.collect_list(F.struct("event_day", "contest_id", "rating", "opponent_rating")))
-    return side_ratings(snapshots).groupBy("entity_id").agg(points.alias("points"))
+def rating_series(sides: DataFrame, cutoff: Column, key: str = "entity_id") -> DataFrame:
+    """(key, place, event_day, contest_id, rating, opponent_rating): each entity's points strictly before the cutoff, in order, one for each contest."""
+    old = sides.filter(F.col("event_day") < cutoff).groupBy(key, "contest_id").agg(F.min(F.struct("event_day", "rating", "opponent_rating")).alias("p")).select(key, "contest_id", "p.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("event_day", "contest_id"))
+    return old.select(key, place.cast("bigint").alias("place"), "event_day", "contest_id", "rating", "opponent_rating")
 
 
 def final_ratings(obs: DataFrame, by_group: bool = True, k: float = 32.0, start: float = 1500.0) -> DataFrame:

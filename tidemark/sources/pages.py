@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clean_text, height_cm, parse_of_pair, reach_cm
+
 CELLS = "array<struct<table:int,row:int,header:boolean,cells:array<string>>>"
 
 
@@ -124,3 +126,35 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """(id, href, text) of the links, in JVM expressions."""
     found = F.transform(F.regexp_extract_all(html_col, F.lit(r'(?s)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), 1), lambda x: F.struct(F.regexp_extract(x, r'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"\s+", " ")).alias("text")))
     return pages.select(id_col, F.explode(found).alias("a")).select(id_col, "a.href", "a.text")
+
+
+def listed_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(url, name, day) of the table rows that hold a link and a date like 'March 2, 1996': each URL once, from its first page and row. JVM expressions."""
+    rows = F.regexp_extract_all(html_col, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1)
+    row = pages.select(id_col, F.posexplode(rows).alias("_at", "_row"))
+    link = r'(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    day = F.try_to_date(F.nullif(F.regexp_extract("_row", r"([A-Z][a-z]+ \d{1,2}, \d{4})", 1), F.lit("")), "MMMM d, yyyy")
+    found = row.select(id_col, "_at", F.regexp_extract("_row", link, 1).alias("url"), clean_text(F.regexp_replace(F.regexp_extract("_row", link, 2), "<[^>]*>", "")).alias("name"), day.alias("day"))
+    first = found.filter((F.col("url") != "") & F.col("day").isNotNull()).groupBy("url").agg(F.min(F.struct(id_col, "_at", "name", "day")).alias("f"))
+    return first.select("url", "f.name", "f.day")
+
+
+def listed_contests(rows: DataFrame, fields: list[str], id_col: str = "page_id") -> DataFrame:
+    """(id, table, row, fields): table rows with as many cells as there are fields; header rows and others are left out."""
+    kept = rows.filter((F.size("cells") == len(fields)) & ~F.col("header"))
+    return kept.select(id_col, "table", "row", *[F.col("cells")[i].alias(f) for i, f in enumerate(fields)])
+
+
+def stat_sides(contests: DataFrame, names: str, stats: list[str], keys: list[str]) -> DataFrame:
+    """(keys, side, name, <stat>_made, <stat>_tried): one row for each side of rows whose cells hold a value for each, 'x of y' or a number."""
+    parts = [F.struct(F.lit(i).alias("side"), paired(F.col(names))[i].alias("name"), *[x.alias(f"{s}_{k}") for s in stats for k, x in (("made", parse_of_pair(paired(F.col(s))[i])["made"]), ("tried", parse_of_pair(paired(F.col(s))[i])["tried"]))]) for i in (0, 1)]
+    return contests.select(*keys, F.explode(F.array(*parts)).alias("s")).select(*keys, "s.*")
+
+
+def profiles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, height_cm, reach_cm, stance, born) from the labelled items of a page's lists; what is missing or malformed is null."""
+    items = F.transform(F.regexp_extract_all(html_col, F.lit(r"(?s)<li[^>]*>(.*?)</li>"), 1), lambda x: clean_text(F.regexp_replace(x, "<[^>]*>", " ")))
+    found = pages.select(id_col, labelled(F.array_join(items, "\n")).alias("f"))
+    field = lambda k: F.try_element_at("f", F.lit(k))
+    born = F.try_to_date(F.nullif(field("dob"), F.lit("")), "MMM d, yyyy")
+    return found.select(id_col, height_cm(field("height")).alias("height_cm"), reach_cm(field("reach")).alias("reach_cm"), F.nullif(field("stance"), F.lit("")).alias("stance"), born.alias("born"))
