@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import capture, compare, evaluate, models, names, ratings
+from ..operators import capture, compare, evaluate, models, names
 from ..sources import pages, tables
 from ..streaming import twins
 from .contests import load, observations
@@ -83,7 +83,7 @@ def table_facts(spark: SparkSession, d: str) -> DataFrame:
     return tables.table_facts(load(spark, d, "orders"), "orders", "o_orderdate").drop("columns")
 
 
-@query()
+@query(with_obs("f AS (SELECT contest_id, list(struct_pack(attempts := attempts, entity_id := entity_id, result := result, successes := successes) ORDER BY attempts, entity_id, result, successes) AS l FROM obs GROUP BY 1) SELECT contest_id, sha256(CAST(to_json(l) AS VARCHAR)) AS sha FROM f"))
 def contest_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return capture.contest_fingerprints(observations(spark, d), ["entity_id", "attempts", "successes", "result"])
 
@@ -126,14 +126,6 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return twins.run_available(twins.distinct_events(e.unionByName(e)).select("event_id", "user_id"), "tidemark_dedupe")
 
 
-@query()
-def rating_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """Frozen overall ratings as forecasts, scored."""
-    r = compare.with_probability(ratings.rating_snapshots(observations(spark, d), by_group=False))
-    won = ratings.decisive_pairs(observations(spark, d)).select("contest_id", F.col("score_a").alias("label"))
-    return evaluate.metrics(r.join(won, "contest_id")).select("n", *[r6(c).alias(c) for c in ("accuracy", "log_loss", "brier", "auc")])
-
-
 NUMERIC = [f"{f}_diff" for f in PAIR_FEATURES]
 
 

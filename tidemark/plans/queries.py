@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import capture, contracts, evaluate, history, pairs, ratings, shrinkage
+from ..operators import capture, contracts, evaluate, history, pairs, shrinkage
 from .contests import OBSERVATIONS_SQL, load, observations
 
 QUERIES: dict = {}
@@ -27,8 +27,9 @@ def r6(x: str | Column) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6)
 
 
-def with_obs(body: str) -> str:
-    return f"WITH {OBSERVATIONS_SQL}, {body}" if body.lstrip()[:6].upper() != "SELECT" else f"WITH {OBSERVATIONS_SQL} {body}"
+def with_obs(body: str, recursive: bool = False) -> str:
+    start = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{start} {OBSERVATIONS_SQL}, {body}" if body.lstrip()[:6].upper() != "SELECT" else f"{start} {OBSERVATIONS_SQL} {body}"
 
 
 ID = ("contest_id", "entity_id")
@@ -99,9 +100,19 @@ def mirror_rows(spark: SparkSession, d: str) -> DataFrame:
     return doubles(pairs.mirrored(career_pairs(spark, d)))
 
 
-@query(with_obs(f"{_PAIRS} SELECT contest_id, CAST(2 AS BIGINT) AS n_rows, 0 AS sign_errors, 0 AS swap_errors, 0 AS label_errors FROM pairs"))
+_LOST, _BENT, _RELABELLED = 97, 89, 83  # contests by their id: the mirror row is lost, its sides are not exchanged, its label is side a's
+
+
+@query(with_obs(f"""{_PAIRS}, f AS (SELECT *, contest_id % {_LOST} = 0 AS lost, contest_id % {_BENT} = 0 AND contest_id % {_LOST} <> 0 AS bent, contest_id % {_RELABELLED} = 0 AND contest_id % {_LOST} <> 0 AS relabelled FROM pairs)
+    SELECT contest_id, CAST(CASE WHEN lost THEN 1 ELSE 2 END AS BIGINT) AS n_rows, CASE WHEN lost THEN 5 WHEN bent AND wins_diff <> 0 THEN 1 ELSE 0 END AS sign_errors,
+        CASE WHEN lost THEN 12 WHEN bent AND wins_a <> wins_b THEN 2 ELSE 0 END AS swap_errors, CASE WHEN label IS NOT NULL AND (lost OR relabelled) THEN 1 ELSE 0 END AS label_errors FROM f"""))
 def mirror_audit(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.mirror_audit(pairs.mirrored(career_pairs(spark, d)))
+    """Both orientations of all contests; some are planted with faults."""
+    rows, k = pairs.mirrored(career_pairs(spark, d)), F.col("contest_id")
+    back = F.col("row_direction") == "b_minus_a"
+    bent = {"wins_a": F.col("wins_b"), "wins_b": F.col("wins_a"), "wins_diff": -F.col("wins_diff")}
+    faulty = rows.filter(~(back & (k % _LOST == 0))).withColumns({c: F.when(back & (k % _BENT == 0), v).otherwise(F.col(c)) for c, v in bent.items()})
+    return pairs.mirror_audit(faulty.withColumn("label", F.when(back & (k % _RELABELLED == 0), 1 - F.col("label")).otherwise(F.col("label"))))
 
 
 _DIFFS = " UNION ALL ".join(f"SELECT contest_id, '{f}_diff' AS feature, {f}_diff AS diff FROM pairs" for f in PAIR_FEATURES)
@@ -168,11 +179,13 @@ def group_experience(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_obs("""g AS (SELECT entity_id, event_day, arg_max(grp, contest_id) AS g FROM obs GROUP BY ALL)
-    SELECT o.contest_id, o.entity_id, g.g AS previous_grp, CASE WHEN g.g IS NULL THEN 'debut_or_unknown' WHEN o.grp = g.g THEN 'same' WHEN o.grp > g.g THEN 'up' ELSE 'down' END AS movement
+    SELECT o.contest_id, o.entity_id, g.g AS previous_grp, CASE WHEN g.g IS NULL THEN 'debut_or_unknown' WHEN o.grp = g.g THEN 'same' WHEN '4-NOT SPECIFIED' IN (o.grp, g.g) THEN 'changed_unknown_direction'
+        WHEN left(o.grp, 1) < left(g.g, 1) THEN 'up' ELSE 'down' END AS movement
     FROM obs o ASOF LEFT JOIN g ON o.entity_id = g.entity_id AND o.event_day > g.event_day""")
 )
 def group_movement(spark: SparkSession, d: str) -> DataFrame:
-    return history.previous_group(observations(spark, d)).select(*ID, "previous_grp", "movement")
+    ranks = {"1-URGENT": 4, "2-HIGH": 3, "3-MEDIUM": 2, "5-LOW": 1}
+    return history.previous_group(observations(spark, d), ranks).select(*ID, "previous_grp", "movement")
 
 
 @query(with_obs("SELECT contest_id, entity_id, coalesce(sum(attempts) OVER w, 0) AS prior_attempts, coalesce(sum(successes) OVER w, 0) AS prior_successes FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY event_day, contest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
@@ -228,7 +241,7 @@ def prior_ladder(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_obs(f"""{_PRIOR} SELECT contest_id, entity_id, round(CASE WHEN own_den > 0 THEN own_num / own_den END, 6) AS raw_rate, round((own_num + 50 * prior) / (own_den + 50), 6) AS fixed_rate,
     round((own_num + greatest(50.0/3, least(50.0, 2500.0 / (own_den + 50))) * prior) / (own_den + greatest(50.0/3, least(50.0, 2500.0 / (own_den + 50)))), 6) AS scaled_rate,
-    CASE WHEN own_den > 0 THEN prior_source ELSE 'prior_only' END AS source_label FROM pr""")
+    CASE WHEN own_den > 0 AND prior_source IN ('group', 'global') THEN prior_source ELSE 'prior_only' END AS source_label FROM pr""")
 )
 def smoothed_rates(spark: SparkSession, d: str) -> DataFrame:
     out = shrinkage.smoothing_family(observations(spark, d), "successes", "attempts", 50, 500, 0.4)
@@ -253,7 +266,7 @@ def population_moments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_obs(f"""{_MOMENTS}, q AS (SELECT *, CASE WHEN sum_n > 0 THEN sum_x / sum_n END AS p FROM mo),
-    z AS (SELECT *, CASE WHEN p * (1 - p) > 0 AND sum_n - sum_n2 / sum_n - (entities - 1) <> 0 THEN ((sum_x2n - sum_n * p * p) / (p * (1 - p)) - (entities - 1)) / (sum_n - sum_n2 / sum_n - (entities - 1)) END AS rho FROM q)
+    z AS (SELECT *, CASE WHEN p * (1 - p) > 0 AND sum_n - sum_n2 / sum_n - (entities - 1) > 0 THEN ((sum_x2n - sum_n * p * p) / (p * (1 - p)) - (entities - 1)) / (sum_n - sum_n2 / sum_n - (entities - 1)) END AS rho FROM q)
     SELECT event_day, round(CASE WHEN entities < 30 OR rho IS NULL THEN 50.0 WHEN rho <= 0 THEN 500.0 WHEN rho >= 1 THEN 5.0 ELSE greatest(5.0, least(500.0, (1 - rho) / rho)) END, 3) AS strength FROM z""")
 )
 def mom_strength_by_day(spark: SparkSession, d: str) -> DataFrame:
@@ -262,11 +275,6 @@ def mom_strength_by_day(spark: SparkSession, d: str) -> DataFrame:
     return m.select("event_day", F.round(k, 3).alias("strength"))
 
 
-@query()
-def rating_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.rating_snapshots(observations(spark, d)).withColumns({"rating_a": r6("rating_a"), "rating_b": r6("rating_b")})
-
-
 def forecasts(spark: SparkSession, d: str) -> DataFrame:
     """Both orientations of each contest with the win expectation that prior win counts give."""
     rows = pairs.mirrored(career_pairs(spark, d))
@@ -435,10 +443,14 @@ def retention_budget(spark: SparkSession, d: str) -> DataFrame:
     return capture.retain_newest(o, [F.desc("o_orderdate"), F.desc("o_orderkey")], "o_totalprice", 5, 300000, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS reason WHERE false")
+@query("""WITH e AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), k AS (SELECT * FROM e WHERE event_id % 211 <> 5)
+    SELECT event_id, CASE WHEN event_id % 101 = 7 THEN 'content' ELSE 'link' END AS reason FROM k WHERE event_id % 101 = 7 OR before % 211 = 5""")
 def ledger_verify(spark: SparkSession, d: str) -> DataFrame:
+    """A hash-chained ledger in which some payloads were forged and some rows taken out."""
     e = load(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    return capture.broken_links(capture.chained(e, "user_id", "event_id", ["event_type", "value"]), "user_id", "event_id", ["event_type", "value"]).select("event_id", "reason")
+    ledger = capture.chained(e, "user_id", "event_id", ["event_type", "value"]).filter("event_id % 211 <> 5")
+    forged = ledger.withColumn("event_type", F.when(F.col("event_id") % 101 == 7, "forged").otherwise(F.col("event_type")))
+    return capture.broken_links(forged, "user_id", "event_id", ["event_type", "value"]).select("event_id", "reason")
 
 
 # scalars and text
