@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,17 +48,21 @@ def day_frozen_history(events: DataFrame, key: str = "user_id", ts: str = "ts")
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, day, day_n, day_total = state.get if state.exists else (0, 0.0, "", 0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["day", "event_id"])  # one key's rows of one micro-batch
-        out = []
-        for r in rows.itertuples():
-            d = r.day.isoformat()
-            if d < day:
-                continue
-            if d > day:
-                n, total, day, day_n, day_total = n + day_n, total + day_total, d, 0, 0.0
-            out.append((keys[0], r.event_id, r.day, n, total))
-            day_n, day_total = day_n + 1, day_total + (r.value if r.value == r.value else 0.0)
-        state.update((n, total, day, day_n, day_total))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "day", "events_before", "value_before"])
+        rows = rows.assign(iso=rows["day"].map(lambda d: d.isoformat()), value=rows["value"].fillna(0.0))
+        rows = rows[rows["iso"] >= day]
+        if len(rows):
+            days = rows.groupby("iso")["value"].agg(["size", "sum"])
+            if days.index[0] == day:  # the open day goes on
+                days.loc[day] += (day_n, day_total)
+            else:
+                n, total = n + day_n, total + day_total
+            opening = n + days["size"].cumsum() - days["size"], total + days["sum"].cumsum() - days["sum"]
+            n, total, day, (day_n, day_total) = int(opening[0].iloc[-1]), float(opening[1].iloc[-1]), days.index[-1], days.iloc[-1]
+            rows = rows.assign(events_before=rows["iso"].map(opening[0]).astype("int64"), value_before=rows["iso"].map(opening[1]), user_id=keys[0])
+        else:
+            rows = rows.assign(events_before=pd.Series(dtype="int64"), value_before=pd.Series(dtype="float64"), user_id=keys[0])
+        state.update((n, total, day, int(day_n), float(day_total)))
+        yield rows[["user_id", "event_id", "day", "events_before", "value_before"]]
 
     rows = events.select(F.col(key).alias("user_id"), "event_id", F.col(ts).cast("timestamp").cast("date").alias("day"), "value").filter("day is not null")
     return rows.groupBy("user_id").applyInPandasWithState(step, HISTORY, "n bigint, total double, day string, day_n bigint, day_total double", "append", GroupStateTimeout.NoTimeout)
@@ -82,9 +87,11 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
 
 
 def shared_root(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share. A session without one gets a temporary folder, as in tests."""
+    """A new folder below the one that all executors share. Without one, a session in one process gets a temporary folder, as in tests; a cluster's raises."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         path = spark.sparkContext.getCheckpointDir()
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
