@@ -193,63 +193,66 @@ def test_keep_one_per_component(corpus):
 # repeated passages
 
 
-def test_repeated_passages(corpus, empty):
-    df, rows = corpus
-    least = 40
-    where, texts = defaultdict(set), defaultdict(list)
-    for i, t in rows:
-        if i is not None:
-            texts[i].append(words(t))
-    for i, lists in texts.items():
-        for w in lists:
-            for k in range(len(w) - least + 1):
-                where[tuple(w[k : k + least])].add(i)
-    want = defaultdict(set)
+def brute_passages(texts, least):
+    """By document: the words of windows kept here, and those of windows kept elsewhere; and the windows that occur more than once."""
+    where = defaultdict(set)
     for i, lists in texts.items():
         for w in lists:
             for k in range(len(w) - least + 1):
-                if len(where[tuple(w[k : k + least])]) > 1:
-                    want[i] |= set(range(k, k + least))
-    got = defaultdict(set)
-    raw = {i: t for i, t in rows if i is not None}
+                where[tuple(w[k : k + least])].add((i, k))
+    repeated = {w: min(places) for w, places in where.items() if len(places) > 1}
+    here, elsewhere = defaultdict(set), defaultdict(set)
+    for w, first in repeated.items():
+        for i, k in where[w]:
+            (here if (i, k) == first else elsewhere)[i] |= set(range(k, k + least))
+    return here, elsewhere, repeated, where
+
+
+def check_passages(df, raw, least):
+    """raw: texts by id, each a list of the id's different texts."""
+    here, elsewhere, repeated, where = brute_passages({i: [words(t) for t in ts] for i, ts in raw.items()}, least)
+    kept, gone = defaultdict(set), defaultdict(set)
     for r in repeated_passages(df, least=least).collect():
-        got[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
-        piece = raw[r.doc_id].encode()[r.start_byte : r.end_byte].decode()
-        assert len(WORD.findall(piece)) == r.n_words
-    assert got == {k: v for k, v in want.items() if v}
+        span = set(range(r.start_word, r.start_word + r.n_words))
+        mine = kept if r.kept else gone
+        assert not span & mine[r.doc_id] and r.first_id <= r.doc_id and (r.first_id == r.doc_id or not r.kept)
+        mine[r.doc_id] |= span
+        if len(raw[r.doc_id]) == 1:
+            piece = (raw[r.doc_id][0] or "").encode()[r.start_byte : r.end_byte].decode()
+            assert len(WORD.findall(piece)) == r.n_words
+    assert kept == {i: x for i, x in here.items() if x}
+    assert {i: x for i, x in gone.items() if x} == {i: x - here[i] for i, x in elsewhere.items() if x - here[i]}
+    for w, (i, k) in repeated.items():
+        assert not set(range(k, k + least)) & gone[i]  # what is kept stays whole
+
+
+def test_repeated_passages(corpus, empty):
+    df, rows = corpus
+    raw = defaultdict(list)
+    for i, t in rows:
+        if i is not None and t not in raw[i]:
+            raw[i].append(t)
+    check_passages(df, raw, 40)
     assert repeated_passages(empty).count() == 0
 
 
 def test_repeated_passages_keep_each_window_once(spark):
-    """Copies that hold a passage of another document, and chains of overlaps: removal leaves each repeated window somewhere."""
+    """Copies that hold a passage of another document, chains of overlaps, repeats within one document, edits in the middle of copies."""
     rng, least = random.Random(21), 40
     a, b, c, d = (prose(rng, n, 10**6) for n in (60, 70, 90, 45))
     docs = {1: f"x {a}", 3: f"{b} {a} {c}", 5: f"{b} {a} {c}", 6: f"{c} {d}", 7: f"{a} {b} y {d}", 2: f"{d} {d} {a}", 9: b, 10: f"{c} {d} {a} {b}"}
+    docs |= {11: f"{a} z {a} q {a}", 12: "same " * 130, 13: f"{b}\t\n {c.upper()}", 14: "  ".join(c.split())}
     pool = [prose(rng, 25, 10**6) for _ in range(12)]
     docs |= {i: " ".join(rng.choice(pool) for _ in range(rng.randrange(2, 9))) for i in range(20, 50)}
+    long = prose(rng, 300, 10**6).split()
+    for i in range(60, 90):
+        v = list(long)
+        for _ in range(rng.randrange(4)):
+            v[rng.randrange(300)] = f"edit{i}"
+        docs[i] = " ".join(v[rng.randrange(20) : 300 - rng.randrange(20)])
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    split = {i: words(t) for i, t in docs.items()}
-    where = defaultdict(set)
-    for i, w in split.items():
-        for k in range(len(w) - least + 1):
-            where[tuple(w[k : k + least])].add(i)
-    gone, rows = defaultdict(set), repeated_passages(df, least=least).collect()
-    for r in rows:
-        assert len(WORD.findall(docs[r.doc_id].encode()[r.start_byte : r.end_byte].decode())) == r.n_words
-        if r.doc_id != r.first_id:
-            gone[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
-    left, want = set(), defaultdict(set)
-    for i, w in split.items():
-        later, first = set(), set()
-        for k in range(len(w) - least + 1):
-            owners, span = where[tuple(w[k : k + least])], set(range(k, k + least))
-            if not span & gone[i]:
-                left.add(tuple(w[k : k + least]))
-            if len(owners) > 1:
-                (first if min(owners) == i else later).update(span)
-        want[i] = later - first
-    assert {i: g for i, g in gone.items() if g} == {i: g for i, g in want.items() if g}
-    assert all(w in left for w, owners in where.items() if len(owners) > 1)
+    check_passages(df, {i: [t] for i, t in docs.items()}, least)
+    check_passages(df.repartition(7).withColumn("id", F.lit(1)).withColumn("hash", F.lit("x")), {i: [t] for i, t in docs.items()}, 50)
 
 
 # quality
@@ -396,6 +399,20 @@ def test_public_encoder_equals_the_tokenizer_file():
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_public_encoder_equals_the_tokenizer_file_on_whole_documents():
+    """All texts of a table of documents, in both encoders."""
+    public = pytest.importorskip("public_tokenizers")
+    import duckdb
+    from conftest import DATA
+    from tokenizers import Tokenizer
+
+    texts = [t for (t,) in duckdb.sql(f"SELECT DISTINCT text FROM '{DATA}/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    slow = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert len(texts) > 500
+    for text, ids in zip(texts, packing.public_bpe()(texts), strict=True):
+        assert ids.tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 # URL filter
 
 
