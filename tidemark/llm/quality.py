@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .features import BITS, descend, hashed_features, labelled_sample, sums
+from .features import BITS, descend, labelled_sample, quality_features, sums
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -83,12 +83,12 @@ def quality_scores(df: DataFrame, ratings: DataFrame, n_grades: int, accept: int
     names = [c for c in df.columns if c not in new]
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1))
-    x, at, grade = labelled_sample(docs, rated, "grade", sample)
+    x, at, grade = labelled_sample(docs, rated, "grade", sample, quality_features)
     model = df.sparkSession.sparkContext.broadcast(OrdinalModel.fit(x, at, grade.astype(np.int64), n_grades))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in slices(batches, text_col):
-            tails = model.value.tails(*hashed_features(data, offsets))
+            tails = model.value.tails(*quality_features(data, offsets))
             tail = tails[:, accept - 1]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], [*names, *new])
 
