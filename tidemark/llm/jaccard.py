@@ -281,7 +281,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when 100 * |A and B| >= threshold * |A or B| for their sets of distinct n-word shingles of the
     lower-cased (A-Z) text. Fewer than n words are one shingle. A null text, or one without words, has an empty set and
     links with nothing. Shingles and sets are 64-bit hashes. Null ids don't count as the smallest unless all are null;
-    repeated rows are linked with one another and each is returned. An empty table gives an empty result.
+    repeated rows are linked with one another and each is returned. Texts of any length are read whole; a document's set stays in
+    one row, 8 bytes a shingle. An empty table gives an empty result; other columns are ignored.
     """
     return _Join(df, id_col, text_col, n, threshold).result().withColumnRenamed("id", id_col)
 

@@ -291,7 +291,8 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Learns from rows where held_out isn't true (default: crc32(id as text) mod 5 is 0) and text and lang_col are not
     null, about `sample` of them. The prediction reads the text alone. A text that is null or has no letter is und, with
     score 0; so is every text if there is nothing to learn from. A null id counts as not held out; repeated rows give
-    repeated rows.
+    repeated rows; of languages with equal scores the first by name wins. Texts and words of any length are summed whole. An empty table
+    gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     stage = Stage(spark, "language")

@@ -84,7 +84,8 @@ def mixing_rates(df: DataFrame, labelled: DataFrame, targets: dict[str, float],
     with a floor (each rate is at least that), as many as the domain with the largest demand needs to have no rate below it;
     then members of several domains can make the exact targets unreachable, and the rates are the nearest in least squares.
     labelled has id_col and domain_col. A null or empty text has no tokens: its rate stays at its start, and matters to no sum.
-    Null and repeated ids are treated like any other row. The steps stop when the residual is within `close` of the total,
+    Null and repeated ids are treated like any other row; texts of any length are read whole, and other columns are ignored. An empty
+    table gives an empty result. The steps stop when the residual is within `close` of the total,
     or after `rounds`. The residual is scaled by the inverse root of the domains' Gram matrix, which makes 1 the right step length.
     """
     stage = Stage(df.sparkSession, "mixing")

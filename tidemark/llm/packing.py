@@ -198,8 +198,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     A document is its token ids and then end_id; a null or empty text is the end token alone. Only longer ones are
     cut, into pieces of `capacity` tokens of which the first takes the remainder. One row per piece: id, piece,
-    start, length, ids_crc32, sequence_id, offset. Rows with a null or repeated id are packed like any other.
-    An empty table gives an empty result.
+    start, length, ids_crc32, sequence_id, offset. Rows with a null or repeated id are packed like any other. Pieces of equal length
+    are exchangeable: which of them takes which place follows from their order in the input's tasks. Texts of any length are encoded whole.
+    An empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     stage = Stage(spark, "packing")

@@ -75,7 +75,8 @@ def quality_scores(df: DataFrame, ratings: DataFrame, n_grades: int, accept: int
     """All rows and columns of df with expected_grade, tail_probability (of reaching grade `accept`) and kept (it is `least` at least).
 
     ratings has id_col and grade_col (whole numbers from 0 to n_grades - 1). The model is fitted on about `sample` rated
-    documents; every document is scored over its whole text. A null text counts as empty and is scored by its shape.
+    documents; every document is scored over its whole text, however long. A null text counts as empty and is scored by its shape;
+    equal texts get equal scores, repeated rows and ids are scored one by one, and an empty table gives an empty result.
     Ratings with a null id or grade don't take part; a document rated twice takes part twice. Without ratings all
     grades are equally likely. Columns of df with the names of the new ones are replaced.
     """
