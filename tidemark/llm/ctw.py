@@ -143,11 +143,12 @@ def _run_rows(keys, uses, one) -> Iterator[pa.RecordBatch]:
 def run_scores(runs: DataFrame, depth: int, stage: Stage, min_count: int = 1) -> DataFrame:
     """(key, uses, log10) of each run of (key, n, uses) under the tree that the counts n train; n may be 0.
 
-    Contexts with the same last two bytes form whole subtrees from depth 2 down; they meet in one task, sorted, and
-    are done one after another, with the runs that end there. A subtree is bounded by the alphabet, not by the corpus.
-    Depths 1 and 0 follow by aggregation over at most 256 ** 2 * 255 nodes, and go to every task.
+    Contexts with the same last three bytes form whole subtrees from depth 3 down; they meet in one task, sorted, and
+    are done one after another, with the runs that end there. At depth 5 a subtree has at most 256 ** 3 runs, whatever
+    the corpus; in texts some thousands. Depths 2 to 0 follow by aggregation, and their nodes that were seen go to every task:
+    at most 256 ** 2 * 255 of 24 bytes; texts have a few hundred thousand.
     """
-    joint = min(2, depth)
+    joint = min(3, depth)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole(keys: np.ndarray, n: np.ndarray, uses: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -175,10 +176,10 @@ def run_scores(runs: DataFrame, depth: int, stage: Stage, min_count: int = 1) ->
             keys, n, uses = b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy(), b.column("uses").to_numpy()
             last = (keys >> np.uint64(8)) & np.uint64((1 << 8 * joint) - 1)
             cut = int(np.searchsorted(last, last[-1])) if len(last) else 0  # the last context may go on in the next batch
-            if held and (len(last) and (held[-1][0][-1] >> np.uint64(8)) & np.uint64((1 << 8 * joint) - 1) != last[0]) and sum(len(h[0]) for h in held) > 1 << 17:
+            if held and (len(last) and (held[-1][0][-1] >> np.uint64(8)) & np.uint64((1 << 8 * joint) - 1) != last[0]) and sum(len(h[0]) for h in held) > 1 << 15:
                 yield from whole(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
-            if cut and sum(len(h[0]) for h in held) + cut > 1 << 17:
+            if cut and sum(len(h[0]) for h in held) + cut > 1 << 15:
                 held.append((keys[:cut], n[:cut], uses[:cut]))
                 yield from whole(*map(np.concatenate, zip(*held, strict=True)))
                 held, keys, n, uses = [], keys[cut:], n[cut:], uses[cut:]
@@ -196,48 +197,54 @@ def run_scores(runs: DataFrame, depth: int, stage: Stage, min_count: int = 1) ->
     last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * joint) - 1))
     parts = stage.write(runs.select("key", "n", "uses", last.alias("last")).repartition("last").sortWithinPartitions("last").select("key", "n", "uses").mapInArrow(subtrees, PART), "parts")
     level = parts.filter("node is not null").select("node", "n0", "n1", "log_weighted")
-    top = []  # depths above joint: whether seen, estimate and weight by context and bits so far
+    top = []  # depths above joint: the nodes that were seen, in order, with estimate and weight
     for d in range(joint - 1, -1, -1):
         context = F.shiftrightunsigned("node", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
         up = F.lit(d << 56).bitwiseOR(F.shiftleft(context, 8)).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
         level = stage.write(level.groupBy(up.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_weighted").alias("below")).mapInArrow(close, NODE), f"level{d}")
-        rows = level.toArrow()  # 256 * 255 nodes at most
-        at = rows.column("node").to_numpy() & ((1 << 8 * d + 8) - 1)
-        n0, n1 = rows.column("n0").to_numpy(), rows.column("n1").to_numpy()
-        seen, p, w = np.zeros(1 << 8 * d + 8, bool), np.zeros(1 << 8 * d + 8), np.zeros(1 << 8 * d + 8)
-        seen[at], p[at], w[at] = n0 + n1 >= min_count, (n1 + 0.5) / (n0 + n1 + 1), rows.column("weight").to_numpy()
-        top.append((d, seen, p, w))
+        seen = level.filter(F.col("n0") + F.col("n1") >= min_count)
+        rows = seen.select(F.col("node").bitwiseAND(F.lit((1 << 8 * d + 8) - 1)).alias("node"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("p"), "weight").toArrow()  # 256 ** d * 255 nodes at most
+        order = np.argsort(at := rows.column("node").to_numpy())
+        top.append((d, at[order], rows.column("p").to_numpy()[order], rows.column("weight").to_numpy()[order]))
     frozen = stage.spark.sparkContext.broadcast(top)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column("key").to_numpy().view(np.uint64)
             one = np.frombuffer(b"".join(b.column("ones").to_pylist()), np.float64).reshape(-1, 8)
-            for d, seen, p, w in frozen.value:
-                at = (node_keys(keys, d)[0] & np.uint64((1 << 8 * d + 8) - 1)).astype(np.int64)
-                one = blend(one, p[at], w[at], seen[at])
+            for d, known, p, w in frozen.value:
+                nodes = (node_keys(keys, d)[0] & np.uint64((1 << 8 * d + 8) - 1)).astype(np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, nodes), len(known) - 1)
+                    one = blend(one, p[at], w[at], known[at] == nodes)
             one = np.where(np.isnan(one), 0.5, one)
             bits = (keys[:, None] >> (np.uint64(7) - np.arange(8, dtype=np.uint64))) & np.uint64(1)
             value = np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("uses"), pa.array(value)], ["key", "uses", "log10"])
 
-    return stage.write(parts.filter("key is not null").select("key", "uses", "ones").mapInArrow(finish, "key bigint, uses bigint, log10 double"), "run-scores")
+    scores = stage.write(parts.filter("key is not null").select("key", "uses", "ones").mapInArrow(finish, "key bigint, uses bigint, log10 double"), "run-scores")
+    frozen.destroy()
+    return scores
 
 
 class RunTable:
-    """Values of distinct runs, as an open-addressing table."""
+    """Values of distinct runs, as an open-addressing table over two arrays that are used in place."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.mask = keys, values, np.uint64(len(keys) - 1)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> RunTable:
         size = 1 << max(4, int(np.ceil(np.log2(1.34 * len(keys) + 2))))
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values = np.full(size, 2**64 - 1, np.uint64), np.zeros(size)  # depth + 1 < 8 bytes: no run is 2 ** 64 - 1
-        left, slot = np.arange(len(keys)), mix(keys) & self.mask
+        table = cls(np.full(size, 2**64 - 1, np.uint64), np.zeros(size))  # depth + 1 < 8 bytes: no run is 2 ** 64 - 1
+        left, slot = np.arange(len(keys)), mix(keys) & table.mask
         while len(left):
-            free = self.keys[slot] == 2**64 - 1
-            self.keys[slot[free]] = keys[left[free]]  # of several that want a slot, the last stays
-            done = self.keys[slot] == keys[left]
-            self.values[slot[done]] = values[left[done]]
-            left, slot = left[~done], (slot[~done] + np.uint64(1)) & self.mask
+            free = table.keys[slot] == 2**64 - 1
+            table.keys[slot[free]] = keys[left[free]]  # of several that want a slot, the last stays
+            done = table.keys[slot] == keys[left]
+            table.values[slot[done]] = values[left[done]]
+            left, slot = left[~done], (slot[~done] + np.uint64(1)) & table.mask
+        return table
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Value of each run, 0 where it isn't in the table, and whether it is."""
@@ -252,17 +259,6 @@ class RunTable:
         return out, hit
 
 
-_TABLES: dict[str, RunTable] = {}
-
-
-def table_of(name: str, model: tuple) -> RunTable:
-    """One table in each worker process, kept from task to task."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = RunTable(*model)
-    return _TABLES[name]
-
-
 def _counts(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n, uses), counted by task: hashes of words and the end token (kind 0), runs of bytes (1).
 
@@ -270,14 +266,14 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {(0, True): Tally(), (1, True): Tally(), (1, False): Tally(1 << 20)}  # by kind, and whether in training
+        tallies = {(0, True): Tally(1 << 19), (1, True): Tally(1 << 20), (1, False): Tally(1 << 19)}  # by kind, and whether in training
 
         def rows(kind: int, train: bool, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(keys), 1 << 16):
                 k, c = keys[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), signed(k), pa.array(c if train else 0 * c), pa.array(c)], ["kind", "key", "n", "uses"])
 
-        for b, data, offsets in slices(batches, "text", 1 << 21):
+        for b, data, offsets in slices(batches, "text", 1 << 18):
             low = fold(data)
             w = words(low, offsets, folded=True)
             keys, first = byte_runs(low, offsets, depth)
@@ -314,7 +310,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     base_score: log10 of the add-one unigram probability of the words and the end token; words are counted by 64-bit
     hashes. Counts of the most frequent words and scores of the most frequent runs (head_words and head_runs at most,
     by a count threshold) go to every task; those of all others meet the documents in a join. The tree has every
-    context seen; a greater min_count leaves out those seen less often.
+    context seen; a greater min_count leaves out those seen less often. Texts of any length are scored whole; an empty table gives an
+    empty result; other columns are ignored.
     """
     spark = df.sparkSession
     stage = Stage(spark, "ctw")
@@ -333,12 +330,12 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     scores = run_scores(runs, depth, stage, min_count)
     frequent = F.col("uses") >= _threshold(scores, F.col("uses"), head_runs)
     top = scores.filter(frequent).select("key", "log10").toArrow()  # head_runs rows at most
-    frozen = spark.sparkContext.broadcast((top.column("key").to_numpy().view(np.uint64), top.column("log10").to_numpy(), *head))
-    name = stage.root
+    table = RunTable.of(top.column("key").to_numpy().view(np.uint64), top.column("log10").to_numpy())
+    frozen = spark.sparkContext.broadcast((table.keys, table.values, *head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (head_keys, head_n) = table_of(name, frozen.value[:2]), frozen.value[2:]
-        for b, data, offsets in slices(batches, "text", 1 << 20):
+        table, (head_keys, head_n) = RunTable(*frozen.value[:2]), frozen.value[2:]
+        for b, data, offsets in slices(batches, "text", 1 << 18):
             low = fold(data)
             keys, first = byte_runs(low, offsets, depth)
             values, hit = table.find(keys)
@@ -360,6 +357,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
 
     scored = docs.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, n_bytes bigint, tail array<bigint>, rare array<bigint>")
     scored = stage.write(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
+    frozen.destroy()  # worker processes let go of it
     # words (kind 0) and runs (1) that no task had at hand
     open_keys = scored.select("rid", F.lit(0).alias("kind"), F.explode("tail").alias("key")).unionByName(scored.select("rid", F.lit(1).alias("kind"), F.explode("rare").alias("key")))
     values = vocabulary.select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value")).unionByName(scores.filter(~frequent).select(F.lit(1).alias("kind"), "key", F.col("log10").alias("value")))
