@@ -214,3 +214,21 @@ def test_scores_stay_finite_on_unlikely_bytes():
         data = np.frombuffer("Ж".encode() * n, np.uint8)
         got = language.log_words(lattice, language.scaled_table(p, lattice.sizes), data, np.array([0]), np.array([len(data)]))
         assert np.allclose(got, (2 * n + 1) * math.log(1e-10), rtol=1e-6)
+
+
+LONG = [" " * 1_200_000, "\n" * 1_100_000 + "end", "a" * 1_500_000, "!?" * 600_000, "ab1\t" * 300_000, "é" * 1_000_000, " \n\t" * 400_000 + "x y"]
+
+
+def test_texts_that_the_faster_encoder_refuses_are_packed(spark):
+    """Long runs of blanks, line ends, one letter, signs: the same ids as the tokenizer file gives, in pieces without a gap."""
+    import public_tokenizers as P
+    from tidemark.llm.packing import pack
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = pack(spark.createDataFrame(list(enumerate(LONG)), "doc_id bigint, text string")).toPandas()
+    for i, text in enumerate(LONG):
+        ids = np.array([*slow.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        mine = got[got.doc_id == i].sort_values("piece")
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length, strict=True)] == mine.ids_crc32.tolist()
+        assert mine.length.sum() == len(ids) and mine.length.max() <= 1024

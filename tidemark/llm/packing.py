@@ -127,7 +127,8 @@ def bpe_ids(path: str, ranks_path: str | None = None, pattern: str | None = None
     """Token ids of texts by the tokenizer file at path, without special tokens added.
 
     With the same vocabulary as ranks, ordinary texts take the faster encoder of the two, which gives the same ids;
-    a text that holds the string of an added token always goes through the tokenizer file.
+    a text that holds the string of an added token always goes through the tokenizer file, and so does one that the faster
+    encoder refuses, as it does with some 700,000 white-space characters in a row.
     """
     from tokenizers import Tokenizer
 
@@ -146,7 +147,16 @@ def bpe_ids(path: str, ranks_path: str | None = None, pattern: str | None = None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     added = [t.content for t in slow.get_added_tokens_decoder().values()]
-    return lambda texts: [by_file(t) if any(a in t for a in added) else fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+
+    def ids(text: str) -> np.ndarray:
+        if any(a in text for a in added):
+            return by_file(text)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern's stack has a limit
+            return by_file(text)
+
+    return lambda texts: [ids(t) for t in texts]
 
 
 def public_bpe() -> Callable[[list[str]], list[np.ndarray]]:
@@ -199,7 +209,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     A document is its token ids and then end_id; a null or empty text is the end token alone. Only longer ones are
     cut, into pieces of `capacity` tokens of which the first takes the remainder. One row per piece: id, piece,
     start, length, ids_crc32, sequence_id, offset. Rows with a null or repeated id are packed like any other. Pieces of equal length
-    are exchangeable: which of them takes which place follows from their order in the input's tasks. Texts of any length are encoded whole.
+    are exchangeable: which of them takes which place follows from their order in the input's tasks. Texts of any length are encoded whole; a
+    text that only the tokenizer file's encoder takes needs up to 200 MB of memory a MB while it is encoded.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
