@@ -232,3 +232,68 @@ def test_texts_that_the_faster_encoder_refuses_are_packed(spark):
         mine = got[got.doc_id == i].sort_values("piece")
         assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length, strict=True)] == mine.ids_crc32.tolist()
         assert mine.length.sum() == len(ids) and mine.length.max() <= 1024
+
+
+def test_carved_bytes_are_the_embedded_objects(spark):
+    """Texts stored as media hold ASCII objects too; what is carved out of any payload is the object, byte for byte."""
+    pdf = b"%PDF-1.4 x startxref 0 %%EOF"
+    gif = b"GIF89a\x01\x00\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    rows = [(1, gif + b"--" + pdf + gif, "image/gif"), (2, b"no object", None), (None, pdf + pdf, "text/plain"), (3, None, None), (3, b"x" + gif, None), (3, b"x" + gif, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, media binary, declared_type string").withColumn("a.b", F.lit(1)).withColumn("place", F.lit("clash"))
+    got = Counter((r.doc_id, r.place, r.type, r.offset, r.length, bytes(r.media)) for r in media.carved_media(df).collect())
+    n, m = len(gif), len(pdf)
+    want = [(1, 0, "application/pdf", n + 2, m, pdf), (1, 1, "image/gif", n + 2 + m, n, gif), (None, 0, "application/pdf", m, m, pdf), *[(3, 0, "image/gif", 1, n, gif)] * 2]
+    assert got == Counter(want)
+    assert media.carved_media(df.limit(0)).count() == 0
+    assert Counter((r.doc_id, len(r.embedded)) for r in media.sniff_media(df).collect()) == Counter([(1, 2), (2, 0), (None, 1), (3, 0), (3, 1), (3, 1)])
+    texts = spark.createDataFrame([(1, "see %PDF-1.4 x startxref 0 %%EOF and more"), (2, None)], "doc_id bigint, text string").withColumn("a.b", F.lit(1))
+    report = {r.doc_id: (r.n_embedded, r.embedded_types) for r in media.text_media_report(texts).collect()}
+    assert report == {1: (1, "application/pdf"), 2: (0, "")}
+
+
+def test_jpeg_with_fill_bytes():
+    plain = b"\xff\xd8" + b"\xff\xc0\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00" + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + b"abc\xff\xd9"
+    filled = plain.replace(b"\xff\xda", b"\xff\xff\xff\xda")
+    a = media.automaton()
+    assert media.sniff(plain, a) == [("image/jpeg", 0, len(plain))] and media.sniff(filled, a) == [("image/jpeg", 0, len(filled))]
+
+
+def test_ordinal_gradient_is_that_of_the_likelihood():
+    """The gradient against finite differences of the loss as it is written down, and the scores against the same formula."""
+    from tidemark.llm.quality import OrdinalModel, _cuts, ordinal_gradient
+
+    rng = np.random.default_rng(3)
+    n, dims, k, shrink = 40, 9, 3, 0.01
+    owner = np.sort(rng.integers(0, n, 150)).astype(np.int32)
+    feature, grade = rng.integers(0, dims, 150), rng.integers(0, k + 1, n)
+
+    def tails(p):
+        theta, out = [p[0]], []
+        for gap in p[1:k]:
+            theta.append(theta[-1] + math.exp(gap))
+        for i in range(n):
+            f = sum(p[k + feature[j]] for j in range(len(owner)) if owner[j] == i)
+            out.append([1.0, *(1 / (1 + math.exp(t - f)) for t in theta), 0.0])
+        return out
+
+    def loss(p):
+        return -sum(math.log(t[g] - t[g + 1]) for t, g in zip(tails(p), grade, strict=True)) / n + shrink / 2 * sum(w * w for w in p[k:])
+
+    p = rng.normal(0, 0.7, k + dims)
+    got = ordinal_gradient(p, k, grade, owner, feature, shrink)
+    for i in range(len(p)):
+        up, down = p.copy(), p.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - got[i]) < 1e-7
+    at = np.searchsorted(owner, np.arange(n + 1))
+    scores = OrdinalModel(p[k:], _cuts(p, k)).tails(feature, at)
+    assert np.allclose(scores, np.array(tails(p))[:, 1:-1])
+
+
+def test_quality_keeps_columns_with_dots(spark):
+    from tidemark.llm.quality import quality_scores
+
+    df = spark.createDataFrame([(1, "good words"), (2, None)], "doc_id bigint, text string").withColumn("a.b", F.lit("mine"))
+    out = quality_scores(df, spark.createDataFrame([(1, 1)], "doc_id bigint, grade int"), n_grades=2, accept=1)
+    assert out.count() == 2 and out.columns[:3] == ["doc_id", "text", "a.b"]

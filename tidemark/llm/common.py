@@ -71,6 +71,12 @@ def numbered(df: DataFrame, stage: Stage) -> DataFrame:
     return stage.write(df.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row")), "rows", "zstd")
 
 
+def by_place(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str], str]:
+    """The named columns of df as c0, c1, ..., these names, and their schema: Arrow functions don't take names with dots."""
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return plain, plain.columns, ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0..n-1 modulo 2**64."""
     have = _POWERS.get(base)

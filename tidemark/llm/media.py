@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import by_place, slices
 
 SAMPLE_RATE = 8000
 
@@ -131,6 +131,9 @@ def _gif(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
 def _jpeg(d: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p, frame = at + 2, False
     while p + 4 <= len(d) and d[p] == 0xFF:
+        if d[p + 1] == 0xFF:  # a fill byte
+            p += 1
+            continue
         marker, n = d[p + 1], struct.unpack_from(">H", d, p + 2)[0]
         if n < 2 or marker in (0x00, 0x01, 0xFF) or 0xD0 <= marker <= 0xD9:
             return None
@@ -263,12 +266,12 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
     validator knows it. A payload declared as a known type that fails its validator is application/octet-stream.
     A null payload has a null detected_type and no embedded objects. An empty one is application/octet-stream.
     Columns of df with these names are replaced. Magic bytes and end marks are found in one scan of a payload, however long; formats whose
-    length only a walk over their parts tells are walked once for each place that starts like them.
+    length only a walk over their parts tells are walked once for each place that starts like them. Repeated rows are judged one by one, and
+    an empty table gives an empty result.
     """
     names = [c for c in df.columns if c not in ("detected_type", "type_corrected", "embedded")]
-    df = df.select(*names)
-    fields = [f"`{n}` {t}" for n, t in df.dtypes]
-    schema = ", ".join([*fields, "detected_type string, type_corrected boolean, embedded array<struct<type:string,offset:bigint,length:bigint>>"])
+    plain, places, fields = by_place(df, names)
+    schema = ", ".join([fields, "detected_type string, type_corrected boolean, embedded array<struct<type:string,offset:bigint,length:bigint>>"])
     item = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +284,43 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
                 kinds.append(kind)
                 changed.append(kind != said if kind is not None else None)
                 inner.append([{"type": t, "offset": o, "length": n} for t, o, n in found])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string()), pa.array(changed, pa.bool_()), pa.array(inner, pa.list_(item))], [*names, "detected_type", "type_corrected", "embedded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string()), pa.array(changed, pa.bool_()), pa.array(inner, pa.list_(item))], [*places, "detected_type", "type_corrected", "embedded"])
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names, "detected_type", "type_corrected", "embedded")
+
+
+def carved_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
+    """(id_col, place bigint, type, offset, length, media): the bytes of each object embedded in a payload, a row for each, in order from place 0.
+
+    What is carved is what sniff_media lists as embedded: valid objects that don't start the payload. A null or empty payload, or one without such objects, gives no row;
+    repeated rows give theirs again. Payloads are cut one at a time, and rows go out by some 4 MB.
+    """
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton()
+        for b in batches:
+            rows: list[tuple] = []
+            held = 0
+            for i, (value, said) in enumerate(zip(b.column("media"), b.column("said").to_pylist(), strict=True)):
+                data = value.as_py()
+                for place, (t, at, n) in enumerate(judged(data, said, a)[1]):
+                    rows.append((i, place, t, at, n, data[at : at + n]))
+                    held += n
+                    if held > 4 << 20:
+                        yield _carved(b, rows)
+                        rows, held = [], 0
+            if rows:
+                yield _carved(b, rows)
+
+    ready = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{media_col}`").alias("media"), F.col(f"`{declared_col}`").alias("said"))
+    return ready.mapInArrow(run, f"id {kind}, place bigint, type string, offset bigint, length bigint, media binary").withColumnRenamed("id", id_col)
+
+
+def _carved(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    at, *rest = zip(*rows, strict=True)
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], ["id", "place", "type", "offset", "length", "media"])
 
 
 def wav(payload: bytes) -> bytes:
@@ -347,10 +384,16 @@ FEATURES = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_cr
 FEATURE_SCHEMA = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
+#: What the sniffer says of a stored form.
+JUDGED = ["detected_type", "type_corrected", "n_embedded", "embedded_types"]
+JUDGED_SCHEMA = "detected_type string, type_corrected boolean, n_embedded bigint, embedded_types string"
+
+
 def media_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads the samples of sniffed WAV media back and describes them; one row per input row.
 
-    Null media has null features. Media of another detected type than audio/wav raises: its samples can't be told.
+    n_embedded and embedded_types (in order, by commas) say what the sniffer carved out of the stored form. Null media has null features.
+    Media of another detected type than audio/wav raises: its samples can't be told.
     """
     kind = dict(df.dtypes)[id_col]
 
@@ -361,30 +404,36 @@ def media_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 raise ValueError("the stored form is no valid WAV")
             rows = [described(m.as_py()) for m in b.column("media")]
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(FEATURES.values())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *cols, b.column("detected_type"), b.column("type_corrected")], ["id", "n_bytes", *FEATURES, "detected_type", "type_corrected"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *cols, b.column("detected_type"), b.column("type_corrected"), b.column("n_embedded"), b.column("embedded_types")], ["id", "n_bytes", *FEATURES, *JUDGED])
 
-    ready = df.select(F.col(id_col).alias("id"), "n_bytes", "media", "detected_type", "type_corrected")
-    return ready.mapInArrow(run, f"id {kind}, n_bytes bigint, {FEATURE_SCHEMA}, detected_type string, type_corrected boolean").withColumnRenamed("id", id_col)
+    inner = F.when(F.col("detected_type").isNotNull(), F.col("embedded"))
+    ready = df.select(F.col(f"`{id_col}`").alias("id"), "n_bytes", "media", "detected_type", "type_corrected", F.when(inner.isNotNull(), F.size(inner)).cast("bigint").alias("n_embedded"), F.array_join(inner["type"], ",").alias("embedded_types"))
+    return ready.mapInArrow(run, f"id {kind}, n_bytes bigint, {FEATURE_SCHEMA}, {JUDGED_SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def text_media_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What media_features(sniff_media(text_as_media(df))) gives, in one pass: payloads are stored, sniffed and read back in the task that has the text."""
+    """What media_features(sniff_media(text_as_media(df))) gives, in one pass: payloads are stored, sniffed and read back in the task that has the text.
+
+    A null text is empty and gives one block of zeros. Equal texts have equal values; repeated rows and ids give a row each. A text over the 2 GB that
+    a stored value may have gets null features. An empty table gives an empty result; other columns are ignored.
+    """
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
         for b, data, offsets in slices(batches, "text"):
-            rows, kinds = [], []
+            rows, kinds, inner = [], [], []
             for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
                 media = stored(data[lo:hi].tobytes())
-                detected = judged(media, "image/png", a)[0]
+                detected, found = judged(media, "image/png", a)
                 if media is not None and detected != "audio/wav":
                     raise ValueError("the stored form is no valid WAV")
                 kinds.append(detected)
+                inner.append(None if media is None else [t for t, _, _ in found])
                 rows.append(described(media))
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(FEATURES.values())]
             changed = [k != "image/png" if k is not None else None for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets).astype(np.int64)), *cols, pa.array(kinds, pa.string()), pa.array(changed, pa.bool_())], ["id", "n_bytes", *FEATURES, "detected_type", "type_corrected"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets).astype(np.int64)), *cols, pa.array(kinds, pa.string()), pa.array(changed, pa.bool_()), pa.array([None if x is None else len(x) for x in inner], pa.int64()), pa.array([None if x is None else ",".join(x) for x in inner], pa.string())], ["id", "n_bytes", *FEATURES, *JUDGED])
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"id {kind}, n_bytes bigint, {FEATURE_SCHEMA}, detected_type string, type_corrected boolean").withColumnRenamed("id", id_col)
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return docs.mapInArrow(run, f"id {kind}, n_bytes bigint, {FEATURE_SCHEMA}, {JUDGED_SCHEMA}").withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import by_place, slices
 from .features import BITS, descend, labelled_sample, quality_features, sums
 
 
@@ -22,6 +22,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _cuts(p: np.ndarray, k: int) -> np.ndarray:
+    """Thresholds of parameters: the first one, then logarithms of the gaps."""
+    return p[0] + np.concatenate([[0], np.cumsum(np.exp(p[1:k]))])
+
+
+def ordinal_gradient(p: np.ndarray, k: int, grade: np.ndarray, owner: np.ndarray, feature: np.ndarray, shrink: float) -> np.ndarray:
+    """Of the mean negative log likelihood plus shrink / 2 times the squared weights.
+
+    p: k parameters of the thresholds (see _cuts), then a weight for each feature. Document i has the features `feature[owner == i]`.
+    """
+    n, w, theta = len(grade), p[k:], _cuts(p, k)
+    f = np.bincount(owner, w[feature], n)
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    upper, lower = edges[grade + 1] - f, edges[grade] - f
+    cu, cl = _sigmoid(upper), _sigmoid(lower)
+    prob = np.maximum(cu - cl, 1e-12)
+    du, dl = cu * (1 - cu), cl * (1 - cl)
+    gf = (du - dl) / prob / n  # of the loss, by f
+    gt = np.zeros(k + 2)
+    np.add.at(gt, grade + 1, -du / prob / n)
+    np.add.at(gt, grade, dl / prob / n)
+    gt = gt[1:-1]
+    after = np.cumsum(gt[::-1])[::-1]
+    return np.concatenate([[after[0]], after[1:] * np.exp(p[1:k]), np.bincount(feature, gf[owner], len(w)) + shrink * w])
+
+
 @dataclass
 class OrdinalModel:
     weights: np.ndarray
@@ -46,29 +72,10 @@ class OrdinalModel:
         owner, xi, k = owner[often], xi.astype(np.int32), n_grades - 1
         del often
 
-        def cuts(p: np.ndarray) -> np.ndarray:
-            return p[0] + np.concatenate([[0], np.cumsum(np.exp(p[1:k]))])
-
-        def gradient(p: np.ndarray) -> np.ndarray:
-            w, theta = p[k:], cuts(p)
-            f = np.bincount(owner, w[xi], n)
-            edges = np.concatenate([[-np.inf], theta, [np.inf]])
-            upper, lower = edges[grade + 1] - f, edges[grade] - f
-            cu, cl = _sigmoid(upper), _sigmoid(lower)
-            prob = np.maximum(cu - cl, 1e-12)
-            du, dl = cu * (1 - cu), cl * (1 - cl)
-            gf = (du - dl) / prob / n  # of the loss, by f
-            gt = np.zeros(k + 2)
-            np.add.at(gt, grade + 1, -du / prob / n)
-            np.add.at(gt, grade, dl / prob / n)
-            gt = gt[1:-1]
-            after = np.cumsum(gt[::-1])[::-1]
-            return np.concatenate([[after[0]], after[1:] * np.exp(p[1:k]), np.bincount(xi, gf[owner], len(used)) + shrink * w])
-
-        p = descend(gradient, np.concatenate([[first[0]], gaps, np.zeros(len(used))]), rounds, rate)
+        p = descend(lambda p: ordinal_gradient(p, k, grade, owner, xi, shrink), np.concatenate([[first[0]], gaps, np.zeros(len(used))]), rounds, rate)
         weights = np.zeros(dims)
         weights[used] = p[k:]
-        return OrdinalModel(weights, cuts(p))
+        return OrdinalModel(weights, _cuts(p, k))
 
 
 def quality_scores(df: DataFrame, ratings: DataFrame, n_grades: int, accept: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", least: float = 0.5, sample: int = 8000) -> DataFrame:
@@ -82,16 +89,17 @@ def quality_scores(df: DataFrame, ratings: DataFrame, n_grades: int, accept: int
     """
     new = ("expected_grade", "tail_probability", "kept")
     names = [c for c in df.columns if c not in new]
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1))
+    plain, places, fields = by_place(df, names)
+    text_place = places[names.index(text_col)]
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rated = ratings.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1))
     x, at, grade = labelled_sample(docs, rated, "grade", sample, quality_features)
     model = df.sparkSession.sparkContext.broadcast(OrdinalModel.fit(x, at, grade.astype(np.int64), n_grades))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, offsets in slices(batches, text_col):
+        for b, data, offsets in slices(batches, text_place):
             tails = model.value.tails(*quality_features(data, offsets))
             tail = tails[:, accept - 1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], [*names, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], [*places, *new])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.select(*names).dtypes)
-    return df.select(*names).mapInArrow(run, f"{fields}, expected_grade double, tail_probability double, kept boolean")
+    return plain.mapInArrow(run, f"{fields}, expected_grade double, tail_probability double, kept boolean").toDF(*names, *new)
