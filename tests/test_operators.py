@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
-from tidemark.operators import aggregates, capture, contracts, evaluate, history, names, pairs, ratings, shrinkage
+from tidemark.operators import aggregates, capture, contracts, evaluate, graph, history, names, pairs, ratings, shrinkage
 from tidemark.sources import pages, tables
 
 
@@ -299,3 +299,50 @@ def test_close_matches_lose_no_name_to_the_bound(spark):
     want = sorted(((-r, x) for x in listed if (r := difflib.SequenceMatcher(None, " ".join(x.split()), "bad cab").ratio()) >= 0.5))[:40]
     got = names.close_matches(spark.createDataFrame([(x,) for x in listed], "name string"), "Bad  cab", 0.5, 40).collect()
     assert [(r.name, round(r.ratio, 9)) for r in got] == [(x, round(-r, 9)) for r, x in want]
+
+
+def brute_ratings(rows, by_group, frozen, unknown_half):
+    rating, dawn, day, out = {}, {}, None, {}
+    for x in sorted((x for x in rows if x[3] < x[4] and x[1] is not None), key=lambda x: (x[1], x[0])):
+        c, d, g, a, b, won = x[0], x[1], x[2] if by_group else "", x[3], x[4], x[9]
+        if d != day:
+            day, dawn = d, dict(rating)
+        now = [rating.get((g, e), (1500.0, 0)) for e in (a, b)]
+        seen = [dawn.get((g, e), (1500.0, 0)) for e in (a, b)] if frozen else now
+        out[c] = (round(seen[0][0], 8), round(seen[1][0], 8), seen[0][1], seen[1][1])
+        if won is not None or unknown_half:
+            gain = 32 * ((0.5 if won is None else won) - 1 / (1 + 10 ** ((now[1][0] - now[0][0]) / 400)))
+            rating[g, a], rating[g, b] = (now[0][0] + gain, now[0][1] + 1), (now[1][0] - gain, now[1][1] + 1)
+    return out
+
+
+@pytest.mark.parametrize(("by_group", "frozen", "unknown_half", "most"), [(False, True, False, 3), (False, False, True, 7), (True, True, False, 5), (False, True, False, 10_000)])
+def test_rating_blocks_equal_the_fold(spark, by_group, frozen, unknown_half, most):
+    obs, rows = make_obs(spark, seed=21, n=60, entities=40, undated=5)
+    got = ratings.rating_snapshots_in_blocks(obs, most, by_group=by_group, frozen=frozen, unknown_half=unknown_half)
+    assert {r.contest_id: (round(r.rating_a, 8), round(r.rating_b, 8), r.updates_a, r.updates_b) for r in got.collect()} == brute_ratings(rows, by_group, frozen, unknown_half)
+
+
+def test_no_component_is_larger_than_asked(spark):
+    obs, rows = make_obs(spark, seed=22, n=90, entities=40)
+    pairs_ = ratings.decisive_pairs(obs)
+    shares = ratings.block_shares(ratings.component_blocks(pairs_, 6, graph.Steps(spark, "t"))).collect()
+    assert sum(r.contests for r in shares) == pairs_.count() and any(r.components > 1 for r in shares)
+    days = {r.event_day for r in pairs_.select("event_day").distinct().collect()}
+    first = sorted(r.block for r in shares)
+    assert all(r.largest <= 6 or len([d for d in days if d >= r.block and (r.block == first[-1] or d < first[first.index(r.block) + 1])]) == 1 for r in shares)
+    assert ratings.rating_snapshots_in_blocks(obs.limit(0)).collect() == []
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000), (None, 3), (7, 8), (8, 7)] + [(2000, 2001 + i) for i in range(80)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for u, v in edges:
+        if u is not None:
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    got = graph.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert sorted((r.vertex, r.component) for r in got) == sorted((x, find(x)) for x in list(parent))
+    assert graph.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0

@@ -47,7 +47,9 @@ def test_corrections_replace_by_key(spark, tmp_path):
     batch = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     merge(batch, 1)
     merge(batch, 1)
-    out = spark.read.parquet(str(tmp_path / "t" / "v1"))
+    merge(spark.createDataFrame([(3, "d")], "k int, v string"), 0)  # by a new checkpoint
+    newest = twins.latest_version(spark, str(tmp_path / "t"))
+    out = spark.read.parquet(str(tmp_path / "t" / f"v{newest}"))
     assert {tuple(r) for r in out.collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 

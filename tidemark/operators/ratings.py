@@ -1,10 +1,13 @@
 """Sequential rating folds.
 
 A rating depends on all earlier contests of both sides, so the order of contests cannot be given up: a fold is one ordered
-pass. It is split where it can be: ratings by group run one task for each group; the overall rating streams narrow rows, sorted
-by Spark, through one task that keeps a number for each entity and never holds the contests themselves. That task does some
-180,000 contests a second, so a thousand million take an hour and a half however many machines there are, and each entity
-takes about 300 bytes of its memory.
+pass. It is split where it can be.
+
+`rating_snapshots` streams narrow rows, sorted by Spark, through one task for each group, or one for the overall rating. Such a task keeps a
+number for each entity, about 300 bytes, and does some 180,000 contests a second.
+
+`rating_snapshots_in_blocks` cuts time into blocks of days. Contests of a block that share no entity, directly or through others, don't
+depend on each other, so the connected components of a block are folded side by side, each from the ratings that the block before left.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import Steps, connected_components
+
 SNAPSHOT = "contest_id bigint, event_day date, grp string, entity_a bigint, entity_b bigint, rating_a double, rating_b double, updates_a bigint, updates_b bigint"
 
 
@@ -65,6 +71,130 @@ def rating_snapshots(obs: DataFrame, by_group: bool = True, k: float = 32.0, sta
     return dealt.sortWithinPartitions("event_day", "contest_id").mapInPandas(run, SNAPSHOT.replace("contest_id bigint, event_day date", "event_day date, contest_id bigint"))
 
 
+def _blocks_of(days: list[tuple], most: int) -> list[tuple]:
+    """(day, first day of its block): days in order are put together while they hold no more than `most` contests."""
+    out, first, held = [], None, 0
+    for day, n in days:
+        if first is None or held + n > most:
+            first, held = day, 0
+        held += n
+        out.append((day, first))
+    return out
+
+
+def component_blocks(pairs: DataFrame, most: int, steps: Steps, by_group: bool = False, longest_first: bool = True) -> DataFrame:
+    """pairs with block (the first day of it) and component: contests of one block are in different components if no chain of entities connects them.
+
+    Blocks begin with `most` contests, or a quarter of the number of entities if that is more, and are halved, by days, as long as a component has more than `most`
+    contests. A single day isn't cut. Without longest_first they begin with `most` contests whatever the number of entities. What the driver holds is a number for each day.
+    """
+    spark = pairs.sparkSession
+    # two vertices with one hash only join two components
+    of = lambda x: F.xxhash64(F.col("block"), F.col("grp") if by_group else F.lit(""), F.col(f"entity_{x}"))
+    pairs = steps.write(pairs)
+    days = [(r.event_day, r.n) for r in pairs.groupBy("event_day").agg(F.count(F.lit(1)).alias("n")).orderBy("event_day").collect()]
+    entities = pairs.select(F.explode(F.array("entity_a", "entity_b")).alias("e")).agg(F.approx_count_distinct("e")).first()[0] if longest_first else 0
+    wanted, settled = _blocks_of(days, max(most, entities // 4) if longest_first else most), []
+    while wanted:
+        size = dict(days)
+        plan = spark.createDataFrame(wanted, "event_day date, block date")
+        rows = pairs.join(plan, "event_day").withColumns({"u": of("a"), "v": of("b")})
+        found = steps.write(connected_components(rows.select("u", "v"), steps))
+        rows = steps.write(rows.join(found, rows.u == found.vertex).drop("u", "v", "vertex"))
+        largest = rows.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max("n").alias("n")).filter(F.col("n") > most)
+        length = {}
+        for day, block in wanted:
+            length.setdefault(block, []).append((day, size[day]))
+        bad = {r.block for r in largest.collect() if len(length[r.block]) > 1}
+        settled.append(rows.filter(~F.col("block").isin(list(bad))) if bad else rows)
+        wanted = [x for b in sorted(bad) for x in _halves(length[b])]
+    out = settled[0] if settled else pairs.withColumns({"block": F.col("event_day"), "component": F.lit(0).cast("bigint")})
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def _halves(days: list[tuple]) -> list[tuple]:
+    """(day, first day): the days in two blocks of about as many contests each, none of them empty."""
+    total, held, cut = sum(n for _, n in days), 0, 1
+    for i, (_, n) in enumerate(days[:-1]):
+        held += n
+        cut = i + 1
+        if 2 * held >= total:
+            break
+    return [(d, days[0][0]) for d, _ in days[:cut]] + [(d, days[cut][0]) for d, _ in days[cut:]]
+
+
+FOLDED = "opened boolean, grp string, entity_a bigint, entity_b bigint, event_day date, contest_id bigint, rating_a double, rating_b double, updates_a bigint, updates_b bigint"
+
+
+def rating_snapshots_in_blocks(obs: DataFrame, most: int = 1_000_000, by_group: bool = False, k: float = 32.0, start: float = 1500.0, frozen: bool = True, unknown_half: bool = False, steps: Steps | None = None) -> DataFrame:
+    """The rows of rating_snapshots, block by block of days with the components of each block in parallel.
+
+    No component of more than one day has more than `most` contests, so a task holds no more than its entities. A block joins its entities with the ratings
+    so far, folds, and writes its rows and the ratings it leaves; a lost executor costs a part of one block. Where contests are many for each
+    entity, blocks are short and most of a block hangs together: then the plain fold is as good.
+    """
+    spark = obs.sparkSession
+    steps = steps or Steps(spark, "ratings")
+    pairs = decisive_pairs(obs).select("event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a")
+    blocks = steps.write(component_blocks(pairs, most, steps, by_group), "blocks", by="block")
+    group = F.col("grp") if by_group else F.lit("")
+    none = lambda kind: F.lit(None).cast(kind)
+    names = [x.split()[0] for x in FOLDED.split(", ")]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, fold, kept = None, None, {}
+
+        def close() -> list[tuple]:
+            return [(True, g, e, None, None, None, fold.rating[g, e], None, fold.updates[g, e], None) for g, e in kept] if fold else []
+
+        for f in frames:
+            rows: list[tuple] = []
+            for c, opens, day, contest, g, a, b, score, rating, updates in zip(*(f.column(x).to_pylist() for x in ("component", "opens", "event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a", "rating", "updates")), strict=True):
+                if c != component:
+                    rows += close()
+                    component, fold, kept = c, _Fold(k, start, frozen, unknown_half), {}
+                if opens:
+                    fold.rating[g, a], fold.updates[g, a] = rating, updates
+                    continue
+                key = g if by_group else ""
+                rows.append((False, g, a, b, day, contest, *fold.row(day, key, a, b, score)))
+                kept |= {x: True for x in ((key, a), (key, b)) if x in fold.rating}
+            if rows:
+                yield _folded(rows, names)
+        if rows := close():
+            yield _folded(rows, names)
+
+    state = spark.createDataFrame([], "grp string, entity bigint, rating double, updates bigint")
+    order = [r.block for r in blocks.select("block").distinct().orderBy("block").collect()]
+    for i, block in enumerate(order):
+        rows = blocks.filter(F.col("block") == F.lit(block))
+        sides = rows.select("component", group.alias("grp"), F.explode(F.array("entity_a", "entity_b")).alias("entity")).distinct()
+        opening = sides.join(state, ["grp", "entity"]).select(
+            "component", F.lit(True).alias("opens"), none("date").alias("event_day"), none("bigint").alias("contest_id"), "grp", F.col("entity").alias("entity_a"), none("bigint").alias("entity_b"), none("double").alias("score_a"), "rating", "updates"
+        )
+        contests = rows.select("component", F.lit(False).alias("opens"), "event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a", none("double").alias("rating"), none("bigint").alias("updates"))
+        both = opening.unionByName(contests).repartition("component").sortWithinPartitions("component", F.desc("opens"), "event_day", "contest_id")
+        done = steps.write(both.mapInArrow(run, FOLDED), f"folded{i}")
+        left = done.filter("opened").select("grp", F.col("entity_a").alias("entity"), F.col("rating_a").alias("rating"), F.col("updates_a").alias("updates"))
+        state = steps.write(state.join(left, ["grp", "entity"], "left_anti").unionByName(left), f"state{i}") if i + 1 < len(order) else state
+    if not order:
+        return spark.createDataFrame([], SNAPSHOT)
+    return spark.read.schema(done.schema).parquet(f"{steps.root}/folded*").filter("not opened").select(*[x.split()[0] for x in SNAPSHOT.split(", ")])
+
+
+def _folded(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.date32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def block_shares(blocks: DataFrame) -> DataFrame:
+    """(block, contests, components, largest) of component_blocks: how many contests the largest component of each block has."""
+    sizes = blocks.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("block").agg(F.sum("n").alias("contests"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
+
+
 def side_ratings(snapshots: DataFrame) -> DataFrame:
     """(contest_id, event_day, entity_id, opponent_id, rating, opponent_rating): a row for each side."""
     side = lambda x, y: F.struct(F.col(f"entity_{x}").alias("entity_id"), F.col(f"entity_{y}").alias("opponent_id"), F.col(f"rating_{x}").alias("rating"), F.col(f"rating_{y}").alias("opponent_rating"))

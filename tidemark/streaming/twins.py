@@ -24,6 +24,12 @@ def tumbling(events: DataFrame, every: str = "1 day", key: str = "event_type", v
     return events.groupBy(F.window(ts, every), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
+def sliding(events: DataFrame, length: str = "2 days", every: str = "1 day", key: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
+    """(start, end, key, n, total) for each window of `length` that begins every `every`: an event lies in several."""
+    w = events.groupBy(F.window(ts, length, every), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n", "total")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts") -> DataFrame:
     """(key, start, end, n) of runs of events with no pause longer than the gap."""
     return events.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
@@ -71,7 +77,8 @@ def day_frozen_history(events: DataFrame, key: str = "user_id", ts: str = "ts")
 def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, sink: Callable | None = None) -> DataFrame | None:
     """Runs a stream over what is there and stops. To a Parquet table in the shared folder, or through `sink` for each micro-batch.
 
-    Rows go from the executors to the table; in complete mode each micro-batch replaces it. The checkpoint lies beside it, unless one is given.
+    Rows go from the executors to the table; in complete mode each micro-batch writes it anew, beside the one before, and the last one counts.
+    The checkpoint lies beside it, unless one is given.
     """
     spark = stream.sparkSession
     root = shared_root(spark, name)
@@ -79,11 +86,22 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
     if sink:
         writer = writer.foreachBatch(sink)
     elif mode == "complete":
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/table"))
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/table/v{number}"))
     else:
         writer = writer.format("parquet").option("path", f"{root}/table")
     writer.start().awaitTermination()
-    return None if sink else _table(spark, f"{root}/table", stream.schema)
+    if sink:
+        return None
+    last = f"/v{latest_version(spark, f'{root}/table')}" if mode == "complete" else ""
+    return read_or_empty(spark, f"{root}/table{last}", stream.schema)
+
+
+def run_into(stream: DataFrame, root: str) -> dict[str, int]:
+    """Runs a stream in append mode over what is there into root/table, going on from root/checkpoint. late_rows, dropped by the watermark, and state_rows left."""
+    q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").format("parquet").option("path", f"{root}/table").start()
+    q.awaitTermination()
+    said = [s for p in q.recentProgress for s in p.stateOperators]
+    return {"late_rows": sum(s.numRowsDroppedByWatermark for s in said), "state_rows": said[-1].numRowsTotal if said else 0}
 
 
 def shared_root(spark: SparkSession, name: str) -> str:
@@ -97,7 +115,7 @@ def shared_root(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A Parquet table; without rows where nothing was written."""
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
@@ -107,6 +125,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The largest n (below a bound) of the folders path/vn that were written whole; None if there is none."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    numbers = [int(f.getPath().getParent().getName()[1:]) for f in found]
+    return max((n for n in numbers if below is None or n < below), default=None)
+
+
 TOTALS = "user_id bigint, n bigint, total double, day date, day_n bigint, day_total double"
 
 
@@ -121,7 +147,7 @@ def frozen_history_batches(path: str, key: str = "user_id", ts: str = "ts") -> C
         spark = batch.sparkSession
         value = F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0))
         rows = batch.select(F.col(key).alias("user_id"), "event_id", F.col(ts).cast("timestamp").cast("date").alias("day"), value.alias("value")).filter("day is not null")
-        old = _table(spark, f"{path}/totals/v{number - 1}", TOTALS)
+        old = read_or_empty(spark, f"{path}/totals/v{number - 1}", TOTALS)
         new = rows.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("day_n"), F.sum("value").alias("day_total")).select("user_id", F.lit(0).alias("n"), F.lit(0.0).alias("total"), "day", "day_n", "day_total")
         whole = Window.partitionBy("user_id")
         # the totals known so far lie on the open day; earlier days of this batch come too late
@@ -144,11 +170,14 @@ def run_frozen_history(events: DataFrame, name: str, key: str = "user_id", ts: s
     spark = events.sparkSession
     root = shared_root(spark, name)
     run_available(events, name, checkpoint=f"{root}/checkpoint", sink=frozen_history_batches(root, key, ts))
-    return _table(spark, f"{root}/rows", HISTORY).drop("batch")
+    return read_or_empty(spark, f"{root}/rows", HISTORY).drop("batch")
 
 
 def corrections(state_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that replaces rows by key in a Parquet table. Batch k is written as version k, so a repeat changes nothing."""
+    """A foreachBatch sink that replaces rows by key in a Parquet table: each batch writes a version above the newest one there is.
+
+    A batch that is run again replaces the same rows by the same rows, and a new checkpoint goes on from what is there.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         from ..operators.capture import upsert
@@ -156,9 +185,10 @@ def corrections(state_path: str, keys: list[str]) -> Callable[[DataFrame, int],
 
         spark = batch.sparkSession
         new = first_by(batch, keys, [])
-        old = f"{state_path}/v{number - 1}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(old)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        (upsert(spark.read.parquet(old), new, keys) if there else new).write.mode("overwrite").parquet(f"{state_path}/v{number}")
+        newest = latest_version(spark, state_path)
+        if newest is None:
+            new.write.mode("overwrite").parquet(f"{state_path}/v{number}")
+        else:
+            upsert(spark.read.parquet(f"{state_path}/v{newest}"), new, keys).write.mode("overwrite").parquet(f"{state_path}/v{max(newest + 1, number)}")
 
     return merge
