@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import Steps
+
 
 def holdout(df: DataFrame, start: Column, day: str = "event_day") -> DataFrame:
     """df with split: train before the start, test from it on; undated rows drop out."""
@@ -31,27 +33,31 @@ def calibration_day(df: DataFrame, share: float = 0.8, day: str = "event_day") -
 
 
 def metrics(df: DataFrame, label: str = "label", probability: str = "probability", clip: float = 1e-6) -> DataFrame:
-    """One row: n, accuracy, balanced_accuracy, log_loss, brier, auc.
+    """One row: n, accuracy, balanced_accuracy, log_loss, brier, auc. Labels are 0 or 1; rows without a label or probability take no part.
 
-    AUC is the rank sum over distinct probabilities: they are counted first, then accumulated over ranges of them.
+    The rows are counted by probability, once, and the counts are written: all metrics are sums over them. AUC is the rank sum over distinct
+    probabilities, accumulated over ranges of them.
     """
-    d = df.select(F.col(label).cast("double").alias("y"), F.col(probability).cast("double").alias("p")).filter("y is not null and p is not null")
-    p = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("p")))
-    hit = F.when((F.col("p") >= 0.5) == (F.col("y") == 1), 1.0).otherwise(0.0)
-    one = d.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(hit).alias("accuracy"),
-        ((F.avg(F.when(F.col("y") == 1, hit)) + F.avg(F.when(F.col("y") == 0, hit))) / 2).alias("balanced_accuracy"),
-        F.avg(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("log_loss"),
-        F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"),
+    y = F.col(label).cast("double")
+    d = df.select(y.alias("y"), F.col(probability).cast("double").alias("p")).filter("y is not null and p is not null")
+    counts = Steps(df.sparkSession, "metrics").write(d.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    q = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("p")))
+    pos, neg, yes = F.col("pos"), F.col("neg"), F.col("p") >= 0.5
+    n, of_pos, of_neg = F.sum(pos + neg), F.nullif(F.sum(pos), F.lit(0.0)), F.nullif(F.sum(neg), F.lit(0.0))
+    right = lambda when, c: F.sum(F.when(when, c).otherwise(0.0))
+    one = counts.agg(
+        F.coalesce(n, F.lit(0.0)).cast("bigint").alias("n"),
+        ((right(yes, pos) + right(~yes, neg)) / n).alias("accuracy"),
+        ((right(yes, pos) / of_pos + right(~yes, neg) / of_neg) / 2).alias("balanced_accuracy"),
+        (F.sum(-(pos * F.ln(q) + neg * F.ln(1 - q))) / n).alias("log_loss"),
+        (F.sum(pos * (F.col("p") - 1) ** 2 + neg * F.col("p") ** 2) / n).alias("brier"),
     )
-    counts = d.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     # ranges that hold about as many distinct probabilities each, wherever these lie
     cuts = sorted(set(counts.agg(F.percentile_approx("p", [i / 128 for i in range(1, 128)], 2000)).first()[0] or []))
     parts = counts.withColumn("b", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("p"))) if cuts else F.lit(0))
     below = parts.groupBy("b").agg(F.sum("neg").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("b", "base")
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = parts.withColumn("inside", inside).join(F.broadcast(below), "b").agg((F.sum(F.col("pos") * (F.col("base") + F.col("inside") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    auc = parts.withColumn("inside", inside).join(F.broadcast(below), "b").agg((F.sum(pos * (F.col("base") + F.col("inside") + neg / 2)) / F.nullif(F.sum(pos) * F.sum(neg), F.lit(0.0))).alias("auc"))
     return one.crossJoin(auc)
 
 

@@ -151,10 +151,12 @@ def fit_ensemble(df: DataFrame, kinds: Sequence[str], numeric: Sequence[str], ca
 
 
 def score_both_ways(model: Model | Ensemble | Formula, pairs: DataFrame, name: str = "probability") -> DataFrame:
-    """Pairs with the mean of the model's probability for side a and one minus its probability with the sides exchanged."""
-    there = model.score(pairs, "_there")
-    back = model.score(swapped(pairs), "_back").select("contest_id", "_back")
-    return there.join(back, "contest_id").withColumn(name, (F.col("_there") + 1 - F.col("_back")) / 2).drop("_there", "_back")
+    """Pairs with the mean of the model's probability for side a and one minus its probability with the sides exchanged.
+
+    Each row is scored, turned round, scored again and turned back: no join brings both scores together.
+    """
+    back = model.score(swapped(model.score(pairs, "_there")), "_back")
+    return swapped(back).withColumn(name, (F.col("_there") + 1 - F.col("_back")) / 2).drop("_there", "_back")
 
 
 def safe_features(df: DataFrame, suffix: str = "_diff") -> list[str]:

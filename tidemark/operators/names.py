@@ -69,6 +69,61 @@ def close_matches(catalog: DataFrame, request: str, cutoff: float = 0.6, n: int
     return scored.filter(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), name).limit(n)
 
 
+def _letters(key: Column) -> Column:
+    """A key's letters, each with how often it came before: two keys share as many of these as they have letters in common."""
+    letters = F.split(key, "")
+    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i), lambda y: y == x)).cast("string")))
+
+
+def close_matches_all(requests: DataFrame, catalog: DataFrame, cutoff: float = 0.6, n: int = 3, name: str = "name") -> DataFrame:
+    """(request, name, ratio): for each request the n catalog names most similar to it, of `cutoff` at least, by similarity and then name.
+
+    Similarity c of keys with a and b letters needs c (a + b) / 2 letters in common, so c a / (2 - c) at least. Hence two such keys share one of the rarest
+    a - ceil(c a / (2 - c)) + 1 numbered letters of each: these are the inverted index. What it finds must agree in length and in common letters, and where similarity
+    asks for them in pairs of neighbouring letters, before the similarity itself is computed, once for each pair of keys.
+    """
+    key = name_key(F.col(name))
+    q = requests.select(F.col(name).alias("request"), key.alias("_key")).filter("_key <> ''").distinct()
+    c = catalog.select(F.col(name), key.alias("_key")).filter("_key <> ''").distinct()
+    shape = lambda df: df.select("_key").distinct().withColumns({"_l": _letters(F.col("_key")), "_p": F.transform(F.sequence(F.lit(1), F.greatest(F.length("_key") - 1, F.lit(1))), lambda i: F.substring(F.col("_key"), i, F.lit(2)))})
+    known, asked = shape(c), shape(q)
+    counts = known.select(F.explode("_l").alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+    least = lambda size: F.ceil(F.lit(cutoff / (2 - cutoff)) * size - 1e-9).cast("int")
+
+    def index(df: DataFrame, p: str) -> DataFrame:
+        spelled = df.withColumn("letter", F.explode("_l")).join(counts, "letter", "left")
+        ranked = spelled.groupBy("_key", "_l", "_p").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter"))).alias("_r"))  # a name's letters
+        rare = F.slice("_r", 1, F.size("_r") - least(F.size("_r")) + 1)
+        return ranked.select(*[F.col(x).alias(f"{p}{x}") for x in ("_key", "_l", "_p")], F.explode(rare).alias("_x")).select(f"{p}_key", f"{p}_l", f"{p}_p", F.col("_x.letter").alias("letter"))
+
+    met = index(asked, "q").join(index(known, "c"), "letter")
+    a, b = F.size("q_l"), F.size("c_l")
+    met = met.filter(2 * F.least(a, b) >= F.lit(cutoff) * (a + b) - 1e-9).dropDuplicates(["q_key", "c_key"])
+    common = 2 * F.size(F.array_intersect("q_l", "c_l")) >= F.lit(cutoff) * (a + b) - 1e-9
+    in_pairs = F.size(F.filter("q_p", lambda x: F.array_contains("c_p", x))) >= (a + b) * (1.5 * cutoff - 1) - 1 - 1e-9
+    close = met.filter(common & in_pairs).select("q_key", "c_key").withColumn("ratio", close_ratio(F.col("c_key"), F.col("q_key"))).filter(F.col("ratio") >= cutoff)
+    named = close.join(q, close.q_key == q._key).select("request", "c_key", "ratio").join(c, F.col("c_key") == c._key).select("request", name, "ratio")
+    w = Window.partitionBy("request").orderBy(F.desc("ratio"), name)
+    return named.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def resolve_or_suggest(requests: DataFrame, catalog: DataFrame, cutoff: float = 0.6, n: int = 3, name: str = "name", key: str = "entity_id") -> DataFrame:
+    """resolve(), with `suggestions`: for names that aren't found the n closest ones, best first; else an empty array."""
+    found = resolve(requests, catalog, name, key)
+    close = close_matches_all(found.filter("status = 'not_found'").select(name), catalog, cutoff, n, name)
+    best = close.groupBy(F.col("request").alias(name)).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), F.col(name).alias("s")))), lambda x: x["s"]).alias("suggestions"))  # n at most
+    return found.join(best, name, "left").select(*found.columns, F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+
+
+def search_or_close(catalog: DataFrame, text: str, n: int = 10, cutoff: float = 0.6, name: str = "name") -> DataFrame:
+    """(name, how): what search() finds; where that is nothing, the closest names."""
+    hits = search(catalog, text, n, name).withColumn("how", F.lit("holds"))
+    asked = catalog.sparkSession.createDataFrame([(text,)], f"`{name}` string")
+    close = close_matches_all(asked, catalog, cutoff, n, name).select(name, F.lit("close").alias("how"))
+    both = hits.unionByName(close).withColumn("_best", F.max("how").over(Window.partitionBy(F.lit(0))))  # 2 n rows; holds sorts after close
+    return both.filter("how = _best").drop("_best")
+
+
 def search(catalog: DataFrame, text: str, n: int = 10, name: str = "name") -> DataFrame:
     """Names that hold the text: exact ones first, then those that start with it, then by name. Fewer than two letters find nothing."""
     k, q = name_key(F.col(name)), name_key(F.lit(text))

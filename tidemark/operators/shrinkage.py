@@ -16,16 +16,16 @@ def valid_pair(num: Column, den: Column) -> Column:
 def day_totals(obs: DataFrame, num: str, den: str, day: str = "event_day", group: str = "grp") -> tuple[DataFrame, DataFrame]:
     """Sums of all earlier days: (day, g_num, g_den) and (day, group, d_num, d_den).
 
-    Rows are summed by day and group first; the running windows see one row for each day, not each observation. Undated
-    rows are in no sum.
+    Rows are summed by day and by day and group in one pass, with grouping sets; the running windows see one row for each day (and group), not each
+    observation. Undated rows are in no sum.
     """
     ok = valid_pair(F.col(num), F.col(den))
-    daily = obs.filter(F.col(day).isNotNull()).groupBy(day, group).agg(F.sum(F.when(ok, F.col(num)).otherwise(0.0)).alias("n"), F.sum(F.when(ok, F.col(den)).otherwise(0.0)).alias("d"))
-    so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are days
-    overall = daily.groupBy(day).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    overall = overall.select(day, F.coalesce(F.sum("n").over(so_far), F.lit(0.0)).alias("g_num"), F.coalesce(F.sum("d").over(so_far), F.lit(0.0)).alias("g_den"))
-    by_group = Window.partitionBy(group).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    grouped = daily.select(day, group, F.coalesce(F.sum("n").over(by_group), F.lit(0.0)).alias("d_num"), F.coalesce(F.sum("d").over(by_group), F.lit(0.0)).alias("d_den"))
+    sums = [F.sum(F.when(ok, F.col(c)).otherwise(0.0)).alias(a) for a, c in (("n", num), ("d", den))]
+    daily = obs.filter(F.col(day).isNotNull()).groupingSets([[F.col(day)], [F.col(day), F.col(group)]], F.col(day), F.col(group)).agg(F.grouping(group).alias("_all"), *sums)
+    so_far = Window.partitionBy("_all", group).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    running = daily.select(day, group, "_all", *[F.coalesce(F.sum(c).over(so_far), F.lit(0.0)).alias(c) for c in "nd"])
+    overall = running.filter("_all = 1").select(day, F.col("n").alias("g_num"), F.col("d").alias("g_den"))
+    grouped = running.filter("_all = 0").select(day, group, F.col("n").alias("d_num"), F.col("d").alias("d_den"))
     return overall, grouped
 
 

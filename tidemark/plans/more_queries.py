@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import capture, compare, evaluate, models, names
+from ..operators.graph import Steps
 from ..sources import pages, tables
 from ..streaming import twins
 from .contests import load, observations
@@ -131,7 +132,7 @@ NUMERIC = [f"{f}_diff" for f in PAIR_FEATURES]
 
 @query()
 def logit_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = evaluate.holdout(career_pairs(spark, d), F.lit("1999-01-01").cast("date"))
+    rows = Steps(spark, "logit").write(evaluate.holdout(career_pairs(spark, d), F.lit("1999-01-01").cast("date")))  # fitting passes over them many times
     model = models.fit_calibrated(rows.filter("split = 'train'"), "logistic", NUMERIC)
     scored = models.score_both_ways(model, rows.filter("split = 'test'"))
     return scored.select("contest_id", "label", r6("probability").alias("probability"))

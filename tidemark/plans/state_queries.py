@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof_state, capture, history, ratings, upkeep, walkforward
+from ..operators import asof_state, capture, history, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
 from ..operators.graph import Steps
 from ..streaming import keyed, ledger, twins
 from .aggregate_queries import _snapshots_sql
@@ -227,3 +227,151 @@ def walk_forward_scores(spark: SparkSession, d: str) -> DataFrame:
     """The forecasts scored by fold once their outcomes are there."""
     made, rows = _walk(spark, d)
     return walkforward.scored(made, rows).select("fold", "forecasts", "settled", *[r6(c).alias(c) for c in ("log_loss", "brier", "accuracy")])
+
+
+# shrunk rates from a list of families
+
+FAMILIES = [
+    smoothing.Family("accuracy", "successes", "attempts", 0.45, 120.0, 600.0, 120.0),
+    smoothing.Family("defence", "stopped", "opponent_attempts", 0.55, 30.0, 600.0, 90.0),
+    smoothing.Family("control", "held", "seconds", 0.5, 60.0, 300.0, 60.0),  # no such column here: it has no features and no rows in the manifest
+]
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    obs = pairs.opponent_columns(observations(spark, d), ["attempts", "successes"])
+    return obs.withColumn("stopped", F.col("opponent_attempts") - F.col("opponent_successes"))
+
+
+_RATED_SQL = "rated AS (SELECT a.contest_id, a.event_day, a.grp, a.entity_id, a.opponent_id, a.successes, a.attempts, b.attempts AS opponent_attempts, b.attempts - b.successes AS stopped FROM obs a JOIN obs b ON a.contest_id = b.contest_id AND a.opponent_id = b.entity_id)"
+
+
+def _family_sql(f: smoothing.Family, base: str) -> str:
+    n, d, x = f.num, f.den, f.name
+    ok, s = f"{d} > 0 AND {n} >= 0 AND {n} <= {d}", f.strength
+    k = f"greatest({min(max(10.0, s / 3), 20.0)}, least({s}, {s * s} / (den + {s})))"
+    earlier = "OVER (PARTITION BY entity_id ORDER BY event_day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)"
+    shrunk = ", ".join(f"greatest(0, least(1, (num + {v} * prior) / (den + {v}))) AS {name}" for name, v in (("s20", "20"), ("s50", "50"), ("own_strength", s), ("support_scaled", k), ("moments", "moments_strength")))
+    return f"""{x}1 AS (SELECT event_day, grp, sum(CASE WHEN {ok} THEN {n} ELSE 0 END) AS n, sum(CASE WHEN {ok} THEN {d} ELSE 0 END) AS d FROM {base} GROUP BY ALL),
+    {x}2 AS (SELECT event_day, grp, coalesce(sum(n) OVER w, 0) AS gn, coalesce(sum(d) OVER w, 0) AS gd FROM {x}1 WINDOW w AS (PARTITION BY grp ORDER BY event_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {x}3 AS (SELECT event_day, coalesce(sum(n) OVER w, 0) AS an, coalesce(sum(d) OVER w, 0) AS ad FROM (SELECT event_day, sum(n) AS n, sum(d) AS d FROM {x}1 GROUP BY 1) WINDOW w AS (ORDER BY event_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {x}4 AS (SELECT entity_id, event_day, sum(sum({n})) OVER w AS x, sum(sum({d})) OVER w AS n FROM {base} WHERE {ok} GROUP BY entity_id, event_day WINDOW w AS (PARTITION BY entity_id ORDER BY event_day ROWS UNBOUNDED PRECEDING)),
+    {x}5 AS (SELECT event_day, x - coalesce(lag(x) OVER w, 0) AS sx, n - coalesce(lag(n) OVER w, 0) AS sn, n * n - coalesce(lag(n * n) OVER w, 0) AS sq, x * x / n - coalesce(lag(x * x / n) OVER w, 0) AS sr, CASE WHEN lag(n) OVER w IS NULL THEN 1 ELSE 0 END AS sc FROM {x}4 WINDOW w AS (PARTITION BY entity_id ORDER BY event_day)),
+    {x}6 AS (SELECT event_day, coalesce(sum(sx) OVER w, 0) AS sx, coalesce(sum(sn) OVER w, 0) AS sn, coalesce(sum(sq) OVER w, 0) AS sq, coalesce(sum(sr) OVER w, 0) AS sr, coalesce(sum(sc) OVER w, 0) AS sc
+        FROM (SELECT DISTINCT event_day FROM {base}) LEFT JOIN (SELECT event_day, sum(sx) AS sx, sum(sn) AS sn, sum(sq) AS sq, sum(sr) AS sr, sum(sc) AS sc FROM {x}5 GROUP BY 1) USING (event_day) WINDOW w AS (ORDER BY event_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {x}7 AS (SELECT *, CASE WHEN sn > 0 THEN sx / sn END AS p FROM {x}6),
+    {x}8 AS (SELECT *, CASE WHEN p * (1 - p) > 0 AND sn - sq / sn - (sc - 1) > 0 THEN ((sr - sn * p * p) / (p * (1 - p)) - (sc - 1)) / (sn - sq / sn - (sc - 1)) END AS rho FROM {x}7),
+    {x}9 AS (SELECT o.contest_id, o.entity_id, coalesce(sum(CASE WHEN {ok} THEN {n} END) {earlier}, 0) AS num, coalesce(sum(CASE WHEN {ok} THEN {d} END) {earlier}, 0) AS den,
+        CASE WHEN gd >= {f.group_least} THEN gn / gd WHEN ad > 0 THEN an / ad ELSE {f.neutral} END AS prior, CASE WHEN gd >= {f.group_least} THEN 'group' WHEN ad > 0 THEN 'global' ELSE 'neutral' END AS src,
+        CASE WHEN gd >= {f.group_least} THEN gd WHEN ad > 0 THEN ad ELSE 0 END AS prior_den,
+        CASE WHEN sc < 30 OR rho IS NULL THEN {f.fallback} WHEN rho <= 0 THEN 500.0 WHEN rho >= 1 THEN 5.0 ELSE greatest(5.0, least(500.0, (1 - rho) / rho)) END AS moments_strength
+        FROM {base} o JOIN {x}2 USING (event_day, grp) JOIN {x}3 USING (event_day) JOIN {x}8 USING (event_day)),
+    {x}s AS MATERIALIZED (SELECT *, CASE WHEN prior_only = 1 THEN 'prior_only' ELSE src END AS prior_source, CASE WHEN prior_only = 0 AND src = 'global' THEN prior END AS global_prior, CASE WHEN prior_only = 0 AND src = 'group' THEN prior END AS group_prior FROM
+        (SELECT contest_id, entity_id, num, den, prior, src, prior_den, moments_strength, CASE WHEN den > 0 THEN num / den END AS rate, {shrunk}, {k} AS support_scaled_strength,
+            CASE WHEN den > 0 AND src <> 'neutral' THEN 0 ELSE 1 END AS prior_only, CASE WHEN den < {f.low_support} THEN 1 ELSE 0 END AS low_support FROM {x}9))"""
+
+
+def _pair_sql(f: smoothing.Family) -> str:
+    sides = ", ".join(f"{s}.{p[0]} AS {f.name}_{p[0]}_{s}" for p in smoothing.PARTS for s in "ab")
+    diffs = ", ".join(f"a.{v} - b.{v} AS {f.name}_{v}_diff" for v in smoothing.VARIANTS)
+    return f"""{f.name}p AS MATERIALIZED (SELECT a.contest_id, a.entity_id AS entity_a, b.entity_id AS entity_b, {sides}, {diffs}, a.den - b.den AS {f.name}_support_diff, least(a.den, b.den) AS {f.name}_support_min, abs(a.den - b.den) AS {f.name}_support_asymmetry,
+        greatest(a.low_support, b.low_support) AS {f.name}_either_low_support, least(a.low_support, b.low_support) AS {f.name}_both_low_support, greatest(a.prior_only, b.prior_only) AS {f.name}_either_prior_only
+        FROM {f.name}s a JOIN {f.name}s b ON a.contest_id = b.contest_id AND a.entity_id < b.entity_id)"""
+
+
+def _listed() -> list[tuple]:
+    class There:
+        columns = ("successes", "attempts", "stopped", "opponent_attempts")
+
+    return smoothing.manifest(There, FAMILIES)
+
+
+def _manifest_sql() -> str:
+    said = lambda x: ", ".join(f"'{v.replace(chr(39), chr(39) * 2)}' AS {n}" for v, n in zip(x, ("column_name", "family", "side", "made_of", "prior", "note"), strict=True))
+    mean = lambda c: "CAST(NULL AS DOUBLE)" if "prior_source" in c else f"round(avg({c}), 4)"
+    return " UNION ALL ".join(f"SELECT {said(x)}, count({x[0]}) AS n_known, {mean(x[0])} AS mean FROM {x[1]}p" for x in _listed())
+
+
+_MADE_SQL = ", ".join([_RATED_SQL, *(_family_sql(f, "rated") for f in FAMILIES[:2]), *(_pair_sql(f) for f in FAMILIES[:2])])
+
+
+@query(with_obs(f"{_MADE_SQL} {_manifest_sql()}"))
+def smoothing_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every column that the families make, what it is, and how many values it has with what mean over all contests."""
+    sides = smoothing.side_features(_rated(spark, d), FAMILIES)
+    rows = smoothing.manifest_rows(smoothing.pair_features(sides, FAMILIES), _listed())
+    return rows.withColumn("mean", F.round("mean", 4))
+
+
+_SHOWN = ("accuracy_own_strength_diff", "accuracy_support_scaled_diff", "defence_moments_diff", "defence_s20_diff", "accuracy_rate_a", "accuracy_rate_b", "defence_either_low_support")
+_ASKED_DAY, _ASKED_GROUP = "2000-06-01", "1-URGENT"
+_BACK = {"accuracy_rate_a": "accuracy_rate_b", "accuracy_rate_b": "accuracy_rate_a"}
+
+
+def _shown_sql(back: bool) -> str:
+    return ", ".join(f"round({'0 - ' if back and c.endswith('_diff') else ''}{_BACK.get(c, c) if back else c}, 6) AS {c}" for c in _SHOWN)
+
+
+@query(
+    with_obs(
+        f"""{_RATED_SQL}, e AS (SELECT DISTINCT entity_id FROM obs), rq AS (SELECT -1 - x.entity_id AS contest_id, x.entity_id AS a, y.entity_id AS b FROM e x JOIN e y ON y.entity_id = x.entity_id + 1),
+    both_ AS (SELECT contest_id, event_day, grp, entity_id, successes, attempts, opponent_attempts, stopped FROM rated UNION ALL SELECT contest_id, DATE '{_ASKED_DAY}', '{_ASKED_GROUP}', unnest([a, b]), NULL, NULL, NULL, NULL FROM rq),
+    {', '.join(_family_sql(f, 'both_') for f in FAMILIES[:2])}, {', '.join(_pair_sql(f) for f in FAMILIES[:2])},
+    j AS (SELECT * FROM accuracyp JOIN defencep USING (contest_id, entity_a, entity_b) WHERE contest_id < 0)
+    SELECT contest_id, entity_a, entity_b, 'a_minus_b' AS row_direction, {_shown_sql(False)} FROM j UNION ALL SELECT contest_id, entity_b, entity_a, 'b_minus_a', {_shown_sql(True)} FROM j"""
+    )
+)
+def smoothing_injected(spark: SparkSession, d: str) -> DataFrame:
+    """The families' features for contests that are only asked for, in both directions: each entity against the next one, on one day."""
+    rated = _rated(spark, d)
+    e = rated.select("entity_id").distinct()
+    asked = e.join(e.select(F.col("entity_id").alias("entity_b"), (F.col("entity_id") - 1).alias("entity_id")), "entity_id").select((-1 - F.col("entity_id")).alias("contest_id"), F.lit(_ASKED_DAY).cast("date").alias("event_day"), F.lit(_ASKED_GROUP).alias("grp"), F.col("entity_id").alias("entity_a"), "entity_b")
+    out = smoothing.injected(rated, asked, FAMILIES)
+    return out.select("contest_id", "entity_a", "entity_b", "row_direction", *[r6(F.col(c).cast("double")).alias(c) for c in _SHOWN])
+
+
+# names, sketches
+
+_TYPED = "replace(replace(p_name, 'e', ''), 'ol', 'lo')"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT DISTINCT {_TYPED} AS request FROM part),
+    r(request, name, a, b, m) AS (
+        SELECT request, name, lower(name), lower(request), 0 FROM q, c
+        UNION ALL
+        SELECT request, name, unnest([a[:i - 1], a[i + k:]]), unnest([b[:j - 1], b[j + k:]]), unnest([k, 0])
+        FROM (SELECT request, name, a, b, x.k AS k, 0 - x.i AS i, 0 - x.j AS j FROM (
+            SELECT request, name, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k:
+                {{'k': CASE WHEN contains(b, a[i:i + k - 1]) THEN k ELSE 0 END, 'i': 0 - i, 'j': 0 - strpos(b, a[i:i + k - 1])}})))) AS x
+            FROM r WHERE a <> '' AND b <> '') WHERE x.k > 0)),
+    s AS (SELECT request, name, 2 * sum(m) / (length(request) + length(name)) AS ratio FROM r GROUP BY request, name),
+    k AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY ratio DESC, name) AS i FROM s WHERE ratio >= 0.6)
+    SELECT request, name, round(ratio, 9) AS ratio FROM k WHERE i <= 3""")
+def close_matches_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The three closest names for every mistyped name, through an index of rare letters."""
+    part = load(spark, d, "part")
+    out = names.close_matches_all(part.select(F.expr(_TYPED).alias("name")), part.select(F.col("p_name").alias("name")))
+    return out.withColumn("ratio", F.round("ratio", 9))
+
+
+@query(f"""WITH c AS (SELECT lower(p_name) AS k, count(DISTINCT p_size) AS n, min(p_size) AS id FROM part GROUP BY 1), q AS (SELECT DISTINCT {_TYPED} AS name FROM part)
+    SELECT q.name, CASE WHEN n = 1 THEN id END AS entity_id, CASE WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, n IS NULL AS has_suggestions FROM q LEFT JOIN c ON c.k = lower(q.name)""")
+def names_or_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Names that aren't found come with close ones."""
+    part = load(spark, d, "part")
+    out = names.resolve_or_suggest(part.select(F.expr(_TYPED).alias("name")).distinct(), part.select(F.col("p_name").alias("name"), F.col("p_size").alias("entity_id")), cutoff=0.4)
+    return out.select("name", "entity_id", "status", (F.size("suggestions") > 0).alias("has_suggestions"))
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, user_id, value FROM events), a AS (SELECT DISTINCT day AS as_of FROM e)
+    SELECT as_of, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close FROM a JOIN e ON e.day < as_of AND e.day >= as_of - 7 GROUP BY as_of""")
+def sketch_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users and the median value of the seven days before each day from daily sketches, against exact ones: users within 5 %, the median's
+    rank within 2 % of one half."""
+    e = load(spark, d, "events").select(F.col("ts").cast("date").alias("day"), "user_id", "value")
+    asked = e.select(F.col("day").alias("as_of")).distinct()
+    got = sketches.as_of_windows(sketches.daily_sketches(e, "day", "user_id", "value"), asked, 7, "day")
+    rows = e.withColumn("as_of", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", 7)))).join(got.select("as_of", "quantile_0_5"), "as_of")
+    exact = rows.groupBy("as_of").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("quantile_0_5")).cast("double")).alias("rank"))
+    close = F.abs(F.col("keys") - F.col("users")) <= 0.05 * F.col("users") + 1
+    return got.join(exact, "as_of").select("as_of", "n", "users", close.alias("users_close"), (F.abs(F.col("rank") - 0.5) <= 0.02 + 1 / F.col("n")).alias("median_close"))
