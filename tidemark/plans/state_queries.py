@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof_state, capture, history, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
+from ..operators import answer, asof_state, capture, history, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
 from ..operators.graph import Steps
 from ..streaming import keyed, ledger, twins
 from .aggregate_queries import _snapshots_sql
@@ -375,3 +375,38 @@ def sketch_windows(spark: SparkSession, d: str) -> DataFrame:
     exact = rows.groupBy("as_of").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("quantile_0_5")).cast("double")).alias("rank"))
     close = F.abs(F.col("keys") - F.col("users")) <= 0.05 * F.col("users") + 1
     return got.join(exact, "as_of").select("as_of", "n", "users", close.alias("users_close"), (F.abs(F.col("rank") - 0.5) <= 0.02 + 1 / F.col("n")).alias("median_close"))
+
+
+# whole answers
+
+_PENALTY = " + ".join(f"CASE WHEN contests_{s} < 5 THEN 15 ELSE 0 END + CASE WHEN in_group_{s} = 0 THEN 10 ELSE 0 END + CASE WHEN event_day - last_{s} > 730 THEN 10 ELSE 0 END + CASE WHEN rating_{s} IS NULL THEN 20 ELSE 0 END" for s in "ab")
+_HISTORY = "(SELECT count(*) AS contests, coalesce(sum(CASE WHEN won = 1 THEN 1 ELSE 0 END), 0) AS wins, sum(successes) / nullif(sum(attempts), 0) AS accuracy, max(o.event_day) AS last, count(*) FILTER (o.grp = q.grp) AS in_group FROM obs o WHERE o.entity_id = {} AND o.event_day < q.event_day)"
+
+
+@query(
+    with_obs(
+        f"""{_snapshots_sql(chr(39) * 2)}, e AS (SELECT DISTINCT entity_id AS a FROM obs),
+    q AS (SELECT a AS request_id, a AS entity_a, a + 1 AS entity_b, DATE '2001-03-01' - CAST(a % 400 * 5 AS INTEGER) AS event_day, '2-HIGH' AS grp, 1.25 + (a % 17) / 10.0 AS odds_a, CASE WHEN a % 7 > 0 THEN 1.25 + (a % 13) / 10.0 END AS odds_b FROM e),
+    h AS (SELECT q.*, x.contests AS contests_a, x.wins AS wins_a, x.accuracy AS accuracy_a, x.last AS last_a, x.in_group AS in_group_a, y.contests AS contests_b, y.wins AS wins_b, y.accuracy AS accuracy_b, y.last AS last_b, y.in_group AS in_group_b
+        FROM q, LATERAL {_HISTORY.format('q.entity_a')} x, LATERAL {_HISTORY.format('q.entity_b')} y),
+    hr AS (SELECT h.*, x.rating AS rating_a, y.rating AS rating_b FROM h ASOF LEFT JOIN du x ON x.e = h.entity_a AND h.event_day > x.day ASOF LEFT JOIN du y ON y.e = h.entity_b AND h.event_day > y.day),
+    hp AS (SELECT *, 0.5 + 0.9 * (1 / (1 + pow(10.0, (coalesce(rating_b, 1500) - coalesce(rating_a, 1500)) / 400)) - 0.5) AS probability_a, (1 / odds_a) / (1 / odds_a + 1 / odds_b) AS market_a, greatest(0, 100 - ({_PENALTY})) AS reliability_score FROM hr),
+    l AS (SELECT *, probability_a - market_a AS edge, CASE WHEN reliability_score >= 75 THEN 'High' WHEN reliability_score >= 55 THEN 'Medium' ELSE 'Low' END AS reliability, greatest(probability_a, 1 - probability_a) AS top FROM hp)
+    SELECT request_id, event_day, CAST(contests_a AS BIGINT) AS contests_a, CAST(contests_b AS BIGINT) AS contests_b, CAST(wins_a - wins_b AS BIGINT) AS wins_diff, round(accuracy_a - accuracy_b, 6) AS accuracy_diff, CAST(in_group_a AS BIGINT) AS in_group_a, round(rating_a, 6) AS rating_a, round(rating_b, 6) AS rating_b,
+        round(probability_a, 6) AS probability_a, CASE WHEN top >= 0.8 THEN 'very_high' WHEN top >= 0.7 THEN 'high' WHEN top >= 0.6 THEN 'medium' WHEN top >= 0.55 THEN 'low' ELSE 'toss_up' END AS tier, round(market_a, 6) AS market_a, round(edge, 6) AS edge,
+        CASE WHEN edge IS NULL THEN 'no_market' WHEN abs(edge) < 0.03 THEN 'aligned' WHEN reliability = 'Low' THEN CASE WHEN edge > 0 THEN 'unreliable_a' ELSE 'unreliable_b' END
+            ELSE (CASE WHEN abs(edge) < 0.07 THEN 'small' WHEN abs(edge) < 0.12 THEN 'medium' ELSE 'large' END) || CASE WHEN edge > 0 THEN '_a' ELSE '_b' END END AS edge_reading,
+        CAST(reliability_score AS INTEGER) AS reliability_score, reliability, CASE WHEN probability_a > 0.5 THEN entity_a WHEN probability_a < 0.5 THEN entity_b END AS pick FROM l""",
+        recursive=True,
+    )
+)
+def whole_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity against the next, on days of its own: histories, ratings, probability, market, edge and reliability in one row."""
+    obs = observations(spark, d)
+    a = F.col("entity_a")
+    asked = obs.select(F.col("entity_id").alias("entity_a")).distinct().select(
+        a.alias("request_id"), a, (a + 1).alias("entity_b"), F.date_sub(F.lit("2001-03-01").cast("date"), (a % 400 * 5).cast("int")).alias("event_day"), F.lit("2-HIGH").alias("grp"),
+        F.format_string("%.2f", F.lit(1.25) + (a % 17) / 10).alias("odds_a"), F.when(a % 7 > 0, F.format_string("%.2f", F.lit(1.25) + (a % 13) / 10)).alias("odds_b"),
+    )
+    out = answer.whole_answers(obs, asked)
+    return out.select("request_id", "event_day", "contests_a", "contests_b", "wins_diff", r6("accuracy_diff").alias("accuracy_diff"), "in_group_a", *[r6(c).alias(c) for c in ("rating_a", "rating_b", "probability_a", "market_a", "edge")], "tier", "edge_reading", "reliability_score", "reliability", "pick")
