@@ -33,11 +33,14 @@ def csv_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tables.string_csv(spark, path, ["p_partkey", "odd", "lacking"])
 
 
-@query("SELECT 'missing' AS file, CAST(0 AS BIGINT) AS rows, 'a,b' AS columns")
+@query("SELECT 'missing' AS file, CAST(0 AS BIGINT) AS rows, 'a,b' AS columns UNION ALL SELECT 'there', count(*), 'p_partkey,p_name,lacking' FROM part")
 def csv_missing_file(spark: SparkSession, d: str) -> DataFrame:
-    """A file that isn't there is an empty table with the stated columns."""
-    df = tables.string_csv(spark, f"{shared_root(spark, 'csv')}/none", ["a", "b"])
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("missing").alias("file"), "rows", F.lit(",".join(df.columns)).alias("columns"))
+    """A file that isn't there is an empty table with the stated columns; one that is there has its rows, with those that it lacks as nulls."""
+    root = shared_root(spark, "csv")
+    tables.write_csv(load(spark, d, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), "p_name"), f"{root}/parts", ["p_partkey", "p_name"])
+    found = {"missing": tables.string_csv(spark, f"{root}/none", ["a", "b"]), "there": tables.string_csv(spark, f"{root}/parts", ["p_partkey", "p_name", "lacking"])}
+    one = lambda n, df: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("file"), "rows", F.lit(",".join(df.columns)).alias("columns"))
+    return one("missing", found["missing"]).unionByName(one("there", found["there"]))
 
 
 _BUNDLE = ("customer", "supplier", "nation")
@@ -101,14 +104,14 @@ def table_facts_planted(spark: SparkSession, d: str) -> DataFrame:
     return tables.table_facts(load(spark, d, "orders").withColumn("day", day), "orders", "day", F.lit("1997-01-01").cast("date")).drop("columns")
 
 
-@query("SELECT * FROM (VALUES ('customer', 'ok'), ('nation', 'columns'), ('orders', 'dates'), ('empty', 'empty'), ('none', 'missing')) t(name, status)")
+@query("SELECT 'customer' AS name, 'ok' AS status, (SELECT count(*) FROM customer) AS rows UNION ALL SELECT 'nation', 'columns', (SELECT count(*) FROM nation) UNION ALL SELECT 'orders', 'dates', (SELECT count(*) FROM orders) UNION ALL SELECT 'empty', 'empty', 0 UNION ALL SELECT 'none', 'missing', NULL")
 def dataset_contract(spark: SparkSession, d: str) -> DataFrame:
     """What a manifest asks for against the facts of the tables."""
     o = load(spark, d, "orders").withColumn("day", F.lit("oops"))
     facts = tables.table_facts(load(spark, d, "customer"), "customer").unionByName(tables.table_facts(load(spark, d, "nation"), "nation"))
     facts = facts.unionByName(tables.table_facts(o, "orders", "day")).unionByName(tables.table_facts(o.limit(0), "empty"))
     asked = [("customer", ["c_custkey"]), ("nation", ["n_nationkey", "n_flag"]), ("orders", ["o_orderkey"]), ("empty", ["o_orderkey"]), ("none", ["x"])]
-    return tables.contract_status(facts, spark.createDataFrame(asked, "name string, required array<string>"))
+    return tables.contract_status(facts, spark.createDataFrame(asked, "name string, required array<string>")).join(facts.select("name", "rows"), "name", "left")
 
 
 @query("SELECT CAST(octet_length(encode(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10))) AS BIGINT) AS bytes, sha256(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS sha256 FROM nation")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -291,19 +293,25 @@ def collapsed_days(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.collapse(o, ["entity_id", "event_day"], ["contest_id"]).select("entity_id", "event_day", r6("attempts").alias("attempts"), "result")
 
 
-@query("SELECT * FROM (VALUES ('wins_diff', 'ok'), ('void_diff', 'empty'), ('age_diff', 'missing')) t(feature, status)")
+@query(with_obs(f"{_PAIRS}, s AS (SELECT 'wins_diff' AS feature, 'ok' AS status, count(wins_diff) AS n_known FROM pairs UNION ALL SELECT 'void_diff', 'empty', 0 UNION ALL SELECT 'age_diff', 'missing', NULL UNION ALL SELECT 'late_diff', CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END, count(*) FROM pairs WHERE event_day >= DATE '2001-07-01') SELECT * FROM s"))
 def model_input_status(spark: SparkSession, d: str) -> DataFrame:
-    """Features that lack a column, or hold nothing but nulls."""
-    return evidence.input_status(career_pairs(spark, d).withColumn("void_diff", F.lit(None).cast("double")), ["wins_diff", "void_diff", "age_diff"])
+    """Features that lack a column, or hold nothing but nulls, with how many values each has."""
+    late = F.when(F.col("event_day") >= F.lit("2001-07-01").cast("date"), F.col("wins_diff"))
+    rows = career_pairs(spark, d).withColumns({"void_diff": F.lit(None).cast("double"), "late_diff": late})
+    there = ["wins_diff", "void_diff", "late_diff"]
+    counts = rows.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n_known")) for c in there]).alias("c")).select(F.inline("c"))
+    return evidence.input_status(rows, [*there, "age_diff"]).join(counts, "feature", "left")
 
 
-@query("SELECT * FROM (VALUES ('safe', 'attempts_sum_diff,contests_diff,losses_diff,successes_sum_diff,wins_diff'), ('leaking', 'result_diff,label'), ('v1', 'contest_id,wins_diff')) t(list, names)")
+@query(with_obs(f"""{_PAIRS} SELECT 'safe' AS list, f AS feature, count(x) AS n_known FROM pairs, (SELECT unnest(['attempts_sum_diff', 'contests_diff', 'losses_diff', 'successes_sum_diff', 'wins_diff']) AS f), LATERAL (SELECT CASE f WHEN 'attempts_sum_diff' THEN attempts_sum_diff WHEN 'contests_diff' THEN contests_diff WHEN 'losses_diff' THEN losses_diff WHEN 'successes_sum_diff' THEN successes_sum_diff ELSE wins_diff END AS x) q GROUP BY f
+    UNION ALL SELECT 'leaking', 'result_diff', count(*) FROM pairs UNION ALL SELECT 'leaking', 'label', count(label) FROM pairs UNION ALL SELECT 'v1', 'contest_id', count(*) FROM pairs UNION ALL SELECT 'v1', 'wins_diff', count(wins_diff) FROM pairs"""))
 def feature_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Features by suffix, by version, and those that hold the outcome."""
+    """Features by suffix, by version, and those that hold the outcome, with how many values each has."""
     p = career_pairs(spark, d).withColumn("result_diff", F.lit(1.0))
     v1 = models.FeatureRegistry({"v1": ["wins_diff"]}).select(p, "v1", ["contest_id"])
-    lists = [("safe", sorted(models.safe_features(p))), ("leaking", contracts.leaking_features(["wins_diff", "result_diff", "label"])), ("v1", v1.columns)]
-    return spark.createDataFrame([(n, ",".join(x)) for n, x in lists], "list string, names string")
+    lists = {"safe": models.safe_features(p), "leaking": contracts.leaking_features(["wins_diff", "result_diff", "label"]), "v1": v1.columns}
+    items = [F.struct(F.lit(n).alias("list"), F.lit(c).alias("feature"), F.count(c).alias("n_known")) for n, names_ in lists.items() for c in names_]
+    return p.agg(F.array(*items).alias("x")).select(F.inline("x"))
 
 
 # leaks, gates, versions
@@ -334,12 +342,14 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("SELECT 'reordered' AS pair, true AS same UNION ALL SELECT 'changed', false UNION ALL SELECT 'repeated', false")
+@query("SELECT 'reordered' AS pair, (SELECT count(*) FROM customer) AS rows, true AS same UNION ALL SELECT 'changed', (SELECT count(*) FROM customer), false UNION ALL SELECT 'repeated', (SELECT count(*) + 1 FROM customer), false")
 def same_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Equality of tables as multisets."""
+    """Equality of tables as multisets, by the digests of both."""
     c = load(spark, d, "customer").select("c_custkey", "c_name")
     pairs_of = {"reordered": c.orderBy(F.desc("c_name")), "changed": c.withColumn("c_name", F.when(F.col("c_custkey") == 3, "x").otherwise(F.col("c_name"))), "repeated": c.unionByName(c.limit(1))}
-    return spark.createDataFrame([(n, maintenance.same_rows(c, x)) for n, x in pairs_of.items()], "pair string, same boolean")
+    digests = reduce(DataFrame.unionByName, [maintenance.content_digest(x).withColumn("pair", F.lit(n)) for n, x in pairs_of.items()])
+    own = maintenance.content_digest(c).select(F.col("rows").alias("own_rows"), F.col("digest").alias("own_digest"))  # one row
+    return digests.crossJoin(own).select("pair", "rows", ((F.col("rows") == F.col("own_rows")) & (F.col("digest") == F.col("own_digest"))).alias("same"))
 
 
 @query("""SELECT CAST(1 AS BIGINT) AS step, 'customer' AS name, CAST(1 AS BIGINT) AS version, (SELECT count(*) FROM customer) AS rows, 'first' AS note UNION ALL SELECT 1, 'orders', 1, (SELECT count(*) FROM orders), 'first'
