@@ -297,3 +297,32 @@ def test_quality_keeps_columns_with_dots(spark):
     df = spark.createDataFrame([(1, "good words"), (2, None)], "doc_id bigint, text string").withColumn("a.b", F.lit("mine"))
     out = quality_scores(df, spark.createDataFrame([(1, 1)], "doc_id bigint, grade int"), n_grades=2, accept=1)
     assert out.count() == 2 and out.columns[:3] == ["doc_id", "text", "a.b"]
+
+
+def test_counts_of_long_words_equal_those_of_short_ones(monkeypatch):
+    """Both ways through expected_counts agree; a word of 300,000 bytes takes seconds and its counts add up to its length."""
+    pieces = sorted({bytes([b]) for b in range(97, 123)} | {b" ", b" a", b"ab", b"abcdabcdabcdabcd", b"bcda", b"cd", b"zzzzzzzz"})
+    lattice, rng = language.Lattice(pieces), np.random.default_rng(2)
+    p = rng.random((2, len(pieces)))
+    p /= p.sum(axis=1, keepdims=True)
+    scaled = language.scaled_table(p, lattice.sizes)
+    texts = [b"abcd" * 9 + b"ab", b"abcdabcdabcdabcd", b"zz" * 20, b"q", bytes(97 + int(x) for x in rng.integers(0, 26, 40))]
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    w, times, lang = common.words(data, np.array([0, len(data)])), np.array([1, 3, 2, 5, 1]), np.array([0, 1, 1, 0, 1])
+    want = language.expected_counts(lattice, scaled, data, w.start, w.end, times, lang, 2)
+    monkeypatch.setattr(language, "LONG", 0)
+    got = language.expected_counts(lattice, scaled, data, w.start, w.end, times, lang, 2)
+    assert np.allclose(got, want, rtol=1e-9)
+    long = np.frombuffer(b"abcdq" * 60_000, np.uint8)
+    began = time.time()
+    n = language.expected_counts(lattice, scaled, long, np.array([0]), np.array([len(long)]), np.array([1]), np.array([0]), 2)
+    assert time.time() - began < 20
+    assert abs((n[0] * lattice.sizes).sum() / (len(long) + 1) - 1) < 1e-9 and not n[1].any()
+
+
+def test_equal_texts_score_alike_among_any_neighbours(spark):
+    rng = random.Random(12)
+    same = prose(rng, 400)
+    rows = [(i, same if i % 3 == 0 else prose(rng, rng.randrange(1, 900)), "en" if i % 2 else "de") for i in range(60)]
+    got = language.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3))
+    assert len({r.score for r in got.collect() if r.doc_id % 3 == 0}) == 1
