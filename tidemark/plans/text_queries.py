@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources import page_cache
+from ..streaming import twins
 from .contests import load
 from .queries import query, r6
 from .scalar_queries import _CLEAN, _FLOAT
@@ -45,3 +47,27 @@ def event_odds(spark: SparkSession, d: str) -> DataFrame:
     a = S.decimal_odds(F.format_string("+%d", F.get_json_object("props", "$.k").cast("bigint") + 100))
     b = S.decimal_odds(F.col("value").cast("string"))
     return e.select("event_id", r6(a).alias("decimal_a"), r6(b).alias("decimal_b"), r6(S.no_vig(a, b)[0]).alias("market_a"))
+
+
+_HOST = "lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+
+
+@query(f"SELECT page_id, {_HOST} AS host, length(html) AS n_chars FROM pages")
+def page_cache_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All pages, written to a cache in two batches and read through the data source."""
+    root, p = twins.shared_root(spark, "pages"), load(spark, d, "pages")
+    for batch in (0, 1):
+        page_cache.write_batch(p.filter(F.col("page_id") % 2 == batch), root, batch)
+    return page_cache.page_cache(spark, root).select("page_id", "host", F.length("html").alias("n_chars"))
+
+
+@query(f"SELECT {_HOST} AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS n_chars FROM pages GROUP BY 1")
+def page_cache_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The cache's batches as a stream that stops after the first and goes on: each page once."""
+    root, p = twins.shared_root(spark, "pages"), load(spark, d, "pages")
+    for batch in (0, 1):
+        page_cache.write_batch(p.filter(F.col("page_id") % 2 == batch), f"{root}/cache", batch)
+        live = page_cache.page_cache(spark, f"{root}/cache", stream=True).select("page_id", "host", F.length("html").alias("n_chars"))
+        twins.run_into(live, root)
+    seen = twins.read_or_empty(spark, f"{root}/table", live.schema)
+    return seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("n_chars").cast("bigint").alias("n_chars"))
