@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,32 @@ def register_protocol(df: DataFrame, boundaries: dict[str, str], name: str, day:
         F.max(day).alias("last_day"),
         F.sha2(F.sum(F.xxhash64(contest, day).cast("decimal(38,0)")).cast("string"), 256).alias("digest"),
     ).withColumn("protocol", F.lit(name))
+
+
+def retrospective(cases: DataFrame, models: Sequence[str], boundaries: dict[str, str], name: str, bins: int = 10, replicates: int = 200, label: str = "label", day: str = "event_day", contest: str = "contest_id") -> DataFrame:
+    """(model, part, section, item, value): one frozen evaluation of several probability columns over the parts of a protocol, baselines being models like any other.
+
+    Sections: protocol (contests of each part), metrics, calibration (bins with rows: their share observed), and interval (of the Brier score, from resampling days).
+    Cases are written once; every number comes from these rows.
+    """
+    rows = Steps(cases.sparkSession, "retrospective").write(cases.select(contest, day, label, *models).filter(F.col(day).isNotNull() & F.col(label).isNotNull()))
+    parts = register_protocol(rows, boundaries, name, day, contest)
+    text = lambda x: F.lit(x).cast("string")
+    out = parts.select(text(None).alias("model"), "part", F.lit("protocol").alias("section"), F.lit("contests").alias("item"), F.col("contests").cast("double").alias("value"))
+    since = None
+    for part, until in boundaries.items():
+        own = rows
+        if since:
+            own = own.filter(F.col(day) >= F.lit(since).cast("date"))
+        if until:
+            own = own.filter(F.col(day) < F.lit(until).cast("date"))
+        since = until
+        for m in models:
+            p = own.withColumn("probability", F.col(m))
+            long = lambda df, names, section, m=m, part=part: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).cast("double").alias("value")) for n in names])).alias("i")).select(F.lit(m).alias("model"), F.lit(part).alias("part"), F.lit(section).alias("section"), "i.item", "i.value")
+            out = out.unionByName(long(metrics(p, label), ["n", "accuracy", "balanced_accuracy", "log_loss", "brier", "auc"], "metrics"))
+            shown = calibration(p, bins, label=label).filter("n > 0")
+            out = out.unionByName(shown.select(F.lit(m).alias("model"), F.lit(part).alias("part"), F.lit("calibration").alias("section"), F.concat(F.lit("bin "), F.col("bin").cast("string")).alias("item"), F.col("observed").alias("value")))
+            error = p.withColumn("e", (F.col("probability") - F.col(label)) ** 2)
+            out = out.unionByName(long(day_bootstrap(error, "e", replicates, day), ["mean", "low", "high"], "interval"))
+    return out

@@ -189,6 +189,14 @@ def previous_group(obs: DataFrame, ranks: Mapping[str, float], key: str = "entit
     return obs.withColumn("previous_grp", last).withColumn("movement", if_dated(movement, day))
 
 
+def group_spells(obs: DataFrame, key: str = "entity_id", day: str = "event_day", tie: str = "contest_id") -> DataFrame:
+    """(key, place, grp, since, until, contests): each entity's dated rows in order, cut where the group changes; until is the last day in the group."""
+    order = Window.partitionBy(key).orderBy(day, tie)
+    rows = obs.filter(F.col(day).isNotNull()).withColumn("_new", F.when(F.col("grp").eqNullSafe(F.lag("grp").over(order)) & (F.row_number().over(order) > 1), 0).otherwise(1))
+    rows = rows.withColumn("place", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "place").agg(F.any_value("grp").alias("grp"), F.min(day).alias("since"), F.max(day).alias("until"), F.count(F.lit(1)).alias("contests"))
+
+
 def as_of_lookup(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, columns: Sequence[str], strict: bool = True) -> DataFrame:
     """left with the columns of the last row of right before (or, unless strict, on) its day: union and one window, no range join.
 

@@ -95,6 +95,19 @@ def fit_calibrated(df: DataFrame, kind: str, numeric: Sequence[str], categorical
     return Model(model.pre, model.stages, (float(line.coefficients[0]), float(line.intercept)))
 
 
+def logistic_gradient(model: Model, df: DataFrame, label: str = "label", c: float = 0.1) -> DataFrame:
+    """(feature, n, gradient): the slope of the penalised loss that fit(df, "logistic", ...) minimises, at the model's weights; near 0 if it did. No categories."""
+    rows, weights = _balanced(df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), label)
+    line = model.stages.stages[-1]
+    beta = dict(zip(model.pre.numeric, map(float, line.coefficients), strict=True))
+    x = model.pre.transform(rows)
+    score = reduce(lambda a, b: a + b, [F.col(f"_x_{k}") * v for k, v in beta.items()]) + F.lit(float(line.intercept))
+    rest = F.col("_weight") * (1 / (1 + F.exp(-score)) - F.col(label))
+    slopes = [(k, F.sum(rest * F.col(f"_x_{k}")) / weights + v / (c * weights)) for k, v in beta.items()] + [("intercept", F.sum(rest) / weights)]
+    one = x.agg(F.array(*[F.struct(F.lit(k).alias("feature"), F.count(F.lit(1)).alias("n"), g.alias("gradient")) for k, g in slopes]).alias("g"))
+    return one.select(F.inline("g"))
+
+
 class Formula:
     """A model that is an expression of the columns: baselines such as one half, or a rating's expectation."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reverse_pair_text
+from .history import Spec, snapshots
 
 
 def opponent_columns(obs: DataFrame, columns: Sequence[str], contest: str = "contest_id", entity: str = "entity_id") -> DataFrame:
@@ -101,3 +102,15 @@ def attach_sides(pairs_df: DataFrame, snapshots: DataFrame, on: Sequence[str] =
     for side in ("a", "b"):
         out = out.join(prefixed(snapshots, side, [*on, entity]).withColumnRenamed(entity, f"entity_{side}"), [*on, f"entity_{side}"], "left")
     return out
+
+
+def increment(dataset: DataFrame, obs: DataFrame, specs: Sequence[Spec], features: Sequence[str], contest: str = "contest_id") -> DataFrame:
+    """The rows that `dataset`, mirrored pair rows, lacks: both orientations of each contest of obs that it doesn't have, with exactly its columns and types.
+
+    Only the histories of the new contests' entities are read; a column that isn't computed here is null.
+    """
+    new = obs.join(dataset.select(contest).distinct(), contest, "left_anti")
+    own = obs.join(new.select("entity_id").distinct(), "entity_id", "left_semi")
+    rows = snapshots(own, specs).join(new.select(contest).distinct(), contest, "left_semi")
+    made = mirrored(pair_rows(rows, features, contest))
+    return made.select(*[(F.col(c) if c in made.columns else F.lit(None)).cast(t).alias(c) for c, t in dataset.dtypes])

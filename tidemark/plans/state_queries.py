@@ -7,12 +7,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answer, asof_state, capture, history, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
+from ..operators import answer, asof_state, capture, evaluate, history, models, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
 from ..operators.graph import Steps
+from ..sources import tables
 from ..streaming import keyed, ledger, twins
 from .aggregate_queries import _snapshots_sql
 from .contests import load, observations
-from .queries import _PAIRS, career_pairs, query, r6, with_obs
+from .queries import _FORE, _PAIRS, _SWAP, PAIR_FEATURES, career_pairs, doubles, forecasts, query, r6, with_obs
 
 
 @query(with_obs(f"{_snapshots_sql(chr(39) * 2)} SELECT contest_id, event_day, grp, entity_a, entity_b, round(rating_a, 6) AS rating_a, round(rating_b, 6) AS rating_b, updates_a, updates_b FROM snap", recursive=True))
@@ -410,3 +411,81 @@ def whole_answers(spark: SparkSession, d: str) -> DataFrame:
     )
     out = answer.whole_answers(obs, asked)
     return out.select("request_id", "event_day", "contests_a", "contests_b", "wins_diff", r6("accuracy_diff").alias("accuracy_diff"), "in_group_a", *[r6(c).alias(c) for c in ("rating_a", "rating_b", "probability_a", "market_a", "edge")], "tier", "edge_reading", "reliability_score", "reliability", "pick")
+
+
+# deltas, bundles, spells, evaluation in one piece
+
+_NEW = "2001-02-01"
+
+
+@query(with_obs(f"{_PAIRS}, m AS (SELECT *, 'a_minus_b' AS row_direction FROM pairs UNION ALL SELECT contest_id, event_day, grp, entity_b, entity_a, CAST(1 - label AS INTEGER), {_SWAP}, 'b_minus_a' FROM pairs) SELECT * FROM m WHERE event_day >= DATE '{_NEW}'"))
+def dataset_increment(spark: SparkSession, d: str) -> DataFrame:
+    """The mirrored rows that a dataset of older contests lacks, with its columns, from the histories of the new contests' entities alone."""
+    obs = observations(spark, d)
+    old = pairs.mirrored(pairs.pair_rows(history.snapshots(obs.filter(F.col("event_day") < F.lit(_NEW).cast("date")), history.career_specs()), PAIR_FEATURES))
+    return doubles(pairs.increment(old, obs, history.career_specs(), PAIR_FEATURES))
+
+
+_LINES = "string_agg({c}, chr(10) ORDER BY {c}) || chr(10)"
+
+
+@query(
+    f"""WITH f AS (SELECT 'nation.txt' AS name, {_LINES.format(c='n_name')} AS x, 'ok' AS status FROM nation UNION ALL SELECT 'region.txt', {_LINES.format(c='r_name')}, 'digest' FROM region
+    UNION ALL SELECT 'supplier.txt', {_LINES.format(c='s_name')}, 'size' FROM supplier UNION ALL SELECT 'customer.txt', {_LINES.format(c='c_name')}, 'unlisted' FROM customer)
+    SELECT name, status, CAST(octet_length(encode(x)) AS BIGINT) AS bytes FROM f UNION ALL SELECT 'part.txt', 'missing', NULL"""
+)
+def bundle_members(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a bundle against its manifest, as a set; one has another digest than listed, one another size, one is missing and one isn't listed."""
+    root, found = twins.shared_root(spark, "bundle"), []
+    for t, c in (("nation", "n_name"), ("region", "r_name"), ("supplier", "s_name"), ("customer", "c_name")):
+        load(spark, d, t).select(c).coalesce(1).sortWithinPartitions(c).write.text(f"{root}/{t}")
+        files = tables.file_hashes(spark, f"{root}/{t}").filter(~F.col("path").rlike(r"/[._][^/]*$"))
+        found.append(files.select(F.lit(f"{root}/{t}.txt").alias("path"), "bytes", "sha256"))
+    there = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = there.select(name.alias("name"), (F.col("bytes") + F.when(name == "supplier.txt", 1).otherwise(0)).alias("bytes"), F.when(name == "region.txt", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    manifest = listed.withColumn("name", F.when(F.col("name") == "customer.txt", "part.txt").otherwise(F.col("name")))
+    return tables.bundle_members(there, manifest)
+
+
+@query(
+    with_obs(
+        """c AS (SELECT *, CASE WHEN grp IS NOT DISTINCT FROM lag(grp) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY event_day, contest_id)),
+    p AS (SELECT *, sum(new) OVER (PARTITION BY entity_id ORDER BY event_day, contest_id ROWS UNBOUNDED PRECEDING) AS place FROM c)
+    SELECT entity_id, CAST(place AS BIGINT) AS place, any_value(grp) AS grp, min(event_day) AS since, max(event_day) AS until, count(*) AS contests FROM p GROUP BY entity_id, place"""
+    )
+)
+def group_spells(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity's groups in order, with the days they were held."""
+    return history.group_spells(observations(spark, d))
+
+
+_LOGIT = ("wins_diff", "losses_diff", "attempts_sum_diff")
+
+
+@query(with_obs(f"{_PAIRS} SELECT f AS feature, count(label) AS n, true AS flat FROM pairs, (SELECT unnest([{', '.join(repr(x) for x in (*_LOGIT, 'intercept'))}]) AS f) WHERE event_day < DATE '1999-01-01' GROUP BY f"))
+def logit_gradients(spark: SparkSession, d: str) -> DataFrame:
+    """At the fitted weights the penalised loss is flat in every direction."""
+    rows = Steps(spark, "gradients").write(career_pairs(spark, d).filter(F.col("event_day") < F.lit("1999-01-01").cast("date")))
+    model = models.fit(rows, "logistic", list(_LOGIT))
+    return models.logistic_gradient(model, rows).select("feature", "n", (F.abs("gradient") < 1e-4).alias("flat"))
+
+
+_PARTS = {"develop": "1999-01-01", "test": ""}
+
+
+@query(
+    with_obs(
+        f"""{_FORE}, c AS (SELECT contest_id, CAST(label AS DOUBLE) AS y, unnest(['rating', 'half']) AS model, unnest([probability, 0.5]) AS p, CASE WHEN event_day < DATE '1999-01-01' THEN 'develop' ELSE 'test' END AS part FROM fore WHERE label IS NOT NULL),
+    g AS (SELECT model, part, count(*) AS n, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END) AS accuracy, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS log_loss, avg((p - y) * (p - y)) AS brier FROM c GROUP BY ALL),
+    b AS (SELECT model, part, greatest(1, ceil(p * 10)) AS bin, avg(y) AS observed FROM c GROUP BY ALL)
+    SELECT NULL AS model, part, 'protocol' AS section, 'contests' AS item, CAST(count(DISTINCT contest_id) AS DOUBLE) AS value FROM c GROUP BY part
+    UNION ALL SELECT model, part, 'metrics', 'n', n FROM g UNION ALL SELECT model, part, 'metrics', 'accuracy', round(accuracy, 6) FROM g UNION ALL SELECT model, part, 'metrics', 'log_loss', round(log_loss, 6) FROM g UNION ALL SELECT model, part, 'metrics', 'brier', round(brier, 6) FROM g
+    UNION ALL SELECT model, part, 'interval', 'mean', round(brier, 6) FROM g UNION ALL SELECT model, part, 'calibration', 'bin ' || CAST(CAST(bin AS BIGINT) AS VARCHAR), round(observed, 6) FROM b"""
+    )
+)
+def retrospective_report(spark: SparkSession, d: str) -> DataFrame:
+    """A frozen evaluation of the rating's expectation and of one half, by part: protocol, metrics, calibration, and the mean that the interval is around."""
+    cases = forecasts(spark, d).filter("row_direction = 'a_minus_b'").select("contest_id", "event_day", "label", F.col("probability").alias("rating"), F.lit(0.5).alias("half"))
+    out = evaluate.retrospective(cases, ["rating", "half"], _PARTS, "frozen")
+    return out.filter("item not in ('balanced_accuracy', 'auc', 'low', 'high')").withColumn("value", r6("value"))

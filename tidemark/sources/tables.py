@@ -94,6 +94,17 @@ def contract_status(facts: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.select("name", status.alias("status"))
 
 
+def bundle_members(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, status, bytes) of a bundle's files against its manifest, as a set: ok, missing, unlisted, size or digest.
+
+    found: (path, bytes, sha256) of files, as file_hashes gives them; manifest: (name, bytes, sha256), a name being the end of a path. A bundle is whole if all are ok.
+    """
+    files = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
+    both = manifest.withColumn("_listed", F.lit(True)).join(files, "name", "full_outer")
+    status = F.when(F.col("_listed").isNull(), "unlisted").when(F.col("_sha").isNull(), "missing").when(F.col("bytes") != F.col("_bytes"), "size").when(F.col("sha256") != F.col("_sha"), "digest").otherwise("ok")
+    return both.select("name", status.alias("status"), F.col("_bytes").alias("bytes"))
+
+
 def publish(df: DataFrame, root: str, name: str, checks: Sequence = ()) -> DataFrame:
     """Staged write: to <root>/_staging first, then each check (a function of the staged table that raises), then moved to <root>/<name>.
 
