@@ -19,8 +19,8 @@ DAY_MS = 86_400_000
 class DayBuffer(StatefulProcessor):
     """State of a key: totals of its closed days, and the events of days that are still open, one row each.
 
-    An event waits for the timer of its day's end. When the watermark passes it, the day's events are given out with the totals of all
-    earlier days, and then added to them. idle_days: totals go when a key has had no event for so many days; a later one starts anew.
+    A key has one timer, for the end of its earliest open day. When the watermark has passed it, the events of all closed days are given out, each with the
+    totals of the days before, and then added to them. idle_days: totals go when a key has had no event for so many days; a later one starts anew.
     """
 
     def __init__(self, idle_days: int | None = None):
@@ -28,23 +28,29 @@ class DayBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "n bigint, total double, last_end bigint")
+        self.totals = handle.getValueState("totals", "n bigint, total double, last_end bigint, timer bigint")
         self.open = handle.getListState("open", "ends bigint, event_id bigint, value double")
 
+    def _known(self) -> tuple[int, float, int, int]:
+        return self.totals.get() if self.totals.exists() else (0, 0.0, 0, 0)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends: set[int] = set()
-        for f in rows:
-            if len(f):
-                self.open.appendList(list(zip(f["ends"].tolist(), f["event_id"].tolist(), f["value"].tolist(), strict=True)))
-                ends |= set(f["ends"].tolist())
-        for end in ends:
-            self.handle.registerTimer(end)
+        new = [r for f in rows for r in zip(f["ends"].tolist(), f["event_id"].tolist(), f["value"].tolist(), strict=True)]  # one key's events of one micro-batch
+        if new:
+            self.open.appendList(new)
+            n, total, last, timer = self._known()
+            first = min(r[0] for r in new)
+            if not timer or first < timer:
+                if timer:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+                self.totals.update((n, total, last, first))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        rows = pd.DataFrame([tuple(r) for r in self.open.get()], columns=["ends", "event_id", "value"]) if self.open.exists() else pd.DataFrame(columns=["ends", "event_id", "value"])
-        n, total, last = self.totals.get() if self.totals.exists() else (0, 0.0, 0)
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame([tuple(r) for r in self.open.get()] if self.open.exists() else [], columns=["ends", "event_id", "value"])
+        n, total, last, _ = self._known()
         closed, rest = rows[rows["ends"] <= now].sort_values(["ends", "event_id"]), rows[rows["ends"] > now]
         out = []
         for end, day in closed.groupby("ends"):
@@ -57,12 +63,16 @@ class DayBuffer(StatefulProcessor):
                 self.open.put([tuple(r) for r in rest.itertuples(index=False)])
             else:
                 self.open.clear()
-            self.totals.update((n, total, last))
-            if self.idle_days is not None:
-                self.handle.registerTimer(last + self.idle_days * DAY_MS + 1)
-        elif self.idle_days is not None and last and now > last + self.idle_days * DAY_MS and not len(rest):
+        forgets = last + self.idle_days * DAY_MS + 1 if self.idle_days is not None and last else 0
+        if not len(rest) and not len(closed) and forgets and now >= forgets:
             self.totals.clear()
-        yield from out
+            return
+        timer = int(rest["ends"].min()) if len(rest) else forgets
+        if timer:
+            self.handle.registerTimer(timer)
+        self.totals.update((n, total, last, timer))
+        if out:
+            yield pd.concat(out)
 
     def close(self) -> None:
         pass
