@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 from test_operators import make_obs
-from tidemark.operators import evaluate, history, models, pairs
+from tidemark.operators import evaluate, history, maintenance, models, pairs
 from tidemark.sources import tables
 
 
@@ -63,3 +63,18 @@ def test_retrospective_is_made_of_its_parts(spark):
     assert got["half", "late", "metrics", "auc"] == 0.5 and got[None, "late", "protocol", "contests"] == len(own)
     assert got["m", "early", "interval", "low"] <= got["m", "early", "interval", "mean"] <= got["m", "early", "interval", "high"]
     assert sum(k[2] == "calibration" and k[0] == "half" for k in got) == 2
+
+
+def test_recovery_by_the_journals_states(spark):
+    rows = [("a", 1, "staging", True), ("a", 9, "committed", False), ("b", 2, "committing", False), ("c", 3, "committing", True), ("d", 4, "committed", False), ("e", 5, "staging", None), ("e", 6, "rolled_back", False), ("f", 7, "recovery_required", None), ("g", 8, "?", False)]
+    got = {r.transaction: r.action for r in maintenance.recovery_actions(spark.createDataFrame(rows, "transaction string, at int, status string, alive boolean")).collect()}
+    assert got == {"a": "may_restore", "b": "restore", "c": "refuse", "d": "keep", "e": "none", "f": "restore", "g": "unknown"}
+    assert maintenance.recovery_actions(spark.createDataFrame([], "transaction string, at int, status string, alive boolean")).count() == 0
+
+
+def test_sealed_reports(spark):
+    report = maintenance.sealed(spark.createDataFrame([("n", 5.0), ("share", 0.4), ("share", None)], "item string, value double"))
+    faults = lambda df, **b: sorted((r["item"], r.fault) for r in maintenance.seal_faults(df, b).collect())
+    assert faults(report, n=(0, None)) == [] and faults(report) == []
+    assert faults(report, share=(0, 1), n=(None, 4)) == [("n", "bounds"), ("share", "bounds")]
+    assert faults(report.filter("value is not null")) == [("n", "integrity"), ("share", "integrity")]

@@ -184,3 +184,34 @@ def append_ledger(ledger: DataFrame, new: DataFrame, chain: str, order: str, pay
     require(fresh.join(last, chain).filter(F.col(order) <= F.col("_last")).select(*keys), "out of order")
     linked = chained(fresh.select(*keys, *payload), chain, order, payload).join(last, chain, "left")
     return linked.withColumn("previous_hash", F.when(F.col("previous_hash") == "", F.coalesce("_hash", F.lit(""))).otherwise(F.col("previous_hash"))).drop("_last", "_hash")
+
+
+def recovery_actions(journal: DataFrame) -> DataFrame:
+    """(transaction, status, action) from a journal (transaction, at, status, alive): what is to be done about each transaction after a stop.
+
+    A transaction's last row is its state; alive says whether its process still runs. staging, committing and recovery_required: `refuse` while the
+    process runs, else `restore` what stood before. committed: `may_restore` if it is the last one that was, else `keep`. rolled_back: `none`. Anything else is `unknown`.
+    """
+    last = journal.groupBy("transaction").agg(F.max_by(F.struct("status", "alive", "at"), "at").alias("l")).select("transaction", "l.*")
+    newest = last.filter("status = 'committed'").agg(F.max("at").alias("_newest"))  # one row
+    open_ = F.col("status").isin("staging", "committing", "recovery_required")
+    action = F.when(open_ & F.coalesce("alive", F.lit(False)), "refuse").when(open_, "restore").when(F.col("status") == "rolled_back", "none")
+    action = action.when((F.col("status") == "committed") & (F.col("at") == F.col("_newest")), "may_restore").when(F.col("status") == "committed", "keep").otherwise("unknown")
+    return last.crossJoin(newest).select("transaction", "status", action.alias("action"))
+
+
+def sealed(report: DataFrame) -> DataFrame:
+    """A report with `integrity` in each row: the digest of all its rows, as a multiset."""
+    return report.crossJoin(content_digest(report).select(F.col("digest").alias("integrity")))  # one row
+
+
+def seal_faults(report: DataFrame, bounds: dict[str, tuple[float | None, float | None]], item: str = "item", value: str = "value") -> DataFrame:
+    """(item, fault) of a sealed report: `integrity` for every row if the content isn't what was sealed, `bounds` where a named item's value is outside its
+    bounds (each end may be open) or null. A report without faults may be used."""
+    now = content_digest(report.drop("integrity")).select(F.col("digest").alias("_now"))
+    low, high = (F.create_map(*[x for k, v in bounds.items() for x in (F.lit(k), F.lit(v[i]).cast("double"))]) if bounds else F.create_map().cast("map<string,double>") for i in (0, 1))
+    v = F.col(value).cast("double")
+    known = F.array_contains(F.map_keys(low), F.col(item))
+    outside = known & (v.isNull() | F.isnan(v) | F.coalesce(v < F.try_element_at(low, F.col(item)), F.lit(False)) | F.coalesce(v > F.try_element_at(high, F.col(item)), F.lit(False)))
+    faults = F.array_compact(F.array(F.when(~F.col("integrity").eqNullSafe(F.col("_now")), "integrity"), F.when(outside, "bounds")))
+    return report.crossJoin(now).select(item, F.explode(faults).alias("fault"))  # one row

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answer, asof_state, capture, evaluate, history, models, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
+from ..operators import answer, asof_state, capture, evaluate, history, maintenance, models, names, pairs, ratings, sketches, smoothing, upkeep, walkforward
 from ..operators.graph import Steps
 from ..sources import tables
 from ..streaming import keyed, ledger, twins
@@ -489,3 +489,32 @@ def retrospective_report(spark: SparkSession, d: str) -> DataFrame:
     cases = forecasts(spark, d).filter("row_direction = 'a_minus_b'").select("contest_id", "event_day", "label", F.col("probability").alias("rating"), F.lit(0.5).alias("half"))
     out = evaluate.retrospective(cases, ["rating", "half"], _PARTS, "frozen")
     return out.filter("item not in ('balanced_accuracy', 'auc', 'low', 'high')").withColumn("value", r6("value"))
+
+
+# recovery, sealed reports
+
+_STATES = ("staging", "committing", "committed", "rolled_back", "recovery_required", "odd")
+
+
+@query(
+    f"""WITH j AS (SELECT o_custkey AS k, o_orderkey AS pos, [{", ".join(repr(x) for x in _STATES)}][o_orderkey % {len(_STATES)} + 1] AS status, o_orderkey % 5 = 0 AS alive FROM orders),
+    l AS (SELECT k, arg_max(status, pos) AS status, arg_max(alive, pos) AS alive, max(pos) AS pos FROM j GROUP BY k)
+    SELECT k AS "transaction", status, CASE WHEN status IN ('staging', 'committing', 'recovery_required') THEN CASE WHEN alive THEN 'refuse' ELSE 'restore' END WHEN status = 'rolled_back' THEN 'none'
+        WHEN status = 'committed' THEN CASE WHEN pos = (SELECT max(pos) FROM l WHERE status = 'committed') THEN 'may_restore' ELSE 'keep' END ELSE 'unknown' END AS action FROM l"""
+)
+def recovery_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Customers stand for transactions, orders for the rows of their journals."""
+    k = F.col("o_orderkey")
+    state = F.element_at(F.array(*[F.lit(x) for x in _STATES]), (k % len(_STATES) + 1).cast("int"))
+    return maintenance.recovery_actions(load(spark, d, "orders").select(F.col("o_custkey").alias("transaction"), k.alias("at"), state.alias("status"), (k % 5 == 0).alias("alive")))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS item, avg(o_totalprice) AS value FROM orders GROUP BY 1)
+    SELECT 'whole' AS report, item, 'bounds' AS fault FROM r WHERE item = '1-URGENT' AND value > 1 OR item = '2-HIGH' AND value < 0 UNION ALL SELECT 'changed', item, unnest(CASE WHEN item = '1-URGENT' THEN ['integrity', 'bounds'] ELSE ['integrity'] END) FROM r""")
+def sealed_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report that is whole but for one value out of its bounds, and one that was changed after it was sealed."""
+    report = Steps(spark, "report").write(load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("item")).agg(F.avg("o_totalprice").alias("value")))
+    bounds = {"1-URGENT": (None, 1.0), "2-HIGH": (0.0, None)}
+    whole = maintenance.sealed(report)
+    changed = whole.withColumn("value", F.col("value") + 1)
+    return maintenance.seal_faults(whole, bounds).withColumn("report", F.lit("whole")).unionByName(maintenance.seal_faults(changed, bounds).withColumn("report", F.lit("changed")))
