@@ -16,10 +16,15 @@ from .contests import load, observations
 from .queries import _FORE, _PAIRS, _SWAP, PAIR_FEATURES, career_pairs, doubles, forecasts, query, r6, with_obs
 
 
+def staged(spark: SparkSession, d: str) -> DataFrame:
+    """The observations, written: queries that pass over them several times derive them once."""
+    return Steps(spark, "obs").write(observations(spark, d))
+
+
 @query(with_obs(f"{_snapshots_sql(chr(39) * 2)} SELECT contest_id, event_day, grp, entity_a, entity_b, round(rating_a, 6) AS rating_a, round(rating_b, 6) AS rating_b, updates_a, updates_b FROM snap", recursive=True))
 def rating_snapshots_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The overall fold in blocks of days, here of a sixth of all contests at most, components side by side."""
-    obs = observations(spark, d)
+    obs = staged(spark, d)
     most = max(1, ratings.decisive_pairs(obs).count() // 6)
     return ratings.rating_snapshots_in_blocks(obs, most).withColumns({"rating_a": r6("rating_a"), "rating_b": r6("rating_b")})
 
@@ -150,7 +155,7 @@ _VIEW_SQL = """c AS (SELECT *, count(*) OVER h AS contests, CAST(coalesce(sum(CA
 )
 def view_upkeep(spark: SparkSession, d: str) -> DataFrame:
     """ST3, M03, T09: late corrections and removals reach the view through the rows that read them; only these are computed anew."""
-    old = observations(spark, d).select(*upkeep.KEYS, "opponent_id", "event_day", "won", "attempts")
+    old = staged(spark, d).select(*upkeep.KEYS, "opponent_id", "event_day", "won", "attempts")
     late = F.coalesce(F.col("event_day") >= F.lit(_LATE).cast("date"), F.lit(False))
     fixed = late & (F.col("contest_id") % 61 == 0)
     new = old.filter(~(late & (F.col("contest_id") % 61 == 1))).withColumns({"won": F.when(fixed, 1 - F.col("won")).otherwise(F.col("won")), "attempts": F.when(fixed, F.col("attempts") + 1).otherwise(F.col("attempts"))})
@@ -173,7 +178,7 @@ _ASKED = [date(1995 + (i * 7) % 7, 1 + (i * 5) % 12, 1 + (i * 11) % 28) for i in
 )
 def as_of_versions(spark: SparkSession, d: str) -> DataFrame:
     """W22, ST2: totals of all entities before twenty days in no order, from versions of 91 days and the rows after them."""
-    obs = observations(spark, d)
+    obs = staged(spark, d)
     specs = [s for s in history.career_specs() if s.name in ("contests", "wins", "attempts_sum", "last_day")]
     state = asof_state.AsOfState.build(obs, specs, 91)
     days = spark.createDataFrame([(x,) for x in sorted(set(_ASKED))], "event_day date")
@@ -241,7 +246,7 @@ FAMILIES = [
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     obs = pairs.opponent_columns(observations(spark, d), ["attempts", "successes"])
-    return obs.withColumn("stopped", F.col("opponent_attempts") - F.col("opponent_successes"))
+    return Steps(spark, "rated").write(obs.withColumn("stopped", F.col("opponent_attempts") - F.col("opponent_successes")))
 
 
 _RATED_SQL = "rated AS (SELECT a.contest_id, a.event_day, a.grp, a.entity_id, a.opponent_id, a.successes, a.attempts, b.attempts AS opponent_attempts, b.attempts - b.successes AS stopped FROM obs a JOIN obs b ON a.contest_id = b.contest_id AND a.opponent_id = b.entity_id)"
@@ -403,7 +408,7 @@ _HISTORY = "(SELECT count(*) AS contests, coalesce(sum(CASE WHEN won = 1 THEN 1
 )
 def whole_answers(spark: SparkSession, d: str) -> DataFrame:
     """Each entity against the next, on days of its own: histories, ratings, probability, market, edge and reliability in one row."""
-    obs = observations(spark, d)
+    obs = staged(spark, d)
     a = F.col("entity_a")
     asked = obs.select(F.col("entity_id").alias("entity_a")).distinct().select(
         a.alias("request_id"), a, (a + 1).alias("entity_b"), F.date_sub(F.lit("2001-03-01").cast("date"), (a % 400 * 5).cast("int")).alias("event_day"), F.lit("2-HIGH").alias("grp"),
