@@ -1,6 +1,6 @@
 import pytest
 from oracle import assert_same
-from tidemark.plans import aggregate_queries, more_queries, scalar_queries, source_queries, upkeep_queries  # noqa: F401
+from tidemark.plans import aggregate_queries, more_queries, scalar_queries, source_queries, state_queries, text_queries, upkeep_queries  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 
