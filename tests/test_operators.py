@@ -222,6 +222,33 @@ def test_calendar_windows(spark):
         assert r.n == (sum(e == r.entity_id and d is not None and low <= d < r.event_day for e, d, _ in rows) if r.event_day else None)
 
 
+def test_history_by_day_equals_snapshots_where_one_entity_is_hot(spark):
+    """A third of the rows on one entity, some of them on one day; rows without a day or key, repeated rows, and columns that clash."""
+    obs, _ = make_obs(spark, seed=21, n=200, entities=12, undated=9)
+    hot = obs.withColumn("entity_id", F.when(F.col("entity_id") % 3 == 0, 0).when(F.col("entity_id") == 1, None).otherwise(F.col("entity_id")))
+    hot = hot.withColumn("event_day", F.when(F.col("contest_id").between(40, 80), F.lit("2020-01-20").cast("date")).otherwise(F.col("event_day")))
+    hot = hot.unionByName(hot.filter("contest_id % 7 = 0")).withColumns({"a.b": F.lit(1), "_key": F.lit(2), "wins": F.lit(-1)})
+    won = F.col("won")
+    specs = [*history.career_specs(), history.Spec("mean", "avg", F.col("attempts")), history.Spec("mean_won", "avg", won), history.Spec("low", "min", won), history.Spec("known", "count", won), history.Spec("month", "sum", F.col("seconds"), 1), history.Spec("month_n", "count", won, 1)]
+    want, got = history.snapshots(hot, specs), history.snapshots_by_day(hot, specs)
+    assert sorted(got.dtypes) == sorted(want.dtypes)
+    names = [f"`{c}`" for c in sorted(want.columns)]
+    text = lambda df: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.select(*names).collect())
+    assert text(got) == text(want)
+    empty = history.snapshots_by_day(hot.limit(0), specs)
+    assert empty.collect() == [] and sorted(empty.columns) == sorted(want.columns)
+    assert history.snapshots_by_day(hot, []).columns == hot.columns
+    with pytest.raises(ValueError):
+        history.snapshots_by_day(hot, [history.Spec("x", "max", won, 3)])
+
+
+def test_history_by_day_adds_up_before_its_windows(spark, capsys):
+    obs, _ = make_obs(spark, n=5)
+    history.snapshots_by_day(obs, history.career_specs()).explain()
+    plan = capsys.readouterr().out
+    assert "partial_count" in plan[plan.rindex("Window") :]
+
+
 @pytest.mark.parametrize(("operator", "most"), [(history.streaks, 1), (lambda o: history.previous_group(o, {}), 1), (history.group_experience, 2), (lambda o: history.snapshots(o, history.career_specs()), 1)])
 def test_windows_share_shuffles(spark, operator, most, capsys):
     obs, _ = make_obs(spark, n=5)

@@ -55,6 +55,41 @@ def snapshots(obs: DataFrame, specs: Sequence[Spec], key: str = "entity_id", day
     return out
 
 
+def snapshots_by_day(obs: DataFrame, specs: Sequence[Spec], key: str = "entity_id", day: str = "event_day") -> DataFrame:
+    """The rows of `snapshots` where one entity may have a large share of all rows: no task holds an entity's rows.
+
+    Rows are added up by entity and day before they are shuffled. The windows run over one row for each entity and day, so the largest
+    has as many rows as there are days. What they give meets the rows in a join by entity and day, where adaptive execution splits a day that is
+    hot itself. obs is read twice: write it first if it is dear. Sums of doubles are added in another order than in `snapshots`, so their last digits may differ.
+    Undated rows get null. Rows with a null key are one entity, as there. An empty table gives an empty result; further columns stay as they are, but for those with the name of a spec, which it replaces.
+    """
+    if any(s.months and s.agg not in ("sum", "count") for s in specs):
+        raise ValueError("calendar windows take sums and counts")
+    if not specs:
+        return obs
+    kinds = dict(obs.agg(*[s.over(None).alias(s.name) for s in specs]).dtypes)
+    halves = {s.name: ("sum", "count") if s.agg == "avg" else (s.agg,) for s in specs}
+    part = lambda s, half: {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[half](s.value).alias(f"{half}_{s.name}")
+    dated = obs.filter(F.col(f"`{day}`").isNotNull())
+    days = dated.groupBy(F.col(f"`{key}`").alias("_key"), F.col(f"`{day}`").alias("_day")).agg(*[part(s, half) for s in specs for half in halves[s.name]])
+    earlier = before("_key", "_day")
+
+    def seen(s: Spec) -> Column:
+        if s.months:  # up to and with the day, less the day
+            own = F.coalesce(F.col(f"`{s.agg}_{s.name}`"), F.lit(0))
+            frame = f"(PARTITION BY _key ORDER BY _day RANGE BETWEEN INTERVAL '{s.months}' MONTH PRECEDING AND CURRENT ROW)"
+            return F.coalesce(F.expr(f"sum(`{s.agg}_{s.name}`) OVER {frame}"), F.lit(0)) - own
+        if s.agg in ("max", "min"):
+            return {"max": F.max, "min": F.min}[s.agg](f"`{s.agg}_{s.name}`").over(earlier)
+        total = lambda half: F.sum(f"`{half}_{s.name}`").over(earlier)
+        return F.try_divide(total("sum"), total("count")) if s.agg == "avg" else F.coalesce(total(s.agg), F.lit(0))
+
+    state = days.select("_key", "_day", *[seen(s).cast(kinds[s.name]).alias(s.name) for s in specs])
+    met = obs.alias("o").join(state.alias("s"), F.col(f"o.`{key}`").eqNullSafe(F.col("s._key")) & (F.col(f"o.`{day}`") == F.col("s._day")), "left")
+    names = {s.name for s in specs}
+    return met.select(*[F.col(f"o.`{c}`") for c in obs.columns if c not in names], *[F.col(f"s.`{s.name}`") for s in specs])
+
+
 def _calendar(obs: DataFrame, specs: Sequence[Spec], key: str, day: str, months: int) -> DataFrame:
     """Trailing calendar months, the day itself left out: the frame up to and with the day, less the day's own rows. Both share the entity's shuffle."""
     if any(s.agg not in ("sum", "count") for s in specs):

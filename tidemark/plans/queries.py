@@ -55,6 +55,34 @@ def pit_history_strict(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*ID, "contests", "wins", "losses", "draws", "attempts_sum", "successes_sum", "seconds_sum", "last_day")
 
 
+_HOT = "CASE WHEN entity_id % 3 = 0 THEN 0 ELSE entity_id END"
+_HOT_STRICT = "OVER (PARTITION BY hot ORDER BY event_day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)"
+_HOT_YEAR = "OVER (PARTITION BY hot ORDER BY event_day RANGE BETWEEN INTERVAL 12 MONTH PRECEDING AND INTERVAL 1 DAY PRECEDING)"
+
+
+@query(
+    with_obs(f"""h AS (SELECT *, {_HOT} AS hot FROM obs)
+    SELECT contest_id, opponent_id, hot AS entity_id, count(*) {_HOT_STRICT} AS contests, CAST(coalesce(sum(CASE WHEN won = 1 THEN 1 ELSE 0 END) {_HOT_STRICT}, 0) AS BIGINT) AS wins,
+        CAST(coalesce(sum(attempts) {_HOT_STRICT}, 0) AS DOUBLE) AS attempts_sum, round(avg(seconds) {_HOT_STRICT}, 6) AS mean_seconds, min(attempts) {_HOT_STRICT} AS least_attempts,
+        max(CASE WHEN won = 1 THEN event_day END) {_HOT_STRICT} AS last_win_day, count(*) {_HOT_YEAR} AS contests_12m FROM h""")
+)
+def history_hot_entity(spark: SparkSession, d: str) -> DataFrame:
+    """W01, W13 where one entity has a third of all rows: every third entity counts as one. Windows over one row for each entity and day."""
+    obs = observations(spark, d).withColumn("entity_id", F.expr(_HOT))
+    won = F.when(F.col("won") == 1, 1).otherwise(0)
+    specs = [
+        history.Spec("contests", "count", F.lit(1)),
+        history.Spec("wins", "sum", won),
+        history.Spec("attempts_sum", "sum", F.col("attempts")),
+        history.Spec("mean_seconds", "avg", F.col("seconds")),
+        history.Spec("least_attempts", "min", F.col("attempts")),
+        history.Spec("last_win_day", "max", F.when(F.col("won") == 1, F.col("event_day"))),
+        history.Spec("contests_12m", "count", F.lit(1), 12),
+    ]
+    out = history.snapshots_by_day(obs, specs)
+    return out.select("contest_id", "opponent_id", "entity_id", "contests", "wins", "attempts_sum", r6("mean_seconds").alias("mean_seconds"), "least_attempts", "last_win_day", "contests_12m")
+
+
 _RATES = """round(CASE WHEN wins + losses > 0 THEN wins / (wins + losses) END, 6) AS win_rate, round(CASE WHEN attempts_sum > 0 THEN successes_sum / attempts_sum END, 6) AS accuracy,
     round(CASE WHEN seconds_sum > 0 THEN successes_sum / (seconds_sum / 60) END, 6) AS per_minute, round(CASE WHEN seconds_sum > 0 THEN attempts_sum / (seconds_sum / 60) * 15 END, 6) AS per_15,
     CAST(event_day - last_day AS BIGINT) AS days_since_last, CAST(event_day - last_win_day AS BIGINT) AS days_since_win, CAST(event_day - last_loss_day AS BIGINT) AS days_since_loss"""
