@@ -31,11 +31,14 @@ def host_of(url: Column) -> Column:
 
 
 def write_batch(pages: DataFrame, root: str, batch: int, buckets: int = BUCKETS) -> None:
-    """Puts pages (page_id, url, html) into the cache as one batch. A batch that is written again replaces itself."""
+    """Puts pages (page_id, url, html) into the cache as one batch. A batch that is written again replaces itself.
+
+    Rows are dealt by bucket, and adaptive execution cuts buckets beyond its advisory size into several tasks, and so files: a host with most pages is no single task.
+    """
     host = host_of(F.col("url"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host.alias("host"), url_slug(F.col("url")).alias("slug"), "html")
     shards = rows.withColumn("bucket", (F.crc32(F.col("host").cast("binary")) % buckets).cast("int"))
-    shards.repartition("bucket", F.floor(F.rand(3) * 4)).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch}")
+    shards.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch}")
 
 
 def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
