@@ -181,7 +181,7 @@ _SIDES = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 @query(f"""WITH {_SIDES} SELECT l_orderkey AS page_id, CAST(rn AS INTEGER) AS row, 'part ' || l_partkey || ' | supplier ' || l_suppkey AS who, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' of ' || CAST(CAST(l_quantity AS INTEGER) + 5 AS VARCHAR) || ' | ---' AS hits FROM li""")
 def page_contests(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the first table whose header has the wanted names, as named fields."""
-    rows = pages.tables_with_headers(pages.table_rows(order_pages(spark, d)), ["hits", "Who"])
+    rows = pages.first_tables(order_pages(spark, d), ["hits", "Who"])
     return pages.listed_contests(rows, ["who", "hits"]).drop("table")
 
 
@@ -189,7 +189,7 @@ def page_contests(spark: SparkSession, d: str) -> DataFrame:
     CASE s WHEN 0 THEN CAST(l_quantity AS BIGINT) END AS hits_made, CASE s WHEN 0 THEN CAST(l_quantity AS BIGINT) + 5 END AS hits_tried FROM li, (VALUES (0), (1)) t(s)""")
 def page_sides(spark: SparkSession, d: str) -> DataFrame:
     """One row for each side of paired cells, counts decoded."""
-    rows = pages.tables_with_headers(pages.table_rows(order_pages(spark, d)), ["who", "hits"])
+    rows = pages.first_tables(order_pages(spark, d), ["who", "hits"])
     return pages.stat_sides(pages.listed_contests(rows, ["who", "hits"]), "who", ["hits"], ["page_id", "row"])
 
 

@@ -1,8 +1,9 @@
-"""Extraction from HTML pages: links, titles, tables as rows. Pages are parsed in Arrow batches by the standard library's parser."""
+"""Extraction from HTML pages: links, titles, tables as rows. Pages are parsed in Arrow batches; what isn't plain, by the standard library's parser."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, height_cm, parse_of_pair, reach_cm
 
-CELLS = "array<struct<table:int,row:int,header:boolean,cells:array<string>>>"
-
 
 class _Tables(HTMLParser):
     """Rows of a page's tables; a nested table is set aside from the cell it stands in. Paragraphs and items in a cell are set off by ' | '."""
@@ -76,26 +75,96 @@ class _Tables(HTMLParser):
             self.stack.pop()
 
 
+#: A text without markup and the tag after it, as most pages have them: quoted attributes, no entity, comment or closed start tag.
+_PLAIN = re.compile(r'([^<&]*)<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\r\n]+[a-zA-Z][a-zA-Z0-9-]*="[^"<>&]*")*)[ \t\r\n]*>')
+_CODE = re.compile(r"[^<]*(?:<(?![/!])[^<]*)*</(script|style)>", re.IGNORECASE)
+#: Elements whose text the standard library's parser doesn't take as markup, by its version.
+_RAW = frozenset(("textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"))
+
+
+def _plain(html: str, p: _Tables) -> bool:
+    """Gives p the tags and texts of a page that has only plain ones; False, with p in any state, where the standard library's parser must decide."""
+    at, end = 0, len(html)
+    start, close, data = p.handle_starttag, p.handle_endtag, p.handle_data
+    while m := _PLAIN.match(html, at):
+        text, slash, tag, attrs = m.groups()
+        tag, at = tag.lower(), m.end()
+        if text:
+            data(text)
+        if slash:
+            if attrs:
+                return False
+            close(tag)
+            continue
+        if tag in _RAW:
+            return False
+        start(tag, ())
+        if tag in ("script", "style"):
+            code = _CODE.match(html, at)
+            if not code or code[1].lower() != tag:
+                return False
+            at = code.end()
+            close(tag)
+    rest = html[at:end]
+    if "<" in rest or "&" in rest:
+        return False
+    if rest:
+        data(rest)
+    return True
+
+
 def tables(html: str | None) -> list[dict]:
+    """The rows of a page's tables. Plain pages are read by one expression, a tag at a time; all others by the standard library's parser."""
     p = _Tables()
-    p.feed(html or "")
-    p.close()
+    if not _plain(html or "", p):
+        p = _Tables()
+        p.feed(html or "")
+        p.close()
     p.finish()
     return p.rows
 
 
-def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, table, row, header, cells): every row of every table; nested tables count on their own. A null page has none."""
+_ROWS = {"table": pa.int32(), "row": pa.int32(), "header": pa.bool_(), "cells": pa.list_(pa.string())}
+
+
+def _parsed(pages: DataFrame, id_col: str, html_col: str, pick: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """(id, table, row, header, cells) of the rows that pick takes of each page."""
     kind = dict(pages.dtypes)[id_col]
-    item = pa.struct([("table", pa.int32()), ("row", pa.int32()), ("header", pa.bool_()), ("cells", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([tables(x) for x in b.column("html").to_pylist()], pa.list_(item))
-            yield pa.RecordBatch.from_arrays([b.column("id"), found], ["id", "rows"])
+            at, rows = [], []
+            for i, x in enumerate(b.column("html").to_pylist()):
+                found = pick(tables(x))
+                at += [i] * len(found)
+                rows += found
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *[pa.array([r[c] for r in rows], t) for c, t in _ROWS.items()]], ["id", *_ROWS])
+
+    parsed = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, table int, row int, header boolean, cells array<string>")
+    return parsed.withColumnRenamed("id", id_col)
+
+
+def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, table, row, header, cells): every row of every table; nested tables count on their own. A null page has none."""
+    return _parsed(pages, id_col, html_col, lambda rows: rows)
+
+
+def first_tables(pages: DataFrame, required: list[str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """tables_with_headers(table_rows(pages), required) for pages with unique ids: each page is parsed once, in one task, and only the rows of its table leave it.
+
+    Pages are told apart as rows, not by their ids: of two with one id each has its table, and a page without an id keeps its rows.
+    """
+    want = {x.strip(" ").lower() for x in required}
+
+    def pick(rows: list[dict]) -> list[dict]:
+        heads: dict[int, set] = {}
+        for r in rows:
+            if r["header"]:
+                heads.setdefault(r["table"], set()).update(c.strip(" ").lower() for c in r["cells"])
+        first = min((t for t, names in heads.items() if want <= names), default=None)
+        return [r for r in rows if r["table"] == first and not r["header"]]
 
-    parsed = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, rows {CELLS}")
-    return parsed.select(F.col("id").alias(id_col), F.explode("rows").alias("r")).select(id_col, "r.*")
+    return _parsed(pages, id_col, html_col, pick)
 
 
 def tables_with_headers(rows: DataFrame, required: list[str], id_col: str = "page_id") -> DataFrame:
