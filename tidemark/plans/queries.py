@@ -24,7 +24,9 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def r6(x: str | Column) -> Column:
-    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+    """Rounded to six places as SQL engines do it: the nearest multiple of the product. F.round takes the decimal digits, and differs where the seventh is a last 5."""
+    million = F.lit(1e6)
+    return F.round((F.col(x) if isinstance(x, str) else x).cast("double") * million) / million
 
 
 def with_obs(body: str, recursive: bool = False) -> str:
