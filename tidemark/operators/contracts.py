@@ -102,16 +102,14 @@ def range_violations(df: DataFrame, rules: dict[str, tuple[float | None, float |
 
 
 def pair_integrity(obs: DataFrame, contest: str = "contest_id") -> DataFrame:
-    """Contests whose observations don't fit together, with the first reason found."""
-    g = obs.groupBy(contest).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("event_day").alias("days"),
-        F.count_distinct("entity_id").alias("entities"),
-        F.count_if(F.col("result") == "win").alias("wins"),
-        F.count_if(F.col("result") == "loss").alias("losses"),
-        F.count_distinct("result").alias("results"),
-    )
-    reason = F.when(F.col("n") != 2, "rows").when(F.col("days") > 1, "days").when(F.col("entities") != 2, "entities").when((F.col("wins") != F.col("losses")) | (F.col("wins") > 1), "outcome").when((F.col("wins") == 0) & (F.col("results") > 1), "outcome")
+    """Contests whose observations don't fit together, with the first reason found.
+
+    Least and greatest values tell whether two rows differ, so nothing is expanded to count distinct values; with a null beside it a value is alone.
+    """
+    ends = {c: (F.min(c).alias(f"_least_{c}"), F.max(c).alias(f"_most_{c}")) for c in ("event_day", "entity_id", "result")}
+    g = obs.groupBy(contest).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result") == "win").alias("wins"), F.count_if(F.col("result") == "loss").alias("losses"), *[x for pair in ends.values() for x in pair])
+    differ = lambda c: F.coalesce(F.col(f"_least_{c}") < F.col(f"_most_{c}"), F.lit(False))
+    reason = F.when(F.col("n") != 2, "rows").when(differ("event_day"), "days").when(~differ("entity_id"), "entities").when((F.col("wins") != F.col("losses")) | (F.col("wins") > 1), "outcome").when((F.col("wins") == 0) & differ("result"), "outcome")
     return g.select(contest, "n", reason.alias("reason")).filter("reason is not null")
 
 
