@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import confidence_tier, decimal_odds, edge_label, expected_score, no_vig, shrink_to_half
 from .compare import reliability
 from .history import Spec, as_of_lookup, before, career_rates, career_specs, snapshots
-from .ratings import decisive_pairs, rating_snapshots
+from .ratings import rating_snapshots
 
 SIDE = ("contests", "wins", "losses", "win_rate", "accuracy", "per_minute", "days_since_last", "in_group", "rating")
 #: Points off the reliability of 100: (name, for each side, points).
 PENALTIES = (("few_contests", 15), ("not_in_group", 10), ("long_ago", 10), ("no_rating", 20))
 
 
-def ratings_after(snapshots_: DataFrame, pairs: DataFrame, k: float = 32.0) -> DataFrame:
-    """(entity_id, event_day, contest_id, rating): each side's rating after each decisive contest. snapshots_: not frozen by day."""
-    seen = snapshots_.join(pairs.filter("score_a is not null").select("contest_id", "score_a"), "contest_id")
+def ratings_after(snapshots_: DataFrame, pairs: DataFrame | None = None, k: float = 32.0) -> DataFrame:
+    """(entity_id, event_day, contest_id, rating): each side's rating after each decisive contest. snapshots_: not frozen by day; without pairs, with scores."""
+    seen = snapshots_.filter("score_a is not null") if pairs is None else snapshots_.join(pairs.filter("score_a is not null").select("contest_id", "score_a"), "contest_id")
     gain = F.lit(k) * (F.col("score_a") - expected_score(F.col("rating_a"), F.col("rating_b")))
     side = lambda x, sign: F.struct(F.col(f"entity_{x}").alias("entity_id"), (F.col(f"rating_{x}") + sign * gain).alias("rating"))
     return seen.select("contest_id", "event_day", F.explode(F.array(side("a", 1), side("b", -1))).alias("s")).select("s.entity_id", "event_day", "contest_id", "s.rating")
@@ -42,7 +42,7 @@ def whole_answers(obs: DataFrame, requests: DataFrame, start: float = 1500.0, k:
     has the rating that all start with. Odds are texts in either notation; without both there is no market. A request without a day has a null history.
     """
     sides = _sides(obs, requests)
-    rated = ratings_after(rating_snapshots(obs, by_group=False, k=k, start=start, frozen=False), decisive_pairs(obs), k)
+    rated = ratings_after(rating_snapshots(obs, by_group=False, k=k, start=start, frozen=False, with_score=True), k=k)
     sides = as_of_lookup(sides.drop("contest_id"), rated, "entity_id", "event_day", "event_day", ["contest_id", "rating"]).select("request_id", "side", *SIDE)
     one = lambda s, p: sides.filter(F.col("side") == s).select("request_id", *[F.col(c).alias(f"{c}_{p}") for c in SIDE])
     out = requests.join(one("a", "a"), "request_id", "left").join(one("b", "b"), "request_id", "left")

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,23 +51,60 @@ class _Fold:
             self.updates[ka], self.updates[kb] = now[0][1] + 1, now[1][1] + 1
         return seen[0][0], seen[1][0], seen[0][1], seen[1][1]
 
+    def rows(self, days, groups, a, b, scores) -> list[tuple]:
+        """row() for each contest in order; without groups all are in one."""
+        if groups is not None:
+            return [self.row(*x) for x in zip(days, groups, a, b, scores, strict=True)]
+        rating, updates, k, start, half, frozen = self.rating, self.updates, self.k, self.start, self.unknown_half, self.frozen
+        day, dawn, out = self.day, self.at_dawn, []
+        for d, x, y, s in zip(days, a, b, scores, strict=True):
+            if d != day:
+                day, dawn = d, {}
+            rx, ry, ux, uy = rating.get(x, start), rating.get(y, start), updates.get(x, 0), updates.get(y, 0)
+            if frozen:
+                (sx, vx), (sy, vy) = dawn.setdefault(x, (rx, ux)), dawn.setdefault(y, (ry, uy))
+                out.append((sx, sy, vx, vy))
+            else:
+                out.append((rx, ry, ux, uy))
+            if s != s:
+                if not half:
+                    continue
+                s = 0.5
+            gain = k * (s - 1 / (1 + 10 ** ((ry - rx) / 400)))
+            rating[x], rating[y], updates[x], updates[y] = rx + gain, ry - gain, ux + 1, uy + 1
+        self.day, self.at_dawn = day, dawn
+        return out
+
+
+def _dealt(pairs: DataFrame, by_group: bool) -> DataFrame:
+    """pairs in the order of the fold, in a task for each group or in one."""
+    return (pairs.repartition("grp") if by_group else pairs.repartition(1)).sortWithinPartitions("event_day", "contest_id")
+
 
-def rating_snapshots(obs: DataFrame, by_group: bool = True, k: float = 32.0, start: float = 1500.0, frozen: bool = True, unknown_half: bool = False) -> DataFrame:
+def _lists(b: pa.RecordBatch, by_group: bool) -> tuple:
+    """days as numbers, groups or None, both sides, scores with NaN for none: what _Fold.rows takes."""
+    number = lambda c: b.column(c).to_numpy(zero_copy_only=False).tolist()
+    return b.column("event_day").cast(pa.int32()).to_pylist(), b.column("grp").to_pylist() if by_group else None, number("entity_a"), number("entity_b"), number("score_a")
+
+
+def rating_snapshots(obs: DataFrame, by_group: bool = True, k: float = 32.0, start: float = 1500.0, frozen: bool = True, unknown_half: bool = False, with_score: bool = False) -> DataFrame:
     """Ratings of both sides before each contest, one row for each contest.
 
     Contests fold in by day and, within a day, by id. by_group keeps separate ratings for each group, in as many tasks as there
-    are groups. unknown_half counts contests that aren't decisive as half won by both; else they change nothing.
+    are groups. unknown_half counts contests that aren't decisive as half won by both; else they change nothing. with_score keeps score_a (null if not decisive).
     """
     pairs = decisive_pairs(obs).select("event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a")
+    kept = ["event_day", "contest_id", "grp", "entity_a", "entity_b", *(["score_a"] if with_score else [])]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = _Fold(k, start, frozen, unknown_half)
-        for f in frames:
-            seen = [fold.row(d, g if by_group else "", a, b, s) for d, g, a, b, s in zip(f.event_day, f.grp, f.entity_a, f.entity_b, f.score_a, strict=True)]
-            yield f.drop(columns="score_a").assign(**dict(zip(("rating_a", "rating_b", "updates_a", "updates_b"), zip(*seen, strict=True), strict=True))) if seen else f.drop(columns="score_a").assign(rating_a=0.0, rating_b=0.0, updates_a=0, updates_b=0)
+        for b in batches:
+            seen = list(zip(*fold.rows(*_lists(b, by_group)), strict=True)) or [()] * 4
+            made = [pa.array(x, t) for x, t in zip(seen, (pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *made], [*kept, "rating_a", "rating_b", "updates_a", "updates_b"])
 
-    dealt = pairs.repartition("grp") if by_group else pairs.repartition(1)
-    return dealt.sortWithinPartitions("event_day", "contest_id").mapInPandas(run, SNAPSHOT.replace("contest_id bigint, event_day date", "event_day date, contest_id bigint"))
+    schema = SNAPSHOT.replace("contest_id bigint, event_day date", "event_day date, contest_id bigint")
+    return _dealt(pairs, by_group).mapInArrow(run, schema.replace("entity_b bigint", "entity_b bigint, score_a double") if with_score else schema)
 
 
 def _blocks_of(days: list[tuple], most: int) -> list[tuple]:
@@ -211,11 +247,17 @@ def rating_series(sides: DataFrame, cutoff: Column, key: str = "entity_id") -> D
 def final_ratings(obs: DataFrame, by_group: bool = True, k: float = 32.0, start: float = 1500.0) -> DataFrame:
     """(grp, entity_id, rating, updates) after all decisive contests; grp is '' for the overall rating.
 
-    Each side's rating before its last decisive contest, and that contest's gain: the fold itself runs once.
+    A task of the fold reads decisive contests only, without a group for the overall rating, and gives out what its entities have at the end: no row for each contest.
     """
-    seen = rating_snapshots(obs, by_group, k, start, frozen=False).join(decisive_pairs(obs).filter("score_a is not null").select("contest_id", "score_a"), "contest_id")
-    gain = F.lit(k) * (F.col("score_a") - 1 / (1 + F.pow(F.lit(10.0), (F.col("rating_b") - F.col("rating_a")) / 400)))
-    side = lambda x, sign: F.struct(F.col(f"entity_{x}").alias("entity_id"), (F.col(f"rating_{x}") + sign * gain).alias("rating"), (F.col(f"updates_{x}") + 1).alias("updates"))
-    rows = seen.select("event_day", "contest_id", (F.col("grp") if by_group else F.lit("")).alias("grp"), F.explode(F.array(side("a", 1), side("b", -1))).alias("s")).select("event_day", "contest_id", "grp", "s.*")
-    last = rows.groupBy("grp", "entity_id").agg(F.max_by(F.struct("rating", "updates"), F.struct("event_day", "contest_id")).alias("l"))
-    return last.select("grp", "entity_id", "l.rating", "l.updates")
+    columns = ["event_day", "contest_id", *(["grp"] if by_group else []), "entity_a", "entity_b", "score_a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _Fold(k, start, False, False)
+        for b in batches:
+            fold.rows(*_lists(b, by_group))
+        keys = list(fold.rating)
+        ends = [[x[0] for x in keys] if by_group else [""] * len(keys), [x[1] for x in keys] if by_group else keys, [fold.rating[x] for x in keys], [fold.updates[x] for x in keys]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(ends, (pa.string(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["grp", "entity_id", "rating", "updates"])
+
+    pairs = decisive_pairs(obs).filter("score_a is not null").select(*columns)
+    return _dealt(pairs, by_group).mapInArrow(run, "grp string, entity_id bigint, rating double, updates bigint")

@@ -163,6 +163,5 @@ def rating_strength(spark: SparkSession, d: str) -> DataFrame:
 )
 def rating_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """Frozen overall ratings as forecasts, scored."""
-    r = compare.with_probability(ratings.rating_snapshots(observations(spark, d), by_group=False))
-    won = ratings.decisive_pairs(observations(spark, d)).select("contest_id", F.col("score_a").alias("label"))
-    return evaluate.metrics(r.join(won, "contest_id")).select("n", *[r6(c).alias(c) for c in ("accuracy", "log_loss", "brier", "auc")])
+    r = compare.with_probability(ratings.rating_snapshots(observations(spark, d), by_group=False, with_score=True))
+    return evaluate.metrics(r.withColumnRenamed("score_a", "label")).select("n", *[r6(c).alias(c) for c in ("accuracy", "log_loss", "brier", "auc")])
