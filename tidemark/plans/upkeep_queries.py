@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates, capture, compare, contracts, evaluate, evidence, history, ingest, maintenance, models, names, pairs, ratings, shrinkage
+from ..operators.graph import Steps
 from ..streaming import twins
 from .aggregate_queries import rating_sides, rating_sides_sql
 from .contests import load, observations
@@ -466,7 +467,8 @@ def scored_both_ways(spark: SparkSession, d: str) -> DataFrame:
 @query(with_obs(f"{_PAIRS}, m AS (SELECT median(wins_diff) AS md FROM pairs WHERE contest_id % 3 <> 0), f AS (SELECT contest_id, CASE WHEN contest_id % 3 = 0 THEN md ELSE wins_diff END AS x FROM pairs, m) SELECT contest_id, round((x - (SELECT avg(x) FROM f)) / (SELECT stddev_pop(x) FROM f), 6) AS wins FROM f"))
 def preprocessed_features(spark: SparkSession, d: str) -> DataFrame:
     """Missing numbers become the median, and are standardised by the population's deviation."""
-    p = doubles(career_pairs(spark, d)).withColumn("wins_diff", F.when(F.col("contest_id") % 3 != 0, F.col("wins_diff")))
+    steps = Steps(spark, "preprocessed")  # fit and transform pass over the pairs three times
+    p = steps.write(doubles(career_pairs(spark, d)).select("contest_id", F.when(F.col("contest_id") % 3 != 0, F.col("wins_diff")).alias("wins_diff")))
     return models.Preprocessor(["wins_diff"]).fit(p).transform(p).select("contest_id", r6("_x_wins_diff").alias("wins"))
 
 
