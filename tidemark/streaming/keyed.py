@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +16,7 @@ from .twins import HISTORY, run_into
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+EPOCH = date(1970, 1, 1)
 
 
 class DayBuffer(StatefulProcessor):
@@ -32,10 +35,10 @@ class DayBuffer(StatefulProcessor):
         self.open = handle.getListState("open", "ends bigint, event_id bigint, value double")
 
     def _known(self) -> tuple[int, float, int, int]:
-        return self.totals.get() if self.totals.exists() else (0, 0.0, 0, 0)
+        return self.totals.get() or (0, 0.0, 0, 0)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for f in rows for r in zip(f["ends"].tolist(), f["event_id"].tolist(), f["value"].tolist(), strict=True)]  # one key's events of one micro-batch
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r.ends, r.event_id, r.value) for r in rows]  # one key's events of one micro-batch
         if new:
             self.open.appendList(new)
             n, total, last, timer = self._known()
@@ -47,32 +50,33 @@ class DayBuffer(StatefulProcessor):
                 self.totals.update((n, total, last, first))
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame([tuple(r) for r in self.open.get()] if self.open.exists() else [], columns=["ends", "event_id", "value"])
+        rows = sorted(tuple(r) for r in self.open.get())
         n, total, last, _ = self._known()
-        closed, rest = rows[rows["ends"] <= now].sort_values(["ends", "event_id"]), rows[rows["ends"] > now]
-        out = []
-        for end, day in closed.groupby("ends"):
+        closed = [r for r in rows if r[0] <= now]
+        rest = rows[len(closed) :]
+        for end, group in groupby(closed, key=itemgetter(0)):
             if self.idle_days is not None and last and end - last > self.idle_days * DAY_MS:
                 n, total = 0, 0.0
-            out.append(pd.DataFrame({"user_id": key[0], "event_id": day["event_id"].astype("int64"), "day": pd.Timestamp(end - DAY_MS, unit="ms").date(), "events_before": n, "value_before": total}))
-            n, total, last = n + len(day), total + float(day["value"].sum()), int(end)
-        if len(closed):
-            if len(rest):
-                self.open.put([tuple(r) for r in rest.itertuples(index=False)])
+            day, events, value = EPOCH + timedelta(milliseconds=end - DAY_MS), 0, 0.0
+            for _, event_id, v in group:
+                yield Row(user_id=key[0], event_id=event_id, day=day, events_before=n, value_before=total)
+                events, value = events + 1, value + v
+            n, total, last = n + events, total + value, end
+        if closed:
+            if rest:
+                self.open.put(rest)
             else:
                 self.open.clear()
         forgets = last + self.idle_days * DAY_MS + 1 if self.idle_days is not None and last else 0
-        if not len(rest) and not len(closed) and forgets and now >= forgets:
+        if not rest and not closed and forgets and now >= forgets:
             self.totals.clear()
             return
-        timer = int(rest["ends"].min()) if len(rest) else forgets
+        timer = rest[0][0] if rest else forgets
         if timer:
             self.handle.registerTimer(timer)
         self.totals.update((n, total, last, timer))
-        if out:
-            yield pd.concat(out)
 
     def close(self) -> None:
         pass
@@ -89,7 +93,7 @@ def keyed_history(events: DataFrame, delay: str = "1 day", key: str = "user_id",
     day = F.col(ts).cast("timestamp").cast("date")
     rows = events.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("user_id"), F.col("event_id").cast("bigint").alias("event_id"), F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("value"), F.date_add(day, 1).cast("timestamp").alias("day_end"))
     marked = rows.withWatermark("day_end", delay).withColumn("ends", F.unix_millis("day_end"))
-    return marked.groupBy("user_id").transformWithStateInPandas(DayBuffer(idle_days), HISTORY, "append", "eventTime")
+    return marked.groupBy("user_id").transformWithState(DayBuffer(idle_days), HISTORY, "append", "eventTime")
 
 
 class state_in_rocksdb:
