@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +29,55 @@ class Steps:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
 
+#: Edges that a task joins at once.
+CHUNK = 1 << 18
+
+
+def least_connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertices in order, the place of the least one each is connected with, the place of each u): hooks larger roots on smaller ones until no edge is between two."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, least = at[: len(u)], at[len(u) :], np.arange(len(names))
+    x, y = a, b
+    while True:
+        apart = least[x] != least[y]
+        if not apart.any():
+            return names, least, a
+        x, y = x[apart], y[apart]
+        np.minimum.at(least, np.maximum(least[x], least[y]), np.minimum(least[x], least[y]))
+        while ((up := least[least]) != least).any():
+            least = up
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task, CHUNK at a time, as edges of each vertex to the least it is connected with there."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in "uv")
+        names, least, _ = least_connected(u, v)
+        hung = np.flatnonzero(least != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[hung]), pa.array(names[least[hung]])], ["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield joined()
+            held = []
+    if held:
+        yield joined()
+
+
 def connected_components(edges: DataFrame, steps: Steps | None = None) -> DataFrame:
     """(vertex, component): for each vertex of edges (u bigint, v bigint) the smallest vertex it is connected with.
 
     Large and small stars take turns until nothing changes (Kiveris et al., 2014): every vertex hangs its larger neighbours, then its smaller ones, on
-    the smallest. The number of rounds grows with the logarithm of the vertices. Minima are combined before they are shuffled and joined back, so no
+    the smallest. Before, each task puts what it reads together, so that no more edges are shuffled than its chunks have vertices. The number of rounds grows with the logarithm of the vertices. Minima are combined before they are shuffled and joined back, so no
     vertex's neighbours ever meet in one task. Loops and repeated edges do no harm; a vertex needs an edge (a loop, if it is alone) to be seen; edges with a null are left out.
     """
     steps = steps or Steps(edges.sparkSession, "components")
     clean = edges.select("u", "v").filter("u is not null and v is not null")
     alone = clean.filter("u = v").select(F.col("u").alias("vertex"))
-    now = steps.write(clean.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = steps.write(clean.filter("u <> v").mapInArrow(_forest, "u bigint, v bigint").distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import Steps, connected_components
+from .graph import CHUNK, Steps, connected_components, least_connected
 
 SNAPSHOT = "contest_id bigint, event_day date, grp string, entity_a bigint, entity_b bigint, rating_a double, rating_b double, updates_a bigint, updates_b bigint"
 
@@ -118,11 +119,39 @@ def _blocks_of(days: list[tuple], most: int) -> list[tuple]:
     return out
 
 
-def component_blocks(pairs: DataFrame, most: int, steps: Steps, by_group: bool = False, longest_first: bool = True) -> DataFrame:
+def _whole_blocks(rows: DataFrame) -> DataFrame:
+    """rows (block, u, v and others) with component in place of u and v, where no block has more than CHUNK rows: a task joins whole blocks, CHUNK rows at a time."""
+    kept = [c for c in rows.columns if c not in ("u", "v")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(t: pa.Table) -> list[pa.RecordBatch]:
+            names, least, at = least_connected(t.column("u").to_numpy(), t.column("v").to_numpy())
+            return t.select(kept).append_column("component", pa.array(names[least[at]])).to_batches(max_chunksize=1 << 16)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) > CHUNK:
+                t = pa.Table.from_batches(held)
+                block = t.column("block").cast(pa.int32()).to_numpy()
+                if cut := int(np.searchsorted(block, block[-1])):  # the last block may go on
+                    yield from joined(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+        if held:
+            yield from joined(pa.Table.from_batches(held))
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "component bigint"]))
+
+
+def component_blocks(pairs: DataFrame, most: int, steps: Steps, by_group: bool = False, longest_first: bool = True, by: str | None = None) -> DataFrame:
     """pairs with block (the first day of it) and component: contests of one block are in different components if no chain of entities connects them.
 
     Blocks begin with `most` contests, or a quarter of the number of entities if that is more, and are halved, by days, as long as a component has more than `most`
     contests. A single day isn't cut. Without longest_first they begin with `most` contests whatever the number of entities. What the driver holds is a number for each day.
+
+    Blocks of CHUNK contests or fewer are dealt out whole, a shuffle of narrow rows, and joined where they are; the components of larger ones are found by all tasks. by: the column
+    by which what is written is laid out.
     """
     spark = pairs.sparkSession
     # two vertices with one hash only join two components
@@ -133,10 +162,19 @@ def component_blocks(pairs: DataFrame, most: int, steps: Steps, by_group: bool =
     wanted, settled = _blocks_of(days, max(most, entities // 4) if longest_first else most), []
     while wanted:
         size = dict(days)
-        plan = spark.createDataFrame(wanted, "event_day date, block date")
-        rows = pairs.join(plan, "event_day").withColumns({"u": of("a"), "v": of("b")})
-        found = steps.write(connected_components(rows.select("u", "v"), steps))
-        rows = steps.write(rows.join(found, rows.u == found.vertex).drop("u", "v", "vertex"))
+        held: dict = {}
+        for day, block in wanted:
+            held[block] = held.get(block, 0) + size[day]
+        plan = spark.createDataFrame([(day, block, held[block] <= CHUNK) for day, block in wanted], "event_day date, block date, small boolean")
+        dealt, parts = pairs.join(F.broadcast(plan), "event_day"), []
+        if min(held.values()) <= CHUNK:
+            small = dealt.filter("small").drop("small").repartition("block").sortWithinPartitions("block")
+            parts.append(_whole_blocks(small.withColumns({"u": of("a"), "v": of("b")})))
+        if max(held.values()) > CHUNK:
+            rows = dealt.filter("not small").drop("small").withColumns({"u": of("a"), "v": of("b")})
+            found = steps.write(connected_components(rows.select("u", "v"), steps))
+            parts.append(rows.join(found, rows.u == found.vertex).drop("u", "v", "vertex"))
+        rows = steps.write(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], by=by)
         largest = rows.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max("n").alias("n")).filter(F.col("n") > most)
         length = {}
         for day, block in wanted:
@@ -174,33 +212,46 @@ def rating_snapshots_in_blocks(obs: DataFrame, most: int = 1_000_000, by_group:
     spark = obs.sparkSession
     steps = steps or Steps(spark, "ratings")
     pairs = decisive_pairs(obs).select("event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a")
-    blocks = steps.write(component_blocks(pairs, most, steps, by_group), "blocks", by="block")
+    blocks = component_blocks(pairs, most, steps, by_group, by="block")
     group = F.col("grp") if by_group else F.lit("")
     none = lambda kind: F.lit(None).cast(kind)
     names = [x.split()[0] for x in FOLDED.split(", ")]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component, fold, kept = None, None, {}
+        component, fold, left = None, None, []
 
-        def close() -> list[tuple]:
-            return [(True, g, e, None, None, None, fold.rating[g, e], None, fold.updates[g, e], None) for g, e in kept] if fold else []
+        def close() -> None:
+            for x, rating in fold.rating.items() if fold else ():
+                g, e = x if by_group else ("", x)
+                left.append((True, g, e, None, None, None, rating, None, fold.updates[x], None))
 
         for f in frames:
-            rows: list[tuple] = []
-            for c, opens, day, contest, g, a, b, score, rating, updates in zip(*(f.column(x).to_pylist() for x in ("component", "opens", "event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a", "rating", "updates")), strict=True):
-                if c != component:
-                    rows += close()
-                    component, fold, kept = c, _Fold(k, start, frozen, unknown_half), {}
-                if opens:
-                    fold.rating[g, a], fold.updates[g, a] = rating, updates
+            opens, of = f.column("opens").to_numpy(zero_copy_only=False).astype(bool), f.column("component").to_numpy()
+            f = f.set_column(f.schema.get_field_index("entity_b"), "entity_b", f.column("entity_b").fill_null(0))  # null where a rating is brought along
+            days, groups, a, b, scores = _lists(f, by_group)
+            ratings, updates = f.column("rating").to_pylist(), f.column("updates").to_pylist()
+            cuts, seen = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)], []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
                     continue
-                key = g if by_group else ""
-                rows.append((False, g, a, b, day, contest, *fold.row(day, key, a, b, score)))
-                kept |= {x: True for x in ((key, a), (key, b)) if x in fold.rating}
-            if rows:
-                yield _folded(rows, names)
-        if rows := close():
-            yield _folded(rows, names)
+                if of[lo] != component:
+                    close()
+                    component, fold = of[lo], _Fold(k, start, frozen, unknown_half)
+                while lo < hi and opens[lo]:
+                    x = (groups[lo], a[lo]) if by_group else a[lo]
+                    fold.rating[x], fold.updates[x] = ratings[lo], updates[lo]
+                    lo += 1
+                seen += fold.rows(days[lo:hi], groups[lo:hi] if by_group else None, a[lo:hi], b[lo:hi], scores[lo:hi])
+            if left:
+                yield _folded(left, names)
+                left = []
+            if seen:
+                rows = f.filter(pa.array(~opens))
+                made = [pa.array(x, t) for x, t in zip(zip(*seen, strict=True), (pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(seen), bool)), *[rows.column(c) for c in names[1:6]], *made], names)
+        close()
+        if left:
+            yield _folded(left, names)
 
     state = spark.createDataFrame([], "grp string, entity bigint, rating double, updates bigint")
     order = [r.block for r in blocks.select("block").distinct().orderBy("block").collect()]

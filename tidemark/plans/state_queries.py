@@ -41,7 +41,7 @@ def rating_snapshots_blocks(spark: SparkSession, d: str) -> DataFrame:
 )
 def rating_day_components(spark: SparkSession, d: str) -> DataFrame:
     """How a day's contests hang together: its components can be rated side by side, the largest is what one task gets."""
-    pairs = ratings.decisive_pairs(observations(spark, d)).select("event_day", "contest_id", "grp", "entity_a", "entity_b", "score_a")
+    pairs = ratings.decisive_pairs(observations(spark, d)).select("event_day", "entity_a", "entity_b")
     return ratings.block_shares(ratings.component_blocks(pairs, 1, Steps(spark, "components"), longest_first=False))
 
 
