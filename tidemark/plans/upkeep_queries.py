@@ -335,7 +335,7 @@ def history_day_leaks(spark: SparkSession, d: str) -> DataFrame:
 @query(with_obs("SELECT 'duplicate_keys' AS \"check\", (SELECT count(*) FROM (SELECT contest_id FROM obs GROUP BY 1 HAVING count(*) > 1)) AS found UNION ALL SELECT 'ranges', (SELECT count(*) FROM obs WHERE attempts > 45) UNION ALL SELECT 'pairs', 0 UNION ALL SELECT 'orphans', (SELECT count(DISTINCT entity_id) FROM obs WHERE entity_id % 9 = 0)"))
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
     """One report of all contracts; a gate raises where one has findings."""
-    o = observations(spark, d)
+    o = Steps(spark, "validated").write(observations(spark, d).select("contest_id", "event_day", "entity_id", "attempts", "result"))  # read by each contract
     profiles = load(spark, d, "supplier").filter("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("entity_id"))
     found = {"duplicate_keys": contracts.duplicate_keys(o, ["contest_id"]), "ranges": contracts.range_violations(o, {"attempts": (0, 45)}, "contest_id"), "pairs": contracts.pair_integrity(o), "orphans": contracts.key_gaps(o, profiles, "entity_id").filter("side = 'left_only'")}
     contracts.require(found["pairs"], "pairs")
