@@ -7,40 +7,40 @@ rows of the opponents. Every step is a join on the entities touched so far, each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fingerprint
 from .graph import Steps
 from .history import Spec, before, if_dated, snapshots
 
 KEYS = ["contest_id", "entity_id"]
 OWN = ["contests", "wins", "attempts_sum"]
-VIEW = [*KEYS, "opponent_id", "event_day", *OWN, *[f"opponent_{c}" for c in OWN], "opponents_wins"]
+OTHERS = [f"opponent_{c}" for c in OWN]
+ROW = [*KEYS, "opponent_id", "event_day"]
+VIEW = [*ROW, *OWN, *OTHERS, "opponents_wins"]
 
 
-def _specs() -> list[Spec]:
-    return [Spec("contests", "count", F.lit(1)), Spec("wins", "sum", F.when(F.col("won") == 1, 1).otherwise(0)), Spec("attempts_sum", "sum", F.coalesce("attempts", F.lit(0.0)))]
+def _parts() -> dict[str, Column]:
+    """What each row adds to the own columns of later ones."""
+    return {"contests": F.lit(1), "wins": F.when(F.col("won") == 1, 1).otherwise(0), "attempts_sum": F.coalesce("attempts", F.lit(0.0))}
 
 
 def _own(obs: DataFrame) -> DataFrame:
-    return snapshots(obs, _specs()).select(*KEYS, "opponent_id", "event_day", *OWN)
+    return snapshots(obs, [Spec(c, "sum", v) for c, v in _parts().items()]).select(*ROW, *OWN)
 
 
-def _of_opponents(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """rows with the opponents' own columns, from their rows in the same contests."""
-    other = own.select("contest_id", F.col("entity_id").alias("opponent_id"), *[F.col(c).alias(f"opponent_{c}") for c in OWN])
-    return rows.join(other, ["contest_id", "opponent_id"], "left")
-
-
-def _mean(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("opponents_wins", if_dated(F.avg("opponent_wins").over(before("entity_id", "event_day")), "event_day"))
+def _of_opponents(rows: DataFrame) -> DataFrame:
+    """rows with the opponents' own columns, from their rows in the same contests. One shuffle by contest; rows without a contest meet none."""
+    sides = F.collect_list(F.struct("entity_id", *OWN)).over(Window.partitionBy("contest_id"))
+    met = F.get(F.filter(F.col("_sides"), lambda x: x["entity_id"] == F.col("opponent_id")), F.lit(0))
+    found = rows.withColumn("_sides", sides).withColumn("_other", F.when(F.col("contest_id").isNotNull(), met))
+    return found.withColumns({f"opponent_{c}": F.col("_other")[c] for c in OWN}).drop("_sides", "_other")
 
 
 def contest_view(obs: DataFrame) -> DataFrame:
-    """The whole view of observations with unique keys. Undated rows see nothing and are seen by none."""
-    own = _own(obs)
-    return _mean(_of_opponents(own, own)).select(*VIEW)
+    """The whole view of observations with unique keys. Undated rows see nothing and are seen by none. Three shuffles: by entity, by contest, by entity."""
+    mean = if_dated(F.avg("opponent_wins").over(before("entity_id", "event_day")), "event_day")
+    return _of_opponents(_own(obs)).withColumn("opponents_wins", mean).select(*VIEW)
 
 
 def _touched(*rows: DataFrame) -> DataFrame:
@@ -53,54 +53,64 @@ def _touched(*rows: DataFrame) -> DataFrame:
 
 def changed_rows(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """(keys, event_day) of rows that were added, removed or corrected, with each day that they have in either table."""
-    side = lambda df, p: df.select(*KEYS, F.col("event_day").alias(f"{p}_day"), fingerprint(columns).alias(f"{p}_print"))
-    both = side(old, "old").join(side(new, "new"), KEYS, "full_outer").filter(~F.col("old_print").eqNullSafe(F.col("new_print")))
-    return both.select(*KEYS, F.explode(F.array_distinct(F.array("old_day", "new_day"))).alias("event_day"))
+    side = lambda df, p: df.select(*KEYS, F.struct("event_day", *[c for c in columns if c not in ROW[:2] and c != "event_day"]).alias(p))
+    both = side(old, "old").join(side(new, "new"), KEYS, "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select(*KEYS, F.explode(F.array_distinct(F.array("old.event_day", "new.event_day"))).alias("event_day"))
+
+
+def _earlier(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """One row for each entity of rows (with its from_day): the totals of all before that day, dated the day before it. It stands for them in windows."""
+    old = rows.filter("event_day < from_day").groupBy("entity_id", "from_day").agg(*[F.sum(v).alias(k) for k, v in totals.items()])
+    return old.withColumn("event_day", F.date_sub("from_day", 1)).withColumn("_earlier", F.lit(True))
+
+
+def _own_since(new: DataFrame, first: DataFrame) -> DataFrame:
+    """The own columns of the entities' rows from their first touched day on."""
+    told = new.join(first, "entity_id")
+    parts = {f"_{c}": v for c, v in _parts().items()}
+    late = told.filter("event_day >= from_day").select(*ROW, "from_day", F.lit(False).alias("_earlier"), *[v.alias(k) for k, v in parts.items()])
+    rows = late.unionByName(_earlier(told, parts), allowMissingColumns=True)
+    return snapshots(rows, [Spec(c, "sum", F.col(f"_{c}")) for c in OWN]).filter("not _earlier").select(*ROW, *OWN, "from_day")
 
 
 def maintained(view: DataFrame, old: DataFrame, new: DataFrame, steps: Steps | None = None) -> DataFrame:
     """contest_view(new), from view = contest_view(old), with `recomputed`: which rows were computed anew. All others are taken from the view as they are.
 
-    What is read anew is the history of the entities touched, not the table; the view itself is passed over once, for the rows that stay.
+    A changed row touches its entity from its day on, so rows of earlier days are taken as they are, or added up to one row for each entity, before anything
+    is shuffled by row. What is shuffled whole is the comparison of old and new and, where the contests touched are many, the view's rows by contest.
     """
     steps = steps or Steps(new.sparkSession, "upkeep")
-    columns = [*KEYS, "opponent_id", "event_day", "won", "attempts"]
+    columns = [*ROW, "won", "attempts"]
     new = new.select(*columns)
     changed = steps.write(changed_rows(old.select(*columns), new, columns))
     keys = changed.select(*KEYS).distinct()
-    none = F.lit(None)
 
     # the entities' own columns, after the changed rows and in them
     first = steps.write(_touched(changed))
-    own = steps.write(
-        _own(new.join(first.select("entity_id"), "entity_id", "left_semi"))
-        .join(first, "entity_id")
-        .join(keys.withColumn("_changed", F.lit(True)), KEYS, "left")
-        .filter((F.col("event_day") > F.col("from_day")) | F.col("_changed"))
-        .select(*KEYS, "opponent_id", "event_day", *OWN)
-    )
-    undated = new.join(keys, KEYS, "left_semi").filter("event_day is null").select(*KEYS, "opponent_id", "event_day", *[none.cast(t).alias(c) for c, t in own.dtypes if c in OWN])
+    own = _own_since(new, first).join(keys.withColumn("_changed", F.lit(True)), KEYS, "left").filter((F.col("event_day") > F.col("from_day")) | F.col("_changed")).select(*ROW, *OWN)
+    undated = new.filter("event_day is null").join(keys, KEYS, "left_semi").select(*ROW, *[F.lit(None).cast(t).alias(c) for c, t in own.dtypes if c in OWN])
     own = steps.write(own.unionByName(undated).dropDuplicates(KEYS))
 
-    # opponents' columns: rows whose own columns are new, the rows they stand against, and all that is left of the changed contests
-    against = own.select("contest_id", F.col("opponent_id").alias("entity_id")).unionByName(new.join(changed.select("contest_id").distinct(), "contest_id", "left_semi").select(*KEYS))
-    met = new.join(own.select(*KEYS).unionByName(against).distinct(), KEYS, "left_semi").select(*KEYS, "opponent_id", "event_day")
-    asked = met.select("contest_id", F.col("opponent_id").alias("entity_id")).distinct()
-    still = view.join(asked, KEYS, "left_semi").join(own, KEYS, "left_anti").join(new.select(*KEYS), KEYS, "left_semi")
-    met = steps.write(_of_opponents(met, own.select(*KEYS, *OWN).unionByName(still.select(*KEYS, *OWN))))
+    # opponents' columns: of rows whose own columns are new, of the rows that stand against them, and of all that is left of the changed contests
+    touched = own.select("contest_id", F.lit(False).alias("_all")).unionByName(changed.select("contest_id", F.lit(True).alias("_all"))).groupBy("contest_id").agg(F.max("_all").alias("_all"))
+    still = view.select(*ROW, *OWN).join(touched, "contest_id").join(keys.unionByName(own.select(*KEYS)), KEYS, "left_anti").withColumn("_own", F.lit(False))
+    here = still.unionByName(own.join(touched, "contest_id").withColumn("_own", F.lit(True)))
+    anew = F.collect_list(F.when(F.col("_own"), F.col("entity_id"))).over(Window.partitionBy("contest_id"))
+    met = _of_opponents(here.withColumn("_anew", anew)).filter(F.col("_own") | F.col("_all") | F.array_contains("_anew", F.col("opponent_id")))
+    met = steps.write(met.select(*ROW, *OWN, *OTHERS))
 
     # the means of those whose earlier opponents' columns are new
     second = steps.write(_touched(met, changed))
-    history = view.join(second.select("entity_id"), "entity_id", "left_semi").join(keys, KEYS, "left_anti").join(met, KEYS, "left_anti").select(*KEYS, "opponent_id", "event_day", "opponent_wins")
-    means = _mean(history.unionByName(met.select(*history.columns))).join(second, "entity_id", "left").join(met.select(*KEYS, F.lit(True).alias("_met")), KEYS, "left")
-    means = steps.write(means.filter((F.col("event_day") > F.col("from_day")) | F.col("_met")).select(*KEYS, "opponents_wins"))
-
-    dirty = steps.write(means.select(*KEYS).unionByName(met.select(*KEYS)).unionByName(own.select(*KEYS)).distinct())
-    rows = new.join(dirty, KEYS, "left_semi").select(*KEYS, "opponent_id", "event_day")
-    pick = lambda df, names, p: df.select(*KEYS, F.lit(True).alias(f"{p}here"), *[F.col(c).alias(f"{p}{c}") for c in names])
-    others = [f"opponent_{c}" for c in OWN]
-    parts = rows.join(pick(own, OWN, "_o_"), KEYS, "left").join(pick(met, others, "_m_"), KEYS, "left").join(pick(means, ["opponents_wins"], "_s_"), KEYS, "left").join(pick(view.join(dirty, KEYS, "left_semi"), [*OWN, *others, "opponents_wins"], "_v_"), KEYS, "left")
-    value = lambda c, p: F.when(F.col(f"{p}here"), F.col(f"{p}{c}")).otherwise(F.col(f"_v_{c}")).alias(c)
-    anew = parts.select(*KEYS, "opponent_id", "event_day", *[value(c, "_o_") for c in OWN], *[value(c, "_m_") for c in others], value("opponents_wins", "_s_"), F.lit(True).alias("recomputed"))
-    kept = view.join(dirty, KEYS, "left_anti").join(keys, KEYS, "left_anti").withColumn("recomputed", F.lit(False))
-    return kept.unionByName(anew).select(*VIEW, "recomputed")
+    gone = keys.unionByName(met.select(*KEYS))
+    seen = view.join(second, "entity_id")
+    mean = {"_sum": F.col("opponent_wins"), "_n": F.when(F.col("opponent_wins").isNotNull(), 1).otherwise(0)}
+    late = seen.filter("event_day >= from_day").join(gone, KEYS, "left_anti").withColumn("_met", F.lit(False))
+    late = late.unionByName(met.join(second, "entity_id", "left").withColumn("_met", F.lit(True)), allowMissingColumns=True).select(*ROW, *OWN, *OTHERS, "from_day", "_met", F.lit(False).alias("_earlier"), *[v.alias(k) for k, v in mean.items()])
+    before_day = before("entity_id", "event_day")
+    means = late.unionByName(_earlier(seen, mean), allowMissingColumns=True).withColumn("opponents_wins", if_dated(F.try_divide(F.sum("_sum").over(before_day), F.sum("_n").over(before_day)), "event_day"))
+    anew = steps.write(means.filter(~F.col("_earlier") & ((F.col("event_day") > F.col("from_day")) | F.col("_met"))).select(*VIEW))
+
+    split = view.join(second, "entity_id", "left")
+    rest = split.filter("event_day is null or event_day = from_day").join(gone, KEYS, "left_anti")
+    kept = split.filter("event_day is not null and (from_day is null or event_day < from_day)").unionByName(rest).select(*VIEW, F.lit(False).alias("recomputed"))
+    return kept.unionByName(anew.withColumn("recomputed", F.lit(True)))

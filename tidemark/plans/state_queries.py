@@ -155,12 +155,12 @@ _VIEW_SQL = """c AS (SELECT *, count(*) OVER h AS contests, CAST(coalesce(sum(CA
 )
 def view_upkeep(spark: SparkSession, d: str) -> DataFrame:
     """ST3, M03, T09: late corrections and removals reach the view through the rows that read them; only these are computed anew."""
-    old = staged(spark, d).select(*upkeep.KEYS, "opponent_id", "event_day", "won", "attempts")
+    steps = Steps(spark, "upkeep")
+    old = steps.write(observations(spark, d).select(*upkeep.ROW, "won", "attempts"))
     late = F.coalesce(F.col("event_day") >= F.lit(_LATE).cast("date"), F.lit(False))
     fixed = late & (F.col("contest_id") % 61 == 0)
     new = old.filter(~(late & (F.col("contest_id") % 61 == 1))).withColumns({"won": F.when(fixed, 1 - F.col("won")).otherwise(F.col("won")), "attempts": F.when(fixed, F.col("attempts") + 1).otherwise(F.col("attempts"))})
-    steps = Steps(spark, "upkeep")
-    out = steps.write(upkeep.maintained(steps.write(upkeep.contest_view(old)), old, new, steps))
+    out = upkeep.maintained(steps.write(upkeep.contest_view(old)), old, new, steps)
     share = out.agg(F.round(F.avg(F.col("recomputed").cast("double")), 6).alias("recomputed_share"))
     return out.withColumn("opponents_wins", r6("opponents_wins")).crossJoin(share)  # one row
 
