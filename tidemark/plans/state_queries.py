@@ -246,7 +246,8 @@ FAMILIES = [
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     obs = pairs.opponent_columns(observations(spark, d), ["attempts", "successes"])
-    return Steps(spark, "rated").write(obs.withColumn("stopped", F.col("opponent_attempts") - F.col("opponent_successes")))
+    stopped = (F.col("opponent_attempts") - F.col("opponent_successes")).alias("stopped")
+    return Steps(spark, "rated").write(obs.select("contest_id", "event_day", "grp", "entity_id", "successes", "attempts", "opponent_attempts", stopped))
 
 
 _RATED_SQL = "rated AS (SELECT a.contest_id, a.event_day, a.grp, a.entity_id, a.opponent_id, a.successes, a.attempts, b.attempts AS opponent_attempts, b.attempts - b.successes AS stopped FROM obs a JOIN obs b ON a.contest_id = b.contest_id AND a.opponent_id = b.entity_id)"
@@ -304,8 +305,9 @@ _MADE_SQL = ", ".join([_RATED_SQL, *(_family_sql(f, "rated") for f in FAMILIES[:
 @query(with_obs(f"{_MADE_SQL} {_manifest_sql()}"))
 def smoothing_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Every column that the families make, what it is, and how many values it has with what mean over all contests."""
-    sides = smoothing.side_features(_rated(spark, d), FAMILIES)
-    rows = smoothing.manifest_rows(smoothing.pair_features(sides, FAMILIES), _listed())
+    made = smoothing.paired_features(_rated(spark, d), FAMILIES)
+    with smoothing.methods_the_jvm_compiles(spark):
+        rows = Steps(spark, "manifest").write(smoothing.manifest_rows(made, _listed()))
     return rows.withColumn("mean", F.round("mean", 4))
 
 
